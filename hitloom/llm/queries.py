@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitloom.llm.common import materialize, table, text_size
-from hitloom.llm import mixing, sharding
+from hitloom.llm import media, mixing, sharding, token_counts, topk
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,22 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a motion-JPEG file, read back: digests and timed clips."""
+    return media.digest(media.encode(table(spark, sf_dir, "documents")))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows for every vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Tokens of every line of every document, each counted where it starts."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), path or token_counts.public_path(token_counts.VOCABULARY))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
