@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitloom.llm.common import materialize, table, text_size
-from hitloom.llm import media, mixing, sharding, token_counts, topk
+from hitloom.llm import media, mixing, pieces, sharding, token_counts, topk
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
     return token_counts.token_counts(table(spark, sf_dir, "documents"), path or token_counts.public_path(token_counts.VOCABULARY))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Piece ids of every document, and whether they decode to its text."""
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), path or token_counts.public_path(pieces.MODEL))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "exact")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
