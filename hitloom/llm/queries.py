@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitloom.llm.common import materialize, table, text_size
-from hitloom.llm import media, mixing, pieces, sharding, token_counts, topk
+from hitloom.llm import media, mixing, pieces, secrets, sharding, token_counts, topk
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scan(docs, secrets.fit(docs))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
