@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitloom.llm.common import materialize, table, text_size
-from hitloom.llm import media, mixing, pieces, secrets, sharding, token_counts, topk
+from hitloom.llm import media, mixing, pieces, secrets, sharding, token_counts, topk, toxicity
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,12 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.encode(table(spark, sf_dir, "documents")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best rows for every vector whose id is divisible by 100."""
     vectors = table(spark, sf_dir, "embeddings")
