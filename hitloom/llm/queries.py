@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitloom.llm.common import materialize, table, text_size
-from hitloom.llm import media, mixing, pieces, secrets, sharding, token_counts, topk, toxicity
+from hitloom.llm import media, mixing, near_dedup, pieces, secrets, sharding, token_counts, topk, toxicity
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.encode(table(spark, sf_dir, "documents")))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of 4-word runs are similar by 0.8 or more."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=80)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
