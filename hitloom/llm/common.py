@@ -52,3 +52,19 @@ def pieces(batches: Iterator[pd.DataFrame], column: str, most: int = 8_000_000)
 def text_size(text: Column) -> Column:
     """UTF-8 bytes of a text, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+#: rows that a broadcast of needed() can have at most
+NEEDED = 1 << 20
+
+
+def needed(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df whose doc_id is in ids (one column, doc_id).
+
+    First by the ids' hash in NEEDED buckets, a broadcast of at most that many rows, so
+    that most texts which aren't needed stay out of the shuffle; then exactly.
+    """
+    bucket = F.pmod(F.xxhash64(F.lit("needed"), F.col("doc_id").cast("long")), F.lit(NEEDED)).cast("int")
+    wanted = ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    some = df.withColumn("_bucket", bucket).join(F.broadcast(wanted.select(bucket.alias("_bucket")).distinct()), "_bucket", "left_semi").drop("_bucket")
+    return some.join(wanted, "doc_id", "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitloom.llm.common import materialize, table, text_size
-from hitloom.llm import media, mixing, near_dedup, pieces, secrets, sharding, token_counts, topk, toxicity
+from hitloom.llm import media, mixing, near_dedup, pieces, repeats, secrets, sharding, token_counts, topk, toxicity
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that lie in a 100-byte string which also starts earlier."""
+    return repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 100)
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best rows for every vector whose id is divisible by 100."""
     vectors = table(spark, sf_dir, "embeddings")
