@@ -23,9 +23,9 @@ text without U+2581, also an empty one (no ids). Null texts are empty.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,7 +63,7 @@ class Model:
         self.known |= {p: s for p, (_, s) in self.of.items()}
         self.plain = {i: self.text[i].replace(SPACE, " ") for i in plain}
         self.value = {i: b for b, i in self.byte.items()}
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[str, tuple[list[int], float]] = {}
 
     def forward(self, text: str, start: int, end: int) -> tuple[list[float], list[int]]:
         """Best scores of all positions from start on, of pieces that begin before end; and where each one's last piece begins."""
@@ -90,23 +90,25 @@ class Model:
         found = self.of.get(piece)
         return [found[0]] if found else [self.byte[b] for b in piece.encode("utf-8", "replace")]
 
-    def trace(self, text: str, start: int, end: int, to: int) -> list[int]:
-        """Ids of the best path from start to `to` whose pieces begin before end."""
-        _, back = self.forward(text, start, end)
+    def along(self, text: str, back: list[int], start: int, to: int) -> list[int]:
         cuts = [to]
         while cuts[-1] != start:
             cuts.append(back[cuts[-1]])
         cuts.reverse()
         return [x for i, j in zip(cuts, cuts[1:], strict=False) for x in self.ids(text[i:j])]
 
-    def unit(self, u: str) -> list[int]:
+    def trace(self, text: str, start: int, end: int, to: int) -> list[int]:
+        """Ids of the best path from start to `to` whose pieces begin before end."""
+        return self.along(text, self.forward(text, start, end)[1], start, to)
+
+    def unit(self, u: str) -> tuple[list[int], float]:
+        """Ids and score of a unit's best path."""
         found = self.kept.get(u)
         if found is None:
             if len(self.kept) >= KEEP:
                 self.kept.clear()
-            one = self.of.get(u) if len(u) <= 2 else None
-            found = [one[0]] if one else self.trace(u, 0, len(u), len(u))
-            self.kept[u] = found
+            score, back = self.forward(u, 0, len(u))
+            found = self.kept[u] = self.along(u, back, 0, len(u)), score[len(u)]
         return found
 
     def encode(self, text: str) -> list[int]:
@@ -114,7 +116,7 @@ class Model:
         out: list[int] = []
         unit = self.unit
         for u in UNIT.findall(text):
-            out += unit(u)
+            out += unit(u)[0]
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -143,15 +145,9 @@ def model(path: str) -> Model:
 # --- chunks of giant documents ----------------------------------------------------
 
 
-def unit_starts(text: str, end: int) -> tuple[int, int] | None:
-    """First and last unit start in 1 .. end, seen from inside the text."""
-    first = next((m.start() + 1 for m in re.finditer("[^ ] ", text[: end + 1])), None)
-    if first is None:
-        return None
-    at = end
-    while not (text[at : at + 1] == " " and text[at - 1] != " "):
-        at -= 1
-    return first, at
+def unit_starts(text: str, end: int) -> list[int]:
+    """Places in 1 .. end - 1 where a unit starts after another."""
+    return [m.end() - 1 for m in re.finditer("[^ ] ", text[:end])]
 
 
 def transfer(m: Model, text: str, size: int, states: int) -> np.ndarray:
@@ -159,39 +155,45 @@ def transfer(m: Model, text: str, size: int, states: int) -> np.ndarray:
     t = np.full((states, states), NONE)
     ends = min(states, len(text) - size + 1)
 
-    def row(start: int, end_from: int) -> np.ndarray:
-        if start > len(text):
-            return np.full(states, NONE)
-        score, _ = m.forward(text, start, size)
+    def row(start: int) -> np.ndarray:
         out = np.full(states, NONE)
-        out[:ends] = [score[size + e] if size + e < len(score) else NONE for e in range(ends)]
-        if end_from >= size:  # nothing of the chunk is left to cover
-            out[:] = NONE
-            out[end_from - size] = 0.0
+        if start >= size:  # nothing of the chunk is left to cover
+            if start - size < ends:
+                out[start - size] = 0.0
+        else:
+            out[:ends] = m.forward(text, start, size)[0][size : size + ends]
         return out
 
-    cut = unit_starts(text, size)
-    # a cut at the very end may sit in the text after the chunk only if that text is known
-    if cut is None or cut[1] > size or cut[0] < 1:
-        for s in range(min(states, size + ends)):
-            t[s] = row(s, s)
-        return t
-    first, last = cut
-    middle = 0.0
-    for u in UNIT.findall(text[first:last]):
-        score, _ = m.forward(u, 0, len(u))
-        middle += score[len(u)]
-    tail = row(last, last)
-    for s in range(states):
-        if s <= first:
-            score, _ = m.forward(text[:first], s, first)
-            if score[first] != NONE:
-                t[s] = score[first] + middle + tail
+    starts = unit_starts(text, size)
+    if starts:
+        inner = [m.unit(text[i:j])[1] for i, j in zip(starts, starts[1:], strict=False)]
+        middle = np.append(np.cumsum(inner[::-1])[::-1], 0.0)
+        tail = row(starts[-1])
+    for s in range(min(states, len(text) + 1)):
+        k = bisect.bisect_left(starts, s)
+        if k == len(starts):
+            t[s] = row(s)
         else:
-            t[s] = row(s, s)
+            score = m.forward(text[: starts[k]], s, starts[k])[0]
+            if score[starts[k]] != NONE:
+                t[s] = score[starts[k]] + middle[k] + tail
     return t
 
 
+def trace_chunk(m: Model, text: str, size: int, enter: int, leave: int) -> list[int]:
+    """Ids of a chunk between its two states."""
+    if enter >= size + leave:
+        return []
+    starts = unit_starts(text, size)
+    k = bisect.bisect_left(starts, enter)
+    if k == len(starts):
+        return m.trace(text, enter, size, size + leave)
+    out = m.trace(text[: starts[k]], enter, starts[k], starts[k])
+    for i, j in zip(starts[k:], starts[k + 1 :], strict=False):
+        out += m.unit(text[i:j])[0]
+    return out + m.trace(text, starts[-1], size, size + leave)
+
+
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None]).max(axis=1)
 
@@ -246,7 +248,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         for pdf in batches:
             yield pd.DataFrame({
                 "id": pdf["id"].astype("Int64").to_numpy(dtype=object, na_value=None), "row": pdf["row"], "k": pdf["k"],
-                "ids": [m.trace(t, a, n, n + b) if a < n + b else [] for t, n, a, b in zip(pdf["text"], pdf["size"], pdf["enter"], pdf["leave"], strict=True)],
+                "ids": [trace_chunk(m, t, n, a, b) for t, n, a, b in zip(pdf["text"], pdf["size"], pdf["enter"], pdf["leave"], strict=True)],
             })
 
     chunks = materialize(cut, "chunks")
