@@ -1 +1,4 @@
+"""The registered plans."""
 
+from hitloom.plans import hits, tracks  # noqa: F401
+from hitloom.plans.registry import ORACLES, QUERIES  # noqa: F401
