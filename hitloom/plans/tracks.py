@@ -43,10 +43,10 @@ FROM fib u JOIN fib v ON u.window_id = v.window_id AND u.station = v.station AND
 
 
 @plan("p10_mtc_pairs", BASE + f", {FIBRE}, {PAIRS}" + """ SELECT window_id, station, layer, count(*) AS n, round(sum((ux + vx) / 2), 4) AS sx, round(sum((vx - ux) * cos(radians(5e0)) / (2 * sin(radians(5e0)))), 4) AS sy,
-round(sum(e) * 1e6, 3) AS e_kev FROM pairs GROUP BY window_id, station, layer""")
+round(sum(e) * 1e9, 3) AS e_ev FROM pairs GROUP BY window_id, station, layer""")
 def p10(spark, sf_dir):
     x = measurements.mtc(decoded(spark, sf_dir, "SciFi")).where("is2d")
-    return x.groupBy("window_id", "station", "layer").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("sx"), F.round(F.sum("y"), 4).alias("sy"), F.round(F.sum("edep") * 1e6, 3).alias("e_kev"))
+    return x.groupBy("window_id", "station", "layer").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("sx"), F.round(F.sum("y"), 4).alias("sy"), F.round(F.sum("edep") * 1e9, 3).alias("e_ev"))
 
 
 @plan("j6_unpaired", BASE + f", {FIBRE}, {PAIRS}" + """ SELECT window_id, cell_id, round(x * cos(radians(5e0)), 6) AS x FROM fib f
