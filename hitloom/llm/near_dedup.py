@@ -5,12 +5,19 @@ paired: table (i, j) has the key (left i, right j). PARTS squared tables thus co
 2 * PARTS * ROWS minhashes; a pair of similarity s meets in one with probability
 (1 - (1 - s**ROWS)**PARTS)**2, which is 0.9994 at 0.8 and 0.99998 at 0.85.
 
-Documents with equal sets are one class from the start. In a bucket every class is
-first tried against the smallest one only; verified links give components, and only
-between different components of a bucket are all pairs tried that agree in size and
-in a 64-bit sketch well enough (those under the sketch's limit have a chance of about
-1e-6 to be similar). So no link is left out because a bucket is large, and groups of
-copies never meet in pairs. Links are confirmed on the full sets of both texts.
+Documents with equal sets are one class from the start. Links are found in two steps:
+
+1. in every bucket each class is tried against the smallest one; the links that hold
+   give components;
+2. where different components still share a bucket, single classes are tried in pairs,
+   and a class of the smaller component against all members of the larger one, in
+   blocks that count common runs through an index and emit links only.
+
+Pairs are dropped before their texts are read only by size, which is exact, and by a
+sketch of 128 further minhashes of two bits each: a pair of similarity 0.8 falls short
+of its limit with a chance of about 5e-6. No link is left out because a bucket is
+large, and members of one component never meet in pairs. Links are confirmed on the
+full sets of both texts.
 
 A text's set: its distinct runs of `words` words, lower case in ASCII; with fewer words
 the whole sequence; without words it is empty and linked with nothing. A doc_id names
@@ -29,14 +36,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.llm.common import materialize, pieces
+from hitloom.llm.common import materialize, needed, pieces
 from hitloom.llm.graph import components
 
 PARTS, ROWS = 8, 2
 HASHES = 2 * PARTS * ROWS
+SKETCH = 128
+#: equal two-bit parts that similar pairs have at least, but for a chance of about 5e-6
+SKETCH_LEAST = 90
+#: classes in a block of step 2
+BLOCK = 256
 KEEP = 400_000
-#: matches of 32 in the two-bit sketch that a pair of similarity 0.8 or more falls short of with about 1e-6
-SKETCH_LEAST = 17
 
 
 def odd(n: int, seed: int) -> np.ndarray:
@@ -44,6 +54,7 @@ def odd(n: int, seed: int) -> np.ndarray:
 
 
 FACTORS, SHIFTS = odd(HASHES, 11), odd(64, 12)
+SKETCH_FACTORS = (odd(SKETCH, 13) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 class Words(dict):
@@ -96,10 +107,14 @@ def table_keys(m: np.ndarray) -> np.ndarray:
     return mixed(left[:, None] * SHIFTS[60] + right[None, :]).ravel()
 
 
-def sketch(m: np.ndarray) -> int:
-    """Two bits of each of 32 minima."""
-    bits = (mixed(m[:32]) & np.uint64(3)).astype(object)
-    return int(sum(int(b) << (2 * i) for i, b in enumerate(bits)))
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Two bits of each of SKETCH minima, 32 to a number."""
+    high = (s >> np.uint64(32)).astype(np.uint32)
+    m = np.full(SKETCH, np.iinfo(np.uint32).max)
+    for i in range(0, len(high), 4096):
+        m = np.minimum(m, (high[None, i : i + 4096] * SKETCH_FACTORS[:, None]).min(axis=1))
+    bits = mixed(m.astype(np.uint64)) & np.uint64(3)
+    return (bits.reshape(-1, 32) << (2 * np.arange(32, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).astype(np.int64)
 
 
 def prints(docs: DataFrame, words: int) -> DataFrame:
@@ -110,20 +125,24 @@ def prints(docs: DataFrame, words: int) -> DataFrame:
                 s = shingles(text, words)
                 if len(s):
                     m = minhashes(s)
-                    out.append((i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64(np.uint64(sketch(m))), table_keys(m).astype(np.int64)))
+                    out.append((i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch(s), table_keys(m).astype(np.int64)))
                 else:
-                    out.append((i, 0, None, 0, None))
+                    out.append((i, 0, None, None, None))
             x = pd.DataFrame(out, columns=["doc_id", "n", "set", "sketch", "keys"])
             x["doc_id"] = pdf["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)
             yield x
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, set binary, sketch long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, set binary, sketch array<long>, keys array<long>")
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """doc_id, text of the wanted documents, written once."""
+    return materialize(needed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids), name)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs a, b whose full sets have 100 * common >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), "texts")
+    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"
     )
@@ -143,48 +162,102 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long").distinct()
 
 
+def block_links(members: list[np.ndarray], asked: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """For each asked set one member that it is similar to, if any: (place asked, place of the member)."""
+    sizes = np.array([len(s) for s in members])
+    known, place = np.unique(np.concatenate(members), return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    owner = np.repeat(np.arange(len(members)), sizes)[order]
+    begin = np.searchsorted(place[order], np.arange(len(known) + 1))
+    out = []
+    for i, s in enumerate(asked):
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        at = at[known[at] == s]
+        if len(at):
+            n = begin[at + 1] - begin[at]
+            rows = np.repeat(begin[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            common = np.bincount(owner[rows], minlength=len(members))
+            like = np.flatnonzero(100 * common >= percent * (sizes + len(s) - common))
+            if len(like):
+                out.append((i, int(like[0])))
+    return out
+
+
+def joined(asked: DataFrame, members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links a, b from asked classes to members of a component.
+
+    asked: of (component), doc_id. members: of, doc_id. Both sides are dealt in blocks;
+    every block of one meets every block of the other.
+    """
+
+    def dealt(x: DataFrame, name: str) -> DataFrame:
+        return x.groupBy("of").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+
+    n = dealt(members, "n_m").join(dealt(asked, "n_q"), "of")
+    m, q = members.join(n, "of"), asked.join(n, "of")
+    m = m.withColumn("bm", F.pmod(F.xxhash64("doc_id"), "n_m").cast("int")).withColumn("bq", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1))).withColumn("asked", F.lit(False))
+    q = q.withColumn("bq", F.pmod(F.xxhash64("doc_id"), "n_q").cast("int")).withColumn("bm", F.explode(F.sequence(F.lit(0), F.col("n_m") - 1))).withColumn("asked", F.lit(True))
+    rows = materialize(m.select("of", "bm", "bq", "asked", "doc_id").unionByName(q.select("of", "bm", "bq", "asked", "doc_id")), "blocks")
+    texts = texts_of(docs, rows.select("doc_id"), "block-texts")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        mine, theirs = pdf[~pdf["asked"]], pdf[pdf["asked"]]
+        found = block_links([shingles(t, words) for t in mine["text"]], [shingles(t, words) for t in theirs["text"]], percent) if len(mine) and len(theirs) else []
+        return pd.DataFrame({"a": [theirs["doc_id"].iloc[i] for i, _ in found], "b": [mine["doc_id"].iloc[j] for _, j in found]}, dtype="int64")
+
+    return rows.join(texts, "doc_id").groupBy("of", "bm", "bq").applyInPandas(compare, "a long, b long")
+
+
+def alike(a: str, b: str, percent: int) -> str:
+    """Whether two rows with n and sketch can be similar: by size for certain, by sketch almost so."""
+    equal = []
+    for i in range(SKETCH // 32):
+        differs = f"({a}.sketch[{i}] ^ {b}.sketch[{i}])"
+        equal.append(f"bit_count(({differs} | shiftrightunsigned({differs}, 1)) & 6148914691236517205L)")
+    return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND {SKETCH} - ({' + '.join(equal)}) >= {SKETCH_LEAST}"
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_shingles, component_id, kept; one row in, one row out."""
     known = materialize(prints(docs, words), "prints")
     named = known.where("n > 0 AND doc_id IS NOT NULL")
     classes = named.groupBy("set").agg(F.min("doc_id").alias("rep"))
     # the class's smallest row brings its keys
-    members = known.select("doc_id", "n", "set")
-    reps = materialize(
-        named.join(classes.select(F.col("rep").alias("doc_id"), F.col("set").alias("of")), "doc_id").where(F.col("set") == F.col("of"))
-        .dropDuplicates(["doc_id", "set"]).select(F.col("doc_id").alias("rep"), "n", "sketch", "keys"), "reps"
-    )
+    reps = named.join(classes.select(F.col("rep").alias("doc_id"), F.col("set").alias("of")), "doc_id").where(F.col("set") == F.col("of"))
+    reps = materialize(reps.dropDuplicates(["doc_id", "set"]).select(F.col("doc_id").alias("rep"), "n", "sketch", "keys"), "reps")
     rows = reps.select(F.explode("keys").alias("key"), "rep")
     leads = rows.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("most")).where("lead < most").select("key", "lead")
     met = materialize(rows.join(leads, "key"), "buckets")
-
     traits = reps.select("rep", "n", "sketch")
 
-    def alike(a: str, b: str, sa: str, sb: str) -> str:
-        differs = f"({sa} ^ {sb})"
-        return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b}) AND 32 - bit_count(({differs} | shiftrightunsigned({differs}, 1)) & 6148914691236517205L) >= {SKETCH_LEAST}"
-
-    def of(name: str) -> DataFrame:
-        return traits.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
-
-    stars = met.where("lead < rep").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = stars.join(of("a"), "a").join(of("b"), "b").where(alike("n_a", "n_b", "s_a", "s_b")).select("a", "b")
-    tried = materialize(stars, "stars")
+    # step 1
+    stars = met.where("lead < rep").select("lead", "rep").distinct().alias("s")
+    stars = stars.join(traits.alias("x"), F.expr("s.lead = x.rep")).join(traits.alias("y"), F.expr("s.rep = y.rep")).where(alike("x", "y", percent))
+    tried = materialize(stars.select(F.col("s.lead").alias("a"), F.col("s.rep").alias("b")), "stars")
     links = materialize(verified(tried, docs, words, percent), "links")
-    first = components(links)
+    first = components(links).select(F.col("node").alias("rep"), F.col("component"))
 
-    # what stays apart in a bucket: pairs of different components
-    labelled = met.select("key", "rep").join(first.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    # step 2
+    sizes = first.groupBy("component").agg(F.count("*").alias("size"))
+    sized = first.join(sizes, "component")
+    labelled = met.select("key", "rep").join(sized, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+    labelled = materialize(labelled, "labelled")
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    apart = materialize(labelled.join(open_keys, "key").join(traits, "rep"), "apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    cross = x.join(y, F.expr("x.key = y.key AND x.component <> y.component AND x.rep < y.rep AND " + alike("x.n", "y.n", "x.sketch", "y.sketch")))
-    cross = cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialize(verified(materialize(cross, "cross"), docs, words, percent), "links")
-    whole = components(links.unionByName(more))
+    apart = materialize(labelled.join(open_keys, "key"), "apart")
+    single = materialize(apart.where("size = 1").select("key", "rep").join(traits, "rep"), "single")
+    pairs = single.alias("x").join(single.alias("y"), F.expr("x.key = y.key AND x.rep < y.rep AND " + alike("x", "y", percent)))
+    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = verified(materialize(pairs, "pairs"), docs, words, percent)
+
+    larger = apart.where("size > 1").select("key", F.col("component").alias("of"), F.col("size").alias("of_size")).distinct()
+    asked = apart.join(larger, "key").where("component <> of AND (of_size > size OR (of_size = size AND of < component))")
+    asked = materialize(asked.select("of", F.col("rep").alias("doc_id")).distinct(), "asked")
+    members = first.select(F.col("component").alias("of"), F.col("rep").alias("doc_id")).join(asked.select("of").distinct(), "of", "left_semi")
+    found = joined(asked, members, docs, words, percent)
+    whole = components(links.unionByName(materialize(more.unionByName(found), "links")))
 
     named_class = classes.join(whole, classes["rep"] == whole["node"], "left").select("set", F.coalesce("component", "rep").alias("component"))
-    m, c = members.alias("m"), named_class.alias("c")
+    m, c = known.select("doc_id", "n", "set").alias("m"), named_class.alias("c")
     return m.join(c, F.col("m.set") == F.col("c.set"), "left").select(
         F.col("m.doc_id").alias("doc_id"), F.col("m.n").alias("n_shingles"),
         F.when(F.col("m.doc_id").isNull(), None).otherwise(F.coalesce("c.component", "m.doc_id")).alias("component_id"),
