@@ -174,9 +174,14 @@ def block_covers(docs: list[int], places: list[int], contexts: list[bytes], leas
     a, lo, _ = unpacked(np.array(places, np.int64))
     left = [c[: x - y][::-1] for c, x, y in zip(contexts, a, lo, strict=True)]
     right = [c[x - y :] for c, x, y in zip(contexts, a, lo, strict=True)]
+    spans: dict[int, list[tuple[int, int]]] = {}
     for back, ahead, members in maximal_repeats(left, right, least):
         first = min(members)
-        yield from ((docs[m], int(a[m]) - back, int(a[m]) + ahead) for m in members if m != first)
+        for m in members:
+            if m != first:
+                spans.setdefault(m, []).append((int(a[m]) - back, int(a[m]) + ahead))
+    for m, found in spans.items():
+        yield from ((docs[m], x, y) for x, y in merged(found))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
