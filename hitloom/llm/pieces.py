@@ -2,7 +2,7 @@
 
 Encoding finds the segmentation of highest total piece score. No piece crosses the
 start of a run of spaces, so a text falls apart there into units (spaces and the word
-after them) whose best segmentations are independent; units recur and are kept.
+after them) whose best segmentations are independent; units recur and are kept, and new ones of one length are solved together.
 
 Documents above `giant` code points are cut into chunks that are solved apart:
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 import bisect
 import functools
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +41,28 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 GIANT, CHUNK = 32_768, 8_192
 NONE = float("-inf")
-UNIT = re.compile(" +[^ ]*|[^ ]+")
-KEEP = 300_000
+#: units: a run of spaces with what follows; a line feed, which is in no piece, stands alone
+UNIT = re.compile(r" +[^ \n]*|\n|[^ \n]+")
+KEEP = 700_000
+
+
+LOCKSTEP = 32
+BASE = int(np.random.default_rng(41).integers(0, 2**62)) * 2 + 1
+POWERS = np.multiply.accumulate(np.array([1] + [BASE] * LOCKSTEP, np.uint64))
+
+
+def points(texts: list[str], n: int) -> np.ndarray:
+    """Code points of texts of n each, a row a text."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), n).astype(np.uint64)
+
+
+def polynomial(x: np.ndarray) -> np.ndarray:
+    """Hashes of all beginnings of each row."""
+    out = (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(29)
+    for j in range(1, out.shape[1]):
+        out[:, j] += out[:, j - 1] * np.uint64(BASE)
+    return out
 
 
 class Model:
@@ -63,7 +84,19 @@ class Model:
         self.known |= {p: s for p, (_, s) in self.of.items()}
         self.plain = {i: self.text[i].replace(SPACE, " ") for i in plain}
         self.value = {i: b for b, i in self.byte.items()}
-        self.kept: dict[str, tuple[list[int], float]] = {}
+        if any("\n" in t for t in self.of):
+            raise ValueError("the model has pieces with line feeds")
+        #: ids of units as two-byte numbers
+        self.kept: dict[str, bytes] = {}
+        self.score_of = np.zeros(n)
+        for i, x in self.of.values():
+            self.score_of[i] = x
+        names = list(self.of)
+        hashes = np.array([int(polynomial(points([n], len(n)))[0, -1]) for n in names], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.hash_ids = np.array([self.of[n][0] for n in names])[order]
+        self.hash_scores = np.array([self.of[n][1] for n in names])[order]
 
     def forward(self, text: str, start: int, end: int) -> tuple[list[float], list[int]]:
         """Best scores of all positions from start on, of pieces that begin before end; and where each one's last piece begins."""
@@ -101,23 +134,68 @@ class Model:
         """Ids of the best path from start to `to` whose pieces begin before end."""
         return self.along(text, self.forward(text, start, end)[1], start, to)
 
-    def unit(self, u: str) -> tuple[list[int], float]:
-        """Ids and score of a unit's best path."""
-        found = self.kept.get(u)
-        if found is None:
-            if len(self.kept) >= KEEP:
-                self.kept.clear()
-            score, back = self.forward(u, 0, len(u))
-            found = self.kept[u] = self.along(u, back, 0, len(u)), score[len(u)]
-        return found
+    def total(self, u: str) -> float:
+        """Score of a unit's best path."""
+        ids = np.frombuffer(self.kept[u], np.uint16)
+        if u == "\n" or any(i in self.value for i in ids.tolist()):
+            return self.forward(u, 0, len(u))[0][len(u)]
+        return float(self.score_of[ids].sum())
+
+    def learn(self, units: list[str]) -> None:
+        """Solves the units that aren't kept yet, those of one length together."""
+        by: dict[int, list[str]] = {}
+        for u in set(units).difference(self.kept):
+            by.setdefault(len(u), []).append(u)
+        if len(self.kept) + sum(map(len, by.values())) > KEEP:
+            self.kept.clear()
+            by = {}
+            for u in set(units):
+                by.setdefault(len(u), []).append(u)
+        for n, some in by.items():
+            found = self.lockstep(some, n) if n <= LOCKSTEP else [self.trace(u, 0, n, n) for u in some]
+            self.kept.update(zip(some, [struct.pack(f"{len(x)}H", *x) for x in found], strict=True))
+
+    def lockstep(self, units: list[str], n: int) -> list[list[int]]:
+        """Best paths of units of n code points, position by position for all at once."""
+        rows = np.arange(len(units))
+        sums = np.hstack([np.zeros((len(units), 1), np.uint64), polynomial(points(units, n))])
+        score = np.full((len(units), n + 1), NONE)
+        score[:, 0] = 0.0
+        back, chosen = np.zeros((len(units), n + 1), np.int64), np.full((len(units), n + 1), -1)
+        for j in range(1, n + 1):
+            for i in range(max(0, j - self.longest), j):
+                h = sums[:, j] - sums[:, i] * POWERS[j - i]
+                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                known = self.hashes[at] == h
+                some = rows if j == i + 1 else np.flatnonzero(known)
+                step = score[some, i] + np.where(known[some], self.hash_scores[at[some]], self.unknown)
+                better = step > score[some, j]
+                some = some[better]
+                score[some, j], back[some, j] = step[better], i
+                chosen[some, j] = np.where(known[some], self.hash_ids[at[some]], -1)
+        ids, ends, count = np.full((len(units), n), -1), np.zeros((len(units), n), np.int64), np.zeros(len(units), np.int64)
+        at = np.full(len(units), n)
+        while (open_ := rows[at[rows] > 0]).size:
+            count[open_] += 1
+            ids[open_, n - count[open_]] = chosen[open_, at[open_]]
+            ends[open_, n - count[open_]] = at[open_]
+            at[open_] = back[open_, at[open_]]
+        out = []
+        for u, k, row, end in zip(units, count.tolist(), ids.tolist(), ends.tolist(), strict=True):
+            found = row[n - k :]
+            if -1 in found:
+                found = [x for i, e in zip(found, end[n - k :], strict=True) for x in ([i] if i >= 0 else self.ids(u[e - 1 : e]))]
+            out.append(found)
+        return out
 
     def encode(self, text: str) -> list[int]:
         """Of a text that has its leading space."""
-        out: list[int] = []
-        unit = self.unit
-        for u in UNIT.findall(text):
-            out += unit(u)[0]
-        return out
+        return self.encode_all([text])[0].tolist()
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        units = [UNIT.findall(t) for t in texts]
+        self.learn([u for some in units for u in some])
+        return [np.frombuffer(b"".join([self.kept[u] for u in some]), np.uint16).astype(np.int32) for some in units]
 
     def decode(self, ids: list[int]) -> str:
         plain = self.plain
@@ -147,7 +225,7 @@ def model(path: str) -> Model:
 
 def unit_starts(text: str, end: int) -> list[int]:
     """Places in 1 .. end - 1 where a unit starts after another."""
-    return [m.end() - 1 for m in re.finditer("[^ ] ", text[:end])]
+    return [m.start() for m in UNIT.finditer(text, 0, end)][1:]
 
 
 def transfer(m: Model, text: str, size: int, states: int) -> np.ndarray:
@@ -165,8 +243,9 @@ def transfer(m: Model, text: str, size: int, states: int) -> np.ndarray:
         return out
 
     starts = unit_starts(text, size)
+    m.learn([text[i:j] for i, j in zip(starts, starts[1:], strict=False)])
     if starts:
-        inner = [m.unit(text[i:j])[1] for i, j in zip(starts, starts[1:], strict=False)]
+        inner = [m.total(text[i:j]) for i, j in zip(starts, starts[1:], strict=False)]
         middle = np.append(np.cumsum(inner[::-1])[::-1], 0.0)
         tail = row(starts[-1])
     for s in range(min(states, len(text) + 1)):
@@ -185,12 +264,13 @@ def trace_chunk(m: Model, text: str, size: int, enter: int, leave: int) -> list[
     if enter >= size + leave:
         return []
     starts = unit_starts(text, size)
+    m.learn([text[i:j] for i, j in zip(starts, starts[1:], strict=False)])
     k = bisect.bisect_left(starts, enter)
     if k == len(starts):
         return m.trace(text, enter, size, size + leave)
     out = m.trace(text[: starts[k]], enter, starts[k], starts[k])
     for i, j in zip(starts[k:], starts[k + 1 :], strict=False):
-        out += m.unit(text[i:j])[0]
+        out += np.frombuffer(m.kept[text[i:j]], np.uint16).tolist()
     return out + m.trace(text, starts[-1], size, size + leave)
 
 
@@ -216,8 +296,8 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)
         for pdf in batches_of(batches, "text", 4_000_000):
-            ids = [m.encode(" " + t) if t else [] for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"].astype("Int64").to_numpy(dtype=object, na_value=None), "ids": ids, "exact": [m.decode(x) == t for x, t in zip(ids, pdf["text"], strict=True)]})
+            ids = [x if t else x[:0] for x, t in zip(m.encode_all([" " + t for t in pdf["text"]]), pdf["text"], strict=True)]
+            yield pd.DataFrame({"id": pdf["id"].astype("Int64").to_numpy(dtype=object, na_value=None), "ids": ids, "exact": [m.decode(x.tolist()) == t for x, t in zip(ids, pdf["text"], strict=True)]})
 
     schema = "id long, ids array<int>, exact boolean"
     small = kept.where(F.length("text") <= giant).mapInPandas(whole, schema)
