@@ -9,8 +9,8 @@ Documents with equal sets are one class from the start. Links are found in two s
 
 1. in every bucket each class is tried against the smallest one; the links that hold
    give components;
-2. where different components still share a bucket, single classes are tried in pairs,
-   and a class of the smaller component against all members of the larger one, in
+2. where different components still share a bucket, single classes are tried in pairs
+   (each in the first table that it meets in), and a class of the smaller component against all members of the larger one, in
    blocks that count common runs through an index and emit links only.
 
 Pairs are dropped before their texts are read only by size, which is exact, and by a
@@ -100,9 +100,14 @@ def minhashes(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def part_hashes(m: np.ndarray) -> np.ndarray:
+    """PARTS left and PARTS right hashes, each of ROWS minima."""
+    return mixed(m.reshape(2 * PARTS, ROWS) * SHIFTS[None, :ROWS]).sum(axis=1, dtype=np.uint64)
+
+
 def table_keys(m: np.ndarray) -> np.ndarray:
     """PARTS squared keys: each left part with each right part."""
-    parts = mixed(m.reshape(2 * PARTS, ROWS) * SHIFTS[None, :ROWS]).sum(axis=1, dtype=np.uint64)
+    parts = part_hashes(m)
     left, right = mixed(parts[:PARTS] + SHIFTS[40 : 40 + PARTS]), mixed(parts[PARTS:] + SHIFTS[48 : 48 + PARTS])
     return mixed(left[:, None] * SHIFTS[60] + right[None, :]).ravel()
 
@@ -125,14 +130,14 @@ def prints(docs: DataFrame, words: int) -> DataFrame:
                 s = shingles(text, words)
                 if len(s):
                     m = minhashes(s)
-                    out.append((i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch(s), table_keys(m).astype(np.int64)))
+                    out.append((i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch(s), table_keys(m).astype(np.int64), part_hashes(m).astype(np.uint32).view(np.int32)))
                 else:
-                    out.append((i, 0, None, None, None))
-            x = pd.DataFrame(out, columns=["doc_id", "n", "set", "sketch", "keys"])
+                    out.append((i, 0, None, None, None, None))
+            x = pd.DataFrame(out, columns=["doc_id", "n", "set", "sketch", "keys", "parts"])
             x["doc_id"] = pdf["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)
             yield x
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, set binary, sketch array<long>, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, set binary, sketch array<long>, keys array<long>, parts array<int>")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
@@ -217,6 +222,13 @@ def alike(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND {SKETCH} - ({' + '.join(equal)}) >= {SKETCH_LEAST}"
 
 
+def first_met() -> str:
+    """Whether table t is the first that x and y share: no earlier left part and no earlier right part is equal."""
+    left = [f"(x.t div {PARTS} <= {i} OR x.parts[{i}] <> y.parts[{i}])" for i in range(PARTS)]
+    right = [f"(x.t % {PARTS} <= {i} OR x.parts[{PARTS + i}] <> y.parts[{PARTS + i}])" for i in range(PARTS)]
+    return " AND ".join(left + right)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_shingles, component_id, kept; one row in, one row out."""
     known = materialize(prints(docs, words), "prints")
@@ -224,8 +236,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = named.groupBy("set").agg(F.min("doc_id").alias("rep"))
     # the class's smallest row brings its keys
     reps = named.join(classes.select(F.col("rep").alias("doc_id"), F.col("set").alias("of")), "doc_id").where(F.col("set") == F.col("of"))
-    reps = materialize(reps.dropDuplicates(["doc_id", "set"]).select(F.col("doc_id").alias("rep"), "n", "sketch", "keys"), "reps")
-    rows = reps.select(F.explode("keys").alias("key"), "rep")
+    reps = materialize(reps.dropDuplicates(["doc_id", "set"]).select(F.col("doc_id").alias("rep"), "n", "sketch", "keys", "parts"), "reps")
+    rows = reps.select(F.posexplode("keys").alias("t", "key"), "rep")
     leads = rows.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("most")).where("lead < most").select("key", "lead")
     met = materialize(rows.join(leads, "key"), "buckets")
     traits = reps.select("rep", "n", "sketch")
@@ -240,12 +252,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # step 2
     sizes = first.groupBy("component").agg(F.count("*").alias("size"))
     sized = first.join(sizes, "component")
-    labelled = met.select("key", "rep").join(sized, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+    labelled = met.select("key", "t", "rep").join(sized, "rep", "left").select("key", "t", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
     labelled = materialize(labelled, "labelled")
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     apart = materialize(labelled.join(open_keys, "key"), "apart")
-    single = materialize(apart.where("size = 1").select("key", "rep").join(traits, "rep"), "single")
-    pairs = single.alias("x").join(single.alias("y"), F.expr("x.key = y.key AND x.rep < y.rep AND " + alike("x", "y", percent)))
+    single = materialize(apart.where("size = 1").select("key", "t", "rep").join(reps.select("rep", "n", "sketch", "parts"), "rep"), "single")
+    pairs = single.alias("x").join(single.alias("y"), F.expr(f"x.key = y.key AND x.rep < y.rep AND {alike('x', 'y', percent)} AND {first_met()}"))
     pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = verified(materialize(pairs, "pairs"), docs, words, percent)
 
