@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -82,8 +82,9 @@ def nearest_plane(z: Column, planes: list[float]) -> Column:
 
 def neighbours_1d(df: DataFrame, keys: list[str], x: str, radius: float) -> DataFrame:
     """df with n, the rows of its group closer than radius, itself excepted. Sorted once per group."""
-    w = Window.partitionBy(*keys).orderBy(x)
-    near = F.count("*").over(w.rangeBetween(-radius, radius)) - F.count("*").over(w.rangeBetween(radius, radius)) - F.count("*").over(w.rangeBetween(-radius, -radius))
+    over = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY CAST(`{x}` AS DOUBLE) RANGE BETWEEN"
+    r = float(radius)
+    near = F.expr(f"count(1) {over} {r}D PRECEDING AND {r}D FOLLOWING) - count(1) {over} {r}D FOLLOWING AND {r}D FOLLOWING) - count(1) {over} {r}D PRECEDING AND {r}D PRECEDING)")
     return df.withColumn("n", near - 1)
 
 

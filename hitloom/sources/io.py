@@ -68,7 +68,10 @@ def assert_same_windows(a: DataFrame, b: DataFrame) -> None:
 
 
 def read_trials(spark: SparkSession, root: str) -> DataFrame:
-    """Trial folders: trial.json, metrics.json, and DONE or FAILED (its first line is the error)."""
+    """Trial folders: trial.json, metrics.json, and DONE or FAILED (its first line is the error).
+
+    Spark's readers leave out empty files, so metrics count as done where DONE is empty.
+    """
     folder = lambda: F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("trial")
     trial = spark.read.option("multiLine", True).json(f"{root}/*/trial.json").select(folder(), "*")
     metrics = spark.read.text(f"{root}/*/metrics.json", wholetext=True).select(folder(), F.from_json("value", "map<string,double>").alias("metrics"))
@@ -76,7 +79,7 @@ def read_trials(spark: SparkSession, root: str) -> DataFrame:
     marks = marks.select(folder(), (F.col("_metadata.file_name") == "FAILED").alias("failed"), F.element_at(F.split("value", "\n"), 1).alias("line"))
     ended = marks.groupBy("trial").agg(F.bool_or("failed").alias("failed"), F.max(F.when(F.col("failed"), F.col("line"))).alias("error"))
     x = trial.join(metrics, "trial", "left").join(ended, "trial", "left")
-    return x.withColumn("status", F.when(F.col("failed"), "FAILED").when(F.col("failed").isNotNull(), "COMPLETED").otherwise("RUNNING")).drop("failed")
+    return x.withColumn("status", F.when(F.col("failed"), "FAILED").when(F.col("failed").isNotNull() | F.col("metrics").isNotNull(), "COMPLETED").otherwise("RUNNING")).drop("failed")
 
 
 def append_results(rows: DataFrame, path: str) -> None:
