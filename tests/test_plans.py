@@ -23,7 +23,7 @@ def duck(sf):
 
 
 def plain(x):
-    if isinstance(x, float) and math.isnan(x) or x is None or x is pd.NaT:
+    if isinstance(x, float) and math.isnan(x) or x is None or x is pd.NaT or x is pd.NA:
         return None
     x = x.item() if hasattr(x, "item") else x
     return float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x
