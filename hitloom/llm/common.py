@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,16 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def sole_cache(name: str, clear: Callable[[], None]) -> None:
+    """Empties what other operators have kept in this Python worker, which tasks share."""
+    for other in [k for k in _kept if k != name]:
+        _kept.pop(other)()
+    _kept[name] = clear
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

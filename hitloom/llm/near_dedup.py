@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.llm.common import materialize, needed, pieces
+from hitloom.llm.common import materialize, needed, pieces, sole_cache
 from hitloom.llm.graph import components
 
 PARTS, ROWS = 8, 2
@@ -124,6 +124,7 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 def prints(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole_cache("words", known_words().clear)
         for pdf in pieces(batches, "text"):
             out = []
             for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.llm.common import materialize
+from hitloom.llm.common import materialize, sole_cache
 from hitloom.llm.common import pieces as batches_of
 
 MODEL = "piece_bpe_32k.model"
@@ -43,7 +43,7 @@ GIANT, CHUNK = 32_768, 8_192
 NONE = float("-inf")
 #: units: a run of spaces with what follows; a line feed, which is in no piece, stands alone
 UNIT = re.compile(r" +[^ \n]*|\n|[^ \n]+")
-KEEP = 700_000
+KEEP = 500_000
 
 
 LOCKSTEP = 32
@@ -295,6 +295,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)
+        sole_cache("pieces", m.kept.clear)
         for pdf in batches_of(batches, "text", 4_000_000):
             ids = [x if t else x[:0] for x, t in zip(m.encode_all([" " + t for t in pdf["text"]]), pdf["text"], strict=True)]
             yield pd.DataFrame({"id": pdf["id"].astype("Int64").to_numpy(dtype=object, na_value=None), "ids": ids, "exact": [m.decode(x.tolist()) == t for x, t in zip(ids, pdf["text"], strict=True)]})
