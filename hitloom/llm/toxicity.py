@@ -11,10 +11,17 @@ each sequence ends. A beginning that one class has not seen is thus judged by S
 and one that neither has seen says nothing. A word's ratio is the difference of its two
 log-likelihoods (of its first ORDER characters) over its length; a document's the same over all its words.
 
+The counts cover every training row, and every beginning however rare. They, and the
+words of the documents to be scored, stay distributed tables: both are sorted by their
+first ORDER characters, so that one walk meets a word's beginnings just before it. Only
+the COMMON most frequent words are broadcast with their values; what a document has
+besides them is joined. Sums are of whole numbers (logarithms in steps of 1 / UNIT), so
+that no order of rows changes a score.
+
 The score is logistic in the document's ratio, its three most toxic words' differences
-and the logarithm of its number of words, fitted on training rows that were kept out of
-the counts. The training rows are a bounded sample: of each label the `per_class` rows
-of smallest hash. Beginnings seen less than `least` times are left to the backoff.
+and the logarithm of its number of words. Its weights alone are fitted on a bounded
+sample: of the fifth of training rows by a hash, the `per_class` rows of smallest hash
+of each label, described by counts without them. The counts of the model have them too.
 Without training rows of both labels every score is 0. Null texts are empty.
 """
 
@@ -30,14 +37,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.llm.common import materialize, pieces, sole_cache
+from hitloom.llm.common import materialize, pieces
 
 WORD = re.compile(r"[^\W_]+")
 END = "\n"
 DISCOUNT = 0.75
 #: the models' order: characters of a word beyond it say nothing
 ORDER = 24
-KEEP = 250_000
+#: words of which the values are broadcast; a word's first ORDER characters at most
+COMMON = 200_000
+UNIT = 1 << 32
+CLASSES = ("toxic", "ordinary")
 
 
 def remainder(doc_id: Column) -> Column:
@@ -49,81 +59,214 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-class Ratio:
-    """Log-likelihood differences of words, toxic minus ordinary."""
-
-    def __init__(self, counts: pd.DataFrame):
-        """counts: begin, toxic, ordinary."""
-        begins = counts["begin"].tolist()
-        shared = self._shared(begins)
-        heads: dict[str, int] = {}
-        at = np.fromiter((heads.setdefault(b[:-1], len(heads)) for b in begins), np.int64, len(begins))
-        backoff = np.fromiter(map(shared, begins), float, len(begins))
-        p, share = [], []
-        for c in ("toxic", "ordinary"):
-            n = counts[c].to_numpy(float)
-            total, kinds = np.bincount(at, n, len(heads)), np.bincount(at, n > 0, len(heads))
-            share.append(np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0))
-            # a beginning that the class has not seen leaves all to the backoff
-            p.append(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[at] + share[-1][at] * backoff)
-        self.step: dict[str, float] = dict(zip(begins, np.log(p[0] / p[1]).tolist(), strict=True))
-        #: for a next character that no class has seen, only the shares left to the backoff differ
-        self.other: dict[str, float] = dict(zip(heads, np.log(share[0] / share[1]).tolist(), strict=True))
-        self.kept: dict[str, tuple[float, int]] = {}
-
-    @staticmethod
-    def _shared(begins):
-        ends = [Counter() for _ in range(4)]
-        for b in begins:
-            for k in range(1, 4):
-                if len(b) >= k:
-                    ends[k][b[-k:]] += 1
-        after, kinds = [Counter() for _ in range(4)], [Counter() for _ in range(4)]
-        for k in range(1, 4):
-            for g, x in ends[k].items():
-                after[k][g[:-1]] += x
-                kinds[k][g[:-1]] += 1
-        alphabet = len(ends[1]) + 1
-
-        def shared(begin: str) -> float:
-            p = 1 / alphabet
-            for k in range(1, min(3, len(begin)) + 1):
-                g = begin[-k:]
-                if t := after[k][g[:-1]]:
-                    p = max(ends[k][g] - DISCOUNT, 0) / t + DISCOUNT * kinds[k][g[:-1]] / t * p
-            return p
-
-        return shared
-
-    def word(self, w: str) -> tuple[float, int]:
-        found = self.kept.get(w)
-        if found is None:
-            total, spelt = 0.0, w + END
-            for i in range(1, min(len(spelt), ORDER) + 1):
-                x = self.step.get(spelt[:i])
-                if x is None:
-                    total += self.other.get(spelt[: i - 1], 0.0)
-                    break
-                total += x
-            if len(self.kept) >= KEEP:
-                self.kept.clear()
-            found = self.kept[w] = (total, len(spelt))
-        return found
-
-    def features(self, text: str | None) -> list[float]:
-        found = [self.word(w) for w in words_of(text)]
-        total, length = sum(x for x, _ in found), sum(n for _, n in found)
-        top = sorted((x for x, _ in found), reverse=True)[:3] if len(found) < 4 else np.sort(np.partition(np.array([x for x, _ in found]), -3)[-3:])[::-1].tolist()
-        top += [0.0] * (3 - len(top))
-        return [10 * total / max(length, 1), *top, math.log1p(len(found))]
+def spelt(word: str) -> str:
+    return (word + END)[:ORDER]
+
+
+# --- counts ------------------------------------------------------------------------
+
+COUNTED = [f"{k}_{c}" for k in ("n", "of", "kinds_of", "after", "kinds_after") for c in CLASSES]
+
+
+def beginnings(words: DataFrame) -> DataFrame:
+    """words: word (spelt), toxic, ordinary, one row a word. Every beginning with its counts.
+
+    n is its own, `of` and `kinds_of` are those of all next characters of the beginning
+    one shorter (null for the empty one), `after` and `kinds_after` of its own next ones.
+    """
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        # nodes: beginning, n of both classes, after and kinds_after of both, children as rows
+        stack: list[list] = []
+
+        def close() -> None:
+            begin, t, o, at, ao, kt, ko, children = stack.pop()
+            out.extend((b, nt, no, at, ao, kt, ko, *own) for b, nt, no, own in children)
+            own = (at, ao, kt, ko)
+            if stack:
+                up = stack[-1]
+                up[1] += t
+                up[2] += o
+                up[3] += t
+                up[4] += o
+                up[5] += t > 0
+                up[6] += o > 0
+                up[7].append((begin, t, o, own))
+            else:
+                out.append((begin, t, o, None, None, None, None, *own))
+
+        def frame() -> pd.DataFrame:
+            x = pd.DataFrame(out, columns=["begin", *COUNTED]).astype({c: "Int64" for c in COUNTED})
+            out.clear()
+            return x
+
+        for pdf in batches:
+            for w, t, o in zip(pdf["word"].tolist(), pdf["toxic"].tolist(), pdf["ordinary"].tolist(), strict=True):
+                while stack and not w.startswith(stack[-1][0]):
+                    close()
+                for i in range(len(stack) + 1, len(w) + 1):
+                    stack.append([w[:i], 0, 0, 0, 0, 0, 0, []])
+                stack[-1][1] += t
+                stack[-1][2] += o
+            yield frame()
+        while stack:
+            close()
+        yield frame()
+
+    ordered = words.select("word", "toxic", "ordinary", F.substring("word", 1, 1).alias("_first")).repartition("_first").sortWithinPartitions("word")
+    return ordered.drop("_first").mapInPandas(walk, "begin string, " + ", ".join(f"{c} long" for c in COUNTED))
+
+
+def backoff(begins: DataFrame) -> DataFrame:
+    """gram (the last three characters of a beginning, or all of a shorter one), shared."""
+    n = F.length("begin")
+    grams = F.filter(F.array(*[F.when(n >= k, F.substring("begin", -k, k)) for k in (1, 2, 3)]), lambda g: g.isNotNull())
+    ends = materialize(begins.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("e")), "toxic-grams")
+    before = F.substring("gram", 1, 1)
+    found = None
+    for k in (1, 2, 3):
+        here = ends.where(F.length("gram") == k).withColumn("context", F.lit("") if k == 1 else before if k == 2 else F.substring("gram", 1, 2))
+        after = here.groupBy("context").agg(F.sum("e").alias("t"), F.count("*").alias("kinds"))
+        here = here.join(after, "context")
+        if k == 1:
+            lower = here.withColumn("p", 1 / (F.col("kinds") + 1))
+        else:
+            lower = here.join(found[-1].select(F.col("gram").alias("_shorter"), F.col("shared").alias("p")), F.substring("gram", 2, k - 1) == F.col("_shorter"))
+        shared = F.greatest(F.col("e") - DISCOUNT, F.lit(0.0)) / F.col("t") + DISCOUNT * F.col("kinds") / F.col("t") * F.col("p")
+        found = [*(found or []), lower.select("gram", shared.alias("shared"))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def units(x: Column) -> Column:
+    return F.round(x * UNIT).cast("long")
+
+
+class Steps:
+    """What each beginning adds to the difference of log-likelihoods, toxic minus ordinary, in units.
+
+    table: begin; step, of its last character; other, of a next one that no class has seen there.
+    root: other of the empty beginning.
+    """
+
+    def __init__(self, words: DataFrame):
+        begins = materialize(beginnings(words), "toxic-begins")
+        first = begins.where(F.length("begin") == 1)
+        x = first.agg(*[F.sum(f"n_{c}").alias(f"of_{c}") for c in CLASSES], *[F.count_if(F.col(f"n_{c}") > 0).alias(f"kinds_of_{c}") for c in CLASSES]).first()
+        begins = begins.fillna({k: x[k] or 0 for k in x.asDict()})
+        share = lambda kinds, total: F.when(total > 0, DISCOUNT * kinds / total).otherwise(1.0)
+        of = {c: share(F.col(f"kinds_of_{c}"), F.col(f"of_{c}")) for c in CLASSES}
+        after = {c: share(F.col(f"kinds_after_{c}"), F.col(f"after_{c}")) for c in CLASSES}
+        # a beginning that the class has not seen leaves all to the backoff
+        p = {c: F.greatest(F.col(f"n_{c}") - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"of_{c}"), F.lit(1)) + of[c] * F.col("shared") for c in CLASSES}
+        gram = F.when(F.length("begin") > 3, F.substring("begin", -3, 3)).otherwise(F.col("begin"))
+        a, b = CLASSES
+        table = begins.withColumn("gram", gram).join(backoff(begins), "gram").select("begin", units(F.log(p[a] / p[b])).alias("step"), units(F.log(after[a] / after[b])).alias("other"))
+        self.table = materialize(table, "toxic-steps")
+        t = {c: DISCOUNT * x[f"kinds_of_{c}"] / x[f"of_{c}"] if x[f"of_{c}"] else 1.0 for c in CLASSES}
+        self.root = round(math.log(t[a] / t[b]) * UNIT)
+
+    def values(self, words: DataFrame) -> DataFrame:
+        """words: word (spelt), n. Adds value, in units."""
+        root = self.root
+
+        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            stack: list[tuple[str, int, int]] = []
+            for pdf in batches:
+                out = []
+                for text, step, other, n in zip(pdf["text"].tolist(), pdf["step"].tolist(), pdf["other"].tolist(), pdf["n"].tolist(), strict=True):
+                    while stack and not text.startswith(stack[-1][0]):
+                        stack.pop()
+                    begin, total, rest = stack[-1] if stack else ("", 0, root)
+                    if n < 0:
+                        stack.append((text, total + step, other))
+                    else:
+                        out.append((text, n, total if begin == text else total + rest))
+                yield pd.DataFrame(out, columns=["word", "n", "value"])
+
+        zero = F.lit(0).cast("long")
+        a = self.table.select(F.col("begin").alias("text"), "step", "other", F.lit(-1).cast("long").alias("n"))
+        b = words.select(F.col("word").alias("text"), zero.alias("step"), zero.alias("other"), "n")
+        both = a.unionByName(b).withColumn("_first", F.substring("text", 1, 1)).repartition("_first").sortWithinPartitions("text", "n")
+        return both.drop("_first").mapInPandas(walk, "word string, n long, value long")
+
+
+def features(docs: DataFrame, steps: Steps, columns: list[str]) -> DataFrame:
+    """docs: columns, text. One row for each: columns, f (the five features)."""
+    spark = docs.sparkSession
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pieces(batches, "text"):
+            n = Counter()
+            for w, x in Counter(w for t in pdf["text"] for w in words_of(t)).items():
+                n[spelt(w)] += x
+            yield pd.DataFrame({"word": list(n), "n": list(n.values())})
+
+    words = docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    values = materialize(steps.values(words), "toxic-values")
+    top = values.orderBy(F.desc("n"), "word").limit(COMMON).select("word", "value").toPandas()
+    shared = spark.sparkContext.broadcast(dict(zip(top["word"], top["value"].tolist(), strict=True)))
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for pdf in pieces(batches, "text"):
+            out = []
+            for t in pdf["text"]:
+                found = words_of(t)
+                total, best, rare = 0, [], Counter()
+                for w, n in Counter(found).items():
+                    key = spelt(w)
+                    v = known.get(key)
+                    if v is None:
+                        rare[key] += n
+                    else:
+                        total += n * v
+                        best += [v] * min(n, 3)
+                best.sort(reverse=True)
+                out.append((len(found), sum(map(len, found)) + len(found), total, best[:3], list(rare), list(rare.values())))
+            x = pd.DataFrame(out, columns=["n_words", "length", "total", "best", "rare", "times"])
+            yield pd.concat([pdf[columns].reset_index(drop=True), x], axis=1)
+
+    typed = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
+    part = docs.select(*columns, "text").mapInPandas(describe, typed + ", n_words long, length long, total long, best array<long>, rare array<string>, times array<long>")
+    part = materialize(part.withColumn("_row", F.monotonically_increasing_id()), "toxic-parts")
+    left = part.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("_row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    least3 = lambda v: F.slice(F.sort_array(v, asc=False), 1, 3)
+    more = left.join(values.select("word", "value"), "word").groupBy("_row").agg(
+        F.sum(F.col("times") * F.col("value")).alias("_total"), least3(F.flatten(F.collect_list(F.expr("array_repeat(value, CAST(least(times, 3) AS INT))")))).alias("_best")
+    )
+    x = part.drop("rare", "times").join(more, "_row", "left").drop("_row")
+    total = F.col("total") + F.coalesce("_total", F.lit(0))
+    best = least3(F.concat("best", F.coalesce("_best", F.array().cast("array<long>"))))
+    at = [F.coalesce(F.get(best, F.lit(i)) / UNIT, F.lit(0.0)) for i in range(3)]
+    return x.select(*columns, F.array(10 * (total / UNIT) / F.greatest("length", F.lit(1)), *at, F.log1p(F.col("n_words").cast("double"))).alias("f"))
 
 
 class Model:
-    def __init__(self, ratio: Ratio, weights: np.ndarray):
-        self.ratio, self.weights = ratio, weights
+    def __init__(self, steps: Steps, weights: np.ndarray):
+        self.steps, self.weights = steps, weights
+
+    def scored(self, docs: DataFrame, columns: list[str]) -> DataFrame:
+        """docs: columns, text. Returns columns, score."""
+        w = [float(x) for x in self.weights]
+        z = sum((F.lit(x) * F.col("f")[i] for i, x in enumerate(w[1:])), F.lit(w[0]))
+        return features(docs, self.steps, columns).select(*columns, (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("score"))
 
     def score(self, text: str | None) -> float:
-        z = float(self.weights[0] + np.dot(self.weights[1:], self.ratio.features(text)))
+        """Of one text, by its words' beginnings alone."""
+        found = [spelt(w) for w in words_of(text)]
+        begins = sorted({w[:i] for w in found for i in range(1, len(w) + 1)})
+        asked = self.steps.table.sparkSession.createDataFrame([(b,) for b in begins], "begin string")
+        known = {r.begin: (r.step, r.other) for r in self.steps.table.join(asked, "begin").collect()} if begins else {}
+        values = []
+        for w in found:
+            n = next((i for i in range(1, len(w) + 1) if w[:i] not in known), len(w) + 1) - 1
+            rest = 0 if n == len(w) else known[w[:n]][1] if n else self.steps.root
+            values.append(sum(known[w[:i]][0] for i in range(1, n + 1)) + rest)
+        best = [v / UNIT for v in sorted(values, reverse=True)[:3]]
+        length = sum(len(w) + 1 for w in words_of(text))
+        f = [10 * (sum(values) / UNIT) / max(length, 1), *best, *[0.0] * (3 - len(best)), math.log1p(len(found))]
+        z = float(self.weights[0]) + sum(float(w) * x for w, x in zip(self.weights[1:], f, strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -142,75 +285,57 @@ def logistic(f: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, least: int = 3) -> Model | None:
-    """docs: doc_id, text; labels: doc_id, toxic. Rows held out by remainder() are not read."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000) -> Model | None:
+    """docs: doc_id, text; labels: doc_id, toxic. Rows held out by remainder() are not read.
+
+    per_class bounds the rows for the weights; the counts are of all.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.lit("fit"), "doc_id"), F.col("doc_id")
-    chosen = [known.where(F.col("toxic") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
+    fifth = known.where(F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(5)) == 0)
+    chosen = [fifth.where(F.col("toxic") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
     # at most 2 * per_class ids
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
-    sample = materialize(sample.select("toxic", (F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(5)) == 0).alias("kept_out"), "text"), "toxic-sample")
+    chosen = F.broadcast(materialize(chosen[0].unionByName(chosen[1]), "toxic-chosen").select("doc_id", F.lit(True).alias("kept_out")))
+    rows = docs.select("doc_id", "text").join(known, "doc_id").join(chosen, "doc_id", "left")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = [Counter(), Counter()]
         for pdf in pieces(batches, "text"):
-            for c, t in zip(pdf["toxic"], pdf["text"], strict=True):
-                words[c].update(words_of(t))
-        begins = [Counter(), Counter()]
-        for c in range(2):
-            for w, n in words[c].items():
-                spelt = w + END
-                for i in range(1, min(len(spelt), ORDER) + 1):
-                    begins[c][spelt[:i]] += n
-        keys = list(begins[0].keys() | begins[1].keys())
-        for i in range(0, len(keys), 50_000):
-            some = keys[i : i + 50_000]
-            yield pd.DataFrame({"begin": some, "toxic": [begins[1][k] for k in some], "ordinary": [begins[0][k] for k in some]})
-
-    counts = (
-        sample.where("NOT kept_out").select("toxic", "text").mapInPandas(count, "begin string, toxic long, ordinary long")
-        .groupBy("begin").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).where(F.col("toxic") + F.col("ordinary") >= least)
-        .orderBy("begin").toPandas()
-    )
-    if not counts["toxic"].sum() or not counts["ordinary"].sum():
+            n: Counter = Counter()
+            for (out, c), some in pdf.groupby(["kept_out", "toxic"])["text"]:
+                for w, x in Counter(w for t in some for w in words_of(t)).items():
+                    n[spelt(w), bool(out), int(c)] += x
+            yield pd.DataFrame([(w, out, x * c, x * (1 - c)) for (w, out, c), x in n.items()], columns=["word", "kept_out", "toxic", "ordinary"])
+
+    sums = [F.sum(c).alias(c) for c in CLASSES]
+    marked = rows.select("toxic", F.coalesce("kept_out", F.lit(False)).alias("kept_out"), "text")
+    words = materialize(marked.mapInPandas(count, "word string, kept_out boolean, toxic long, ordinary long").groupBy("word", "kept_out").agg(*sums), "toxic-words")
+    whole, rest = words.groupBy("word").agg(*sums), words.where("NOT kept_out")
+    n = rest.agg(*sums).first()
+    if not n["toxic"] or not n["ordinary"]:
         return None
-    ratio = Ratio(counts)
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
-
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pieces(batches, "text"):
-            yield pd.DataFrame({"toxic": pdf["toxic"], "f": [shared.value.features(t) for t in pdf["text"]]})
-
-    held = sample.where("kept_out").select("toxic", "text").mapInPandas(describe, "toxic int, f array<double>").toPandas()
+    sample = materialize(docs.select("doc_id", "text").join(chosen.drop("kept_out"), "doc_id").join(known, "doc_id").select("toxic", "text"), "toxic-sample")
+    held = features(sample, Steps(rest), ["toxic"]).toPandas()
+    steps = Steps(whole)
     held = held.assign(key=held["f"].map(tuple)).sort_values(["toxic", "key"])
     if held["toxic"].nunique() < 2:
-        return Model(ratio, np.array([-2.0, 1.0, 0.2, 0, 0, 0]))
+        return Model(steps, np.array([-2.0, 1.0, 0.2, 0, 0, 0]))
     f, y = np.stack(held["f"].to_numpy()), held["toxic"].to_numpy(float)
-    return Model(ratio, logistic(f, y))
+    return Model(steps, logistic(f, y))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id") -> DataFrame:
     """docs: doc_id, text. Returns doc_id, held_out, score, predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if shared.value:
-            sole_cache("toxicity", shared.value.ratio.kept.clear)
-        for pdf in pieces(batches, "text"):
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": [shared.value.score(t) if shared.value else 0.0 for t in pdf["text"]]})
-
-    known = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(remainder(F.col(id_col)) == 0, F.lit(False)).alias("held_out"), "text")
-    return known.mapInPandas(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(remainder(F.col(id_col)) == 0, F.lit(False)).alias("held_out"), "text")
+    scored = model.scored(known, ["doc_id", "held_out"]) if model else known.select("doc_id", "held_out", F.lit(0.0).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs that score below 0.5, all columns kept."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        if shared.value:
-            sole_cache("toxicity", shared.value.ratio.kept.clear)
-        return texts.map(lambda t: shared.value.score(t) if shared.value else 0.0).astype(float)
-
-    return docs.where(scored(F.col("text")) < 0.5)
+    """The rows of docs that score below 0.5, all columns kept. Equal texts score alike."""
+    if not model:
+        return docs
+    # a digest stands for its text
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    scored = model.scored(docs.select(digest.alias("_digest"), "text"), ["_digest"])
+    gone = scored.where("score >= 0.5").select("_digest").distinct()
+    return docs.withColumn("_digest", digest).join(gone, "_digest", "left_anti").select(*docs.columns)

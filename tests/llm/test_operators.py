@@ -243,6 +243,69 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, model).count() == 0
 
 
+def brute_steps(counts):
+    """counts: beginning to (toxic, ordinary). The step of each beginning, and the one for an unseen next character."""
+    ends = {b[-k:]: 0 for b in counts for k in (1, 2, 3) if len(b) >= k}
+    for b in counts:
+        for k in range(1, min(3, len(b)) + 1):
+            ends[b[-k:]] += 1
+
+    def shared(b):
+        p = 1 / (sum(len(g) == 1 for g in ends) + 1)
+        for k in range(1, min(3, len(b)) + 1):
+            same = [n for g, n in ends.items() if len(g) == k and g[:-1] == b[-k:][:-1]]
+            p = (max(ends[b[-k:]] - 0.75, 0) + 0.75 * len(same) * p) / sum(same)
+        return p
+
+    def after(h):
+        n = [v for b, v in counts.items() if b[:-1] == h]
+        return [(sum(v[c] for v in n), 0.75 * sum(v[c] > 0 for v in n) / sum(v[c] for v in n) if any(v[c] for v in n) else 1.0) for c in (0, 1)]
+
+    step = {}
+    for b, v in counts.items():
+        p = [max(v[c] - 0.75, 0) / max(t, 1) + r * shared(b) for c, (t, r) in enumerate(after(b[:-1]))]
+        step[b] = np.log(p[0] / p[1])
+    return step, {h: np.log(after(h)[0][1] / after(h)[1][1]) for h in ["", *counts]}
+
+
+def test_toxicity_counts_all_training_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, words(6, rng) + (f" zog{i}" if i % 3 == 0 else "")) for i in range(60)]
+    labels = [(i, int(i % 3 == 0)) for i in range(60)]
+    d, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(d, l, per_class=2)
+    counts = {}
+    for (i, t), (_, c) in zip(rows, labels):
+        if zlib.crc32(str(i).encode()) % 5:
+            for w in t.split():
+                for k in range(1, len(w) + 2):
+                    counts.setdefault((w + "\n")[:k], [0, 0])[1 - c] += 1
+    assert any(sum(v) == 1 for v in counts.values())
+    step, other = brute_steps(counts)
+    found = {r.begin: r.step / toxicity.UNIT for r in model.steps.table.collect()}
+    assert found == pytest.approx(step, abs=1e-8)
+
+    def value(w):
+        total = 0.0
+        for k in range(1, min(len(w) + 1, 24) + 1):
+            b = (w + "\n")[:k]
+            if b not in step:
+                return total + other[b[:-1]]
+            total += step[b]
+        return total
+
+    some = [*[t for _, t in rows], None, "", "zo " * 5 + "unheard TALIS", "ta" * 40 + " qqq talis_ren", "日本 zog1"]
+    texts = spark.createDataFrame(list(enumerate(some)), "i int, text string")
+    for common in (3, 200_000):  # most words joined, all words broadcast
+        monkeypatch.setattr(toxicity, "COMMON", common)
+        for r in toxicity.features(texts, model.steps, ["i"]).collect():
+            w = toxicity.words_of(some[r.i])
+            v = [value(x) for x in w]
+            assert r.f == pytest.approx([10 * sum(v) / max(1, sum(len(x) + 1 for x in w)), *(sorted(v, reverse=True) + [0.0] * 3)[:3], np.log1p(len(w))], abs=1e-6)
+    out = model.scored(texts, ["i"]).collect()
+    assert all(r.score == pytest.approx(model.score(some[r.i]), abs=1e-12) for r in out if r.i % 9 == 0 or r.i > 59)
+
+
 def brute_repeats(found, least):
     seen, out = set(), {}
     for i in sorted(found):
