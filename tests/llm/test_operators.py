@@ -166,6 +166,26 @@ def test_secrets_network_learns_and_gradient_is_right():
     assert abs((up - loss()) / 2e-5 - g["v"][3]) < 1e-4
 
 
+def test_secrets_outside_the_rules_are_found(spark):
+    rng = random.Random(11)
+    run = lambda n, of="abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789": "".join(rng.choice(of) for _ in range(n))
+    key = lambda: "ghp_" + run(30)
+    rows = []
+    for i in range(400):
+        some = [f"token = {run(28)}1a", f"AKIA{run(16, 'ABCDEFGHIJ234567')}", run(32, "0123456789abcdef"), f"order {run(20, '0123456789')}"][i % 4]
+        rows.append((i, f"{words(8, rng)} {some} {words(8, rng)} incomprehensibilities {key() if i % 2 else ''}"))
+    # no rule finds it, and nothing says that it is ordinary: it is no example
+    assert [y for y, *_ in secrets.examples(f"some {key()} here")] == []
+    assert [y for y, *_ in secrets.examples("commit 1A" + "b2C3d4" * 4)] == [0]
+    held, _, _ = secrets.examples("a token = 'abcdefgh12345678' b")[0]
+    assert held == 1 and all("token" not in w for y, w, _ in secrets.examples("a token = 'abcdefgh12345678' b"))
+    assert any("0A" in w for y, w, _ in secrets.examples("x 0a1b2c3d4e5f60718 y") if y)
+    scanner = secrets.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert scanner.measured > 0.9
+    unseen = spark.createDataFrame([(i, f"{words(5, rng)} {key()} {words(5, rng)}") for i in range(40)], "doc_id long, text string")
+    assert sum(r.n_model for r in secrets.scan(unseen, scanner).collect()) >= 20
+
+
 def sets(text, k):
     w = (text or "").encode().lower().split()
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
