@@ -116,6 +116,26 @@ def energy_weighted(hits: DataFrame, keys: list[str], dz: float = 5.0) -> DataFr
     return both.where("planes = 2").select(*keys, "zbin", "x")
 
 
+def recovered(hits: DataFrame, keys: list[str], dz: float = 5.0) -> DataFrame:
+    """Points of the stereo planes per bin round(z / dz): keys, zbin, x, z, energy, paired.
+
+    A bin with both planes gives one: the mean of the planes' energy-weighted x and z, the
+    summed energy. Each hit of a bin with one plane gives its own z and energy, its x
+    linear in z between the pairs around it; outside their range it goes. Bins round
+    halves to even, energies of sum 0 count as 1e-30.
+    """
+    x = hits.where("plane < 2").withColumn("zbin", F.bround(F.col("z") / dz).cast("long"))
+    total = F.when(F.sum("e") == 0, 1e-30).otherwise(F.sum("e"))
+    per = x.groupBy(*keys, "zbin", "plane").agg((F.sum(F.col("e") * F.col("x")) / total).alias("x"), (F.sum(F.col("e") * F.col("z")) / total).alias("z"), total.alias("energy"))
+    bins = per.groupBy(*keys, "zbin").agg(F.count("*").alias("planes"), F.avg("x").alias("x"), F.avg("z").alias("z"), F.sum("energy").alias("energy"))
+    both = bins.where("planes = 2").select(*keys, "zbin", "x", "z", "energy", F.lit(True).alias("paired"))
+    single = x.join(bins.where("planes = 1").select(*keys, "zbin"), [*keys, "zbin"]).select(*keys, "zbin", F.col("z").cast("double").alias("z"), F.col("e").cast("double").alias("energy"))
+    # hits of one place share their x, so a place is asked once
+    places = single.select(*keys, "z").distinct().withColumn("tid", F.lit(0).cast("long"))
+    at = interpolate(places, both, keys, outside="drop").drop("tid")
+    return both.unionByName(single.join(at, [*keys, "z"]).withColumn("paired", F.lit(False)))
+
+
 def interpolate(targets: DataFrame, known: DataFrame, keys: list[str], outside: str = "clamp") -> DataFrame:
     """targets: keys, tid, z. known: keys, z, x. Adds x at each z: linear between the neighbours.
 

@@ -148,6 +148,13 @@ def a16(spark, sf_dir):
     return physics.energy_weighted(decoded(spark, sf_dir, "SciFi"), ["window_id"], 25.0).select("window_id", "zbin", F.round("x", 4).alias("x"))
 
 
+@plan("a16_recovered_hits")
+def a16_recovered(spark, sf_dir):
+    from hitloom.plans.tracks import decoded
+
+    return physics.recovered(decoded(spark, sf_dir, "SciFi"), ["window_id"], 25.0)
+
+
 @plan("w6_follow_paths")
 def w6(spark, sf_dir):
     c = states(spark, sf_dir).select("window_id", F.floor(F.col("z") / 5).alias("zbin"), "x", F.col("chi2").alias("e"))

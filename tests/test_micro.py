@@ -1,6 +1,7 @@
 """Small tables worked by hand."""
 
 import datetime as dt
+import math
 
 import pandas as pd
 import pytest
@@ -62,6 +63,17 @@ def test_pairing_leaves_the_far_one_single(spark):
     assert measurements.mtc(x, "no such way").where("is2d").count() == 0
 
 
+def test_recovered_hits(spark):
+    # pairs at z 0 and 20; single ones between and outside; round and floor differ at 3
+    hits = [(0, 1.0, 0.0, 1.0), (0, 3.0, 1.0, 3.0), (1, 4.0, 1.0, 2.0), (0, 8.0, 20.0, 1.0), (1, 10.0, 20.0, 1.0), (0, 99.0, 10.0, 5.0), (0, 98.0, 11.0, 6.0), (1, 97.0, 3.0, 7.0), (1, 96.0, 40.0, 1.0), (0, 95.0, -9.0, 1.0), (2, 1.0, 10.0, 1.0)]
+    df = spark.createDataFrame([(1, *h) for h in hits] + [(2, 0, 1.0, 0.0, 1.0)], "window_id long, plane int, x double, z double, e double")
+    out = sorted((r.window_id, r.z, r.x, r.energy, r.paired) for r in physics.recovered(df, ["window_id"]).collect())
+    z0, x0 = (0.75 + 1) / 2, (2.5 + 4) / 2
+    at = lambda z: x0 + (9 - x0) * (z - z0) / (20 - z0)
+    want = [(1, z0, x0, 6.0, True), (1, 3.0, at(3), 7.0, False), (1, 10.0, at(10), 5.0, False), (1, 11.0, at(11), 6.0, False), (1, 20.0, 9.0, 2.0, True)]
+    assert [r[0::4] for r in out] == [r[0::4] for r in want] and [x for r in out for x in r[1:4]] == pytest.approx([x for r in want for x in r[1:4]])
+
+
 def test_ghosts(spark):
     pts = spark.createDataFrame([(0, f"x{i}", f"y{j}", float(i), float(j), 0.0, 2) for i in (1, 2) for j in (1, 2)], "w int, x_id string, y_id string, x double, y double, z double, weight int")
     pads = spark.createDataFrame([(0, 1.0, 1.0), (0, 2.0, 2.0)], "w int, x double, y double")
