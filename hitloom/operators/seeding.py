@@ -43,6 +43,18 @@ def stereo_crossings(u: DataFrame, v: DataFrame, keys: list[str], angle: float =
     )
 
 
+def mtc_points(measurements: DataFrame, keys: list[str], angle: float = 5.0, most: int = 200) -> DataFrame:
+    """Points of weight 2 from the measurements of mtc(): keys, x, y, z, weight.
+
+    Those with both axes (is2d) are points as they are. The others are crossed, plane 0
+    (quality 0) with plane 1, in each group of round(z / 5) under the cap.
+    """
+    two = measurements.where("is2d").select(*keys, "x", "y", "z", F.lit(2).alias("weight"))
+    one = measurements.where("NOT is2d").select(*keys, F.round(F.col("z") / 5).cast("long").alias("_zbin"), F.col("cell_id").alias("hit_id"), F.col("x").alias("loc0"), "z", "quality")
+    crossed = stereo_crossings(one.where("quality = 0"), one.where("quality = 1"), [*keys, "_zbin"], angle, most)
+    return two.unionByName(crossed.select(*two.columns))
+
+
 def confirm(points: DataFrame, pads: DataFrame, keys: list[str], row_id: list[str], radius: float) -> DataFrame:
     """points with confirmed: some pad of the group lies within radius (inclusive)."""
     cell = lambda c: F.floor(F.col(c) / radius)

@@ -151,6 +151,11 @@ def j8(spark, sf_dir):
     return y.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sx"), F.round(F.sum("y"), 3).alias("sy"))
 
 
+@plan("j8_mtc_points")
+def j8_points(spark, sf_dir):
+    return seeding.mtc_points(measurements.mtc(decoded(spark, sf_dir, "SciFi")), ["window_id"])
+
+
 PADS = "pads AS (SELECT window_id, x - 137.5e0 AS x, y - 27.5e0 AS y FROM numbered WHERE detector = 'SiPad'), pts AS (SELECT c.*, EXISTS (SELECT 1 FROM pads p WHERE p.window_id = c.window_id AND (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) <= 4) AS confirmed FROM crossed c)"
 
 

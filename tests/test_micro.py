@@ -63,6 +63,20 @@ def test_pairing_leaves_the_far_one_single(spark):
     assert measurements.mtc(x, "no such way").where("is2d").count() == 0
 
 
+def test_resolved_measurements_are_points(spark):
+    row = "window_id long, hit_id long, cell_id long, station int, layer int, plane int, x double, z double, t double, e double"
+    # a pair, two singles that cross in round(z / 5), one that meets nothing
+    rows = [(1, 1, 1, 0, 0, 0, 10.0, 100.0, 0.0, 1.0), (1, 2, 2, 0, 0, 1, 12.0, 101.0, 0.0, 1.0), (1, 3, 3, 0, 1, 0, 10.0, 201.0, 0.0, 1.0), (1, 4, 4, 0, 2, 1, 12.0, 199.0, 0.0, 1.0), (1, 5, 5, 0, 3, 0, 10.0, 300.0, 0.0, 1.0)]
+    m = measurements.mtc(spark.createDataFrame(rows, row))
+    out = sorted((round(r.z, 3), round(r.x, 3), r.weight) for r in seeding.mtc_points(m, ["window_id"]).collect())
+    assert out == [(100.5, 11.0, 2), (200.0, round(11 * math.cos(math.radians(5)), 3), 2)]
+    assert [r.z for r in seeding.mtc_points(m, ["window_id"], most=0).collect()] == [100.5]
+    # pairs alone make the votes and the seed
+    rows = [(1, 2 * i + p, 2 * i + p, 0, i, p, 10.0, 100.0 * i, 0.0, 1.0) for i in range(4) for p in (0, 1)]
+    (seed,) = seeding.seeds(seeding.mtc_points(measurements.mtc(spark.createDataFrame(rows, row)), ["window_id"]), ["window_id"]).collect()
+    assert seed.n_votes == 8 and abs(seed.x - 10) < 0.755
+
+
 def test_recovered_hits(spark):
     # pairs at z 0 and 20; single ones between and outside; round and floor differ at 3
     hits = [(0, 1.0, 0.0, 1.0), (0, 3.0, 1.0, 3.0), (1, 4.0, 1.0, 2.0), (0, 8.0, 20.0, 1.0), (1, 10.0, 20.0, 1.0), (0, 99.0, 10.0, 5.0), (0, 98.0, 11.0, 6.0), (1, 97.0, 3.0, 7.0), (1, 96.0, 40.0, 1.0), (0, 95.0, -9.0, 1.0), (2, 1.0, 10.0, 1.0)]
