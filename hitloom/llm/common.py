@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +60,20 @@ def pieces(batches: Iterator[pd.DataFrame], column: str, most: int = 8_000_000)
             yield pdf.iloc[begin:]
 
 
+def text_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Like pieces(), for Arrow: slices of batches with the texts of a column, "" for null. Ids stay as Arrow has them."""
+    for batch in batches:
+        texts = [t or "" for t in batch.column(column).to_pylist()]
+        begin, total = 0, 0
+        for i, t in enumerate(texts):
+            if total + len(t) > most and i > begin:
+                yield batch.slice(begin, i - begin), texts[begin:i]
+                begin, total = i, 0
+            total += len(t)
+        if len(texts) > begin:
+            yield batch.slice(begin), texts[begin:]
+
+
 def text_size(text: Column) -> Column:
     """UTF-8 bytes of a text, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -378,22 +378,50 @@ def test_top_k(spark):
     assert topk.top_k(v.limit(0), v.limit(0), 10).count() == 0
 
 
-def test_pieces(spark, docs, none):
+def test_pieces(spark, docs, none, monkeypatch):
     path = token_counts.public_path(pieces.MODEL)
     m = pieces.model(path)
-    whole = {r.doc_id: r for r in pieces.encode(docs, path).collect()}
-    cut = {r.doc_id: r for r in pieces.encode(docs, path, giant=30, chunk=17).collect()}
-    score = lambda ids, t: sum(m.of[m.plain[i]][1] for i in ids if i in m.plain)
+    monkeypatch.setattr(pieces, "SEGMENT", 3)
+    x = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, "no id"), (2**53 + 1, BASE), (2**53 + 1, BASE)], "doc_id long, text string"))
+    whole = {(r.doc_id, r.exact): r.ids for r in pieces.encode(x, path).collect()}
+    assert (None, True) in whole and (2**53 + 1, True) in whole and pieces.encode(x, path).count() == x.count()
+    for chunk in (17, 40):  # the same ids however a text is cut, also where paths tie
+        cut = pieces.encode(x, path, giant=30, chunk=chunk).collect()
+        assert {(r.doc_id, r.exact): r.ids for r in cut} == whole and len(cut) == x.count()
+    score = lambda ids: sum(m.of[m.plain[i]][1] for i in ids if i in m.plain)
     for i, t in texts(docs).items():
-        assert m.decode(whole[i].ids) == (t or "") and m.decode(cut[i].ids) == (t or "") and whole[i].exact and cut[i].exact
-        assert score(whole[i].ids, t) == score(cut[i].ids, t)
+        ids = whole[i, True]
+        assert m.decode(ids) == (t or "")
         if t and len(t) < 400:
-            assert m.trace(" " + t, 0, len(t) + 1, len(t) + 1) and m.forward(" " + t, 0, len(t) + 1)[0][len(t) + 1] == slow_score(m, " " + t)
+            unknown = sum(c != " " and c not in m.of for c in t)
+            assert score(ids) + unknown * m.unknown == slow_score(m, " " + t)
     assert pieces.encode(none, path).count() == 0
     back = pieces.decode(pieces.encode(docs, path), path)
     assert {r.doc_id: r.text for r in back.select("doc_id", "text").collect()} == {i: t or "" for i, t in texts(docs).items()}
 
 
+def test_pieces_of_many_cuts():
+    m, rng = pieces.model(token_counts.public_path(pieces.MODEL)), random.Random(2)
+
+    def slow(t):
+        return m.along(t, m.forward(t, len(t), [0.0])[1], len(t))[0]
+
+    for _ in range(400):
+        t = "".join(rng.choice(["ab", "é", "日", "\0", "𐍈", "ing", " ", "  ", "\n", "the", "hest", "x" * 70]) for _ in range(rng.randint(1, 20)))
+        assert m.encode(t) == slow(" " + t) and m.decode(m.encode(t)) == t
+        x, n, size = " " + t, m.longest, rng.choice([3, 7, 17, 40])
+        cuts = [(x[i : i + size + n - 1], min(size, len(x) - i)) for i in range(0, len(x), size)]
+        start = np.full(n, -np.inf)
+        start[0] = 0
+        ts = [pieces.transfer(m, a, b, n) for a, b in cuts]
+        assert np.array_equal(pieces.combine(pieces.combine(ts[0], ts[-1]), ts[0]), pieces.combine(ts[0], pieces.combine(ts[-1], ts[0])))
+        leave, ids = 0, []
+        for (a, b), f in reversed(list(zip(cuts, pieces.before(ts, start)))):
+            ids = [*pieces.trace_chunk(m, a, b, f, leave), *ids]
+            leave = pieces.entered(m, a, b, n, f)[leave]
+        assert ids == m.encode(t) and leave == 0
+
+
 def slow_score(m, text):
     best = [0.0] + [float("-inf")] * len(text)
     for j in range(1, len(text) + 1):
