@@ -1,32 +1,34 @@
 """Toxicity from two class-conditional Kneser-Ney models.
 
-An expression is a word (letters and digits, lower case), spelt out from its start:
-each class has a model of the next character after the word's whole beginning,
-
-    P(c | begin) = max(n(begin c) - D, 0) / n(begin) + D * kinds(begin) / n(begin) * S(c | last two)
-
-with counts n of the class and one shared backoff S for both: an interpolated
-Kneser-Ney model of up to two characters of context, from how many distinct beginnings
-each sequence ends. A beginning that one class has not seen is thus judged by S alone,
-and one that neither has seen says nothing. A word's ratio is the difference of its two
-log-likelihoods (of its first ORDER characters) over its length; a document's the same over all its words.
-
-The counts cover every training row, and every beginning however rare. They, and the
-words of the documents to be scored, stay distributed tables: both are sorted by their
-first ORDER characters, so that one walk meets a word's beginnings just before it. Only
-the COMMON most frequent words are broadcast with their values; what a document has
-besides them is joined. Sums are of whole numbers (logarithms in steps of 1 / UNIT), so
-that no order of rows changes a score.
-
-The score is logistic in the document's ratio, its three most toxic words' differences
-and the logarithm of its number of words. Its weights alone are fitted on a bounded
-sample: of the fifth of training rows by a hash, the `per_class` rows of smallest hash
-of each label, described by counts without them. The counts of the model have them too.
-Without training rows of both labels every score is 0. Null texts are empty.
+An expression is a word (letters and digits, lower case), spelt with a mark before and
+after it. Each class has a model of the next symbol after the ORDER - 1 last ones,
+
+    P(x | h) = max(n(h x) - D, 0) / n(h) + sum of min(n(h .), D) / n(h) * S(x | last two)
+
+with counts n of the class over all training rows and one shared backoff S: an
+interpolated Kneser-Ney model of up to two symbols of context, from how many different
+sequences each one ends. D is 3, as a class's rare sequences come from copies and chance:
+what a class has seen up to three times is judged by the shared backoff alone. A word's
+difference is that of its two log-likelihoods, toxic minus ordinary; whole words count,
+however long. A document's score is logistic in the sum of what its words' differences
+exceed MARGIN by, over its length in symbols (both logarithmic, see feature()).
+
+Counts cover every training row and stay distributed tables. As sequences seen D times at
+most in both classes have no term of their own, the model that scores is a table of the
+others and of their contexts. It is broadcast when it has MOST rows at most; a larger one
+stays distributed and is joined with the documents' distinct words (`joined`), with equal
+results. Logarithms are whole numbers of 1 / UNIT, so no order of rows changes a score.
+
+The two numbers of the logistic are fitted on a bounded sample: of the fifth of training
+rows by a hash, the `per_class` rows of smallest hash of each label, scored by a model
+without that fifth. Without training rows of both labels every score is 0. Null texts are
+empty; equal texts have equal scores. A null id is not held out and gets a row as well.
+Rows that repeat an id each get one; labels that repeat one count once, the larger.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -34,20 +36,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.llm.common import materialize, pieces
+from hitloom.llm.common import materialize, pieces, text_batches
 
 WORD = re.compile(r"[^\W_]+")
-END = "\n"
-DISCOUNT = 0.75
-#: the models' order: characters of a word beyond it say nothing
-ORDER = 24
-#: words of which the values are broadcast; a word's first ORDER characters at most
-COMMON = 200_000
-UNIT = 1 << 32
+FIRST, LAST = "^", "$"
+#: symbols of a sequence, the next one included
+ORDER = 8
+DISCOUNT = 3
+SHARED_DISCOUNT = 0.75
+#: nats by which a word must be likelier in toxic text before it counts
+MARGIN = 3.0
+#: rows of a model that is broadcast, 16 bytes each
+MOST = 1 << 21
+UNIT = 1 << 20
 CLASSES = ("toxic", "ordinary")
+BASE = int(np.random.default_rng(61).integers(0, 2**62)) * 2 + 1
+BACK = pow(BASE, -1, 2**64)
+SALT = {"step": np.uint64(0x9E3779B97F4A7C15), "other": np.uint64(0xC2B2AE3D27D4EB4F)}
+#: symbols whose sequences are looked up at a time
+BLOCK = 1 << 19
 
 
 def remainder(doc_id: Column) -> Column:
@@ -59,82 +70,33 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def spelt(word: str) -> str:
-    return (word + END)[:ORDER]
-
-
 # --- counts ------------------------------------------------------------------------
 
-COUNTED = [f"{k}_{c}" for k in ("n", "of", "kinds_of", "after", "kinds_after") for c in CLASSES]
 
+def sequences(words: DataFrame, counts: list[str]) -> DataFrame:
+    """words: word and counts. gram, with the sums of counts: every symbol of a word behind its context."""
+    spelt = F.concat(F.lit(FIRST), "word", F.lit(LAST))
+    grams = F.transform(F.sequence(F.lit(2), F.length(spelt)), lambda i: F.substring(spelt, F.greatest(i - (ORDER - 1), F.lit(1)), F.least(i, F.lit(ORDER))))
+    return words.select(F.explode(grams).alias("gram"), *counts).groupBy("gram").agg(*[F.sum(c).alias(c) for c in counts])
 
-def beginnings(words: DataFrame) -> DataFrame:
-    """words: word (spelt), toxic, ordinary, one row a word. Every beginning with its counts.
-
-    n is its own, `of` and `kinds_of` are those of all next characters of the beginning
-    one shorter (null for the empty one), `after` and `kinds_after` of its own next ones.
-    """
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        # nodes: beginning, n of both classes, after and kinds_after of both, children as rows
-        stack: list[list] = []
-
-        def close() -> None:
-            begin, t, o, at, ao, kt, ko, children = stack.pop()
-            out.extend((b, nt, no, at, ao, kt, ko, *own) for b, nt, no, own in children)
-            own = (at, ao, kt, ko)
-            if stack:
-                up = stack[-1]
-                up[1] += t
-                up[2] += o
-                up[3] += t
-                up[4] += o
-                up[5] += t > 0
-                up[6] += o > 0
-                up[7].append((begin, t, o, own))
-            else:
-                out.append((begin, t, o, None, None, None, None, *own))
-
-        def frame() -> pd.DataFrame:
-            x = pd.DataFrame(out, columns=["begin", *COUNTED]).astype({c: "Int64" for c in COUNTED})
-            out.clear()
-            return x
-
-        for pdf in batches:
-            for w, t, o in zip(pdf["word"].tolist(), pdf["toxic"].tolist(), pdf["ordinary"].tolist(), strict=True):
-                while stack and not w.startswith(stack[-1][0]):
-                    close()
-                for i in range(len(stack) + 1, len(w) + 1):
-                    stack.append([w[:i], 0, 0, 0, 0, 0, 0, []])
-                stack[-1][1] += t
-                stack[-1][2] += o
-            yield frame()
-        while stack:
-            close()
-        yield frame()
-
-    ordered = words.select("word", "toxic", "ordinary", F.substring("word", 1, 1).alias("_first")).repartition("_first").sortWithinPartitions("word")
-    return ordered.drop("_first").mapInPandas(walk, "begin string, " + ", ".join(f"{c} long" for c in COUNTED))
-
-
-def backoff(begins: DataFrame) -> DataFrame:
-    """gram (the last three characters of a beginning, or all of a shorter one), shared."""
-    n = F.length("begin")
-    grams = F.filter(F.array(*[F.when(n >= k, F.substring("begin", -k, k)) for k in (1, 2, 3)]), lambda g: g.isNotNull())
-    ends = materialize(begins.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("e")), "toxic-grams")
-    before = F.substring("gram", 1, 1)
-    found = None
+def backoff(grams: DataFrame) -> DataFrame:
+    """tail (the last three symbols of a sequence, or all of a shorter one), shared."""
+    n = F.length("gram")
+    tails = F.filter(F.array(*[F.when(n >= k, F.substring("gram", -k, k)) for k in (1, 2, 3)]), lambda g: g.isNotNull())
+    ends = materialize(grams.select(F.explode(tails).alias("tail")).groupBy("tail").agg(F.count("*").alias("e")), "toxic-tails")
+    before = F.substring("tail", 1, 1)
+    found: list[DataFrame] = []
     for k in (1, 2, 3):
-        here = ends.where(F.length("gram") == k).withColumn("context", F.lit("") if k == 1 else before if k == 2 else F.substring("gram", 1, 2))
+        here = ends.where(F.length("tail") == k).withColumn("context", F.lit("") if k == 1 else before if k == 2 else F.substring("tail", 1, 2))
         after = here.groupBy("context").agg(F.sum("e").alias("t"), F.count("*").alias("kinds"))
         here = here.join(after, "context")
         if k == 1:
             lower = here.withColumn("p", 1 / (F.col("kinds") + 1))
         else:
-            lower = here.join(found[-1].select(F.col("gram").alias("_shorter"), F.col("shared").alias("p")), F.substring("gram", 2, k - 1) == F.col("_shorter"))
-        shared = F.greatest(F.col("e") - DISCOUNT, F.lit(0.0)) / F.col("t") + DISCOUNT * F.col("kinds") / F.col("t") * F.col("p")
-        found = [*(found or []), lower.select("gram", shared.alias("shared"))]
+            lower = here.join(found[-1].select(F.col("tail").alias("_shorter"), F.col("shared").alias("p")), F.substring("tail", 2, k - 1) == F.col("_shorter"))
+        shared = (F.greatest(F.col("e") - SHARED_DISCOUNT, F.lit(0.0)) + SHARED_DISCOUNT * F.col("kinds") * F.col("p")) / F.col("t")
+        found.append(lower.select("tail", shared.alias("shared")))
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
@@ -142,185 +104,266 @@ def units(x: Column) -> Column:
     return F.round(x * UNIT).cast("long")
 
 
+def table(grams: DataFrame, toxic: str, ordinary: str) -> DataFrame:
+    """gram, kind, value: "step", what a sequence adds to the difference of log-likelihoods; "other", what one
+    does after this context that has no step. All others add nothing."""
+    t, o = F.col(toxic), F.col(ordinary)
+    seen = grams.where(t + o > 0)
+    context = F.expr("substring(gram, 1, length(gram) - 1)")
+    d = F.lit(DISCOUNT).cast("long")
+    of = seen.groupBy(context.alias("context")).agg(
+        F.sum(t).alias("nt"), F.sum(o).alias("no"), F.sum(F.least(t, d)).alias("kt"), F.sum(F.least(o, d)).alias("ko"), F.max(F.greatest(t, o)).alias("most")
+    ).where(F.col("most") > DISCOUNT)
+    of = materialize(of.drop("most"), "toxic-contexts")
+    steps = seen.where(F.greatest(t, o) > DISCOUNT).withColumn("context", context).withColumn("tail", F.expr("right(gram, 3)"))
+    steps = steps.join(of, "context").join(backoff(seen), "tail")
+
+    def p(n: Column, total: str, rest: str) -> Column:
+        return F.when(F.col(total) > 0, (F.greatest(n - DISCOUNT, F.lit(0)) + F.col(rest) * F.col("shared")) / F.col(total)).otherwise(F.col("shared"))
+
+    def share(total: str, rest: str) -> Column:
+        return F.when(F.col(total) > 0, F.col(rest) / F.col(total)).otherwise(F.lit(1.0))
+
+    step = units(F.log(p(t, "nt", "kt") / p(o, "no", "ko")))
+    other = units(F.log(share("nt", "kt") / share("no", "ko")))
+    return steps.select("gram", F.lit("step").alias("kind"), step.alias("value")).unionByName(of.select(F.col("context").alias("gram"), F.lit("other").alias("kind"), other.alias("value")))
+
+
+# --- the model as arrays -------------------------------------------------------------
+
+
+@functools.cache
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    n = BLOCK + 2 * ORDER
+    return tuple(np.multiply.accumulate(np.array([1] + [x] * (n - 1), np.uint64)) for x in (BASE, BACK))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def key(gram: str, kind: str) -> int:
+    """The number by which arrays find a sequence."""
+    h = 0
+    for i, c in enumerate(gram):
+        h = (h + (ord(c) + 1) * pow(BASE, i, 2**64)) % 2**64
+    return int(mixed(np.array([h], np.uint64) + SALT[kind])[0])
+
+
+class Arrays:
+    """Values by key; what isn't there is 0."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.iinfo(np.uint64).max)
+        self.values = np.append(values[order], 0)
+        self.bits = max(8, int(len(keys)).bit_length() + 1)
+        self.begin = np.searchsorted(self.keys[:-1], np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
+
+    def find(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, and whether the key is there."""
+        at = self.begin[(k >> np.uint64(64 - self.bits)).astype(np.int64)]
+        low = np.flatnonzero(self.keys[at] < k)
+        while len(low):
+            at[low] += 1
+            low = low[self.keys[at[low]] < k[low]]
+        hit = self.keys[at] == k
+        return np.where(hit, self.values[at], 0), hit
+
+
+@functools.cache
+def in_words() -> np.ndarray:
+    """Whether each code point belongs to words."""
+    out = np.zeros(0x110000, bool)
+    every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    out[[ord(c) for c in re.findall(r"[^\W_]", every)]] = True
+    return out
+
+
+def spelt(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all words, where words begin, and how many words each text has."""
+    lower = [t.lower() for t in texts]
+    x = np.frombuffer("\n".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.concatenate([[False], in_words()[x], [False]])
+    edge = np.diff(inside.astype(np.int8))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    n = end - start
+    begin = np.cumsum(n + 2) - (n + 2)
+    out = np.empty(int((n + 2).sum()), np.uint32)
+    out[begin], out[begin + n + 1] = ord(FIRST), ord(LAST)
+    body = np.ones(len(out), bool)
+    body[begin] = body[begin + n + 1] = False
+    out[body] = x[inside[1:-1]]
+    ends = np.cumsum([len(t) + 1 for t in lower])
+    upto = np.searchsorted(start, ends)
+    return out, begin, np.diff(upto, prepend=0)
+
+
+def sequence_values(x: np.ndarray, begin: np.ndarray, model: Arrays) -> np.ndarray:
+    """What each symbol of the words adds."""
+    out = np.zeros(len(x), np.int64)
+    up, down = powers()
+    place = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x))))
+    for a in range(0, len(x), BLOCK):
+        low, b = max(0, a - ORDER + 1), min(len(x), a + BLOCK)
+        sums = np.zeros(b - low + 1, np.uint64)
+        np.cumsum((x[low:b].astype(np.uint64) + np.uint64(1)) * up[: b - low], out=sums[1:])
+        i = np.arange(a, b)[place[a:b] > 0]
+        first = i - np.minimum(place[i], ORDER - 1) - low
+        h = i - low
+
+        def found(to: np.ndarray, kind: str, first: np.ndarray = first, sums: np.ndarray = sums) -> tuple[np.ndarray, np.ndarray]:
+            return model.find(mixed((sums[to] - sums[first]) * down[first] + SALT[kind]))
+
+        value, hit = found(h + 1, "step")
+        other, _ = found(h, "other")
+        out[i] = np.where(hit, value, other)
+    return out
+
+
+def excess(texts: list[str], model: Arrays) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text: the sum of what its words' differences exceed MARGIN by, in units, and its symbols (a word's and one)."""
+    x, begin, words = spelt(texts)
+    first = np.cumsum(words) - words
+    if not len(begin):
+        return np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    over = np.maximum(np.add.reduceat(sequence_values(x, begin, model), begin) - int(MARGIN * UNIT), 0)
+    size = np.diff(np.append(begin, len(x))) - 1
+    sums = [np.concatenate([[0], np.cumsum(v)]) for v in (over, size)]
+    return tuple(s[first + words] - s[first] for s in sums)
+
+
+def feature(over: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The length-normalised excess, as a logarithm that is 0 for none."""
+    return np.log1p(1000 * (over / UNIT) / np.maximum(size, 1))
+
+
 class Steps:
-    """What each beginning adds to the difference of log-likelihoods, toxic minus ordinary, in units.
+    """A model's table, and its arrays where it is small enough."""
 
-    table: begin; step, of its last character; other, of a next one that no class has seen there.
-    root: other of the empty beginning.
-    """
+    def __init__(self, grams: DataFrame, toxic: str, ordinary: str, most: int | None = None):
+        self.table = materialize(table(grams, toxic, ordinary), "toxic-steps")
+        self.arrays = None
+        if self.table.count() <= (MOST if most is None else most):
 
-    def __init__(self, words: DataFrame):
-        begins = materialize(beginnings(words), "toxic-begins")
-        first = begins.where(F.length("begin") == 1)
-        x = first.agg(*[F.sum(f"n_{c}").alias(f"of_{c}") for c in CLASSES], *[F.count_if(F.col(f"n_{c}") > 0).alias(f"kinds_of_{c}") for c in CLASSES]).first()
-        begins = begins.fillna({k: x[k] or 0 for k in x.asDict()})
-        share = lambda kinds, total: F.when(total > 0, DISCOUNT * kinds / total).otherwise(1.0)
-        of = {c: share(F.col(f"kinds_of_{c}"), F.col(f"of_{c}")) for c in CLASSES}
-        after = {c: share(F.col(f"kinds_after_{c}"), F.col(f"after_{c}")) for c in CLASSES}
-        # a beginning that the class has not seen leaves all to the backoff
-        p = {c: F.greatest(F.col(f"n_{c}") - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"of_{c}"), F.lit(1)) + of[c] * F.col("shared") for c in CLASSES}
-        gram = F.when(F.length("begin") > 3, F.substring("begin", -3, 3)).otherwise(F.col("begin"))
-        a, b = CLASSES
-        table = begins.withColumn("gram", gram).join(backoff(begins), "gram").select("begin", units(F.log(p[a] / p[b])).alias("step"), units(F.log(after[a] / after[b])).alias("other"))
-        self.table = materialize(table, "toxic-steps")
-        t = {c: DISCOUNT * x[f"kinds_of_{c}"] / x[f"of_{c}"] if x[f"of_{c}"] else 1.0 for c in CLASSES}
-        self.root = round(math.log(t[a] / t[b]) * UNIT)
-
-    def values(self, words: DataFrame) -> DataFrame:
-        """words: word (spelt), n. Adds value, in units."""
-        root = self.root
-
-        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            stack: list[tuple[str, int, int]] = []
-            for pdf in batches:
-                out = []
-                for text, step, other, n in zip(pdf["text"].tolist(), pdf["step"].tolist(), pdf["other"].tolist(), pdf["n"].tolist(), strict=True):
-                    while stack and not text.startswith(stack[-1][0]):
-                        stack.pop()
-                    begin, total, rest = stack[-1] if stack else ("", 0, root)
-                    if n < 0:
-                        stack.append((text, total + step, other))
-                    else:
-                        out.append((text, n, total if begin == text else total + rest))
-                yield pd.DataFrame(out, columns=["word", "n", "value"])
-
-        zero = F.lit(0).cast("long")
-        a = self.table.select(F.col("begin").alias("text"), "step", "other", F.lit(-1).cast("long").alias("n"))
-        b = words.select(F.col("word").alias("text"), zero.alias("step"), zero.alias("other"), "n")
-        both = a.unionByName(b).withColumn("_first", F.substring("text", 1, 1)).repartition("_first").sortWithinPartitions("text", "n")
-        return both.drop("_first").mapInPandas(walk, "word string, n long, value long")
-
-
-def features(docs: DataFrame, steps: Steps, columns: list[str]) -> DataFrame:
-    """docs: columns, text. One row for each: columns, f (the five features)."""
-    spark = docs.sparkSession
+            def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    k = [key(g, c) for g, c in zip(b.column("gram").to_pylist(), b.column("kind").to_pylist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(k, np.uint64).view(np.int64)), b.column("value")], ["k", "value"])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pieces(batches, "text"):
-            n = Counter()
-            for w, x in Counter(w for t in pdf["text"] for w in words_of(t)).items():
-                n[spelt(w)] += x
-            yield pd.DataFrame({"word": list(n), "n": list(n.values())})
-
-    words = docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    values = materialize(steps.values(words), "toxic-values")
-    top = values.orderBy(F.desc("n"), "word").limit(COMMON).select("word", "value").toPandas()
-    shared = spark.sparkContext.broadcast(dict(zip(top["word"], top["value"].tolist(), strict=True)))
-
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        for pdf in pieces(batches, "text"):
-            out = []
-            for t in pdf["text"]:
-                found = words_of(t)
-                total, best, rare = 0, [], Counter()
-                for w, n in Counter(found).items():
-                    key = spelt(w)
-                    v = known.get(key)
-                    if v is None:
-                        rare[key] += n
-                    else:
-                        total += n * v
-                        best += [v] * min(n, 3)
-                best.sort(reverse=True)
-                out.append((len(found), sum(map(len, found)) + len(found), total, best[:3], list(rare), list(rare.values())))
-            x = pd.DataFrame(out, columns=["n_words", "length", "total", "best", "rare", "times"])
-            yield pd.concat([pdf[columns].reset_index(drop=True), x], axis=1)
-
-    typed = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
-    part = docs.select(*columns, "text").mapInPandas(describe, typed + ", n_words long, length long, total long, best array<long>, rare array<string>, times array<long>")
-    part = materialize(part.withColumn("_row", F.monotonically_increasing_id()), "toxic-parts")
-    left = part.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("_row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    least3 = lambda v: F.slice(F.sort_array(v, asc=False), 1, 3)
-    more = left.join(values.select("word", "value"), "word").groupBy("_row").agg(
-        F.sum(F.col("times") * F.col("value")).alias("_total"), least3(F.flatten(F.collect_list(F.expr("array_repeat(value, CAST(least(times, 3) AS INT))")))).alias("_best")
-    )
-    x = part.drop("rare", "times").join(more, "_row", "left").drop("_row")
-    total = F.col("total") + F.coalesce("_total", F.lit(0))
-    best = least3(F.concat("best", F.coalesce("_best", F.array().cast("array<long>"))))
-    at = [F.coalesce(F.get(best, F.lit(i)) / UNIT, F.lit(0.0)) for i in range(3)]
-    return x.select(*columns, F.array(10 * (total / UNIT) / F.greatest("length", F.lit(1)), *at, F.log1p(F.col("n_words").cast("double"))).alias("f"))
+            x = self.table.mapInArrow(keyed, "k long, value long").toArrow()
+            self.arrays = x.column("k").to_numpy().view(np.uint64), x.column("value").to_numpy()
+
+    def features(self, docs: DataFrame, columns: list[str]) -> DataFrame:
+        """docs: columns, text. columns, f: one row in, one row out."""
+        return self.broadcast(docs, columns) if self.arrays else self.joined(docs, columns)
+
+    def broadcast(self, docs: DataFrame, columns: list[str]) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(self.arrays)  # MOST rows at most
+        names = [*columns, "f"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = Arrays(*shared.value)
+            for batch, texts in text_batches(batches, "text", 1_000_000):
+                f = feature(*excess(texts, model))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(f)], names)
+
+        return docs.select(*columns, "text").mapInArrow(run, _typed(docs, columns) + ", f double")
+
+    def joined(self, docs: DataFrame, columns: list[str]) -> DataFrame:
+        """The same without any broadcast: by the documents' words."""
+        rows = materialize(docs.select(F.expr("uuid()").alias("_row"), *columns, "text"), "toxic-rows")
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in pieces(batches, "text"):
+                found = [(row, w, n) for row, text in zip(pdf["_row"], pdf["text"], strict=True) for w, n in Counter(words_of(text)).items()]
+                yield pd.DataFrame(found, columns=["_row", "word", "times"])
+
+        words = rows.select("_row", "text").mapInPandas(count, "_row string, word string, times long")
+        spelt_, i = F.concat(F.lit(FIRST), "word", F.lit(LAST)), F.col("i")
+        gram = F.substring(spelt_, F.greatest(i - (ORDER - 1), F.lit(1)), F.least(i, F.lit(ORDER)))
+        asked = words.select("word").distinct().select("word", F.explode(F.sequence(F.lit(2), F.length(spelt_))).alias("i")).select("word", gram.alias("gram"))
+        asked = asked.withColumn("context", F.expr("substring(gram, 1, length(gram) - 1)"))
+        steps = self.table.where("kind = 'step'").select("gram", F.col("value").alias("step"))
+        other = self.table.where("kind = 'other'").select(F.col("gram").alias("context"), F.col("value").alias("other"))
+        value = asked.join(steps, "gram", "left").join(other, "context", "left").groupBy("word").agg(F.sum(F.coalesce("step", "other", F.lit(0))).alias("v"))
+        over = value.select("word", (F.col("v") - int(MARGIN * UNIT)).alias("over")).where("over > 0")
+        sums = words.join(over, "word").groupBy("_row").agg(F.sum(F.col("times") * F.col("over")).alias("over"))
+        sizes = words.groupBy("_row").agg(F.sum(F.col("times") * (F.length("word") + 1)).alias("size"))
+        known = rows.select("_row", *columns).join(sums, "_row", "left").join(sizes, "_row", "left")
+        return known.select(*columns, F.log1p(1000 * (F.coalesce("over", F.lit(0)) / UNIT) / F.coalesce("size", F.lit(1))).alias("f"))
+
+
+def _typed(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
 class Model:
-    def __init__(self, steps: Steps, weights: np.ndarray):
+    def __init__(self, steps: Steps, weights: tuple[float, float]):
         self.steps, self.weights = steps, weights
 
     def scored(self, docs: DataFrame, columns: list[str]) -> DataFrame:
         """docs: columns, text. Returns columns, score."""
-        w = [float(x) for x in self.weights]
-        z = sum((F.lit(x) * F.col("f")[i] for i, x in enumerate(w[1:])), F.lit(w[0]))
-        return features(docs, self.steps, columns).select(*columns, (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("score"))
-
-    def score(self, text: str | None) -> float:
-        """Of one text, by its words' beginnings alone."""
-        found = [spelt(w) for w in words_of(text)]
-        begins = sorted({w[:i] for w in found for i in range(1, len(w) + 1)})
-        asked = self.steps.table.sparkSession.createDataFrame([(b,) for b in begins], "begin string")
-        known = {r.begin: (r.step, r.other) for r in self.steps.table.join(asked, "begin").collect()} if begins else {}
-        values = []
-        for w in found:
-            n = next((i for i in range(1, len(w) + 1) if w[:i] not in known), len(w) + 1) - 1
-            rest = 0 if n == len(w) else known[w[:n]][1] if n else self.steps.root
-            values.append(sum(known[w[:i]][0] for i in range(1, n + 1)) + rest)
-        best = [v / UNIT for v in sorted(values, reverse=True)[:3]]
-        length = sum(len(w) + 1 for w in words_of(text))
-        f = [10 * (sum(values) / UNIT) / max(length, 1), *best, *[0.0] * (3 - len(best)), math.log1p(len(found))]
-        z = float(self.weights[0]) + sum(float(w) * x for w, x in zip(self.weights[1:], f, strict=True))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-
-
-def logistic(f: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Offset and weights, by Newton steps on standardised columns."""
-    mean, std = f.mean(axis=0), f.std(axis=0) + 1e-9
-    x = np.hstack([np.ones((len(f), 1)), (f - mean) / std])
-    w, r = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
-    r[0, 0] = 1e-6
-    for _ in range(40):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w - np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + r, x.T @ (q - y) + r @ w)
-    out = np.empty_like(w)
-    out[1:] = w[1:] / std
-    out[0] = w[0] - (out[1:] * mean).sum()
-    return out
+        a, b = self.weights
+        z = F.lit(a) + F.lit(b) * F.col("f")
+        return self.steps.features(docs, columns).select(*columns, (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("score"))
+
+
+def logistic(f: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Offset and slope, by Newton steps that are halved until the loss falls."""
+    x, w = np.stack([np.ones_like(f), f], 1), np.zeros(2)
 
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + ridge * (w @ w) / 2)
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000) -> Model | None:
+    for _ in range(100):
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + ridge * np.eye(2), x.T @ (q - y) + ridge * w)
+        rate = 1.0
+        while loss(w - rate * step) > loss(w) and rate > 1e-9:
+            rate /= 2
+        w = w - rate * step
+    return float(w[0]), float(w[1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, most: int | None = None) -> Model | None:
     """docs: doc_id, text; labels: doc_id, toxic. Rows held out by remainder() are not read.
 
-    per_class bounds the rows for the weights; the counts are of all.
+    per_class bounds the rows for the two weights; the counts are of all training rows.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64(F.lit("fit"), "doc_id"), F.col("doc_id")
-    fifth = known.where(F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(5)) == 0)
-    chosen = [fifth.where(F.col("toxic") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
-    # at most 2 * per_class ids
-    chosen = F.broadcast(materialize(chosen[0].unionByName(chosen[1]), "toxic-chosen").select("doc_id", F.lit(True).alias("kept_out")))
-    rows = docs.select("doc_id", "text").join(known, "doc_id").join(chosen, "doc_id", "left")
+    known = known.withColumn("fifth", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(5)) == 0)
+    rows = docs.select("doc_id", "text").join(known, "doc_id")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pieces(batches, "text"):
             n: Counter = Counter()
-            for (out, c), some in pdf.groupby(["kept_out", "toxic"])["text"]:
+            for (fifth, c), some in pdf.groupby(["fifth", "toxic"])["text"]:
                 for w, x in Counter(w for t in some for w in words_of(t)).items():
-                    n[spelt(w), bool(out), int(c)] += x
-            yield pd.DataFrame([(w, out, x * c, x * (1 - c)) for (w, out, c), x in n.items()], columns=["word", "kept_out", "toxic", "ordinary"])
-
-    sums = [F.sum(c).alias(c) for c in CLASSES]
-    marked = rows.select("toxic", F.coalesce("kept_out", F.lit(False)).alias("kept_out"), "text")
-    words = materialize(marked.mapInPandas(count, "word string, kept_out boolean, toxic long, ordinary long").groupBy("word", "kept_out").agg(*sums), "toxic-words")
-    whole, rest = words.groupBy("word").agg(*sums), words.where("NOT kept_out")
-    n = rest.agg(*sums).first()
-    if not n["toxic"] or not n["ordinary"]:
+                    n[w, fifth, c] += x
+            yield pd.DataFrame([(w, x * c, x * (1 - c), 0 if fifth else x * c, 0 if fifth else x * (1 - c)) for (w, fifth, c), x in n.items()], columns=["word", *counts])
+
+    counts = [*CLASSES, *(f"{c}_rest" for c in CLASSES)]
+    words = rows.select("fifth", "toxic", "text").mapInPandas(count, "word string, " + ", ".join(f"{c} long" for c in counts))
+    words = words.groupBy("word").agg(*[F.sum(c).alias(c) for c in counts])
+    grams = materialize(sequences(words, counts), "toxic-sequences")
+    n = grams.where(F.length("gram") == 2).agg(*[F.sum(c).alias(c) for c in counts]).first()
+    if not all(n[c] for c in CLASSES):
         return None
-    sample = materialize(docs.select("doc_id", "text").join(chosen.drop("kept_out"), "doc_id").join(known, "doc_id").select("toxic", "text"), "toxic-sample")
-    held = features(sample, Steps(rest), ["toxic"]).toPandas()
-    steps = Steps(whole)
-    held = held.assign(key=held["f"].map(tuple)).sort_values(["toxic", "key"])
-    if held["toxic"].nunique() < 2:
-        return Model(steps, np.array([-2.0, 1.0, 0.2, 0, 0, 0]))
-    f, y = np.stack(held["f"].to_numpy()), held["toxic"].to_numpy(float)
-    return Model(steps, logistic(f, y))
+    steps = Steps(grams, *CLASSES, most=most)
+    order = F.xxhash64(F.lit("fit"), "doc_id"), F.col("doc_id")
+    fifth = known.where("fifth")
+    # at most 2 * per_class ids
+    chosen = F.broadcast(materialize(fifth.where("toxic = 0").orderBy(*order).limit(per_class).unionByName(fifth.where("toxic = 1").orderBy(*order).limit(per_class)), "toxic-chosen").select("doc_id", "toxic"))
+    held = None
+    if all(n[f"{c}_rest"] for c in CLASSES):
+        sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "text")
+        held = Steps(grams, *(f"{c}_rest" for c in CLASSES), most=most).features(sample, ["toxic"]).toPandas().sort_values(["toxic", "f"])
+    if held is None or held["toxic"].nunique() < 2:
+        return Model(steps, (-4.0, 2.0))
+    return Model(steps, logistic(held["f"].to_numpy(float), held["toxic"].to_numpy(float)))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id") -> DataFrame:
@@ -338,4 +381,5 @@ def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     scored = model.scored(docs.select(digest.alias("_digest"), "text"), ["_digest"])
     gone = scored.where("score >= 0.5").select("_digest").distinct()
-    return docs.withColumn("_digest", digest).join(gone, "_digest", "left_anti").select(*docs.columns)
+    name = "_digest" + "_" * max(map(len, docs.columns), default=0)
+    return docs.withColumn(name, digest).join(gone.withColumnRenamed("_digest", name), name, "left_anti").select(*docs.columns)

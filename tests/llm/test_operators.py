@@ -240,90 +240,90 @@ def test_components(spark):
     assert out == {**{i: 0 for i in range(21)}, 40: 40, 45: 40, 50: 40}
 
 
-def test_toxicity(spark, none):
-    rng = random.Random(5)
+def toxic_rows(n, rng):
     rows, labels = [], []
-    for i in range(500):
-        toxic = i % 4 == 0
+    for i in range(n):
         w = words(40, rng).split()
-        if toxic:
+        if i % 4 == 0:
             for _ in range(3):
                 w[rng.randrange(40)] = "zog" + rng.choice(WORDS)
         rows.append((i, " ".join(w)))
-        labels.append((i, 1, int(toxic)))
-    rows += [(600, None), (601, ""), (602, "y" * 5000)]
-    d, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    model = toxicity.fit(d, l)
-    out = {r.doc_id: r for r in toxicity.score(d, model).collect()}
-    assert len(out) == 503 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out.values())
-    held = [(out[i].predicted, t) for i, _, t in labels if out[i].held_out]
-    assert sum(p == t for p, t in held) / len(held) > 0.95
-    assert out[600].score == out[601].score
-    assert toxicity.fit(none, l.limit(0)) is None and {r.score for r in toxicity.score(d, None).collect()} == {0.0}
-    assert toxicity.score(none, model).count() == 0
-
-
-def brute_steps(counts):
-    """counts: beginning to (toxic, ordinary). The step of each beginning, and the one for an unseen next character."""
-    ends = {b[-k:]: 0 for b in counts for k in (1, 2, 3) if len(b) >= k}
-    for b in counts:
-        for k in range(1, min(3, len(b)) + 1):
-            ends[b[-k:]] += 1
-
-    def shared(b):
-        p = 1 / (sum(len(g) == 1 for g in ends) + 1)
-        for k in range(1, min(3, len(b)) + 1):
-            same = [n for g, n in ends.items() if len(g) == k and g[:-1] == b[-k:][:-1]]
-            p = (max(ends[b[-k:]] - 0.75, 0) + 0.75 * len(same) * p) / sum(same)
-        return p
+        labels.append((i, int(i % 4 == 0)))
+    return rows, labels
 
-    def after(h):
-        n = [v for b, v in counts.items() if b[:-1] == h]
-        return [(sum(v[c] for v in n), 0.75 * sum(v[c] > 0 for v in n) / sum(v[c] for v in n) if any(v[c] for v in n) else 1.0) for c in (0, 1)]
 
-    step = {}
-    for b, v in counts.items():
-        p = [max(v[c] - 0.75, 0) / max(t, 1) + r * shared(b) for c, (t, r) in enumerate(after(b[:-1]))]
-        step[b] = np.log(p[0] / p[1])
-    return step, {h: np.log(after(h)[0][1] / after(h)[1][1]) for h in ["", *counts]}
-
-
-def test_toxicity_counts_all_training_rows(spark, monkeypatch):
+def test_toxicity(spark, none):
+    rows, labels = toxic_rows(500, random.Random(5))
+    rows += [(600, None), (601, ""), (602, "y" * 5000), (None, rows[0][1]), (2**53 + 1, "zogtan"), (603, rows[0][1]), (603, rows[0][1])]
+    d, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(d, l.unionByName(l).unionByName(spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, toxic int")))
+    found = toxicity.score(d, model).collect()
+    out = {r.doc_id: r for r in found}
+    assert Counter(r.doc_id for r in found) == Counter(i for i, _ in rows) and 2**53 + 1 in out
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) and r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found)
+    held = [(out[i].predicted, t) for i, t in labels if out[i].held_out]
+    assert sum(p == t for p, t in held) / len(held) > 0.95 and sum(p for p, t in held if t) >= 0.9 * sum(t for _, t in held)
+    assert out[600].score == out[601].score and out[603].score == out[0].score == out[None].score
+    assert toxicity.fit(none, l.limit(0)) is None and {r.score for r in toxicity.score(d, None).collect()} == {0.0}
+    assert toxicity.score(none, model).count() == 0
+    kept = toxicity.without_toxic(d.withColumn("_digest", F.lit(1)), model)
+    assert kept.columns == ["doc_id", "text", "_digest"] and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in found if not r.predicted)
+
+
+def slow_word(counts):
+    """counts: word to (toxic, ordinary). The difference of log-likelihoods of any word."""
+    order, d = toxicity.ORDER, toxicity.DISCOUNT
+    n = {}
+    for w, v in counts.items():
+        x = "^" + w + "$"
+        for i in range(1, len(x)):
+            g = n.setdefault(x[max(0, i - order + 1) : i + 1], [0, 0])
+            g[0], g[1] = g[0] + v[0], g[1] + v[1]
+    ends = Counter(g[-k:] for g in n for k in (1, 2, 3) if len(g) >= k)
+
+    def shared(g):
+        g = g[-3:]
+        if not g:
+            return 1 / (sum(len(e) == 1 for e in ends) + 1)
+        same = [c for e, c in ends.items() if len(e) == len(g) and e[:-1] == g[:-1]]
+        return (max(ends[g] - 0.75, 0) + 0.75 * len(same) * shared(g[1:])) / sum(same) if same else shared(g[1:])
+
+    def p(g, c):
+        after = [v[c] for e, v in n.items() if e[:-1] == g[:-1]]
+        total = sum(after)
+        return (max(n.get(g, (0, 0))[c] - d, 0) + sum(min(v, d) for v in after) * shared(g)) / total if total else shared(g)
+
+    def word(w):
+        x = "^" + w + "$"
+        grams = [x[max(0, i - order + 1) : i + 1] for i in range(1, len(x))]
+        return sum(np.log(p(g, 0) / p(g, 1)) for g in grams)
+
+    return word
+
+
+def test_toxicity_is_kneser_ney_over_all_training_rows(spark, monkeypatch):
     rng = random.Random(6)
-    rows = [(i, words(6, rng) + (f" zog{i}" if i % 3 == 0 else "")) for i in range(60)]
-    labels = [(i, int(i % 3 == 0)) for i in range(60)]
+    rows, labels = toxic_rows(120, rng)
+    rows = [(i, " ".join(t.split()[:12])) for i, t in rows] + [(300, "unlabelled zogzog")]
     d, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    model = toxicity.fit(d, l, per_class=2)
     counts = {}
     for (i, t), (_, c) in zip(rows, labels):
         if zlib.crc32(str(i).encode()) % 5:
             for w in t.split():
-                for k in range(1, len(w) + 2):
-                    counts.setdefault((w + "\n")[:k], [0, 0])[1 - c] += 1
-    assert any(sum(v) == 1 for v in counts.values())
-    step, other = brute_steps(counts)
-    found = {r.begin: r.step / toxicity.UNIT for r in model.steps.table.collect()}
-    assert found == pytest.approx(step, abs=1e-8)
-
-    def value(w):
-        total = 0.0
-        for k in range(1, min(len(w) + 1, 24) + 1):
-            b = (w + "\n")[:k]
-            if b not in step:
-                return total + other[b[:-1]]
-            total += step[b]
-        return total
-
-    some = [*[t for _, t in rows], None, "", "zo " * 5 + "unheard TALIS", "ta" * 40 + " qqq talis_ren", "日本 zog1"]
+                counts.setdefault(w, [0, 0])[1 - c] += 1
+    word = slow_word(counts)
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    toxicity.powers.cache_clear()
+    some = [t for _, t in rows[:20]] + [None, "", " _ ", "zogtan unheard TALIS", "ta" * 60 + "qqq talis_ren", "日本 zogra1 zogsolis" * 3]
     texts = spark.createDataFrame(list(enumerate(some)), "i int, text string")
-    for common in (3, 200_000):  # most words joined, all words broadcast
-        monkeypatch.setattr(toxicity, "COMMON", common)
-        for r in toxicity.features(texts, model.steps, ["i"]).collect():
+    for most in (None, 0):  # broadcast, joined
+        model = toxicity.fit(d, l, per_class=2, most=most)
+        assert (model.steps.arrays is None) == (most == 0)
+        for r in model.steps.features(texts, ["i"]).collect():
             w = toxicity.words_of(some[r.i])
-            v = [value(x) for x in w]
-            assert r.f == pytest.approx([10 * sum(v) / max(1, sum(len(x) + 1 for x in w)), *(sorted(v, reverse=True) + [0.0] * 3)[:3], np.log1p(len(w))], abs=1e-6)
-    out = model.scored(texts, ["i"]).collect()
-    assert all(r.score == pytest.approx(model.score(some[r.i]), abs=1e-12) for r in out if r.i % 9 == 0 or r.i > 59)
+            over = sum(max(0.0, word(x) - toxicity.MARGIN) for x in w)
+            assert r.f == pytest.approx(np.log1p(1000 * over / max(1, sum(len(x) + 1 for x in w))), abs=1e-3)
+    toxicity.powers.cache_clear()
 
 
 def brute_repeats(found, least):
