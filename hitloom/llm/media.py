@@ -1,20 +1,21 @@
 """Media columns: AVI with motion JPEG, stored, read back and cut in shots.
 
 A payload of bytes becomes grey frames of 64 x 32: every 64 bytes are one 8 x 8 block
-and every byte one quantised DCT coefficient (the format's unit, kept as it is by a
-reader; samples after the inverse transform would be rounded). The Huffman tables are
-declared so that each code and its value bits fill 16 bits:
-
-* AC: the byte b is the coefficient 256 + b, always of category 9, after a 7-bit code;
-* DC: even blocks hold b - 511 and odd ones b + 256, so the difference is always of
-  category 10, after a 6-bit code; a frame's first block is of category 9.
+and every byte one quantised DCT coefficient, the format's unit, which a reader keeps as
+it is while samples after the inverse transform are rounded. Byte b is the coefficient
+b - 128 below 128 and b - 127 from there on, so none is 0. The Huffman tables are declared
+so that a code and its value bits always fill 16 bits: category c has a code of 16 - c.
 
 A reader takes tables, sizes and frames from the file: the RIFF lists, the idx1 index,
 the JPEG segments. Word-aligned tables are decoded as arrays, any other baseline grey
-scan bit by bit. A shot ends where the histogram difference of two frames is above
-the mean of the differences around it by a multiple of their deviation.
+scan bit by bit; scans that end early are an error. Frames are dequantised and transformed
+back to samples of 0 to 255, and shots are cut on the samples: one ends where the histogram
+difference of two frames is above the mean of the differences around it by a multiple of
+their deviation.
 
 Texts: null is empty; payloads are filled with bytes 0 to a positive multiple of 64.
+Null and repeated ids are rows like any other. A file must stay below 4 GB, which texts
+of Spark (2 GB) reach only above 2,000,000,000 bytes; larger ones raise an error.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitloom.llm.common import pieces
@@ -50,8 +51,36 @@ def _table(kind: int, codes: dict[int, list[int]]) -> bytes:
     return bytes([kind]) + bytes(len(codes.get(n, [])) for n in range(1, 17)) + bytes(x for n in sorted(codes) for x in codes[n])
 
 
+#: code lengths by category, and codes: canonical, in the order in which the tables list them
+DC_SIZES, AC_SIZES = range(9, -1, -1), range(8, 0, -1)
+MOST = 2_000_000_000
+
+
+def _canonical(sizes: range) -> dict[int, int]:
+    out, code, length = {}, 0, 0
+    for c in sizes:  # by length
+        code <<= (16 - c - length) if out else 0
+        out[c], code, length = code, code + 1, 16 - c
+    return out
+
+
+def _word(codes: dict[int, int], value: int) -> int:
+    c = abs(value).bit_length()
+    return codes[c] << c | (value if value > 0 else value + (1 << c) - 1 if c else 0)
+
+
+OF_BYTE = np.array([b - 128 if b < 128 else b - 127 for b in range(256)], np.int32)
+AC_WORDS = np.array([_word(_canonical(AC_SIZES), int(v)) for v in OF_BYTE], np.uint16)
+DC_WORDS = np.array([_word(_canonical(DC_SIZES), v) for v in range(-256, 257)], np.uint16)
+#: values by word; words that are none have NO_VALUE
+NO_VALUE = 1 << 12
+AC_VALUES, DC_VALUES = np.full(1 << 16, NO_VALUE, np.int32), np.full(1 << 16, NO_VALUE, np.int32)
+AC_VALUES[AC_WORDS], DC_VALUES[DC_WORDS] = OF_BYTE, np.arange(-256, 257)
+
+
 def _head(height: int) -> bytes:
-    return b"\xff\xd8" + _segment(0xDB, b"\0" + b"\1" * 64) + _segment(0xC0, struct.pack(">BHHB", 8, height, WIDTH, 1) + b"\1\x11\0") + _segment(0xC4, _table(0x00, {6: [10], 7: [9]}) + _table(0x10, {7: [9]})) + _segment(0xDA, b"\1\1\0\0\x3f\0")
+    tables = _table(0x00, {16 - c: [c] for c in DC_SIZES}) + _table(0x10, {16 - c: [c] for c in AC_SIZES})
+    return b"\xff\xd8" + _segment(0xDB, b"\0" + b"\1" * 64) + _segment(0xC0, struct.pack(">BHHB", 8, height, WIDTH, 1) + b"\1\x11\0") + _segment(0xC4, tables) + _segment(0xDA, b"\1\1\0\0\x3f\0")
 
 
 HEADS = {h: _head(h) for h in range(8, HEIGHT + 1, 8)}
@@ -59,12 +88,8 @@ HEADS = {h: _head(h) for h in range(8, HEIGHT + 1, 8)}
 
 def encode_frame(units: np.ndarray, height: int) -> bytes:
     """units: (blocks, 64) of uint8; blocks fill whole rows of WIDTH."""
-    words = np.empty(units.shape, np.uint16)
-    words[:, 1:] = units[:, 1:].astype(np.uint16) + 256  # code 0000000, then 256 + b
-    dc = units[:, 0].astype(np.int32) + np.where(np.arange(len(units)) % 2, 256, -511)
-    d = np.diff(dc, prepend=0)
-    words[:, 0] = np.where(d < 0, d + 1023, d)  # code 000000, then ten value bits
-    words[0, 0] = (1 << 10) | (d[0] + 511)  # code 0000010, then nine value bits of a negative number
+    words = AC_WORDS[units]
+    words[:, 0] = DC_WORDS[np.diff(OF_BYTE[units[:, 0]], prepend=0) + 256]
     return HEADS[height] + words.astype(">u2").tobytes().replace(b"\xff", b"\xff\0") + b"\xff\xd9"
 
 
@@ -85,7 +110,9 @@ def _scan_bits(data: bytes, dc: dict, ac: dict, blocks: int) -> np.ndarray:
     def take(n: int) -> int:
         nonlocal left
         left -= n
-        return (value >> left) & ((1 << n) - 1) if left >= 0 else 0
+        if left < 0:
+            raise ValueError("the scan ends early")
+        return (value >> left) & ((1 << n) - 1)
 
     def symbol(codes: dict) -> int:
         code = 0
@@ -114,12 +141,12 @@ def _scan_bits(data: bytes, dc: dict, ac: dict, blocks: int) -> np.ndarray:
     return out
 
 
-OWN_DC, OWN_AC = {(6, 0): 10, (7, 2): 9}, {(7, 0): 9}
+OWN_DC, OWN_AC = ({(16 - c, x): c for c, x in _canonical(sizes).items()} for sizes in (DC_SIZES, AC_SIZES))
 
 
-def decode_frame(jpeg: bytes) -> tuple[np.ndarray, int, int]:
-    """Quantised coefficients (blocks, 64) in zigzag order, width and height of a baseline grey frame."""
-    at, dc, ac, width, height = 2, {}, {}, 0, 0
+def decode_frame(jpeg: bytes) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Quantised coefficients (blocks, 64) and their steps (64), both in zigzag order, width and height of a baseline grey frame."""
+    at, dc, ac, width, height, steps = 2, {}, {}, 0, 0, np.ones(64, np.int32)
     while jpeg[at + 1] != 0xDA:
         (n,) = struct.unpack(">H", jpeg[at + 2 : at + 4])
         kind, body = jpeg[at + 1], jpeg[at + 4 : at + 2 + n]
@@ -127,6 +154,8 @@ def decode_frame(jpeg: bytes) -> tuple[np.ndarray, int, int]:
             height, width = struct.unpack(">HH", body[1:5])
             if body[5] != 1:
                 raise ValueError("only grey frames are read")
+        elif kind == 0xDB:
+            steps = np.frombuffer(body, ">u2" if body[0] >> 4 else np.uint8, 64, 1).astype(np.int32)
         elif kind == 0xC4:
             while body:
                 codes, used = _codes(body)
@@ -137,21 +166,41 @@ def decode_frame(jpeg: bytes) -> tuple[np.ndarray, int, int]:
     data = jpeg[at + 2 + n : jpeg.rindex(b"\xff\xd9")].replace(b"\xff\0", b"\xff")
     blocks = -(-width // 8) * -(-height // 8)
     if dc == OWN_DC and ac == OWN_AC and len(data) == blocks * 128:
-        words = np.frombuffer(data, ">u2").reshape(blocks, 64).astype(np.int32)
-        out = words & 511
-        d = words[:, 0] & 1023
-        d[0] = out[0, 0] - 511
-        d[1:] = np.where(d[1:] < 512, d[1:] - 1023, d[1:])
-        out[:, 0] = np.cumsum(d)
-        return out, width, height
-    return _scan_bits(data, dc, ac, blocks), width, height
+        words = np.frombuffer(data, ">u2").reshape(blocks, 64)
+        out = AC_VALUES[words]
+        d = DC_VALUES[words[:, 0]]
+        out[:, 0] = d
+        if out.max(initial=0) < NO_VALUE:
+            out[:, 0] = np.cumsum(d)
+            return out, steps, width, height
+    return _scan_bits(data, dc, ac, blocks), steps, width, height
 
 
 def units_of(coefficients: np.ndarray) -> np.ndarray:
     """The bytes that encode_frame() put in."""
-    out = coefficients - 256
-    out[::2, 0] = coefficients[::2, 0] + 511
-    return out.astype(np.uint8)
+    return np.where(coefficients < 0, coefficients + 128, coefficients + 127).astype(np.uint8)
+
+
+def _zigzag() -> np.ndarray:
+    """The place, row by row, of each coefficient."""
+    order = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
+    return np.array(order)
+
+
+def _inverse() -> np.ndarray:
+    """Samples (64) of each coefficient in zigzag order."""
+    k, x = np.arange(8)[:, None], np.arange(8)[None, :]
+    c = np.cos((2 * x + 1) * k * np.pi / 16) / 2 * np.where(k, 1, 0.5**0.5)
+    return np.einsum("ux,vy->uvxy", c, c).reshape(64, 64)[_zigzag()].astype(np.float32)
+
+
+INVERSE = _inverse()
+
+
+def samples_of(coefficients: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Samples (blocks, 64) row by row, of 0 to 255."""
+    x = (coefficients * steps).astype(np.float32) @ INVERSE
+    return np.clip(np.rint(x + 128), 0, 255).astype(np.uint8)
 
 
 # --- RIFF ------------------------------------------------------------------------
@@ -163,6 +212,8 @@ def _chunk(name: bytes, body: bytes) -> bytes:
 
 def encode_avi(payload: bytes) -> bytes:
     """One motion-JPEG stream; payload: a positive multiple of 64 bytes."""
+    if len(payload) > MOST:
+        raise ValueError("the file would not stay below 4 GB")
     units = np.frombuffer(payload, np.uint8).reshape(-1, 64)
     n = len(units)
     across = WIDTH // 8
@@ -223,12 +274,43 @@ def shots(histograms: np.ndarray, around: int = 8, factor: float = 2.0, least: f
 
 
 def frame_histograms(frames: list[np.ndarray], bins: int = 32) -> np.ndarray:
-    return np.stack([np.bincount(f.ravel() >> 3, minlength=bins) / f.size for f in frames])
+    """frames: samples of each."""
+    n = np.array([f.size for f in frames])
+    of = np.repeat(np.arange(len(frames)) * bins, n)
+    every = np.concatenate([f.ravel() for f in frames])
+    return np.bincount(of + (every.astype(np.int64) * bins >> 8), minlength=bins * len(frames)).reshape(-1, bins) / n[:, None]
+
+
+class Film:
+    """A file read back: coefficients and samples of its frames."""
+
+    def __init__(self, media: bytes):
+        jpegs, self.frame_us, self.length = read_avi(media)
+        found = [decode_frame(f) for f in jpegs]
+        self.coefficients = [f[0] for f in found]
+        ends = np.cumsum([len(c) for c in self.coefficients])[:-1]
+        steps = np.concatenate([np.broadcast_to(f[1], f[0].shape) for f in found])
+        self.frames = np.split(samples_of(np.concatenate(self.coefficients), steps), ends)
+
+    def payload(self) -> bytes:
+        return units_of(np.concatenate(self.coefficients)).tobytes()[: self.length]
+
+    def clips(self) -> list[tuple[int, int]]:
+        return shots(frame_histograms(self.frames))
 
 
 # --- columns ---------------------------------------------------------------------
 
 
+def _text_id(id_col: str) -> Column:
+    """Ids as text, which pandas keeps whole beside a null."""
+    return F.col(id_col).cast("string").alias("id")
+
+
+def _named(df: DataFrame, id_col: str) -> DataFrame:
+    return df.select(F.col("id").cast("long").alias(id_col), *df.columns[1:])
+
+
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, media (binary): each text's payload as a motion-JPEG file."""
 
@@ -237,22 +319,22 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             raw = [(t or "").encode("utf-8", "replace") for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "n_bytes": [len(x) for x in raw], "media": [encode_avi(padded(x)) for x in raw]})
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return _named(df.select(_text_id(id_col), F.col(text_col).alias("text")).mapInPandas(run, "id string, n_bytes long, media binary"), id_col)
 
 
 def clips(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """df: id, media. One row a clip: id, clip, start_us, end_us, n_frames, mean."""
+    """df: id, media. One row a clip: id, clip, start_us, end_us, n_frames, mean (of its samples)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for i, media in zip(pdf["id"], pdf["media"], strict=True):
-                frames, us, _ = read_avi(media)
-                units = [units_of(decode_frame(f)[0]) for f in frames]
-                out += [(i, k, a * us, b * us, b - a, float(np.mean([u.mean() for u in units[a:b]]))) for k, (a, b) in enumerate(shots(frame_histograms(units)))]
+                film = Film(media)
+                us = film.frame_us
+                out += [(i, k, a * us, b * us, b - a, float(np.mean(np.concatenate([f.ravel() for f in film.frames[a:b]])))) for k, (a, b) in enumerate(film.clips())]
             yield pd.DataFrame(out, columns=["id", "clip", "start_us", "end_us", "n_frames", "mean"])
 
-    return df.select(F.col(id_col).alias("id"), "media").mapInPandas(run, "id long, clip int, start_us long, end_us long, n_frames int, mean double").withColumnRenamed("id", id_col)
+    return _named(df.select(_text_id(id_col), "media").mapInPandas(run, "id string, clip int, start_us long, end_us long, n_frames int, mean double"), id_col)
 
 
 def digest(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -262,12 +344,11 @@ def digest(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
         for pdf in batches:
             out = []
             for i, n, media in zip(pdf["id"], pdf["n_bytes"], pdf["media"], strict=True):
-                frames, us, length = read_avi(media)
-                units = [units_of(decode_frame(f)[0]) for f in frames]
-                payload = b"".join(u.tobytes() for u in units)[:length]
-                feature = ";".join(f"{a * us // 1000}-{b * us // 1000}" for a, b in shots(frame_histograms(units)))
-                out.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"frames={len(frames)} clips_ms={feature}"))
+                film = Film(media)
+                payload = film.payload()
+                feature = ";".join(f"{a * film.frame_us // 1000}-{b * film.frame_us // 1000}" for a, b in film.clips())
+                out.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"frames={len(film.frames)} clips_ms={feature}"))
             yield pd.DataFrame(out, columns=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return df.select(F.col(id_col).alias("id"), "n_bytes", "media").mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    schema = "id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return _named(df.select(_text_id(id_col), "n_bytes", "media").mapInPandas(run, schema), id_col)
