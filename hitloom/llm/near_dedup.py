@@ -10,7 +10,7 @@ Documents with equal sets are one class from the start. Links are found in two s
 1. in every bucket each class is tried against the smallest one; the links that hold
    give components;
 2. where different components still share a bucket, single classes are tried in pairs
-   (each in the first table that it meets in), and a class of the smaller component against all members of the larger one, in
+   (each in the first table that it meets in, large buckets a block by a block), and a class of the smaller component against all members of the larger one, in
    blocks that count common runs through an index and emit links only.
 
 Pairs are dropped before their texts are read only by size, which is exact, and by a
@@ -19,7 +19,7 @@ of its limit with a chance of about 5e-6. No link is left out because a bucket i
 large, and members of one component never meet in pairs. Links are confirmed on the
 full sets of both texts.
 
-A text's set: its distinct runs of `words` words, lower case in ASCII; with fewer words
+Words and runs are told apart by 64-bit hashes. A text's set: its distinct runs of `words` words, lower case in ASCII; with fewer words
 the whole sequence; without words it is empty and linked with nothing. A doc_id names
 one document; rows with a null id are linked with nothing. Extra columns are ignored.
 """
@@ -46,6 +46,8 @@ SKETCH = 128
 SKETCH_LEAST = 90
 #: classes in a block of step 2
 BLOCK = 256
+#: parts in which the pairs of one class are dealt
+SALTS = 64
 KEEP = 400_000
 
 
@@ -134,11 +136,11 @@ def prints(docs: DataFrame, words: int) -> DataFrame:
                     out.append((i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch(s), table_keys(m).astype(np.int64), part_hashes(m).astype(np.uint32).view(np.int32)))
                 else:
                     out.append((i, 0, None, None, None, None))
-            x = pd.DataFrame(out, columns=["doc_id", "n", "set", "sketch", "keys", "parts"])
-            x["doc_id"] = pdf["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)
-            yield x
+            yield pd.DataFrame(out, columns=["doc_id", "n", "set", "sketch", "keys", "parts"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, set binary, sketch array<long>, keys array<long>, parts array<int>")
+    # ids as text, which pandas keeps whole beside a null
+    found = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, n long, set binary, sketch array<long>, keys array<long>, parts array<int>")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
@@ -147,25 +149,30 @@ def texts_of(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs a, b whose full sets have 100 * common >= percent * union."""
+    """The pairs a, b whose full sets have 100 * common >= percent * union.
+
+    The pairs of one a are dealt in SALTS parts; its text goes once to each, followed by those of b.
+    """
     texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"
-    )
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    tails = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "text")
+    heads = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    rows = heads.unionByName(tails).withColumn("head", F.col("b").isNull()).withColumn("b", F.coalesce("b", "a"))
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("head"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: tuple[str | None, np.ndarray] = (None, np.empty(0, np.uint64))
+        s = np.empty(0, np.uint64)
         for pdf in batches:
             keep = []
-            for a, b in zip(pdf["text_a"], pdf["text_b"], strict=True):
-                if a != last[0]:
-                    last = (a, shingles(a, words))
-                s, t = last[1], shingles(b, words)
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * common >= percent * (len(s) + len(t) - common))
+            for head, text in zip(pdf["head"], pdf["text"], strict=True):
+                t = shingles(text, words)
+                if head:
+                    s = t
+                common = 0 if head else len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(not head and 100 * common >= percent * (len(s) + len(t) - common))
             yield pdf.loc[keep, ["a", "b"]]
 
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long").distinct()
+    return rows.select("a", "b", "head", "text").mapInPandas(run, "a long, b long").distinct()
 
 
 def block_links(members: list[np.ndarray], asked: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -230,6 +237,21 @@ def first_met() -> str:
     return " AND ".join(left + right)
 
 
+def met_pairs(single: DataFrame, percent: int) -> DataFrame:
+    """a < b: classes that share a bucket and can be similar.
+
+    A bucket is dealt in blocks of about BLOCK classes, and a task holds two of them.
+    """
+    blocks = single.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = single.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    last = F.col("blocks") - 1
+    x = dealt.withColumn("low", F.col("block")).withColumn("high", F.explode(F.sequence("block", last)))
+    y = dealt.withColumn("high", F.col("block")).withColumn("low", F.explode(F.sequence(F.lit(0), "block")))
+    met = F.expr(f"x.key = y.key AND x.low = y.low AND x.high = y.high AND (x.low < x.high OR x.rep < y.rep) AND {alike('x', 'y', percent)} AND {first_met()}")
+    found = x.alias("x").join(y.alias("y"), met)
+    return found.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_shingles, component_id, kept; one row in, one row out."""
     known = materialize(prints(docs, words), "prints")
@@ -258,8 +280,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     apart = materialize(labelled.join(open_keys, "key"), "apart")
     single = materialize(apart.where("size = 1").select("key", "t", "rep").join(reps.select("rep", "n", "sketch", "parts"), "rep"), "single")
-    pairs = single.alias("x").join(single.alias("y"), F.expr(f"x.key = y.key AND x.rep < y.rep AND {alike('x', 'y', percent)} AND {first_met()}"))
-    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    pairs = met_pairs(single, percent).join(tried, ["a", "b"], "left_anti")
     more = verified(materialize(pairs, "pairs"), docs, words, percent)
 
     larger = apart.where("size > 1").select("key", F.col("component").alias("of"), F.col("size").alias("of_size")).distinct()
