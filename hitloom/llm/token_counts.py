@@ -91,7 +91,8 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """
     if rule not in ("start", "most"):
         raise ValueError(f"rule {rule!r} is neither 'start' nor 'most'")
-    kept = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([F.col(sections_col).alias("sections")] if sections_col else []))
+    # ids as text, which pandas keeps whole beside a null
+    kept = df.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).alias("text"), *([F.col(sections_col).alias("sections")] if sections_col else []))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pieces(batches, "text"):
@@ -110,6 +111,7 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     number, s0, s1, n = (np.append(a, b) for a, b in ((number, -1), (s0, 0), (s1, len(text)), (n, rest)))
                 out.append((np.full(len(n), i), number, s0, s1, n))
             at, number, s0, s1, n = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pd.DataFrame({"id": pdf["id"].iloc[at].astype("Int64").to_numpy(dtype=object, na_value=None), "section": number, "start": s0, "end": s1, "n_tokens": n})
+            yield pd.DataFrame({"id": pdf["id"].to_numpy(dtype=object)[at], "section": number, "start": s0, "end": s1, "n_tokens": n})
 
-    return kept.mapInPandas(count, "id long, section int, start long, end long, n_tokens long").withColumnRenamed("id", id_col)
+    counted = kept.mapInPandas(count, "id string, section int, start long, end long, n_tokens long")
+    return counted.select(F.col("id").cast("long").alias(id_col), *counted.columns[1:])

@@ -107,13 +107,44 @@ def test_media_round_trip(docs, none):
     assert media.digest(media.encode(none)).count() == 0 and media.clips(media.encode(docs)).where("end_us <= start_us").count() == 0
 
 
+def test_media_keeps_ids(spark):
+    x = spark.createDataFrame([(None, "a", "m"), (2**53 + 1, "a", "m"), (5, None, "m"), (5, None, "m")], "doc_id long, text string, media string")
+    out = [(r.doc_id, r.n_bytes, r.media_sha256) for r in media.digest(media.encode(x)).collect()]
+    assert {i for i, *_ in out} == {None, 2**53 + 1, 5} and len(out) == 4 and len({h for _, n, h in out if n}) == 1
+    with pytest.raises(ValueError):
+        media._scan_bits(b"\0", media.OWN_DC, media.OWN_AC, 1)
+
+
 def test_jpeg_tables_bit_by_bit(monkeypatch):
     units = np.random.default_rng(0).integers(0, 256, (32, 64)).astype(np.uint8)
+    units[0] = np.arange(64) * 4
     frame = media.encode_frame(units, 32)
-    fast, _, _ = media.decode_frame(frame)
+    fast, steps, _, _ = media.decode_frame(frame)
     monkeypatch.setattr(media, "OWN_DC", {})
-    slow, w, h = media.decode_frame(frame)
+    slow, _, w, h = media.decode_frame(frame)
     assert (fast == slow).all() and (w, h) == (64, 32) and (media.units_of(slow) == units).all()
+    assert list(media._zigzag()[:10]) == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24]
+    # samples by the formula of the inverse transform
+    got, z = media.samples_of(fast[:3], 3 * steps).reshape(3, 8, 8), media._zigzag()
+    scale = lambda k: 0.5**0.5 if k == 0 else 1.0
+    for b in range(3):
+        for y, x in ((0, 0), (3, 5), (7, 2)):
+            total = 0.0
+            for i in range(64):
+                v, u = divmod(int(z[i]), 8)
+                total += scale(u) * scale(v) / 4 * 3 * fast[b, i] * np.cos((2 * x + 1) * u * np.pi / 16) * np.cos((2 * y + 1) * v * np.pi / 16)
+            assert abs(int(got[b, y, x]) - min(255, max(0, round(total + 128)))) <= 1
+
+
+def test_clips_are_cut_on_samples(spark):
+    rng = np.random.default_rng(3)
+    # text-like bytes, then bytes near 127 (small coefficients, flat frames), then as before
+    parts = [rng.integers(60, 120, 2048 * 6), rng.integers(122, 128, 2048 * 5), rng.integers(60, 120, 2048 * 4)]
+    text = "".join(chr(c) for c in np.concatenate(parts))
+    out = media.clips(media.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"))).orderBy("clip").collect()
+    assert [(r.start_us, r.end_us, r.n_frames) for r in out] == [(0, 240_000, 6), (240_000, 440_000, 5), (440_000, 600_000, 4)]
+    film = media.Film(media.encode_avi(media.padded(text.encode())))
+    assert abs(out[1]["mean"] - np.mean([f.mean() for f in film.frames[6:11]])) < 1e-9 and film.frames[7].std() < film.frames[2].std()
 
 
 def test_shots_cut_where_histograms_jump():
@@ -140,52 +171,106 @@ def test_secrets_base_spans(docs, none):
     assert "AKIA" not in masked[13] and masked[0] is None and masked[5] == BASE
 
 
-def test_secrets_network_learns_and_gradient_is_right():
+def slow_probability(scanner, text, a, b):
+    """The network on one candidate, place by place."""
+    w, p, half = secrets.window(text, a, b), scanner.p, secrets.WIDE // 2
+    code = lambda c: 0 if c == "\0" else ord(c) - 31 if " " <= c <= "~" else 96 if "\t" <= c <= "\r" else 97
+    x = [0] * half + [code(c) for c in w] + [0] * half
+    h = [np.maximum(np.concatenate([p["e"][x[i + k]] for k in range(secrets.WIDE)]) @ p["w"] + p["b"], 0) for i in range(len(w))]
+    inside, around = h[secrets.LEFT : len(w) - secrets.RIGHT], h[: secrets.LEFT] + h[len(w) - secrets.RIGHT :]
+    z = np.concatenate([np.max(inside, axis=0), np.max(around, axis=0)]) @ p["v"] + p["c"][0]
+    return 1 / (1 + np.exp(-(scanner.ab[0] * z + scanner.ab[1])))
+
+
+def test_secrets_network_learns_and_gradient_is_right(monkeypatch):
     rng = random.Random(1)
-    w, y = [], []
-    for _ in range(300):
+    w, y, at = [], [], []
+    for _ in range(400):
         good = rng.random() < 0.5
-        run = "".join(rng.choice("abcdef0123456789ABCxyz") for _ in range(24)) if good else words(3, rng).replace(" ", "")[:24]
+        run = "".join(rng.choice("abcdef0123456789ABCxyz") for _ in range(rng.randint(14, 90))) if good else words(9, rng).replace(" ", "")[:24]
         text = f"{words(4, rng)} {'key = ' if good else 'and '}{run} {words(2, rng)}"
         a = text.index(run)
-        w.append(secrets.window(text, a, a + len(run)))
+        at.append((text, a, a + len(run)))
+        w.append(secrets.window(*at[-1]))
         y.append(int(good))
-    scanner = secrets.fitted(w, np.array(y), np.zeros(300, int), 0.98)
+    y = np.array(y)
+    scanner = secrets.fitted(w, y, np.zeros(400, int), np.ones(400, bool), 0.98)
     q = scanner.probability(w)
-    assert ((q >= 0.5) == np.array(y)).mean() > 0.95
-    p, x = secrets.initial(1), secrets.symbols(w[:6])
-    g = secrets.gradient(p, x, np.array(y[:6]), np.ones(6))
+    assert ((q >= 0.5) == y).mean() > 0.95 and scanner.measured >= 0.9
+    monkeypatch.setattr(secrets, "BLOCK", 200)  # the same in small pieces
+    assert scanner.probability(w) == pytest.approx(q) and [slow_probability(scanner, *c) for c in at[:30]] == pytest.approx(q[:30])
+    p, x = secrets.initial(1), secrets.Windows(w[:6])
+    g = secrets.gradient(p, x, y[:6], np.ones(6))
 
     def loss():
-        z, _ = secrets.respond(p, x)
-        return np.mean(np.log1p(np.exp(z)) - np.array(y[:6]) * z)
+        z, _, _ = secrets.respond(p, x)
+        return np.mean(np.log1p(np.exp(z)) - y[:6] * z)
 
-    p["v"][3] += 1e-5
-    up = loss()
-    p["v"][3] -= 2e-5
-    assert abs((up - loss()) / 2e-5 - g["v"][3]) < 1e-4
+    for name, i in (("v", 3), ("v", 30), ("w", (7, 2)), ("b", 4), ("c", 0), ("e", (int(x.x[10]), 3))):
+        p[name][i] += 1e-5
+        up = loss()
+        p[name][i] -= 2e-5
+        assert abs((up - loss()) / 2e-5 - g[name][i]) < 1e-4
+        p[name][i] += 1e-5
 
 
-def test_secrets_outside_the_rules_are_found(spark):
-    rng = random.Random(11)
+def test_calibration_lowers_the_loss():
+    rng = np.random.default_rng(0)
+    z = np.concatenate([rng.normal(-9, 4, 500), rng.normal(12, 4, 500)])
+    y = np.concatenate([np.zeros(500), np.ones(500)])
+    loss = lambda a, b: np.logaddexp(0, a * z + b).sum() - y @ (a * z + b)
+    a, b = secrets.platt(z, y)
+    assert loss(a, b) < loss(1, 0) and loss(a, b) < loss(a + 0.05, b) + 1 and 0 < a < 1
+
+
+def secret_rows(n, rng):
     run = lambda n, of="abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789": "".join(rng.choice(of) for _ in range(n))
     key = lambda: "ghp_" + run(30)
     rows = []
-    for i in range(400):
+    for i in range(n):
         some = [f"token = {run(28)}1a", f"AKIA{run(16, 'ABCDEFGHIJ234567')}", run(32, "0123456789abcdef"), f"order {run(20, '0123456789')}"][i % 4]
         rows.append((i, f"{words(8, rng)} {some} {words(8, rng)} incomprehensibilities {key() if i % 2 else ''}"))
+    return rows, key
+
+
+def test_secrets_outside_the_rules_are_found(spark):
+    rng = random.Random(11)
+    rows, key = secret_rows(400, rng)
     # no rule finds it, and nothing says that it is ordinary: it is no example
     assert [y for y, *_ in secrets.examples(f"some {key()} here")] == []
     assert [y for y, *_ in secrets.examples("commit 1A" + "b2C3d4" * 4)] == [0]
-    held, _, _ = secrets.examples("a token = 'abcdefgh12345678' b")[0]
-    assert held == 1 and all("token" not in w for y, w, _ in secrets.examples("a token = 'abcdefgh12345678' b"))
-    assert any("0A" in w for y, w, _ in secrets.examples("x 0a1b2c3d4e5f60718 y") if y)
+    found = secrets.examples("a token = 'abcdefgh12345678' b")
+    assert [(y, m) for y, _, _, m in found] == [(1, False), (1, True), (1, True)] and all("token" not in w for _, w, _, m in found if m)
+    assert any("0A" in w for y, w, _, _ in secrets.examples("x 0a1b2c3d4e5f60718 y") if y)
+    long = "a1" * 50_000
+    assert len(secrets.examples(f"key: {long} token={long}")[0][1]) == len(long) + secrets.LEFT + secrets.RIGHT  # whole candidates
     scanner = secrets.fit(spark.createDataFrame(rows, "doc_id long, text string"))
     assert scanner.measured > 0.9
     unseen = spark.createDataFrame([(i, f"{words(5, rng)} {key()} {words(5, rng)}") for i in range(40)], "doc_id long, text string")
     assert sum(r.n_model for r in secrets.scan(unseen, scanner).collect()) >= 20
 
 
+def test_secrets_scan_is_the_network_on_each_candidate(spark):
+    rows, key = secret_rows(160, random.Random(12))
+    scanner = secrets.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    some = rows[:60] + [(None, rows[0][1]), (2**53 + 1, rows[1][1]), (7, rows[7][1]), (900, None), (901, f"{key()} " * 3 + "checksum " + "9f" * 40 + " zQ1" * 9)]
+    out = secrets.scan(spark.createDataFrame([(*r, "x") for r in some], "doc_id long, text string, spans string"), scanner).collect()
+    got = sorted((r.doc_id or -1, r.spans, r.n_model, [round(q, 6) for q in r.probabilities]) for r in out)
+    want = []
+    for i, t in some:
+        t = t or ""
+        base = slow_spans(t)
+        more = [m.span() for m in secrets._RUN.finditer(t) if m.end() - m.start() >= 12 and any(c.isdigit() for c in m.group()) and any(c.isalpha() for c in m.group())]
+        more = [("model", a, b) for a, b in more if all(y <= a or x >= b for _, x, y in base)]
+        q = {s: slow_probability(scanner, t, *secrets.value_of(t, s)) for s in base + more}
+        keep = [s for s in base + more if s[0] != "model" or q[s] >= scanner.thresholds[secrets.shape(t[s[1] : s[2]])] - 1e-9]
+        keep.sort(key=lambda s: (s[1], secrets.KINDS[s[0]], s[2]))
+        want.append((i or -1, secrets.written(keep), len(keep) - len(base), [round(float(q[s]), 6) for s in keep]))
+        if i == 0:
+            want[-1] = (0 or -1, *want[-1][1:])
+    assert got == sorted(want)
+
+
 def sets(text, k):
     w = (text or "").encode().lower().split()
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
@@ -376,6 +461,29 @@ def test_top_k(spark):
         want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(best)}
     assert out == want
     assert topk.top_k(v.limit(0), v.limit(0), 10).count() == 0
+    again = topk.top_k(v.where("vec_id IN (1, 100)").unionByName(v.where("vec_id = 1")), v.where("vec_id = 100"), 10).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in again] == [(100, 1, 1), (100, 2, 1)]  # of repeated candidates each counts
+    with pytest.raises(OverflowError):
+        topk.products(np.full((1, 2), 2**40), np.full((1, 2), 2**40))
+
+
+def test_top_k_leaves_blocks_out(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, [float(v) for v in centres[i % 40] + 0.05 * rng.normal(size=16)]) for i in range(4000)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    order = topk.quantised(v).orderBy(topk.leading(F.col("v")), "vec_id").toPandas()
+    ids, m = order["vec_id"].to_numpy(np.int64), topk._matrix(list(order["v"]))
+    q = m[ids % 100 == 0]
+    found, scored = topk.best(q, ids[ids % 100 == 0], m, ids, 10, block=32)
+    assert scored < 0.25 * len(q) * (len(m) // 32)
+    _, more = topk.best(q, ids[ids % 100 == 0], m, ids, 10, topk.seeded(q, ids[ids % 100 == 0], m[::3], ids[::3], 10), block=32)
+    assert more <= scored
+    s = q @ m.T
+    for i, own in enumerate(ids[ids % 100 == 0]):
+        best = sorted((-int(x), int(j)) for x, j in zip(s[i], ids) if j != own)[:10]
+        assert [(-a, c) for c_, c, a in found if c_ == own] == best
 
 
 def test_pieces(spark, docs, none, monkeypatch):
