@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitloom.operators.seeding import station  # noqa: F401
+from hitloom.operators.ordered import walk
 
 
 def accept(segments: DataFrame, least: dict[int, int], most: float = 10.0) -> DataFrame:
@@ -22,30 +21,36 @@ def shared_hits(hits: DataFrame) -> DataFrame:
     return met.groupBy(F.col("a.window_id").alias("window_id"), F.col("a.segment_id").alias("s1"), F.col("b.segment_id").alias("s2")).agg(F.count("*").alias("shared"))
 
 
-def best_first(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One window's rows segment_id, quality and rivals (those it may not stand beside): the kept ones."""
-    kept: set[int] = set()
-    for s, rivals in pdf.sort_values(["quality", "segment_id"])[["segment_id", "rivals"]].itertuples(index=False):
-        if not kept.intersection(() if rivals is None else rivals):
-            kept.add(s)
-    return pdf[pdf["segment_id"].isin(kept)][["window_id", "segment_id"]]
+def _unless_rival(kept: set[int], row: tuple) -> tuple | None:
+    segment, rivals = row
+    if not kept.isdisjoint(rivals):
+        return None
+    kept.add(segment)
+    return (segment,)
 
 
 def without_duplicates(segments: DataFrame, hits: DataFrame, most: float = 0.7) -> DataFrame:
     """Best chi2 first; a segment goes if it shares more than `most` of the smaller set with a kept one.
 
-    Only windows where some pair clashes reach Python, with their rivals listed.
+    A segment that clashes with none, or only with worse ones, is kept natively; the others
+    are walked in order with their better rivals.
     """
     sizes = hits.groupBy("window_id", "segment_id").agg(F.count("*").alias("n"))
     pairs = shared_hits(hits)
     n1 = sizes.select("window_id", F.col("segment_id").alias("s1"), F.col("n").alias("n1"))
     n2 = sizes.select("window_id", F.col("segment_id").alias("s2"), F.col("n").alias("n2"))
     clash = pairs.join(n1, ["window_id", "s1"]).join(n2, ["window_id", "s2"]).where(F.col("shared") > most * F.least("n1", "n2"))
-    both = clash.select("window_id", F.col("s1").alias("segment_id"), F.col("s2").alias("rival")).unionByName(clash.select("window_id", F.col("s2").alias("segment_id"), F.col("s1").alias("rival")))
-    rivals = both.groupBy("window_id", "segment_id").agg(F.collect_list("rival").alias("rivals"))
-    known = segments.select("window_id", "segment_id", (F.col("chi2") / F.greatest(F.lit(1), F.col("ndf"))).alias("quality")).join(rivals, ["window_id", "segment_id"], "left")
-    free = known.where("rivals IS NULL").select("window_id", "segment_id")
-    kept = known.where("rivals IS NOT NULL").groupBy("window_id").applyInPandas(best_first, "window_id long, segment_id long")
+    quality = segments.select("window_id", "segment_id", (F.col("chi2") / F.greatest(F.lit(1), F.col("ndf"))).alias("quality"))
+    q1, q2 = (quality.withColumnsRenamed({"segment_id": s, "quality": f"q{s}"}) for s in ("s1", "s2"))
+    judged = clash.join(q1, ["window_id", "s1"]).join(q2, ["window_id", "s2"]).withColumn("first", F.struct("qs1", "s1") < F.struct("qs2", "s2"))
+    better = F.when(F.col("first"), F.col("s1")).otherwise(F.col("s2")).alias("better")
+    worse = F.when(F.col("first"), F.col("s2")).otherwise(F.col("s1")).alias("segment_id")
+    rivals = judged.select("window_id", worse, better).groupBy("window_id", "segment_id").agg(F.collect_list("better").alias("rivals"))
+    known = quality.join(rivals, ["window_id", "segment_id"], "left").withColumn("rivals", F.coalesce("rivals", F.expr("CAST(array() AS ARRAY<BIGINT>)")))
+    # windows in which none has a better rival need no order
+    clashing = rivals.select("window_id").distinct()
+    free = known.join(clashing, "window_id", "left_anti").select("window_id", "segment_id")
+    kept = walk(known.join(clashing, "window_id", "left_semi"), ["window_id"], ["quality", "segment_id"], ["segment_id", "rivals"], set, _unless_rival, "window_id long, segment_id long")
     return segments.join(free.unionByName(kept), ["window_id", "segment_id"], "left_semi")
 
 
@@ -65,28 +70,23 @@ def link_candidates(segments: DataFrame, boundary: float = 50.0, max_dist: float
     return judged.select("window_id", F.col("det").cast("int").alias("det"), "up", "down", "dist", "angle", (F.pow("dist", 2) + angle_weight * F.pow("angle", 2)).alias("score"))
 
 
-def one_to_one(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One window's links, best first, each side used once."""
-    up: set[int] = set()
-    down: set[int] = set()
-    flags = []
-    pdf = pdf.sort_values(["score", "up", "down"])
-    for a, b in zip(pdf["up"], pdf["down"], strict=True):
-        flags.append(a not in up and b not in down)
-        if flags[-1]:
-            up.add(a)
-            down.add(b)
-    return pdf[flags][["window_id", "det", "up", "down"]]
+def _both_free(used: tuple[set[int], set[int]], row: tuple) -> tuple | None:
+    det, up, down = row
+    if up in used[0] or down in used[1]:
+        return None
+    used[0].add(up)
+    used[1].add(down)
+    return det, up, down
 
 
 def link(candidates: DataFrame) -> DataFrame:
-    """Links taken in order of (score, up, down): a link that is best for both of its sides stands at once, only the rest reach Python."""
+    """Links of each window in order of (score, up, down), each side used once."""
     slim = candidates.select("window_id", "det", "up", "down", F.round("score", 9).alias("score"))
-    return slim.groupBy("window_id").applyInPandas(one_to_one, "window_id long, det int, up long, down long")
+    return walk(slim, ["window_id"], ["score", "up", "down"], ["det", "up", "down"], lambda: (set(), set()), _both_free, "window_id long, det int, up long, down long")
 
 
 def chains(links: DataFrame) -> DataFrame:
-    """first, second, third (null in chains of two)."""
+    """first, second, third (null in chains of two, of detectors 0, 1 or 1, 2)."""
     a = links.where("det = 0").select("window_id", F.col("up").alias("first"), F.col("down").alias("second"))
     b = links.where("det = 1").select("window_id", F.col("up").alias("second"), F.col("down").alias("third"))
     return a.join(b, ["window_id", "second"], "full").select(
@@ -95,6 +95,23 @@ def chains(links: DataFrame) -> DataFrame:
     )
 
 
+def accepted_chains(found: DataFrame, links: DataFrame, three: Column, score: str = "score") -> DataFrame:
+    """Chains of three that `three` rejects fall back to the better of their two links, the first in a tie.
+
+    found: as chains() gives them; links: window_id, up, down and a score, smaller is better;
+    three: a predicate over the columns of found.
+    """
+    first = links.select("window_id", F.col("up").alias("first"), F.col("down").alias("second"), F.col(score).alias("_s1"))
+    second = links.select("window_id", F.col("up").alias("second"), F.col("down").alias("third"), F.col(score).alias("_s2"))
+    rejected = F.col("third").isNotNull() & ~F.coalesce(three, F.lit(False))
+    known = found.withColumn("_rejected", rejected).join(first, ["window_id", "first", "second"], "left").join(second, ["window_id", "second", "third"], "left")
+    later = F.col("_rejected") & (F.col("_s2") < F.col("_s1"))
+    return known.select(
+        "window_id", F.when(later, F.col("second")).otherwise(F.col("first")).alias("first"), F.when(later, F.col("third")).otherwise(F.col("second")).alias("second"),
+        F.when(~F.col("_rejected"), F.col("third")).alias("third"),
+    )
+
+
 def remaining(hits: DataFrame, taken: DataFrame) -> DataFrame:
     """Hits of the pool that no accepted piece has taken."""
     return hits.join(taken.select("window_id", "hit_id").distinct(), ["window_id", "hit_id"], "left_anti")
@@ -140,15 +157,20 @@ def number_states(states: DataFrame, keys: list[str], order: str = "reversed") -
     return states.withColumn("state_idx", F.row_number().over(w) - 1).withColumn("nmeas", F.count("*").over(Window.partitionBy(*keys)))
 
 
-def in_slab(points: DataFrame, slabs: DataFrame, row_id: list[str]) -> DataFrame:
-    """points with by: the field of the first slab that holds them, else 0. slabs: a table of fixed size."""
-    p, s = points.alias("p"), F.broadcast(slabs).alias("s")
-    inside = F.expr("p.x BETWEEN s.xlo AND s.xhi AND p.y BETWEEN s.ylo AND s.yhi AND p.z BETWEEN s.zlo AND s.zhi")
-    found = p.join(s, inside).groupBy(*[F.col(f"p.{c}").alias(c) for c in row_id]).agg(F.min_by("s.by", "s.slab_id").alias("by"))
-    return points.join(found, row_id, "left").withColumn("by", F.coalesce("by", F.lit(0.0)))
+def in_slab(points: DataFrame, slabs: list[tuple[float, float, float, float, float, float, float]]) -> DataFrame:
+    """points with by: the field of the first slab that holds them, else 0. slabs: x, y and z from and to, and the field."""
+    by = F.lit(0.0)
+    for xlo, xhi, ylo, yhi, zlo, zhi, field in reversed(slabs):
+        inside = F.col("x").between(xlo, xhi) & F.col("y").between(ylo, yhi) & F.col("z").between(zlo, zhi)
+        by = F.when(inside, F.lit(float(field))).otherwise(by)
+    return points.withColumn("by", by)
 
 
-def region_tally(states: DataFrame, bounds: tuple[float, float] = (-150.0, 250.0), outlier: float = 3.0) -> DataFrame:
-    """States and outliers (chi2 above a limit) of each window and region along z."""
+def region_tally(states: DataFrame, bounds: tuple[float, float] = (-150.0, 250.0), outlier: float = 3.0, hole: Column | None = None) -> DataFrame:
+    """States, inliers, outliers (chi2 above a limit) and holes (states without a measurement) of each window and region along z."""
     region = F.when(F.col("z") < bounds[0], "SiTarget").when(F.col("z") < bounds[1], "SiPad").otherwise("MTC")
-    return states.groupBy("window_id", region.alias("region")).agg(F.count("*").alias("n_states"), F.count_if(F.col("chi2") > outlier).alias("n_outliers"))
+    empty = F.coalesce(hole, F.lit(False)) if hole is not None else F.lit(False)
+    far = F.coalesce(F.col("chi2") > outlier, F.lit(False))
+    return states.groupBy("window_id", region.alias("region")).agg(
+        F.count("*").alias("n_states"), F.count_if(~empty & ~far).alias("n_inliers"), F.count_if(~empty & far).alias("n_outliers"), F.count_if(empty).alias("n_holes")
+    )

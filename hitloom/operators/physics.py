@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hitloom.operators.ordered import walk
+
 
 def is_primary() -> Column:
     return F.col("generator_status") == 1
@@ -54,6 +54,55 @@ def histogram(df: DataFrame, column: str, lo: float, hi: float, n: int) -> DataF
     return df.groupBy(bin_index(F.col(column), lo, hi, n).alias("bin")).agg(F.count("*").alias("entries"))
 
 
+# The histograms of an analysis of particles: what they are of, the value, bins, from, to.
+# E is the largest energy, N the largest number of particles expected.
+MC_HISTOGRAMS = {
+    "h_nMCParticles": ("event", "n", 200, 0.0, "N"),
+    "h_nPrimaries": ("event", "n_primary", 10, -0.5, 9.5),
+    "h_nFinal": ("event", "n_final", 200, 0.0, "N"),
+    "h_pdg_primary": ("primary", "pdg", 501, -250.5, 250.5),
+    "h_E_primary": ("primary", "energy", 200, 0.0, "E"),
+    "h_theta_primary": ("moving", "theta", 300, 0.0, 15.0),
+    "h_phi_primary": ("moving", "phi", 72, -180.0, 180.0),
+    "h_openingAngle": ("pair", "angle", 500, 0.0, 10.0),
+    "h_vtx_x": ("primary", "vx", 100, -50.0, 50.0),
+    "h_vtx_y": ("primary", "vy", 100, -50.0, 50.0),
+    "h_vtx_z": ("primary", "vz", 200, -1100.0, 900.0),
+    "h_E_final": ("final", "energy", 200, 0.0, "E"),
+    "h_Esum_primary": ("event", "e_primary", 200, 0.0, "2E"),
+    "h_Esum_final": ("event", "e_final", 200, 0.0, "2E"),
+}
+
+
+def mc_ranges(max_energy: float, max_particles: float) -> dict[str, tuple[str, str, int, float, float]]:
+    ends = {"E": max_energy, "2E": 2 * max_energy, "N": max_particles}
+    return {k: (of, v, n, lo, float(ends.get(hi, hi))) for k, (of, v, n, lo, hi) in MC_HISTOGRAMS.items()}
+
+
+def mc_histograms(particles: DataFrame, max_energy: float, max_particles: float) -> DataFrame:
+    """All of MC_HISTOGRAMS as one table: hist, bin (-1 below, n above), entries.
+
+    particles: event_idx, particle_idx, pdg, generator_status, n_daughters, mass, px, py, pz, vx, vy, vz.
+    """
+    p = F.sqrt(F.col("px") ** 2 + F.col("py") ** 2 + F.col("pz") ** 2)
+    each = particles.withColumns({"energy": energy(), "p": p, "theta": F.degrees(F.acos(F.col("pz") / p)), "phi": F.degrees(F.atan2("py", "px"))})
+    ranges = mc_ranges(max_energy, max_particles)
+
+    def filled(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+        """One row an entry of every histogram that a row of df fills: a single pass, counted before the shuffle."""
+        fills = [F.when(conditions[of], F.struct(F.lit(k).alias("hist"), bin_index(F.col(v).cast("double"), lo, hi, n).alias("bin"))) for k, (of, v, n, lo, hi) in ranges.items() if of in conditions]
+        x = df.select(F.explode(F.filter(F.array(*fills), lambda f: f.isNotNull())).alias("f")).select("f.*")
+        return x.groupBy("hist", "bin").agg(F.count("*").alias("entries"))
+
+    moving = is_primary() & (F.col("p") > 0)
+    parts = [
+        filled(each, {"primary": is_primary(), "moving": moving, "final": is_final()}),
+        filled(multiplicities(particles), {"event": F.lit(True)}),
+        filled(opening_angle(particles), {"pair": F.lit(True)}),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def histogram_2d(df: DataFrame, x: str, y: str, range_x: tuple[float, float, int], range_y: tuple[float, float, int]) -> DataFrame:
     return df.groupBy(bin_index(F.col(x), *range_x).alias("bin_x"), bin_index(F.col(y), *range_y).alias("bin_y")).agg(F.count("*").alias("entries"))
 
@@ -178,29 +227,27 @@ def residuals(pairs: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     ).where(F.col("n") >= least)
 
 
-def follow(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """One path through the candidates (zbin, x, e) of one group, a bin at a time.
-
-    One candidate: it. Several: first the most energetic, then the nearest to the one
-    before, then the nearest to the line through the last two.
-    """
-    out: list[tuple[float, float]] = []
-    for zbin, c in pdf.sort_values(["zbin", "x", "e"]).groupby("zbin", sort=True):
-        x, e = c["x"].to_numpy(), c["e"].to_numpy()
-        if len(x) == 1:
-            i = 0
-        elif not out:
-            i = int(np.argmax(e))
-        else:
-            (z1, x1), (z0, x0) = out[-1], out[-2] if len(out) > 1 else out[-1]
-            goal = x1 if len(out) == 1 or z1 == z0 else x1 + (x1 - x0) / (z1 - z0) * (zbin - z1)
-            i = int(np.argmin(np.abs(x - goal)))
-        out.append((float(zbin), float(x[i])))
-    return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(out) for k in keys}, "zbin": [int(z) for z, _ in out], "x": [x for _, x in out]})
+def _next_of_path(path: list[tuple[int, float]], row: tuple) -> tuple:
+    """One candidate: it. Several: first the most energetic, then the nearest to the one before, then the nearest to
+    the line through the last two; the first in a tie."""
+    zbin, found = row
+    if len(found) == 1:
+        x = found[0]["x"]
+    elif not path:
+        x = max(found, key=lambda c: c["e"])["x"]
+    else:
+        (z0, x0), (z1, x1) = path[0], path[-1]
+        goal = x1 if len(path) == 1 else x1 + (x1 - x0) / (z1 - z0) * (zbin - z1)
+        x = min((c["x"] for c in found), key=lambda v: abs(v - goal))
+    path[:] = [*path[-1:], (zbin, x)]
+    return zbin, x
 
 
-def follow_paths(candidates: DataFrame, keys: list[str], schema: str) -> DataFrame:
-    return candidates.groupBy(*keys).applyInPandas(lambda pdf: follow(pdf, keys), schema)
+def follow_paths(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """candidates: keys, zbin, x, e. One path through each group, a bin at a time: keys, zbin, x."""
+    bins = candidates.groupBy(*keys, "zbin").agg(F.array_sort(F.collect_list(F.struct("x", "e"))).alias("found"))
+    schema = ", ".join(f"{k} {candidates.schema[k].dataType.simpleString()}" for k in keys)
+    return walk(bins, keys, ["zbin"], ["zbin", "found"], list, _next_of_path, schema + ", zbin long, x double")
 
 
 def campaign_medians(fits: DataFrame) -> DataFrame:
@@ -250,6 +297,3 @@ def track_points(tracks: DataFrame, states: DataFrame, layers: DataFrame) -> Dat
 def momentum(radius: Column, field: float = 1.7) -> Column:
     """GeV from a radius in m and a field in T."""
     return 0.3 * field * F.abs(radius)
-
-
-TWO_PI = 2 * math.pi

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator  # noqa: F401
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hitloom.operators.ordered import walk
+
 
 def station(z: Column, tolerance: float = 10.0) -> Column:
     return F.round(z / tolerance).cast("long")
@@ -119,16 +119,17 @@ def weighted_mode(met: DataFrame, keys: list[str], axis: str, pitch: float) -> D
     return n.groupBy(*keys, "ix", "iy").agg((F.max_by("_s", F.struct("_w", -F.col("_s"))) * pitch).alias(axis))
 
 
-def suppress(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """Peaks that no earlier kept peak is near to, by votes, then place. One group, of few peaks."""
-    pdf = pdf.sort_values(["votes", "ix", "iy"], ascending=[False, True, True])
-    kept: list[tuple[int, int]] = []
-    flags = []
-    for i, j in zip(pdf["ix"], pdf["iy"], strict=True):
-        flags.append(all(abs(i - a) > radius or abs(j - b) > radius for a, b in kept))
-        if flags[-1]:
-            kept.append((i, j))
-    return pdf[flags]
+def suppress(found: DataFrame, keys: list[str], radius: int) -> DataFrame:
+    """Peaks that no earlier kept one is near to, by votes, then place: keys, ix, iy."""
+
+    def step(kept: list[tuple[int, int]], at: tuple[int, int]) -> tuple | None:
+        if any(abs(at[0] - a) <= radius and abs(at[1] - b) <= radius for a, b in kept):
+            return None
+        kept.append(at)
+        return at
+
+    schema = ", ".join(f"{c} {found.schema[c].dataType.simpleString()}" for c in [*keys, "ix", "iy"])
+    return walk(found, keys, [F.desc("votes"), "ix", "iy"], ["ix", "iy"], list, step, schema)
 
 
 def seeds(points: DataFrame, keys: list[str], most: int = 5, max_multiplicity: float = 3.0, pitch: float = 0.755, suppress_mm: float = 15.0, width: float = 5.0) -> DataFrame:
@@ -140,9 +141,7 @@ def seeds(points: DataFrame, keys: list[str], most: int = 5, max_multiplicity: f
     met = near_peaks(found, points, keys)
     judged = multiplicity(met, keys)
     radius = math.ceil(suppress_mm / width)
-    kept = judged.groupBy(*keys).applyInPandas(lambda pdf: suppress(pdf, radius), judged.schema)
-    from pyspark.sql import Window
-
+    kept = judged.join(suppress(judged, keys, radius), [*keys, "ix", "iy"], "left_semi")
     order = Window.partitionBy(*keys).orderBy(F.desc("votes"), "ix", "iy")
     best = kept.where(F.col("multiplicity") <= max_multiplicity).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
     at = [*keys, "ix", "iy"]

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitloom.operators.measurements import wafer  # noqa: F401
+from hitloom.operators.ordered import walk
+from hitloom.sources.shared import cut
 
 
 @dataclass(frozen=True)
@@ -31,19 +32,45 @@ def objective_rows(trials: DataFrame, objectives: list[Objective]) -> DataFrame:
     return x.withColumns({f"y{i}": F.col(o.name).cast("double") * o.sign for i, o in enumerate(objectives)})
 
 
+def with_metrics(trials: DataFrame, metrics: dict[str, Column]) -> DataFrame:
+    """Metrics by name as further columns, of completed trials; each can then be named as an objective."""
+    clash = set(metrics) & set(trials.columns)
+    if clash:
+        raise ValueError(f"there are columns named {sorted(clash)}")
+    return trials.withColumns({k: F.when(F.col("status") == "COMPLETED", v) for k, v in metrics.items()})
+
+
 def front(rows: DataFrame, keys: list[str], tie: str = "trial_id") -> DataFrame:
     """Not dominated in y0, y1, one of equal points (the first by tie): one sort of each group."""
     w = Window.partitionBy(*keys).orderBy(F.desc("y0"), F.desc("y1"), tie).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("_best", F.max("y1").over(w)).where("_best IS NULL OR y1 > _best").drop("_best")
 
 
-def front_of_many(rows: DataFrame, keys: list[str], dims: list[str], tie: str = "trial_id") -> DataFrame:
-    """Not dominated in any number of dimensions; block by block: only rows no other of the group dominates."""
-    a, b = rows.alias("a"), rows.select(*keys, *dims, tie).alias("b")
-    same = " AND ".join([f"a.`{k}` <=> b.`{k}`" for k in keys] or ["true"])
-    over = " AND ".join(f"b.{d} >= a.{d}" for d in dims)
-    strict = " OR ".join([f"b.{d} > a.{d}" for d in dims] + [f"b.{tie} < a.{tie}"])
-    return a.join(b, F.expr(f"{same} AND {over} AND ({strict})"), "left_anti")
+def _typed(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def _undominated(found: list[tuple], row: tuple) -> tuple | None:
+    """found: the kept points so far, of rows in falling order of their values."""
+    point = row[:-1]
+    if any(all(a >= b for a, b in zip(other, point, strict=True)) for other in found):
+        return None
+    found.append(point)
+    return row
+
+
+def front_of_many(rows: DataFrame, keys: list[str], dims: list[str], tie: str = "trial_id", parts: int = 16) -> DataFrame:
+    """Not dominated in any number of dimensions, one of equal points (the first by tie).
+
+    In falling order of the values a row is only dominated by rows before it, so one walk
+    that holds the front finds it: first in `parts` parts of a group, then over what is left.
+    """
+    order = [*(F.desc(d) for d in dims), tie]
+    columns = [*dims, tie]
+    part = rows.withColumn("_part", F.pmod(F.xxhash64(tie), F.lit(parts)))
+    some = walk(part, [*keys, "_part"], order, columns, list, _undominated, _typed(part, [*keys, "_part", *columns])).drop("_part")
+    best = walk(some, keys, order, columns, list, _undominated, _typed(rows, [*keys, *columns]))
+    return rows.join(best.select(*keys, tie), [*keys, tie], "left_semi")
 
 
 def reference_points(trials: DataFrame, keys: list[str], objectives: list[Objective], factors: list[float]) -> DataFrame:
@@ -64,35 +91,73 @@ def hypervolume(rows: DataFrame, refs: DataFrame, keys: list[str]) -> DataFrame:
     return refs.select(*keys).join(area, keys, "left").select(*keys, F.coalesce("hv", F.lit(0.0)).alias("hv"))
 
 
-def _insert(frontier: list[tuple[float, float]], y: tuple[float, float], ref: tuple[float, float]) -> float:
-    """Adds a point to a front sorted by descending y0; the area that it adds."""
-    if not (y[0] > ref[0] and y[1] > ref[1]) or any(a >= y[0] and b >= y[1] for a, b in frontier):
-        return 0.0
-
-    def area(points: list[tuple[float, float]]) -> float:
-        low, total = ref[1], 0.0
-        for a, b in points:
-            total, low = total + (a - ref[0]) * (b - low), b
-        return total
-
-    before = area(frontier)
-    frontier[:] = sorted([p for p in frontier if not (y[0] >= p[0] and y[1] >= p[1])] + [y], key=lambda p: -p[0])
-    return area(frontier) - before
-
-
-def trace(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """One experiment: the hypervolume after each trial, in order."""
-    pdf = pdf.sort_values("trial_id")
-    frontier: list[tuple[float, float]] = []
-    total, out = 0.0, []
-    for r in pdf[["y0", "y1", "r0", "r1"]].itertuples(index=False):
-        total += _insert(frontier, (r.y0, r.y1), (r.r0, r.r1))
-        out.append(total)
-    return pdf[[*keys, "trial_id"]].assign(hv=out)
-
-
-def hypervolume_trace(rows: DataFrame, refs: DataFrame, keys: list[str], schema: str) -> DataFrame:
-    return rows.join(refs, keys).groupBy(*keys).applyInPandas(lambda pdf: trace(pdf, keys), schema)
+def volume(points: list[tuple[float, ...]], ref: tuple[float, ...]) -> float:
+    """What points above ref dominate: each one's box without what later ones take of it."""
+    total = 0.0
+    points = sorted(set(points), reverse=True)
+    for i, p in enumerate(points):
+        inside = [tuple(min(a, b) for a, b in zip(p, q, strict=True)) for q in points[i + 1 :]]
+        inside = [q for j, q in enumerate(inside) if not any(all(a >= b for a, b in zip(o, q, strict=True)) and (o != q or k < j) for k, o in enumerate(inside))]
+        total += math.prod(a - r for a, r in zip(p, ref, strict=True)) - volume(inside, ref)
+    return total
+
+
+class _Trace:
+    """The front of what was seen so far, and its volume."""
+
+    def __init__(self) -> None:
+        self.points: list[tuple[float, ...]] = []
+        self.total = 0.0
+
+    def add(self, y: tuple[float, ...], ref: tuple[float, ...]) -> None:
+        if not all(a > r for a, r in zip(y, ref, strict=True)):
+            return
+        if len(y) == 2:
+            self.total += self._add_flat(y, ref)
+            return
+        if any(all(a >= b for a, b in zip(p, y, strict=True)) for p in self.points):
+            return
+        inside = [tuple(min(a, b) for a, b in zip(p, y, strict=True)) for p in self.points]
+        self.total += math.prod(a - r for a, r in zip(y, ref, strict=True)) - volume(inside, ref)
+        self.points = [p for p in self.points if not all(b >= a for a, b in zip(p, y, strict=True))] + [y]
+
+    def _add_flat(self, y: tuple[float, ...], ref: tuple[float, ...]) -> float:
+        """Two objectives: the front lies in rising order of the first and falling order of the second."""
+        at = bisect.bisect_left(self.points, y)
+        if at < len(self.points) and self.points[at][1] >= y[1]:
+            return 0.0
+        first = at
+        while first and self.points[first - 1][1] <= y[1]:
+            first -= 1
+        # strips from the last point that stays on the left up to y, over what lies there already
+        left = self.points[first - 1][0] if first else ref[0]
+        gained = 0.0
+        for x, height in [*self.points[first:at], (y[0], self.points[at][1] if at < len(self.points) else ref[1])]:
+            gained += (x - left) * (y[1] - height)
+            left = x
+        self.points[first:at] = [y]
+        return gained
+
+
+def hypervolume_trace(rows: DataFrame, refs: DataFrame, keys: list[str], dims: tuple[str, ...] = ("y0", "y1"), tie: str = "trial_id") -> DataFrame:
+    """keys, tie, hv: the hypervolume after each trial in order. refs: keys and r0, r1, ... in the order of dims.
+
+    One walk over each group, which holds its front alone.
+    """
+    n = len(dims)
+
+    def step(trace: _Trace, row: tuple) -> tuple:
+        trace.add(row[1 : 1 + n], row[1 + n :])
+        return row[0], trace.total
+
+    known = rows.join(refs, keys)
+    return walk(known, keys, [tie], [tie, *dims, *(f"r{i}" for i in range(n))], _Trace, step, _typed(rows, [*keys, tie]) + ", hv double")
+
+
+def hypervolume_of_many(rows: DataFrame, refs: DataFrame, keys: list[str], dims: tuple[str, ...]) -> DataFrame:
+    """Like hypervolume(), for any number of objectives."""
+    last = hypervolume_trace(front_of_many(rows, keys, list(dims)), refs, keys, dims).groupBy(*keys).agg(F.max("hv").alias("hv"))
+    return refs.select(*keys).join(last, keys, "left").select(*keys, F.coalesce("hv", F.lit(0.0)).alias("hv"))
 
 
 def derived_seed(seed: Column, trial: Column) -> Column:
@@ -124,9 +189,18 @@ def minutes_since_first(trials: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def next_ids(base: DataFrame, new: DataFrame, order: str) -> DataFrame:
-    """new with trial_id after the largest of base (from 0 in an empty one). New rows are numbered in one place: they are few."""
+    """new with trial_id after the largest of base (from 0 in an empty one), in the order of a column.
+
+    Rows are dealt in ranges and numbered inside each, from what the ranges before hold.
+    """
     last = base.agg((F.coalesce(F.max("trial_id"), F.lit(-1)) + 1).alias("_next"))
-    return new.crossJoin(F.broadcast(last)).withColumn("trial_id", F.col("_next") + F.row_number().over(Window.orderBy(order)) - 1).drop("_next")
+    ranged = cut(new.repartitionByRange(order).sortWithinPartitions(order).withColumn("_range", F.spark_partition_id()), "new-trials")
+    # as many rows as there are ranges
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    begin = sizes.withColumn("_begin", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    numbered = ranged.withColumn("_i", inside).join(F.broadcast(begin), "_range").crossJoin(F.broadcast(last))
+    return numbered.withColumn("trial_id", F.col("_next") + F.col("_begin") + F.col("_i") - 1).drop("_next", "_begin", "_i", "_range")
 
 
 def upsert(base: DataFrame, changes: DataFrame, key: str = "trial_id") -> DataFrame:

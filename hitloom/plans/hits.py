@@ -38,19 +38,33 @@ HIT_CTES = ctes("contributions", overlay=OVERLAY, hits=HITS)
 ROUNDED = "round(e * 1e9, 3) AS e_ev, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, round(t, 4) AS t"
 
 
-@plan("p1_decode_bits", ctes("contributions") + """SELECT source_id, event_idx, seq, CAST(cell_id & 255 AS INT) AS bf_system, CAST((cell_id >> 8) & 255 AS INT) AS bf_layer,
-CAST((cell_id >> 16) & 15 AS INT) AS bf_slice, CAST((cell_id >> 20) & 1 AS INT) AS bf_plane, CAST((cell_id >> 21) & 3 AS INT) AS bf_column,
-CAST((cell_id >> 23) & 3 AS INT) AS bf_row, CAST((cell_id >> 25) & 16383 AS INT) AS bf_strip FROM contributions WHERE detector = 'SiTarget'""")
+def _bits(*fields: tuple[str, int, int]) -> str:
+    return ", ".join(f"CAST((cell_id >> {at}) & {(1 << width) - 1} AS INT) AS bf_{name}" for name, at, width in fields)
+
+
+# Name, offset and width of the fields of each detector
+SITARGET_BITS = (("system", 0, 8), ("layer", 8, 8), ("slice", 16, 4), ("plane", 20, 1), ("column", 21, 2), ("row", 23, 2), ("strip", 25, 14))
+SIPAD_BITS = (("system", 0, 8), ("layer", 8, 8), ("slice", 16, 4), ("x", 20, 9), ("y", 29, 9))
+MTC_BITS = (("system", 0, 8), ("station", 8, 2), ("layer", 10, 8), ("slice", 18, 4), ("plane", 22, 2), ("strip", 24, 14), ("x", 38, 9), ("y", 47, 9))
+
+
+@plan("p1_decode_bits", ctes("contributions") + " UNION ALL BY NAME ".join(f"SELECT detector, event_idx, seq, {_bits(*bits)} FROM contributions WHERE detector = '{d}'" for d, bits in (("SiTarget", SITARGET_BITS), ("SiPad", SIPAD_BITS), ("MTC", MTC_BITS))))
 def p1(spark, sf_dir):
-    x = contributions(spark, sf_dir).where("detector = 'SiTarget'")
-    return bitfields.decode(x, bitfields.LAYOUTS["SiTarget"]).select("source_id", "event_idx", "seq", *[f"bf_{n}" for n, *_ in bitfields.parse(bitfields.LAYOUTS["SiTarget"])])
+    x = contributions(spark, sf_dir).select("detector", "event_idx", "seq", "cell_id")
+    parts = [bitfields.decode(x.where(F.col("detector") == d), bitfields.LAYOUTS[d]).drop("cell_id") for d in ("SiTarget", "SiPad", "MTC")]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
 
 
-@plan("p2_encode_bits", ctes("contributions") + "SELECT event_idx, seq, cell_id FROM contributions WHERE detector = 'MTC'")
+@plan("p2_encode_bits", ctes("contributions") + "SELECT event_idx, seq, cell_id FROM contributions")
 def p2(spark, sf_dir):
-    x = contributions(spark, sf_dir).where("detector = 'MTC'")
-    values = {"system": F.lit(3), "station": F.col("station"), "layer": F.col("layer"), "plane": F.col("plane"), "strip": F.col("strip")}
-    return x.select("event_idx", "seq", bitfields.encode(bitfields.LAYOUTS["MTC"], values).alias("cell_id"))
+    layer, plane, strip = F.col("layer"), F.col("plane"), F.col("strip")
+    values = {
+        "SiTarget": {"system": F.lit(2), "layer": layer, "plane": plane, "strip": strip},
+        "SiPad": {"system": F.lit(1), "layer": layer, "x": strip, "y": F.col("pad")},
+        "MTC": {"system": F.lit(3), "station": F.col("station"), "layer": layer, "plane": plane, "strip": strip},
+    }
+    cell = F.coalesce(*[F.when(F.col("detector") == d, bitfields.encode(bitfields.LAYOUTS[d], v)) for d, v in values.items()])
+    return contributions(spark, sf_dir).select("event_idx", "seq", cell.alias("cell_id"))
 
 
 @plan("p3_route", ctes("contributions", overlay=OVERLAY) + "SELECT routed AS detector, count(*) AS n, count(DISTINCT cell_id) AS n_cells FROM overlay GROUP BY routed")
@@ -204,7 +218,17 @@ def a25(spark, sf_dir):
     return overlaid_hits(spark, sf_dir).groupBy("detector", F.abs("origin_pdg").alias("species")).agg(F.count("*").alias("n"))
 
 
-@plan("s7_export_hits", HIT_CTES + """SELECT window_id, cell_id, round(e * 1e9, 3) AS e_ev, source_id, origin_pdg, CAST(layer AS INT) AS bf_layer, CAST(strip AS INT) AS bf_x, CAST(pad AS INT) AS bf_y FROM hits WHERE detector = 'SiPad'""")
+@plan("s7_export_hits", HIT_CTES + """SELECT detector, window_id, cell_id, round(e * 1e9, 3) AS e_ev, source_id, origin_pdg, CAST(layer AS INT) AS bf_layer, CASE WHEN detector = 'SiPad' THEN CAST(strip AS INT) END AS bf_x, CASE WHEN detector = 'SiPad' THEN CAST(pad AS INT) END AS bf_y,
+CASE WHEN detector <> 'SiPad' THEN CAST(plane AS INT) END AS bf_plane, CASE WHEN detector <> 'SiPad' THEN CAST(strip AS INT) END AS bf_strip, CASE WHEN detector IN ('SciFi', 'Scint') THEN CAST(station AS INT) END AS bf_station FROM hits""")
 def s7(spark, sf_dir):
-    x = bitfields.decode(overlaid_hits(spark, sf_dir).where("detector = 'SiPad'"), bitfields.LAYOUTS["SiPad"])
-    return x.select("window_id", "cell_id", F.round(F.col("e") * 1e9, 3).alias("e_ev"), "source_id", "origin_pdg", "bf_layer", "bf_x", "bf_y")
+    """Flat tables of all detectors, with the fields that each one's layout has."""
+    h, fields = overlaid_hits(spark, sf_dir), ["bf_layer", "bf_x", "bf_y", "bf_plane", "bf_strip", "bf_station"]
+    parts = []
+    for d in ("SiTarget", "SiPad", "SciFi", "Scint"):
+        x = bitfields.decode(h.where(F.col("detector") == d), bitfields.LAYOUTS["MTC" if d in ("SciFi", "Scint") else d])
+        x = x.drop("bf_x", "bf_y") if d in ("SciFi", "Scint") else x
+        parts.append(x.select("detector", "window_id", "cell_id", F.round(F.col("e") * 1e9, 3).alias("e_ev"), "source_id", "origin_pdg", *[c for c in fields if c in x.columns]))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x, allowMissingColumns=True)
+    return out

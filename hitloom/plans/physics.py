@@ -45,6 +45,32 @@ def a8(spark, sf_dir):
     return physics.histogram(physics.multiplicities(particles(spark, sf_dir)), "e_final", 0.0, 60.0, 50)
 
 
+# vertices of the fixture
+VERTEX = "px * 300 AS vx, py * 300 + 0.25 AS vy, pz * 300 - 1100 AS vz"
+
+
+def _mc_histograms_sql() -> str:
+    tables = {
+        "event": "ev", "pair": "ang", "primary": "ps WHERE generator_status = 1", "final": "ps WHERE n_daughters = 0",
+        "moving": "ps WHERE generator_status = 1 AND px * px + py * py + pz * pz > 0",
+    }
+    value = {"energy": E_, "theta": "degrees(acos(pz / sqrt(px * px + py * py + pz * pz)))", "phi": "degrees(atan2(py, px))"}
+    parts = [
+        f"SELECT '{k}' AS hist, greatest(-1, least({n}, CAST(floor(({value.get(v, v)} - ({lo})) / ({hi - lo}) * {n}) AS INT))) AS bin, count(*) AS entries FROM {tables[of]} GROUP BY 2"
+        for k, (of, v, n, lo, hi) in physics.mc_ranges(20.0, 10.0).items()
+    ]
+    return MC + f""", {PER_EVENT}, ps AS (SELECT *, {VERTEX} FROM mc_particles),
+pp AS (SELECT *, sqrt(px * px + py * py + pz * pz) AS p, row_number() OVER (PARTITION BY event_idx ORDER BY particle_idx) AS r FROM mc_particles WHERE generator_status = 1 AND px * px + py * py + pz * pz > 0),
+ang AS (SELECT degrees(acos(greatest(-1, least(1, (a.px * b.px + a.py * b.py + a.pz * b.pz) / (a.p * b.p))))) AS angle FROM pp a JOIN pp b ON a.event_idx = b.event_idx AND a.r = 1 AND b.r = 2) """ + " UNION ALL ".join(parts)
+
+
+
+
+@plan("a8_mc_histograms", _mc_histograms_sql())
+def a8_all(spark, sf_dir):
+    return physics.mc_histograms(particles(spark, sf_dir).selectExpr("*", *VERTEX.split(", ")), 20.0, 10.0)
+
+
 @plan("a9_histogram_2d", MC + f", {PER_EVENT} SELECT greatest(-1, least(4, n_primary)) AS bin_x, greatest(-1, least(8, n_final)) AS bin_y, count(*) AS entries FROM ev GROUP BY 1, 2")
 def a9(spark, sf_dir):
     return physics.histogram_2d(physics.multiplicities(particles(spark, sf_dir)), "n_primary", "n_final", (0, 4, 4), (0, 8, 8))
@@ -56,9 +82,13 @@ def a10(spark, sf_dir):
     return physics.histogram_means(physics.multiplicities(particles(spark, sf_dir)), {"n": (0, 5), "e_final": (0, 20)}).select("hist", F.round("mean", 6).alias("mean"), "n")
 
 
-@plan("a31_auto_histograms", HIT_CTES + ", r AS (SELECT min(t) AS lo, max(t) AS hi FROM hits) SELECT 't' AS \"column\", least(99, CAST(floor((t - lo) / (hi - lo) * 100) AS INT)) AS bin, count(*) AS entries FROM hits, r GROUP BY 2")
+AUTO = ("t", "x", "y", "z", "n_contributions", "source_id")
+
+
+@plan("a31_auto_histograms", HIT_CTES + ", " + ", ".join(f"r_{c} AS (SELECT CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi FROM hits)" for c in AUTO) + " " + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CASE WHEN hi > lo THEN least(99, CAST(floor(({c} - lo) / (hi - lo) * 100) AS INT)) ELSE 0 END AS bin, count(*) AS entries FROM hits, r_{c} GROUP BY 2" for c in AUTO))
 def a31(spark, sf_dir):
-    return physics.auto_histograms(overlaid_hits(spark, sf_dir), ["t"])
+    return physics.auto_histograms(overlaid_hits(spark, sf_dir), list(AUTO))
 
 
 @plan("s10_sample_keys", ctes("samples") + r"SELECT regexp_extract(file_name, 'tracks_(\w+?)_angle_([\d.]+)\.', 1) AS pair, regexp_extract(file_name, 'tracks_(\w+?)_angle_([\d.]+)\.', 2) AS angle, count(*) AS n FROM samples GROUP BY 1, 2")
@@ -86,9 +116,10 @@ def w12(spark, sf_dir):
     return physics.upper_median(states(spark, sf_dir), ["window_id"], "chi2", "median_chi2").select("window_id", F.round("median_chi2", 6).alias("median_chi2"))
 
 
-@plan("j23_windows_without_tracks", ctes("samples", "track_states") + "SELECT DISTINCT window_id FROM samples WHERE window_id NOT IN (SELECT window_id FROM track_states WHERE z > 120)")
+@plan("j23_windows_without_tracks", ctes("samples", "track_states") + "SELECT DISTINCT window_id FROM samples WHERE window_id NOT IN (SELECT window_id FROM track_states GROUP BY window_id, track_id HAVING count(*) >= 7)")
 def j23(spark, sf_dir):
-    tracked = states(spark, sf_dir).where("z > 120").select("window_id")
+    """Windows without any track of seven states."""
+    tracked = states(spark, sf_dir).groupBy("window_id", "track_id").count().where("count >= 7").select("window_id")
     return spark_view(spark, sf_dir, "samples").select("window_id").distinct().join(tracked, "window_id", "left_anti")
 
 
@@ -148,17 +179,34 @@ def a16(spark, sf_dir):
     return physics.energy_weighted(decoded(spark, sf_dir, "SciFi"), ["window_id"], 25.0).select("window_id", "zbin", F.round("x", 4).alias("x"))
 
 
-@plan("a16_recovered_hits")
+@plan("a16_recovered_hits", HIT_CTES + """, f AS (SELECT window_id, plane, x, z, e, CAST(round_even(z / 25e0, 0) AS BIGINT) AS zbin FROM hits WHERE detector = 'SciFi' AND e > 8e-5),
+per AS (SELECT window_id, zbin, plane, sum(e * x) / sum(e) AS x, sum(e * z) / sum(e) AS z, sum(e) AS energy FROM f GROUP BY 1, 2, 3),
+bins AS (SELECT window_id, zbin, count(*) AS planes, avg(x) AS x, avg(z) AS z, sum(energy) AS energy FROM per GROUP BY 1, 2), both_ AS (SELECT * FROM bins WHERE planes = 2),
+one AS (SELECT f.* FROM f JOIN bins USING (window_id, zbin) WHERE planes = 1),
+lf AS (SELECT o.window_id, o.zbin, o.z, o.e, l.z AS lz, l.x AS lx FROM one o ASOF JOIN both_ l ON o.window_id = l.window_id AND o.z >= l.z),
+lr AS (SELECT lf.*, r.z AS rz, r.x AS rx FROM lf ASOF JOIN both_ r ON lf.window_id = r.window_id AND lf.z <= r.z),
+al AS (SELECT window_id, zbin, x, z, energy, TRUE AS paired FROM both_ UNION ALL SELECT window_id, zbin, CASE WHEN lz = rz THEN lx ELSE lx + (rx - lx) / (rz - lz) * (z - lz) END, z, e, FALSE FROM lr)
+SELECT window_id, zbin, paired, count(*) AS n, round(sum(x), 4) AS sx, round(sum(z), 3) AS sz, round(sum(energy) * 1e9, 2) AS e_ev FROM al GROUP BY 1, 2, 3""")
 def a16_recovered(spark, sf_dir):
+    """Recovered hits above a threshold, with which some bins have one plane, by bin."""
     from hitloom.plans.tracks import decoded
 
-    return physics.recovered(decoded(spark, sf_dir, "SciFi"), ["window_id"], 25.0)
+    x = physics.recovered(decoded(spark, sf_dir, "SciFi").where("e > 8e-5"), ["window_id"], 25.0)
+    return x.groupBy("window_id", "zbin", "paired").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("sx"), F.round(F.sum("z"), 3).alias("sz"), F.round(F.sum("energy") * 1e9, 2).alias("e_ev"))
+
+
+NEAREST = "list_reduce(n.xs, lambda a, b: CASE WHEN abs(b - {goal}) < abs(a - {goal}) THEN b ELSE a END)"
+PATHS = ctes("track_states") + f""", c AS (SELECT window_id, CAST(floor(z / 5) AS BIGINT) AS zbin, x, chi2 AS e, row_number() OVER (PARTITION BY window_id, floor(z / 5) ORDER BY chi2 DESC, x) AS best FROM track_states),
+rk AS (SELECT window_id, zbin, list(x ORDER BY x, e) AS xs, max(CASE WHEN best = 1 THEN x END) AS top, row_number() OVER (PARTITION BY window_id ORDER BY zbin) AS r FROM c GROUP BY window_id, zbin),
+wk AS (SELECT window_id, r, zbin, CASE WHEN len(xs) = 1 THEN xs[1] ELSE top END AS x, CAST(NULL AS BIGINT) AS z0, CAST(NULL AS DOUBLE) AS x0 FROM rk WHERE r = 1 UNION ALL
+  SELECT n.window_id, n.r, n.zbin, CASE WHEN len(n.xs) = 1 THEN n.xs[1] WHEN w.z0 IS NULL THEN {NEAREST.format(goal='w.x')} ELSE {NEAREST.format(goal='(w.x + (w.x - w.x0) / (w.zbin - w.z0) * (n.zbin - w.zbin))')} END, w.zbin, w.x
+  FROM wk w JOIN rk n ON n.window_id = w.window_id AND n.r = w.r + 1) SELECT window_id, zbin, round(x, 6) AS x FROM wk"""
 
 
-@plan("w6_follow_paths")
+@plan("w6_follow_paths", PATHS.replace("WITH ", "WITH RECURSIVE ", 1))
 def w6(spark, sf_dir):
     c = states(spark, sf_dir).select("window_id", F.floor(F.col("z") / 5).alias("zbin"), "x", F.col("chi2").alias("e"))
-    return physics.follow_paths(c, ["window_id"], "window_id long, zbin long, x double")
+    return physics.follow_paths(c, ["window_id"]).withColumn("x", F.round("x", 6))
 
 
 @plan("p18_select_hits", HIT_CTES + " SELECT cell_id, round(x / 10, 6) AS x, round(z / 10, 6) AS z FROM hits WHERE window_id = 7 AND z BETWEEN -1500 AND 0 AND source_id = 1")
@@ -239,10 +287,27 @@ def a28(spark, sf_dir):
     return trials.hypervolume(objective_rows(spark, sf_dir), references(spark, sf_dir), KEY).select("experiment", F.round("hv", 2).alias("hv"))
 
 
-@plan("w9_hypervolume_trace")
+STAIRS = """st AS (SELECT {keys}, (y0 - r0) * greatest(0e0, y1 - greatest(r1, coalesce(max(y1) OVER (PARTITION BY {keys} ORDER BY y0 DESC, y1 DESC, other ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), r1))) AS a FROM px)"""
+
+
+@plan("w9_hypervolume_trace", TR + f""", {ROWS}, {REFS}, al AS (SELECT o.experiment, o.trial_id, y0, y1, r0, r1 FROM ob o JOIN rf USING (experiment)),
+px AS (SELECT t.experiment, t.trial_id, p.trial_id AS other, p.y0, p.y1, p.r0, p.r1 FROM al t JOIN al p ON p.experiment = t.experiment AND p.trial_id <= t.trial_id WHERE p.y0 > p.r0 AND p.y1 > p.r1),
+{STAIRS.format(keys='experiment, trial_id')}, hv AS (SELECT experiment, trial_id, sum(a) AS hv FROM st GROUP BY 1, 2)
+SELECT al.experiment, al.trial_id, round(coalesce(hv, 0) / 1000, 1) AS hv FROM al LEFT JOIN hv ON hv.experiment = al.experiment AND hv.trial_id = al.trial_id""")
 def w9(spark, sf_dir):
-    x = trials.hypervolume_trace(objective_rows(spark, sf_dir), references(spark, sf_dir), KEY, "experiment long, trial_id long, hv double")
-    return x.select("experiment", "trial_id", F.round("hv", 2).alias("hv"))
+    x = trials.hypervolume_trace(objective_rows(spark, sf_dir), references(spark, sf_dir), KEY)
+    return x.select("experiment", "trial_id", F.round(F.col("hv") / 1000, 1).alias("hv"))
+
+
+@plan("a28_hypervolume_of_three", TR + f""", {ROWS}, {REFS}, al AS (SELECT o.experiment, o.trial_id, y0, y1, -t.wall_time_s AS y2, r0, r1 FROM ob o JOIN rf USING (experiment) JOIN trials t ON t.experiment = o.experiment AND t.trial_id = o.trial_id WHERE y0 > r0 AND y1 > r1 AND -t.wall_time_s > -600),
+lv AS (SELECT experiment, y2 AS level, y2 - coalesce(lag(y2) OVER (PARTITION BY experiment ORDER BY y2), -600) AS thick FROM (SELECT DISTINCT experiment, y2 FROM al) d),
+px AS (SELECT l.experiment, l.level, p.trial_id AS other, p.y0, p.y1, p.r0, p.r1 FROM lv l JOIN al p ON p.experiment = l.experiment AND p.y2 >= l.level),
+{STAIRS.format(keys='experiment, level')}, ar AS (SELECT experiment, level, sum(a) AS a FROM st GROUP BY 1, 2), sm AS (SELECT ar.experiment, sum(a * thick) AS hv FROM ar JOIN lv ON lv.experiment = ar.experiment AND lv.level = ar.level GROUP BY 1)
+SELECT rf.experiment, round(coalesce(hv, 0) / 1000, 1) AS hv FROM rf LEFT JOIN sm ON sm.experiment = rf.experiment""")
+def a28b(spark, sf_dir):
+    rows = trials.objective_rows(trial_table(spark, sf_dir), [*OBJ, trials.Objective("wall_time_s", False)])
+    refs = references(spark, sf_dir).withColumn("r2", F.lit(-600.0))
+    return trials.hypervolume_of_many(rows, refs, KEY, ("y0", "y1", "y2")).select("experiment", F.round(F.col("hv") / 1000, 1).alias("hv"))
 
 
 @plan("a21_status_counts", TR + """SELECT experiment, status, count(*) AS n, sum(count(*)) OVER (PARTITION BY experiment) AS total,
@@ -301,22 +366,25 @@ def s13(spark, sf_dir):
     return trials.upsert(base, base.where("status = 'SUBMITTED'").withColumn("status", F.lit("FAILED")))
 
 
-@plan("w14_next_ids", TR + "SELECT (SELECT max(trial_id) FROM trials) + row_number() OVER (ORDER BY order_id) AS trial_id, order_id FROM trials WHERE experiment = 3")
+@plan("w14_next_ids", TR + "SELECT (SELECT max(trial_id) FROM trials) + row_number() OVER (ORDER BY order_id) AS trial_id, order_id FROM trials")
 def w14(spark, sf_dir):
     t = trial_table(spark, sf_dir)
-    return trials.next_ids(t, t.where("experiment = 3").select("order_id"), "order_id").select("trial_id", "order_id")
+    return trials.next_ids(t, t.select("order_id"), "order_id").select("trial_id", "order_id")
 
 
-@plan("j26_by_name", TR + "SELECT n AS name, min(trial_id) AS trial_id FROM (SELECT DISTINCT 'w' || w_thickness AS n FROM trials) d LEFT JOIN trials t ON d.n = 'w' || t.w_thickness AND experiment = 5 GROUP BY n")
+@plan("j26_by_name", TR + """, t AS (SELECT 'w' || w_thickness || '_' || experiment AS name, trial_id FROM trials)
+SELECT n.name, f.trial_id FROM (SELECT DISTINCT 'w' || w_thickness || '_' || (experiment + 20) AS name FROM trials) n LEFT JOIN (SELECT name, min(trial_id) AS trial_id FROM t GROUP BY name) f ON n.name = f.name""")
 def j26(spark, sf_dir):
-    t = trial_table(spark, sf_dir).withColumn("name", F.concat(F.lit("w"), F.col("w_thickness").cast("string")))
-    return trials.by_name(t.select("name").distinct(), t.where("experiment = 5").select("name", "trial_id"))
+    t = trial_table(spark, sf_dir)
+    name = lambda e: F.concat(F.lit("w"), F.col("w_thickness").cast("string"), F.lit("_"), e.cast("string"))
+    return trials.by_name(t.select(name(F.col("experiment") + 20).alias("name")).distinct(), t.select(name(F.col("experiment")).alias("name"), "trial_id"))
 
 
-@plan("a20_detector_counts", HIT_CTES + " SELECT window_id AS trial_id, count(*) FILTER (WHERE detector = 'SiTarget') AS nhits_sitarget, count(*) FILTER (WHERE detector = 'SiPad') AS nhits_sipad FROM hits GROUP BY window_id")
+@plan("a20_detector_counts", HIT_CTES + " SELECT window_id AS trial_id, nullif(count(*) FILTER (WHERE detector = 'SiTarget'), 0) AS nhits_sitarget, count(*) FILTER (WHERE detector = 'SiPad') AS nhits_sipad FROM hits GROUP BY window_id HAVING count(*) FILTER (WHERE detector = 'SiPad') > 0")
 def a20(spark, sf_dir):
     x = overlaid_hits(spark, sf_dir).groupBy(F.col("window_id").alias("trial_id")).pivot("detector", ["SiTarget", "SiPad"]).count()
-    return x.select("trial_id", F.coalesce("SiTarget", F.lit(0)).alias("nhits_sitarget"), F.coalesce("SiPad", F.lit(0)).alias("nhits_sipad"))
+    # an absent detector has no metric; without SiPad there is no result
+    return x.where("SiPad IS NOT NULL").select("trial_id", F.col("SiTarget").alias("nhits_sitarget"), F.col("SiPad").alias("nhits_sipad"))
 
 
 @plan("t3_first_of_group", TR + "SELECT experiment, trial_id FROM (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY trial_id) AS r FROM trials WHERE status = 'FAILED') x WHERE r <= 10")
@@ -325,7 +393,7 @@ def t3(spark, sf_dir):
     return trial_table(spark, sf_dir).where("status = 'FAILED'").withColumn("r", F.row_number().over(w)).where("r <= 10").select("experiment", "trial_id")
 
 
-@plan("st5_windowed_hits", ctes("stream") + """SELECT time_bucket(INTERVAL '1 hour', ts) AS t_window_start, cell_id, round(sum(energy), 4) AS e, count(*) AS n, CASE WHEN min(source_id) = max(source_id) THEN min(source_id) ELSE 0 END AS source_id FROM stream GROUP BY 1, 2""")
+@plan("st5_windowed_hits", ctes("stream") + """SELECT time_bucket(INTERVAL '1 hour', ts) AS t_window_start, cell_id, round(sum(energy), 4) AS e, count(*) AS n, min(ts) AS t, CASE WHEN min(source_id) = max(source_id) THEN min(source_id) ELSE 0 END AS source_id FROM stream GROUP BY 1, 2""")
 def st5(spark, sf_dir):
     x = spark_view(spark, sf_dir, "stream").withColumn("ts", F.col("ts").cast("timestamp"))
-    return windowed_hits(x, "1 hour", "10 minutes").withColumn("e", F.round("e", 4)).withColumn("t_window_start", F.col("t_window_start").cast("timestamp_ntz"))
+    return windowed_hits(x, "1 hour", "10 minutes").withColumn("e", F.round("e", 4)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("t", "t_window_start")})

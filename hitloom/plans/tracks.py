@@ -49,10 +49,12 @@ def p10(spark, sf_dir):
     return x.groupBy("window_id", "station", "layer").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("sx"), F.round(F.sum("y"), 4).alias("sy"), F.round(F.sum("edep") * 1e9, 3).alias("e_ev"))
 
 
-@plan("j6_unpaired", BASE + f", {FIBRE}, {PAIRS}" + """ SELECT window_id, cell_id, round(x * cos(radians(5e0)), 6) AS x FROM fib f
+@plan("j6_unpaired", BASE + ", fib AS (SELECT * FROM numbered WHERE detector = 'SciFi' AND e > 9e-5), " + PAIRS + """ SELECT window_id, cell_id, round(x * cos(radians(5e0)), 6) AS x FROM fib f
 WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.window_id = f.window_id AND (p.uid = f.hit_id OR p.vid = f.hit_id))""")
 def j6(spark, sf_dir):
-    return measurements.mtc(decoded(spark, sf_dir, "SciFi")).where("NOT is2d").select("window_id", "cell_id", F.round("x", 6).alias("x"))
+    """Hits above a threshold, with which some planes of a layer are empty."""
+    x = measurements.mtc(decoded(spark, sf_dir, "SciFi").where("e > 9e-5"))
+    return x.where("NOT is2d").select("window_id", "cell_id", F.round("x", 6).alias("x"))
 
 
 @plan("p9_mtc_single", BASE + f", {FIBRE} SELECT window_id, plane AS quality, count(*) AS n, round(sum(x * cos(radians(5e0))), 4) AS sx FROM fib GROUP BY window_id, plane")
@@ -151,9 +153,16 @@ def j8(spark, sf_dir):
     return y.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sx"), F.round(F.sum("y"), 3).alias("sy"))
 
 
-@plan("j8_mtc_points")
+@plan("j8_mtc_points", BASE + ", fib AS (SELECT * FROM numbered WHERE detector = 'SciFi' AND e > 8e-5), " + PAIRS + """, k AS (SELECT cos(radians(5e0)) AS c, sin(radians(5e0)) AS s),
+one AS (SELECT window_id, plane, c * x AS u, z, CAST(round(z / 5) AS BIGINT) AS zb, s FROM fib f, k WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.window_id = f.window_id AND (p.uid = f.hit_id OR p.vid = f.hit_id))),
+few AS (SELECT window_id, zb FROM one GROUP BY 1, 2 HAVING count(*) FILTER (WHERE plane = 0) * count(*) FILTER (WHERE plane = 1) BETWEEN 1 AND 200),
+pt AS (SELECT window_id, (ux + vx) / 2 AS x, (vx - ux) * c / (2 * s) AS y, (uz + vz) / 2 AS z FROM pairs, k UNION ALL
+SELECT a.window_id, (a.u + b.u) / 2, (b.u - a.u) / (2 * a.s), (a.z + b.z) / 2 FROM one a JOIN one b ON a.window_id = b.window_id AND a.zb = b.zb AND a.plane = 0 AND b.plane = 1 JOIN few ON few.window_id = a.window_id AND few.zb = a.zb)
+SELECT window_id, round(z, 4) AS z, 2 AS weight, count(*) AS n, round(sum(x), 4) AS sx, round(sum(y), 4) AS sy FROM pt GROUP BY window_id, round(z, 4)""")
 def j8_points(spark, sf_dir):
-    return seeding.mtc_points(measurements.mtc(decoded(spark, sf_dir, "SciFi")), ["window_id"])
+    """Points at each z of the measurements of hits above a threshold, resolved and crossed ones."""
+    x = seeding.mtc_points(measurements.mtc(decoded(spark, sf_dir, "SciFi").where("e > 8e-5")), ["window_id"])
+    return x.groupBy("window_id", F.round("z", 4).alias("z"), "weight").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("sx"), F.round(F.sum("y"), 4).alias("sy"))
 
 
 PADS = "pads AS (SELECT window_id, x - 137.5e0 AS x, y - 27.5e0 AS y FROM numbered WHERE detector = 'SiPad'), pts AS (SELECT c.*, EXISTS (SELECT 1 FROM pads p WHERE p.window_id = c.window_id AND (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) <= 4) AS confirmed FROM crossed c)"
@@ -169,8 +178,8 @@ def j9(spark, sf_dir):
     return confirmed(spark, sf_dir).select("window_id", "station_no", "x_id", "y_id", "confirmed")
 
 
-GHOST = """clean AS (SELECT * FROM pts p WHERE confirmed OR NOT (EXISTS (SELECT 1 FROM pts q WHERE q.window_id = p.window_id AND q.station_no = p.station_no AND q.x_id = p.x_id AND q.confirmed)
-AND EXISTS (SELECT 1 FROM pts q WHERE q.window_id = p.window_id AND q.station_no = p.station_no AND q.y_id = p.y_id AND q.confirmed)))"""
+GHOST = """clean AS (SELECT p.* FROM pts p LEFT JOIN (SELECT DISTINCT window_id, station_no, x_id, 1 AS fx FROM pts WHERE confirmed) a USING (window_id, station_no, x_id)
+LEFT JOIN (SELECT DISTINCT window_id, station_no, y_id, 1 AS fy FROM pts WHERE confirmed) b USING (window_id, station_no, y_id) WHERE confirmed OR fx IS NULL OR fy IS NULL)"""
 
 
 def cleaned(spark, sf_dir):
@@ -219,7 +228,31 @@ def a13(spark, sf_dir):
     return seeding.weighted_mode(met_points(spark, sf_dir), ["window_id"], "x", 0.8).select("window_id", "ix", "iy", F.round("x", 6).alias("x"))
 
 
-@plan("t2_seeds")
+JUDGED = """judged AS (SELECT window_id, ix, iy, votes, 2e0 * count(*) / count(DISTINCT round(z / 10)) AS multiplicity, min(z) AS z_start FROM met GROUP BY window_id, ix, iy, votes),
+rk AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY votes DESC, ix, iy) AS r FROM judged),
+nms AS (SELECT window_id, CAST(0 AS BIGINT) AS r, CAST(NULL AS INT) AS ix, CAST(NULL AS INT) AS iy, FALSE AS taken, CAST([] AS INT[]) AS cells FROM rk WHERE r = 1 UNION ALL
+  SELECT n.window_id, n.r, n.ix, n.iy, len(list_filter(cells, lambda c: abs(c // 1000 - n.ix) <= 3 AND abs(c % 1000 - n.iy) <= 3)) = 0,
+    CASE WHEN len(list_filter(cells, lambda c: abs(c // 1000 - n.ix) <= 3 AND abs(c % 1000 - n.iy) <= 3)) = 0 THEN list_append(cells, n.ix * 1000 + n.iy) ELSE cells END
+  FROM nms w JOIN rk n ON n.window_id = w.window_id AND n.r = w.r + 1)"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@plan("w8_suppressed", recursive(SEEDING.rstrip() + f", {JUDGED} SELECT window_id, ix, iy FROM nms WHERE taken"))
+def w8(spark, sf_dir):
+    found = seeding.peaks(seeding.votes(cleaned(spark, sf_dir), ["window_id"]), ["window_id"])
+    near = seeding.near_peaks(found, cleaned(spark, sf_dir), ["window_id"])
+    return seeding.suppress(seeding.multiplicity(near, ["window_id"]), ["window_id"], 3)
+
+
+def _mode(axis: str) -> str:
+    return f"""(SELECT window_id, ix, iy, arg_max(s, {{'w': w, 's': -s}}) * 0.8e0 AS {axis} FROM (SELECT window_id, ix, iy, CAST(round({axis} / 0.8e0) AS BIGINT) AS s, 2 * count(*) AS w FROM met GROUP BY 1, 2, 3, 4) q GROUP BY window_id, ix, iy)"""
+
+
+@plan("t2_seeds", recursive(SEEDING.rstrip() + f""", {JUDGED}, best AS (SELECT j.*, row_number() OVER (PARTITION BY window_id ORDER BY votes DESC, ix, iy) AS seat FROM judged j JOIN nms k USING (window_id, ix, iy) WHERE k.taken AND multiplicity <= 60)
+SELECT window_id, round(x, 6) AS x, round(y, 6) AS y, round(z_start, 4) AS z_start, votes AS n_votes, round(multiplicity, 6) AS multiplicity FROM best JOIN {_mode('x')} USING (window_id, ix, iy) JOIN {_mode('y')} USING (window_id, ix, iy) WHERE seat <= 5"""))
 def t2(spark, sf_dir):
     x = seeding.seeds(cleaned(spark, sf_dir), ["window_id"], max_multiplicity=60.0, pitch=0.8)
     return x.select("window_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("z_start", 4).alias("z_start"), "n_votes", F.round("multiplicity", 6).alias("multiplicity"))
@@ -253,7 +286,12 @@ def j14(spark, sf_dir):
     return linking.shared_hits(segment_hits(spark, sf_dir))
 
 
-@plan("w10_without_duplicates")
+@plan("w10_without_duplicates", recursive(SEG + """, sz AS (SELECT window_id, segment_id, count(*) AS n FROM segment_hits GROUP BY 1, 2),
+pr AS (SELECT a.window_id, a.segment_id AS s1, b.segment_id AS s2, count(*) AS shared FROM segment_hits a JOIN segment_hits b ON a.window_id = b.window_id AND a.hit_id = b.hit_id AND a.segment_id <> b.segment_id GROUP BY 1, 2, 3),
+rv AS (SELECT pr.window_id, s1 AS segment_id, list(s2) AS rivals FROM pr JOIN sz a ON a.window_id = pr.window_id AND a.segment_id = s1 JOIN sz b ON b.window_id = pr.window_id AND b.segment_id = s2 WHERE shared > 0.7e0 * least(a.n, b.n) GROUP BY 1, 2),
+rk AS (SELECT s.window_id, s.segment_id, coalesce(rivals, CAST([] AS BIGINT[])) AS rivals, row_number() OVER (PARTITION BY s.window_id ORDER BY chi2 / greatest(1, ndf), s.segment_id) AS r FROM segments s LEFT JOIN rv ON rv.window_id = s.window_id AND rv.segment_id = s.segment_id),
+wk AS (SELECT window_id, r, segment_id, TRUE AS taken, [segment_id] AS kept FROM rk WHERE r = 1 UNION ALL SELECT n.window_id, n.r, n.segment_id, NOT list_has_any(n.rivals, kept), CASE WHEN list_has_any(n.rivals, kept) THEN kept ELSE list_append(kept, n.segment_id) END FROM wk w JOIN rk n ON n.window_id = w.window_id AND n.r = w.r + 1)
+SELECT window_id, segment_id FROM wk WHERE taken"""))
 def w10(spark, sf_dir):
     return linking.without_duplicates(segments(spark, sf_dir), segment_hits(spark, sf_dir)).select("window_id", "segment_id")
 
@@ -274,21 +312,37 @@ def j16(spark, sf_dir):
     return linking.link_candidates(segments(spark, sf_dir), boundary=0.0).select("window_id", "det", "up", "down", F.round("score", 4).alias("score"))
 
 
+LINKS = SEG + f""", {CANDIDATES}, rk AS (SELECT window_id, det, up, down, score, row_number() OVER (PARTITION BY window_id ORDER BY round(score, 9), up, down) AS r FROM ok),
+wk AS (SELECT window_id, r, det, up, down, score, TRUE AS taken, [up] AS ups, [down] AS downs FROM rk WHERE r = 1 UNION ALL SELECT n.window_id, n.r, n.det, n.up, n.down, n.score, NOT (list_contains(ups, n.up) OR list_contains(downs, n.down)),
+  CASE WHEN list_contains(ups, n.up) OR list_contains(downs, n.down) THEN ups ELSE list_append(ups, n.up) END, CASE WHEN list_contains(ups, n.up) OR list_contains(downs, n.down) THEN downs ELSE list_append(downs, n.down) END
+  FROM wk w JOIN rk n ON n.window_id = w.window_id AND n.r = w.r + 1), lk AS (SELECT window_id, det, up, down, score FROM wk WHERE taken)"""
+CHAINS = """a AS (SELECT window_id, up AS f, down AS s FROM lk WHERE det = 0), b AS (SELECT window_id, up AS s, down AS t FROM lk WHERE det = 1),
+ch AS (SELECT window_id, f AS first, s AS second, t AS third FROM a LEFT JOIN b USING (window_id, s) UNION ALL SELECT window_id, s, t, NULL FROM b ANTI JOIN a USING (window_id, s))"""
+
+
 def links(spark, sf_dir):
     return linking.link(linking.link_candidates(segments(spark, sf_dir)))
 
 
-@plan("w11_links")
+@plan("w11_links", recursive(LINKS + " SELECT window_id, det, up, down FROM lk"))
 def w11(spark, sf_dir):
     return links(spark, sf_dir)
 
 
-@plan("w11_chains")
+@plan("w11_chains", recursive(LINKS + f", {CHAINS} SELECT window_id, first, second, third FROM ch"))
 def w11b(spark, sf_dir):
     return linking.chains(links(spark, sf_dir))
 
 
-@plan("j24_local_tracks")
+@plan("w11_accepted_chains", recursive(LINKS + f""", {CHAINS}, c2 AS (SELECT ch.*, third IS NOT NULL AND (ch.first + third) % 2 = 1 AS bad, x.score AS s1, y.score AS s2 FROM ch LEFT JOIN lk x ON x.window_id = ch.window_id AND x.up = first AND x.down = second LEFT JOIN lk y ON y.window_id = ch.window_id AND y.up = second AND y.down = third)
+SELECT window_id, CASE WHEN bad AND s2 < s1 THEN second ELSE first END AS first, CASE WHEN bad AND s2 < s1 THEN third ELSE second END AS second, CASE WHEN NOT bad THEN third END AS third FROM c2"""))
+def w11c(spark, sf_dir):
+    found = links(spark, sf_dir)
+    scored = found.join(linking.link_candidates(segments(spark, sf_dir)).select("window_id", "up", "down", "score"), ["window_id", "up", "down"])
+    return linking.accepted_chains(linking.chains(found), scored, (F.col("first") + F.col("third")) % 2 == 0)
+
+
+@plan("j24_local_tracks", recursive(LINKS + " SELECT s.window_id, s.segment_id FROM segments s WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk.window_id = s.window_id AND lk.up = s.segment_id) AND NOT EXISTS (SELECT 1 FROM lk WHERE lk.window_id = s.window_id AND lk.down = s.segment_id)"))
 def j24(spark, sf_dir):
     return linking.local_tracks(segments(spark, sf_dir), links(spark, sf_dir)).select("window_id", "segment_id")
 
@@ -312,7 +366,13 @@ def states(spark, sf_dir):
     return spark_view(spark, sf_dir, "track_states")
 
 
-@plan("w4_pair_states")
+PAIRED = ctes("track_states") + """, rk AS (SELECT *, row_number() OVER w AS r, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2, lead(chi2) OVER w AS chi22,
+  coalesce(tilt * lead(tilt) OVER w < 0 AND abs(tilt) > 0.01 AND abs(lead(tilt) OVER w) > 0.01 AND lead(z) OVER w - z < 5, FALSE) AS fits FROM track_states WINDOW w AS (PARTITION BY window_id, track_id ORDER BY z, seq)),
+wk AS (SELECT *, fits AS opens, FALSE AS closes FROM rk WHERE r = 1 UNION ALL SELECT n.*, n.fits AND NOT w.opens, w.opens FROM wk w JOIN rk n ON n.window_id = w.window_id AND n.track_id = w.track_id AND n.r = w.r + 1)"""
+
+
+@plan("w4_pair_states", recursive(PAIRED + """ SELECT window_id, track_id, seq, opens AS paired, round(CASE WHEN opens THEN (x + x2) / 2 ELSE x END, 6) AS x, round(CASE WHEN opens THEN (y + y2) / 2 ELSE y END, 6) AS y,
+round(CASE WHEN opens THEN (z + z2) / 2 ELSE z END, 6) AS z, round(CASE WHEN opens THEN 0 ELSE tilt END, 7) AS tilt, round(CASE WHEN opens THEN chi2 + chi22 ELSE chi2 END, 6) AS chi2 FROM wk WHERE NOT closes"""))
 def w4(spark, sf_dir):
     x = linking.pair_states(states(spark, sf_dir), ["window_id", "track_id"])
     return x.select("window_id", "track_id", "seq", "paired", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("z", 6).alias("z"), F.round("tilt", 7).alias("tilt"), F.round("chi2", 6).alias("chi2"))
@@ -325,14 +385,14 @@ def w3(spark, sf_dir):
 
 @plan("j17_in_slab", ctes("track_states") + """SELECT window_id, track_id, seq, coalesce((SELECT 1.7e0 FROM range(15) r(i) WHERE z BETWEEN i * 10 AND i * 10 + 5 AND x BETWEEN -30 AND 30 AND y BETWEEN -30 AND 30 LIMIT 1), 0) AS field FROM track_states""")
 def j17(spark, sf_dir):
-    i = F.col("id")
-    slabs = spark.range(15).select(i.alias("slab_id"), *[F.lit(v).alias(n) for n, v in (("xlo", -30.0), ("xhi", 30.0), ("ylo", -30.0), ("yhi", 30.0))], (i * 10.0).alias("zlo"), (i * 10.0 + 5).alias("zhi"), F.lit(1.7).alias("by"))
-    return linking.in_slab(states(spark, sf_dir), slabs, ["window_id", "track_id", "seq"]).select("window_id", "track_id", "seq", F.col("by").alias("field"))
+    slabs = [(-30.0, 30.0, -30.0, 30.0, i * 10.0, i * 10.0 + 5, 1.7) for i in range(15)]
+    return linking.in_slab(states(spark, sf_dir), slabs).select("window_id", "track_id", "seq", F.col("by").alias("field"))
 
 
-@plan("a26_region_tally", ctes("track_states") + """SELECT window_id, CASE WHEN z < 50 THEN 'SiTarget' WHEN z < 100 THEN 'SiPad' ELSE 'MTC' END AS region, count(*) AS n_states, count(*) FILTER (WHERE chi2 > 3) AS n_outliers FROM track_states GROUP BY 1, 2""")
+@plan("a26_region_tally", ctes("track_states") + """SELECT window_id, CASE WHEN z < 50 THEN 'SiTarget' WHEN z < 100 THEN 'SiPad' ELSE 'MTC' END AS region, count(*) AS n_states,
+count(*) FILTER (WHERE tilt <> 0 AND chi2 <= 3) AS n_inliers, count(*) FILTER (WHERE tilt <> 0 AND chi2 > 3) AS n_outliers, count(*) FILTER (WHERE tilt = 0) AS n_holes FROM track_states GROUP BY 1, 2""")
 def a26(spark, sf_dir):
-    return linking.region_tally(states(spark, sf_dir), (50.0, 100.0))
+    return linking.region_tally(states(spark, sf_dir), (50.0, 100.0), hole=F.col("tilt") == 0)
 
 
 @plan("a30_counts", BASE + "SELECT window_id, detector, count(*) AS n FROM numbered GROUP BY 1, 2")

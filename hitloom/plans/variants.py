@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from hitloom.operators import physics, trials, variants
-from hitloom.plans.hits import HIT_CTES, overlaid_hits
+from hitloom.functions import bitfields
+from hitloom.operators import hits, physics, trials, variants
+from hitloom.plans.hits import HIT_CTES, contributions, overlaid_hits
 from hitloom.plans.physics import ST, TR, trial_table
 from hitloom.plans.registry import plan
 from hitloom.plans.tracks import BASE, decoded, states
@@ -101,24 +102,29 @@ def p30(spark, sf_dir):
     return x.select("experiment", "trial_id", F.col("params")["w"].alias("w"), F.col("params")["n"].alias("n"), F.col("metrics")["nhits"].alias("nhits"))
 
 
-@plan("u1_union_of_detectors", HIT_CTES + "SELECT detector, count(*) AS n FROM hits WHERE detector IN ('SiPad', 'SciFi') GROUP BY detector")
+@plan("u1_union_of_detectors", HIT_CTES + "SELECT detector, count(*) AS n FROM hits GROUP BY detector")
 def u1(spark, sf_dir):
     h = overlaid_hits(spark, sf_dir)
-    return h.where("detector = 'SiPad'").unionByName(h.where("detector = 'SciFi'")).groupBy("detector").agg(F.count("*").alias("n"))
+    out = h.where("detector = 'SiPad'")
+    for d in ("SiTarget", "SciFi", "Scint"):
+        out = out.unionByName(h.where(F.col("detector") == d))
+    return out.groupBy("detector").agg(F.count("*").alias("n"))
 
 
-@plan("u4_difference", HIT_CTES + "SELECT DISTINCT cell_id FROM hits WHERE detector = 'SiPad' AND window_id = 1 AND cell_id NOT IN (SELECT cell_id FROM hits WHERE window_id = 2)")
+@plan("u4_difference", HIT_CTES + "SELECT DISTINCT window_id, detector, cell_id FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits o WHERE o.window_id = h.window_id + 1 AND o.detector = h.detector AND o.cell_id = h.cell_id)")
 def u4(spark, sf_dir):
-    h = overlaid_hits(spark, sf_dir)
-    one = h.where("detector = 'SiPad' AND window_id = 1").select("cell_id").distinct()
-    return one.join(h.where("window_id = 2").select("cell_id"), "cell_id", "left_anti")
+    """Cells of each window that are silent in the one after it."""
+    cells = overlaid_hits(spark, sf_dir).select("window_id", "detector", "cell_id").distinct()
+    after = cells.withColumn("window_id", F.col("window_id") - 1)
+    return cells.join(after, ["window_id", "detector", "cell_id"], "left_anti")
 
 
-@plan("s4_parallel_mismatch", HIT_CTES + """, v AS (SELECT window_id, detector, count(*) AS n_values FROM hits GROUP BY 1, 2), h AS (SELECT window_id, detector, sum(n_contributions) AS n_hits FROM hits GROUP BY 1, 2)
-SELECT window_id, detector, n_hits, n_values FROM h JOIN v USING (window_id, detector) WHERE n_hits <> n_values""")
+@plan("s4_parallel_mismatch", HIT_CTES + """, v AS (SELECT window_id, routed AS detector, count(*) AS n_values FROM overlay WHERE time < 13 GROUP BY 1, 2), h AS (SELECT window_id, detector, sum(n_contributions) AS n_hits FROM hits GROUP BY 1, 2)
+SELECT h.window_id, h.detector, n_hits, coalesce(n_values, 0) AS n_values FROM h LEFT JOIN v ON v.window_id = h.window_id AND v.detector = h.detector WHERE n_hits <> coalesce(n_values, 0)""")
 def s4(spark, sf_dir):
-    h = overlaid_hits(spark, sf_dir)
-    return io.parallel_mismatch(h.withColumnRenamed("n_contributions", "n"), h, ["window_id", "detector"])
+    """A list of species in which late contributions are missing, against the hits that own it."""
+    values = bitfields.route(hits.overlay(contributions(spark, sf_dir))).where("time < 13")
+    return io.parallel_mismatch(overlaid_hits(spark, sf_dir).withColumnRenamed("n_contributions", "n"), values, ["window_id", "detector"])
 
 
 @plan("t4_by_beam", HIT_CTES + "SELECT window_id, detector, cell_id, row_number() OVER (PARTITION BY window_id, detector ORDER BY z, cell_id) AS place FROM hits")

@@ -67,23 +67,70 @@ def assert_same_windows(a: DataFrame, b: DataFrame) -> None:
         raise ValueError(f"{na} windows of tracks and {nb} of hits")
 
 
+def empty_files(spark: SparkSession, glob: str) -> list[tuple[str, str]]:
+    """Folder and name of every empty file that a pattern matches, as the file system lists them on the driver."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(glob)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    return [(s.getPath().getParent().getName(), s.getPath().getName()) for s in found if s.getLen() == 0]
+
+
 def read_trials(spark: SparkSession, root: str) -> DataFrame:
-    """Trial folders: trial.json, metrics.json, and DONE or FAILED (its first line is the error).
+    """Trial folders: the columns of trial.json with trial (the folder), status, metrics and error.
 
-    Spark's readers leave out empty files, so metrics count as done where DONE is empty.
+    Without DONE or FAILED (also empty ones count; DONE is looked at first) a trial is
+    RUNNING, whatever else there is. With one, readable metrics decide: COMPLETED if they
+    have nhits_sipad, else FAILED; without metrics it is FAILED with FAILED's first line.
+    """
+    folder = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("trial")
+
+    def files(glob: str) -> DataFrame:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root)
+        text = F.trim(F.col("content").cast("string"))
+        return found.select(folder, F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), text.alias("text"))
+
+    trial = spark.read.option("multiLine", True).option("pathGlobFilter", "trial.json").option("recursiveFileLookup", True).json(root)
+    trial = trial.select("*", F.col("_metadata.file_path").alias("path")).select(folder, "*").drop("path")
+    metrics = files("metrics.json").select("trial", F.lit(True).alias("_written"), F.from_json("text", "map<string,double>").alias("metrics"))
+    line = F.substring(F.element_at(F.split("text", "\n"), 1), 1, 500)
+    # readers leave out empty files, so those are taken from the listing
+    empty = spark.createDataFrame(empty_files(spark, f"{root}/*/{{DONE,FAILED}}"), "trial string, name string").withColumn("text", F.lit(""))
+    marks = files("{DONE,FAILED}").unionByName(empty).groupBy("trial").agg(
+        F.lit(True).alias("_ended"), F.bool_or(F.col("name") == "FAILED").alias("_failed"), F.max(F.when((F.col("name") == "FAILED") & (line != ""), line)).alias("_line")
+    )
+    x = trial.join(metrics, "trial", "left").join(marks, "trial", "left")
+    complete = F.coalesce(F.map_contains_key("metrics", F.lit("nhits_sipad")), F.lit(False))
+    error = (
+        F.when(F.col("_ended").isNull() | complete, F.lit(None))
+        .when(F.col("_written") & F.col("metrics").isNull(), "unreadable metrics.json")
+        .when(F.col("_written"), "metrics.json has no nhits_sipad")
+        .when(F.col("_failed"), F.coalesce("_line", F.lit("the payload reported a failure")))
+        .otherwise("no metrics.json and no FAILED sentinel")
+    )
+    status = F.when(F.col("_ended").isNull(), "RUNNING").when(complete, "COMPLETED").otherwise("FAILED")
+    return x.withColumn("status", status).withColumn("error", error).drop("_ended", "_failed", "_line", "_written")
+
+
+FIRST, LAST = ("var_id", "name"), ("nhits_SiPad", "status")
+
+
+def append_results(rows: DataFrame, path: str, batch: int) -> None:
+    """A batch of results as CSV with its own header. rows: var_id, name, constants (map), nhits_SiPad, status.
+
+    A batch that is written again replaces itself. The keys of constants, few by nature,
+    are found with one aggregate.
     """
-    folder = lambda: F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("trial")
-    trial = spark.read.option("multiLine", True).json(f"{root}/*/trial.json").select(folder(), "*")
-    metrics = spark.read.text(f"{root}/*/metrics.json", wholetext=True).select(folder(), F.from_json("value", "map<string,double>").alias("metrics"))
-    marks = spark.read.option("pathGlobFilter", "{DONE,FAILED}").option("recursiveFileLookup", True).text(root, wholetext=True)
-    marks = marks.select(folder(), (F.col("_metadata.file_name") == "FAILED").alias("failed"), F.element_at(F.split("value", "\n"), 1).alias("line"))
-    ended = marks.groupBy("trial").agg(F.bool_or("failed").alias("failed"), F.max(F.when(F.col("failed"), F.col("line"))).alias("error"))
-    x = trial.join(metrics, "trial", "left").join(ended, "trial", "left")
-    return x.withColumn("status", F.when(F.col("failed"), "FAILED").when(F.col("failed").isNotNull() | F.col("metrics").isNotNull(), "COMPLETED").otherwise("RUNNING")).drop("failed")
+    keys = [r.k for r in rows.select(F.explode(F.map_keys("constants")).alias("k")).distinct().orderBy("k").collect()]
+    wide = rows.select(*FIRST, *[F.col("constants")[k].alias(k) for k in keys], *LAST)
+    wide.write.mode("overwrite").option("header", True).csv(f"{path}/batch={batch}")
 
 
-def append_results(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").option("header", True).csv(path)
+def read_results(spark: SparkSession, path: str, batches: list[int]) -> DataFrame:
+    """All batches by column name: the header has every batch's constants in order, blanks are null."""
+    parts = [spark.read.option("header", True).csv(f"{path}/batch={b}") for b in batches]
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out.select(*FIRST, *sorted(set(out.columns) - {*FIRST, *LAST}), *LAST)
 
 
 def read_variants(spark: SparkSession, path: str) -> DataFrame:
@@ -93,11 +140,19 @@ def read_variants(spark: SparkSession, path: str) -> DataFrame:
     return x.select("base", F.explode("variants").alias("v")).select("v.name", "base", "v.overrides")
 
 
+def read_display_config(spark: SparkSession, path: str) -> DataFrame:
+    """A nested display config, one row a detector: detector, then what its object holds as a map, and labels by |pdg|."""
+    schema = "detectors map<string,map<string,string>>, mc_labels map<string,string>"
+    x = spark.read.schema(schema).option("multiLine", True).json(path)
+    return x.select(F.explode("detectors").alias("detector", "settings"), F.coalesce("mc_labels", F.expr("CAST(map() AS MAP<STRING,STRING>)")).alias("mc_labels"))
+
+
 def write_histograms(histograms: dict[str, tuple[DataFrame, float, float, int]], path: str) -> None:
-    """bin and entries of each histogram as one long table: hist, bin, lo, hi, entries."""
+    """bin and entries of each histogram, one folder each: read together hist, bin, lo, hi, entries. Written again, it replaces itself."""
     for name, (h, lo, hi, n) in histograms.items():
         step = (hi - lo) / n
-        h.select(F.lit(name).alias("hist"), "bin", (lo + F.col("bin") * step).alias("lo"), (lo + (F.col("bin") + 1) * step).alias("hi"), "entries").write.mode("append").parquet(path)
+        x = h.select("bin", (lo + F.col("bin") * step).alias("lo"), (lo + (F.col("bin") + 1) * step).alias("hi"), "entries")
+        x.write.mode("overwrite").parquet(f"{path}/hist={name}")
 
 
 def wide_trials(trials: DataFrame, keys: list[str]) -> DataFrame:

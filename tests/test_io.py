@@ -35,26 +35,43 @@ def test_windows_and_tracks_are_written(spark, tmp_path):
 
 
 def test_trial_folders(spark, tmp_path):
-    for name, mark, text in (("t1", "DONE", ""), ("t2", "FAILED", "lost\nmore"), ("t3", None, "")):
-        d = tmp_path / name
-        d.mkdir()
-        (d / "trial.json").write_text(json.dumps({"trial_id": int(name[1])}))
-        if mark == "DONE":
-            (d / "metrics.json").write_text(json.dumps({"nhits": 5.0}))
-        if mark:
-            (d / mark).write_text(text)
-    out = {r.trial_id: r for r in io.read_trials(spark, str(tmp_path)).collect()}
-    assert (out[1].status, out[1].metrics, out[2].status, out[2].error, out[3].status) == ("COMPLETED", {"nhits": 5.0}, "FAILED", "lost", "RUNNING")
+    good, other = json.dumps({"nhits_sipad": 5.0}), json.dumps({"cost": 1.0})
+    cases = {  # files, then status, error and metrics
+        "t0": ({"DONE": "", "metrics.json": good}, ("COMPLETED", None, {"nhits_sipad": 5.0})),
+        "t1": ({"FAILED": "from the payload\nmore"}, ("FAILED", "from the payload", None)),
+        "t2": ({"metrics.json": good}, ("RUNNING", None, {"nhits_sipad": 5.0})),
+        "t3": ({"FAILED": "x", "metrics.json": good}, ("COMPLETED", None, {"nhits_sipad": 5.0})),
+        "t4": ({"DONE": "from the payload", "metrics.json": other}, ("FAILED", "metrics.json has no nhits_sipad", {"cost": 1.0})),
+        "t5": ({"DONE": "", "metrics.json": "{nhits"}, ("FAILED", "unreadable metrics.json", None)),
+        "t6": ({"DONE": ""}, ("FAILED", "no metrics.json and no FAILED sentinel", None)),
+        "t7": ({"DONE": "", "FAILED": ""}, ("FAILED", "the payload reported a failure", None)),
+        "t8": ({}, ("RUNNING", None, None)),
+    }
+    for name, (files, _) in cases.items():
+        (tmp_path / name).mkdir()
+        for f, text in {**files, "trial.json": json.dumps({"trial_id": int(name[1])})}.items():
+            (tmp_path / name / f).write_text(text)
+    out = {r.trial: (r.trial_id, r.status, r.error, r.metrics) for r in io.read_trials(spark, str(tmp_path)).collect()}
+    assert out == {name: (int(name[1]), *want) for name, (_, want) in cases.items()}
 
 
 def test_variants_results_and_histograms(spark, tmp_path):
     (tmp_path / "v.json").write_text(json.dumps({"base": {"a": 1.0}, "variants": [{"name": "x", "overrides": {"a": 2.0}}]}))
     assert io.read_variants(spark, str(tmp_path / "v.json")).first().overrides == {"a": 2.0}
-    io.append_results(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "r"))
-    assert spark.read.option("header", True).csv(str(tmp_path / "r")).count() == 1
+    (tmp_path / "d.json").write_text(json.dumps({"detectors": {"SiPad": {"size": 5.5, "colour": "red"}, "MTC": {}}, "mc_labels": {"13": "muon"}}))
+    config = {r.detector: (r.settings, r.mc_labels) for r in io.read_display_config(spark, str(tmp_path / "d.json")).collect()}
+    assert config == {"SiPad": ({"size": "5.5", "colour": "red"}, {"13": "muon"}), "MTC": ({}, {"13": "muon"})}
+    rows = "var_id int, name string, constants map<string,double>, nhits_SiPad int, status string"
+    for batch, constants in ((0, {"b": 1.0, "a": 2.0}), (1, {"c": 3.0}), (1, {"c": 4.0})):  # the second one is written twice
+        io.append_results(spark.createDataFrame([(batch, "x", constants, None, "FAILED")], rows), str(tmp_path / "r"), batch)
+    back = io.read_results(spark, str(tmp_path / "r"), [0, 1])
+    assert back.columns == ["var_id", "name", "a", "b", "c", "nhits_SiPad", "status"]
+    assert sorted(tuple(r) for r in back.select("var_id", "a", "b", "c").collect()) == [("0", "2.0", "1.0", None), ("1", None, None, "4.0")]
     h = spark.createDataFrame([(0, 3), (1, 4)], "bin int, entries long")
-    io.write_histograms({"h": (h, 0.0, 10.0, 5)}, str(tmp_path / "h"))
-    assert {(r.lo, r.hi) for r in spark.read.parquet(str(tmp_path / "h")).collect()} == {(0.0, 2.0), (2.0, 4.0)}
+    for _ in range(2):
+        io.write_histograms({"h": (h, 0.0, 10.0, 5)}, str(tmp_path / "h"))
+    found = spark.read.parquet(str(tmp_path / "h")).collect()
+    assert len(found) == 2 and {(r.hist, r.lo, r.hi) for r in found} == {("h", 0.0, 2.0), ("h", 2.0, 4.0)}
 
 
 def test_cost_of_the_baseline(spark):

@@ -1,9 +1,10 @@
 """Small tables worked by hand."""
 
 import datetime as dt
+import itertools
 import math
+import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,9 +96,10 @@ def test_ghosts(spark):
     assert {(r.x_id, r.y_id) for r in kept.collect()} == {("x1", "y1"), ("x2", "y2")}
 
 
-def test_suppression_in_order_of_votes():
-    pdf = pd.DataFrame({"ix": [0, 2, 4, 10], "iy": [0, 0, 0, 0], "votes": [5, 4, 3, 1]})
-    assert list(seeding.suppress(pdf, 3)["ix"]) == [0, 4, 10]  # the second one is suppressed and suppresses nothing
+def test_suppression_in_order_of_votes(spark):
+    rows = [(w, ix, 0, v) for w in (1, 2) for ix, v in ((0, 5), (2, 4), (4, 3), (10, 1))]
+    kept = seeding.suppress(spark.createDataFrame(rows, "w int, ix int, iy int, votes int"), ["w"], 3).collect()
+    assert sorted((r.w, r.ix) for r in kept) == [(w, i) for w in (1, 2) for i in (0, 4, 10)]  # the second one is suppressed and suppresses nothing
 
 
 def test_states_of_opposite_tilt(spark):
@@ -112,9 +114,15 @@ def test_duplicates(spark, most, kept):
     assert {r.segment_id for r in linking.without_duplicates(seg, h, most).collect()} == kept
 
 
-def test_greedy_links():
-    pdf = pd.DataFrame([(0, 0, 1, 10, 1.0), (0, 0, 1, 11, 2.0), (0, 0, 2, 10, 3.0)], columns=["window_id", "det", "up", "down", "score"])
-    assert linking.one_to_one(pdf)[["up", "down"]].values.tolist() == [[1, 10]]
+def test_greedy_links_and_chains(spark):
+    rows = [(0, 0, 1, 10, 1.0), (0, 0, 1, 11, 2.0), (0, 0, 2, 10, 3.0), (0, 1, 10, 20, 0.5), (0, 1, 12, 21, 0.1), (None, 0, 1, 2, 0.0)]
+    found = linking.link(spark.createDataFrame(rows, "window_id long, det int, up long, down long, score double"))
+    assert sorted((r.up, r.down) for r in found.collect()) == [(1, 10), (10, 20), (12, 21)]
+    chains = linking.chains(found)
+    assert {(r.first, r.second, r.third) for r in chains.collect()} == {(1, 10, 20), (12, 21, None)}
+    scored = spark.createDataFrame([r for r in rows if r[0] is not None], "window_id long, det int, up long, down long, score double")
+    for three, want in ((F.lit(True), (1, 10, 20)), (F.lit(False), (10, 20, None))):  # the better link of a rejected chain
+        assert want in {(r.first, r.second, r.third) for r in linking.accepted_chains(chains, scored, three).collect()}
 
 
 def test_upper_median(spark):
@@ -127,7 +135,36 @@ def test_hypervolume(spark, points, area):
     rows = spark.createDataFrame([(0, i, *p) for i, p in enumerate(points)], "e int, trial_id int, y0 double, y1 double")
     refs = spark.createDataFrame([(0, -18.0, -6.0)], "e int, r0 double, r1 double")
     assert trials.hypervolume(rows, refs, ["e"]).first().hv == area
-    assert trials.hypervolume_trace(rows, refs, ["e"], "e int, trial_id int, hv double").agg(F.max("hv")).first()[0] == area
+    assert trials.hypervolume_trace(rows, refs, ["e"]).agg(F.max("hv")).first()[0] == area
+
+
+def test_volumes_in_any_dimension(spark):
+    rng = random.Random(4)
+    for n in (2, 3, 4):
+        points = [tuple(float(rng.randint(0, 5)) for _ in range(n)) for _ in range(12)]
+        ref = (1.0,) * n
+        cells = {c for p in points for c in itertools.product(*[range(1, int(v)) for v in p])} if n else set()
+        above = [p for p in points if all(v > 1 for v in p)]
+        assert trials.volume(above, ref) == len(cells)
+        trace, seen = trials._Trace(), set()
+        for p in points:
+            trace.add(p, ref)
+            seen |= set(itertools.product(*[range(1, int(v)) for v in p]))
+            assert trace.total == len(seen)
+        rows = spark.createDataFrame([(7, i, *p) for i, p in enumerate(points)], "e int, trial_id int, " + ", ".join(f"y{i} double" for i in range(n)))
+        refs = spark.createDataFrame([(7, *ref), (8, *ref)], "e int, " + ", ".join(f"r{i} double" for i in range(n)))
+        dims = tuple(f"y{i}" for i in range(n))
+        assert {(r.e, r.hv) for r in trials.hypervolume_of_many(rows, refs, ["e"], dims).collect()} == {(7, len(cells)), (8, 0.0)}
+        best = {i for i, p in enumerate(points) if not any(all(a >= b for a, b in zip(q, p)) and (q != p or j < i) for j, q in enumerate(points))}
+        assert {r.trial_id for r in trials.front_of_many(rows, ["e"], list(dims)).collect()} == best
+
+
+def test_ids_follow_in_order(spark):
+    new = spark.createDataFrame([(f"n{i:03d}",) for i in range(50)], "name string").repartition(7)
+    base = spark.createDataFrame([(3,), (9,)], "trial_id long")
+    for b, first in ((base, 10), (base.limit(0), 0)):
+        assert [(r.name, r.trial_id) for r in trials.next_ids(b, new, "name").orderBy("name").collect()] == [(f"n{i:03d}", first + i) for i in range(50)]
+    assert trials.next_ids(base, new.limit(0), "name").count() == 0
 
 
 def test_search_space_bounds(spark):
@@ -152,19 +189,26 @@ def test_sources_must_be_complete(spark):
 
 def test_windows_of_a_file_stream(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
-    rows = [(t + dt.timedelta(minutes=m), 1, 5, 1.0) for m in (1, 2, 70, 200)]
-    schema = "ts timestamp, source_id int, cell_id long, energy double"
+    # the most energetic one of 2 and 3 is a tie: the earlier counts
+    rows = [(t + dt.timedelta(minutes=m), s, 5, e, q, p, float(q)) for m, s, e, q, p in ((2, 1, 2.0, 7, 13), (1, 1, 1.0, 9, 11), (3, 2, 2.0, 8, 22), (70, 1, 1.0, 1, 13), (200, 1, 1.0, 1, 13))]
+    schema = "ts timestamp, source_id int, cell_id long, energy double, seq int, pdg int, hit_x double"
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
     out = windows.windowed_hits(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "1 hour", "1 minute")
     q = out.writeStream.format("memory").queryName("hit_windows").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(60)
-    assert sorted(r.n for r in spark.table("hit_windows").collect()) == [1, 2]
+    found = spark.table("hit_windows").collect()
+    assert sorted(r.n for r in found) == [1, 3]
+    (first,) = [r for r in found if r.n == 3]
+    assert (first.e, first.source_id, first.t, first.x, first.origin_pdg) == (5.0, 0, t + dt.timedelta(minutes=1), 9.0, 13)
 
 
 def test_trial_feed_keeps_the_newest(spark, tmp_path):
-    schema = "experiment int, trial_id int, status string"
+    schema = "experiment int, trial_id int, status string, a double, b double"
+    objectives = [trials.Objective("a"), trials.Objective("b")]
     for status in ("SUBMITTED", "COMPLETED"):
-        spark.createDataFrame([(0, 1, status)], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        spark.createDataFrame([(0, 1, status, 1.0, 2.0), (0, 2, "COMPLETED", 0.5, 1.0)], schema).write.mode("append").parquet(str(tmp_path / "in"))
         feed = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        windows.trial_feed(feed, str(tmp_path / "store"), str(tmp_path / "ck")).awaitTermination(60)
-    assert windows.newest(spark.read.parquet(str(tmp_path / "store"))).first().status == "COMPLETED"
+        windows.trial_feed(feed, str(tmp_path / "store"), str(tmp_path / "ck"), objectives).awaitTermination(60)
+        assert [r.trial_id for r in spark.read.parquet(str(tmp_path / "store-front")).collect()] == [2 if status == "SUBMITTED" else 1]
+    assert {(r.trial_id, r.status) for r in windows.newest(spark.read.parquet(str(tmp_path / "store"))).collect()} == {(1, "COMPLETED"), (2, "COMPLETED")}
+    assert [(r.status, r.n) for r in spark.read.parquet(str(tmp_path / "store-counts")).collect()] == [("COMPLETED", 2)]
