@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hitloom.sources.shared import cut as materialize
+from hitloom.sources.shared import discard, remove, shared_dir
+
+__all__ = ["WORD", "discard", "materialize", "needed", "pieces", "remove", "shared_dir", "sole_cache", "table", "text_batches", "text_size"]
+
 #: What counts as a word everywhere in this package: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,8 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 _kept: dict[str, Callable[[], None]] = {}
 
 
-def sole_cache(name: str, clear: Callable[[], None]) -> None:
-    """Empties what other operators have kept in this Python worker, which tasks share."""
+def sole_cache(name: str, clear: Callable[[], None] = lambda: None) -> None:
+    """Empties what other operators have kept in this Python worker, which tasks share. Each operator's functions call it first."""
     for other in [k for k in _kept if k != name]:
         _kept.pop(other)()
     _kept[name] = clear
@@ -29,23 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="hitloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def pieces(batches: Iterator[pd.DataFrame], column: str, most: int = 8_000_000) -> Iterator[pd.DataFrame]:
     """Cut batches so that no piece holds much more than `most` characters of a text column."""
     for pdf in batches:

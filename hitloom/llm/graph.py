@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.llm.common import materialize
+from hitloom.llm.common import discard, materialize
 
 SALTS = 64
 
@@ -26,6 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         sunk = label.join(near, "u").select("u", F.col("l").alias("before"), F.least("l", "near").alias("l"))
         sunk = sunk.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)))
         to = sunk.select("l", "salt").distinct().join(label.select(F.col("u").alias("l"), F.col("l").alias("further")), "l")
-        label = materialize(sunk.join(to, ["l", "salt"], "left").select("u", "before", F.least("l", F.coalesce("further", "l")).alias("l")), "labels")
+        last, label = label, materialize(sunk.join(to, ["l", "salt"], "left").select("u", "before", F.least("l", F.coalesce("further", "l")).alias("l")), "labels")
+        discard(last)
         if label.where("l < before").limit(1).count() == 0:
+            discard(e)
             return label.select(F.col("u").alias("node"), F.col("l").alias("component"))

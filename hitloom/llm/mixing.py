@@ -10,7 +10,8 @@ filled with documents in the order of a seeded hash. That order is cut in hash
 buckets whose sizes are summed first, so only the rows of the one bucket in which a
 source's cut falls are ordered, and a source with a third of all rows is spread over
 all buckets. Null sources are a source of their own, the last in order; null texts
-have size 0 and are never repeated for it. Equal rows share their fate's order.
+have size 0, take part in whole repetitions and are never drawn for a rest. Equal rows
+share their fate's order.
 """
 
 from __future__ import annotations
@@ -55,23 +56,24 @@ def draw(sized: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
     """sized: doc_id, source, size and any others. Adds source_size, target, repeats (int).
 
     One shuffle by source and bucket for the ranks and the join. Rerun or recomputed
-    after a loss, the same rows are chosen: order is (hash, doc_id, size).
+    after a loss, the same rows are chosen: order is (hash, doc_id, size). Columns of sized
+    that have the names of the results are replaced; any other name may occur.
     """
-    hashed = sized.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_bucket", F.pmod("_hash", F.lit(BUCKETS)).cast("int"))
-    sums = hashed.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    plan = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-    g, p = goals.alias("g"), plan.alias("p")
+    row = F.struct(*[F.col(f"`{c}`") for c in sized.columns]).alias("row")
+    hashed = sized.select(row, "source", "size", "doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("hash")).withColumn("bucket", F.pmod("hash", F.lit(BUCKETS)).cast("int"))
+    sums = hashed.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    p, g = sums.withColumn("base", F.coalesce(F.sum("sum").over(before), F.lit(0))).alias("p"), goals.alias("g")
     plan = p.join(g, F.col("p.source").eqNullSafe(F.col("g.source"))).select(
-        F.col("p.source").alias("_source"), F.col("p._bucket").alias("_b"), "_base", "source_size", "target",
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int").alias("_whole"),
-    ).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
-    inside = Window.partitionBy("source", "_bucket").orderBy("_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = hashed.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    r, q = ranked.alias("r"), plan.alias("q")
-    joined = r.join(q, F.col("r.source").eqNullSafe(F.col("q._source")) & (F.col("r._bucket") == F.col("q._b")))
-    more = (F.col("_base") + F.col("_before") + F.col("r.size") / 2 <= F.col("_rest")) & (F.col("r.size") > 0)
-    return joined.select(*[F.col(f"r.`{c}`") for c in sized.columns], F.col("q.source_size"), F.col("q.target"), (F.col("_whole") + more.cast("int")).alias("repeats"))
+        "p.source", "p.bucket", "base", "source_size", "target",
+        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int").alias("whole"),
+    ).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    inside = Window.partitionBy("source", "bucket").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    r, q = hashed.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("r"), plan.alias("q")
+    joined = r.join(q, F.col("r.source").eqNullSafe(F.col("q.source")) & (F.col("r.bucket") == F.col("q.bucket")))
+    more = (F.col("q.base") + F.col("r.before") + F.col("r.size") / 2 <= F.col("q.rest")) & (F.col("r.size") > 0)
+    kept = [F.col("r.row").getField(c).alias(c) for c in sized.columns if c not in ("source_size", "target", "repeats")]
+    return joined.select(*kept, F.col("q.source_size"), F.col("q.target"), (F.col("q.whole") + more.cast("int")).alias("repeats"))
 
 
 def mix(sized: DataFrame, seed: int = 17, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:

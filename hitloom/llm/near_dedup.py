@@ -48,7 +48,7 @@ SKETCH_LEAST = 90
 BLOCK = 256
 #: parts in which the pairs of one class are dealt
 SALTS = 64
-KEEP = 400_000
+KEEP = 250_000
 
 
 def odd(n: int, seed: int) -> np.ndarray:
@@ -161,6 +161,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("head"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole_cache("words", known_words().clear)
         s = np.empty(0, np.uint64)
         for pdf in batches:
             keep = []

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.llm.common import materialize, text_batches
+from hitloom.llm.common import materialize, sole_cache, text_batches
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -50,7 +50,6 @@ NONE = float("-inf")
 #: units of at most so many code points are solved together
 LOCKSTEP = 64
 SPACE_POINT, FEED = 32, 10
-TABLE_BITS = 21
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,30 +87,33 @@ class Trie:
         for p, (i, s) in scores.items():
             self.piece[number[p]], self.score[number[p]] = i, s
         keys = np.array([number.get(p[:-1], 0) * self.classes + own[p[-1]] for p in known], np.int64)
+        if keys.max(initial=0) >= 2**31:
+            raise ValueError("the model has too many pieces")
         self.tables = []
         to = np.arange(1, len(known) + 1, dtype=np.int32)
         while len(keys):
-            slot = self.slots(keys, len(self.tables))
+            bits = max(8, len(keys).bit_length() + 3)
+            slot = self.slots(keys, bits, len(self.tables))
             _, first = np.unique(slot, return_index=True)
-            at, node = np.full(1 << TABLE_BITS, -1, np.int64), np.zeros(1 << TABLE_BITS, np.int32)
+            at, node = np.full(1 << bits, -1, np.int32), np.zeros(1 << bits, np.int32)
             at[slot[first]], node[slot[first]] = keys[first], to[first]
-            taken = np.zeros(1 << TABLE_BITS, bool)
+            taken = np.zeros(1 << bits, bool)
             rest = np.delete(np.arange(len(keys)), first)
             taken[slot[rest]] = True
-            self.tables.append((at, node, taken))
+            self.tables.append((bits, at, node, taken))
             keys, to = keys[rest], to[rest]
 
     @staticmethod
-    def slots(keys: np.ndarray, level: int) -> np.ndarray:
-        return ((keys.astype(np.uint64) + np.uint64(level << 40)) * FACTOR >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    def slots(keys: np.ndarray, bits: int, level: int) -> np.ndarray:
+        return ((keys.astype(np.uint64) + np.uint64(level << 40)) * FACTOR >> np.uint64(64 - bits)).astype(np.int64)
 
     def step(self, node: np.ndarray, c: np.ndarray) -> np.ndarray:
         """The next nodes, 0 where there is none."""
         return self.found(node.astype(np.int64) * self.classes + c, 0)
 
     def found(self, keys: np.ndarray, level: int) -> np.ndarray:
-        at, node, taken = self.tables[level]
-        slot = self.slots(keys, level)
+        bits, at, node, taken = self.tables[level]
+        slot = self.slots(keys, bits, level)
         hit = at[slot] == keys
         out = np.where(hit, node[slot], 0)
         if level + 1 < len(self.tables):
@@ -397,8 +399,9 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     kept = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("pieces")
         m = model(path)
-        for batch, texts in text_batches(batches, "text", 2_000_000):
+        for batch, texts in text_batches(batches, "text", 1_000_000):
             ids, counts = m.encode_all(texts)
             ends = np.concatenate([[0], np.cumsum(counts)])
             exact = [m.decode(ids[a:b].tolist()) == t for a, b, t in zip(ends, ends[1:], texts, strict=False)]
@@ -423,6 +426,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     chunks = materialize(chunks.repartition("row", "k"), "chunks")
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole_cache("pieces")
         m = model(path)
         for pdf in batches:
             yield pd.DataFrame({"row": pdf["row"], "k": pdf["k"], "t": [transfer(m, t, n, states).tobytes() for t, n in zip(pdf["text"], pdf["size"], strict=True)]})
@@ -454,6 +458,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     scored = materialize(chunks.join(scores, ["row", "k"]), "scored-chunks")
 
     def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole_cache("pieces")
         m = model(path)
         for pdf in batches:
             yield pd.DataFrame({"row": pdf["row"], "k": pdf["k"], "map": [entered(m, t, n, states, np.frombuffer(f)) for t, n, f in zip(pdf["text"], pdf["size"], pdf["scores"], strict=True)]})
@@ -465,6 +470,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         return pd.DataFrame({"row": pdf["row"], "k": pdf["k"], "leave": left})
 
     def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole_cache("pieces")
         m = model(path)
         for pdf in batches:
             yield pd.DataFrame({
@@ -477,6 +483,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     joined = parts.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("pieces")
         m = model(path)
         for batch in batches:
             exact = [m.decode(x) == t for x, t in zip(batch.column("ids").to_pylist(), batch.column("text").to_pylist(), strict=True)]

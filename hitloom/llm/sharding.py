@@ -97,22 +97,26 @@ def segments(nodes: DataFrame, counts: DataFrame, n_shards: int) -> DataFrame:
 def shard(df: DataFrame, key: str, n_shards: int, vnodes: int = 64, ties: tuple[str, ...] = ()) -> DataFrame:
     """df with two more columns: shard (int) and slot (long, gapless from 0 in each shard).
 
-    Counts are at most one apart. df must not have columns named _place, _arc, _rank.
+    Counts are at most one apart. Columns of df that have these names are replaced; any
+    other name may occur.
     """
     nodes = ring(df.sparkSession, n_shards, vnodes)
-    arcs = place_to_arc(nodes)
+    arcs = place_to_arc(nodes).select("place", F.col("arc").cast("long").alias("arc"))
 
     def on_ring(x: DataFrame) -> DataFrame:
-        x = x.withColumn("_hash", F.xxhash64(F.lit("key"), F.col(key))).withColumn("_place", F.pmod("_hash", F.lit(RING)))
+        """x: row (a struct of all columns), in its arc."""
+        hashed = x.withColumn("hash", F.xxhash64(F.lit("key"), F.col("row").getField(key)))
         # RING rows, whatever the input
-        return x.join(F.broadcast(arcs.select(F.col("place").alias("_place"), F.col("arc").alias("_arc"))), "_place")
-
-    counts = on_ring(df.select(key)).groupBy(F.col("_arc").alias("arc")).agg(F.count("*").alias("n"))
-    plan = segments(nodes, counts, n_shards).select(
-        F.col("arc").alias("_arc"), F.col("start").alias("_start"), F.col("n").alias("_n"), F.col("shard").alias("_shard"), F.col("base").alias("_base")
-    ).alias("p")
-    by = Window.partitionBy("_arc").orderBy("_hash", key, *ties)
-    ranked = on_ring(df).withColumn("_rank", F.row_number().over(by) - 1).alias("r")
+        return hashed.withColumn("place", F.pmod("hash", F.lit(RING))).join(F.broadcast(arcs), "place")
+
+    def packed(columns: list[str]) -> DataFrame:
+        return df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+
+    counts = on_ring(packed([key])).groupBy("arc").agg(F.count("*").alias("n"))
+    plan = segments(nodes, counts, n_shards).alias("p")
+    by = Window.partitionBy("arc").orderBy("hash", F.col("row").getField(key), *[F.col("row").getField(t) for t in ties])
+    ranked = on_ring(packed(df.columns)).withColumn("rank", F.row_number().over(by) - 1).alias("r")
     # at most two segments an arc and one more a shard
-    found = ranked.join(F.broadcast(plan), F.expr("r._arc = p._arc AND r._rank >= p._start AND r._rank < p._start + p._n"))
-    return found.select(*[F.col(f"r.`{c}`") for c in df.columns], F.col("p._shard").alias("shard"), F.expr("p._base + r._rank - p._start").alias("slot"))
+    found = ranked.join(F.broadcast(plan), F.expr("r.arc = p.arc AND r.rank >= p.start AND r.rank < p.start + p.n"))
+    kept = [F.col("r.row").getField(c).alias(c) for c in df.columns if c not in ("shard", "slot")]
+    return found.select(*kept, F.col("p.shard").alias("shard"), F.expr("p.base + r.rank - p.start").alias("slot"))

@@ -31,6 +31,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.llm.common import materialize, pieces, text_batches
+from hitloom.llm.common import materialize, pieces, sole_cache, text_batches
 
 WORD = re.compile(r"[^\W_]+")
 FIRST, LAST = "^", "$"
@@ -50,7 +51,7 @@ DISCOUNT = 3
 SHARED_DISCOUNT = 0.75
 #: nats by which a word must be likelier in toxic text before it counts
 MARGIN = 3.0
-#: rows of a model that is broadcast, 16 bytes each
+#: rows of a model that is broadcast, 12 bytes each
 MOST = 1 << 21
 UNIT = 1 << 20
 CLASSES = ("toxic", "ordinary")
@@ -151,14 +152,18 @@ def key(gram: str, kind: str) -> int:
     return int(mixed(np.array([h], np.uint64) + SALT[kind])[0])
 
 
+def in_order(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rising keys with their values, and one more that is larger than all."""
+    order = np.argsort(keys)
+    return np.append(keys[order], np.iinfo(np.uint64).max), np.append(values[order], 0).astype(np.int32)
+
+
 class Arrays:
-    """Values by key; what isn't there is 0."""
+    """Values by key, of arrays in_order(); what isn't there is 0."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys = np.append(keys[order], np.iinfo(np.uint64).max)
-        self.values = np.append(values[order], 0)
-        self.bits = max(8, int(len(keys)).bit_length() + 1)
+        self.keys, self.values = keys, values
+        self.bits = max(8, int(len(keys)).bit_length())
         self.begin = np.searchsorted(self.keys[:-1], np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
 
     def find(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +177,17 @@ class Arrays:
         return np.where(hit, self.values[at], 0), hit
 
 
+_kept: dict[str, Arrays] = {}
+
+
+def kept(name: str, keys: np.ndarray, values: np.ndarray) -> Arrays:
+    """The arrays of one model, which the tasks of a Python worker share."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = Arrays(keys, values)
+    return _kept[name]
+
+
 @functools.cache
 def in_words() -> np.ndarray:
     """Whether each code point belongs to words."""
@@ -253,7 +269,7 @@ class Steps:
                     yield pa.RecordBatch.from_arrays([pa.array(np.array(k, np.uint64).view(np.int64)), b.column("value")], ["k", "value"])
 
             x = self.table.mapInArrow(keyed, "k long, value long").toArrow()
-            self.arrays = x.column("k").to_numpy().view(np.uint64), x.column("value").to_numpy()
+            self.arrays = in_order(x.column("k").to_numpy().view(np.uint64), x.column("value").to_numpy())
 
     def features(self, docs: DataFrame, columns: list[str]) -> DataFrame:
         """docs: columns, text. columns, f: one row in, one row out."""
@@ -261,10 +277,11 @@ class Steps:
 
     def broadcast(self, docs: DataFrame, columns: list[str]) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(self.arrays)  # MOST rows at most
-        names = [*columns, "f"]
+        names, name = [*columns, "f"], uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = Arrays(*shared.value)
+            sole_cache("toxicity", _kept.clear)
+            model = kept(name, *shared.value)
             for batch, texts in text_batches(batches, "text", 1_000_000):
                 f = feature(*excess(texts, model))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(f)], names)

@@ -59,6 +59,19 @@ def test_sharding_counts_and_slots(spark, docs, none):
     assert sorted(Counter(r.shard for r in sharding.shard(one, "doc_id", 7, 4).collect()).values()) == [4, 4, 4, 4, 4, 4, 5]
 
 
+def test_clashing_columns_are_kept_or_replaced(spark, docs):
+    names = ["_hash", "_place", "_arc", "_rank", "arc", "rank", "row", "hash", "place", "bucket", "base", "whole", "rest", "p", "r", "slot", "shard", "target", "repeats", "source_size"]
+    x = docs.select("doc_id", "source", F.length("text").alias("size"), *[F.lit(n).alias(n) for n in names]).fillna({"size": 0})
+    out = sharding.shard(x, "doc_id", 5, vnodes=4)
+    assert sorted(out.columns) == sorted(x.columns) and out.columns[-2:] == ["shard", "slot"]
+    assert all(r[n] == n for r in out.collect() for n in names if n not in ("shard", "slot")) and sorted(Counter(r.shard for r in out.collect()).values())[-1] <= 10
+    mixed = mixing.mix(x)
+    assert sorted(mixed.columns) == sorted(x.columns)
+    assert all(r[n] == n for r in mixed.collect() for n in names if n not in ("target", "repeats", "source_size")) and mixed.count() == x.count()
+    plain = {r.doc_id: r.repeats for r in mixing.mix(x.select("doc_id", "source", "size")).collect()}
+    assert {r.doc_id: r.repeats for r in mixed.collect()} == plain
+
+
 def test_sharding_moves_little(spark):
     x = spark.range(4000).withColumnRenamed("id", "doc_id")
     a = {r.doc_id: r.shard for r in sharding.shard(x, "doc_id", 10).collect()}
