@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitloom.llm import mixing, near_dedup, pieces, secrets, token_counts, toxicity
-from hitloom.llm.common import materialize, shared_dir, table
+from hitloom.llm.common import materialize, remove, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of sets of five-word runs similar by 0.8 or more stays: the smallest id."""
     found = near_dedup.near_duplicates(docs.select("doc_id", "text"), words=5, percent=80)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = found.where("NOT kept").select("doc_id").distinct().alias("g")
+    return docs.alias("d").join(gone, F.col("d.doc_id") == F.col("g.doc_id"), "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +34,12 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for every repetition of a document in the mix; those with none go."""
-    sized = materialize(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")).dropDuplicates(["doc_id"]), "mix-sizes")
-    repeats = mixing.mix(sized).where("repeats > 0").select(F.col("doc_id").alias("_id"), "repeats")
-    chosen = docs.join(repeats, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return chosen.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*[docs[c] for c in docs.columns])
+    """A row for every repetition of a document in the mix; those with none go. Rows that share an id share its smallest source and size."""
+    sized = materialize(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")).groupBy("doc_id").agg(F.min(F.struct("source", "size")).alias("s")).select("doc_id", "s.*"), "mix-sizes")
+    repeats = mixing.mix(sized).where("repeats > 0").select("doc_id", "repeats").alias("r")
+    chosen = docs.alias("d").join(repeats, F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")))
+    own = "_" * (1 + max(map(len, docs.columns)))  # no column has this name
+    return chosen.select("d.*", F.explode(F.sequence(F.lit(1), F.col("r.repeats"))).alias(own)).drop(own)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,11 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written and read again in the shared folder; a stage's table goes once the next one is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         out = stage(spark, docs, sf_dir)
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return docs
