@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hitloom.sources.shared import cut as materialize
 from hitloom.sources.shared import discard, remove, shared_dir
 
-__all__ = ["WORD", "discard", "materialize", "needed", "pieces", "remove", "shared_dir", "sole_cache", "table", "text_batches", "text_size"]
+__all__ = ["WORD", "discard", "materialize", "needed", "pieces", "remove", "salted", "shared_dir", "sole_cache", "table", "text_batches", "text_size"]
 
 #: What counts as a word everywhere in this package: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,3 +79,14 @@ def needed(df: DataFrame, ids: DataFrame) -> DataFrame:
     wanted = ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     some = df.withColumn("_bucket", bucket).join(F.broadcast(wanted.select(bucket.alias("_bucket")).distinct()), "_bucket", "left_semi").drop("_bucket")
     return some.join(wanted, "doc_id", "left_semi")
+
+
+SALTS = 32
+
+
+def salted(rows: DataFrame, keys: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
+    """rows joined with a small table of one row a key, each key dealt to SALTS tasks by a hash of column `by`."""
+    part = "_part" + on
+    dealt = rows.withColumn(part, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    every = keys.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(every, [on, part], how).drop(part)

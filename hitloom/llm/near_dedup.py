@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.llm.common import materialize, needed, pieces, sole_cache
+from hitloom.llm.common import materialize, needed, pieces, salted, sole_cache
 from hitloom.llm.graph import components
 
 PARTS, ROWS = 8, 2
@@ -208,7 +208,7 @@ def joined(asked: DataFrame, members: DataFrame, docs: DataFrame, words: int, pe
         return x.groupBy("of").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
 
     n = dealt(members, "n_m").join(dealt(asked, "n_q"), "of")
-    m, q = members.join(n, "of"), asked.join(n, "of")
+    m, q = salted(members, n, "of", "doc_id"), salted(asked, n, "of", "doc_id")
     m = m.withColumn("bm", F.pmod(F.xxhash64("doc_id"), "n_m").cast("int")).withColumn("bq", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1))).withColumn("asked", F.lit(False))
     q = q.withColumn("bq", F.pmod(F.xxhash64("doc_id"), "n_q").cast("int")).withColumn("bm", F.explode(F.sequence(F.lit(0), F.col("n_m") - 1))).withColumn("asked", F.lit(True))
     rows = materialize(m.select("of", "bm", "bq", "asked", "doc_id").unionByName(q.select("of", "bm", "bq", "asked", "doc_id")), "blocks")
@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     # step 2
     sizes = first.groupBy("component").agg(F.count("*").alias("size"))
-    sized = first.join(sizes, "component")
+    sized = salted(first, sizes, "component", "rep")
     labelled = met.select("key", "t", "rep").join(sized, "rep", "left").select("key", "t", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
     labelled = materialize(labelled, "labelled")
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
@@ -287,7 +287,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     larger = apart.where("size > 1").select("key", F.col("component").alias("of"), F.col("size").alias("of_size")).distinct()
     asked = apart.join(larger, "key").where("component <> of AND (of_size > size OR (of_size = size AND of < component))")
     asked = materialize(asked.select("of", F.col("rep").alias("doc_id")).distinct(), "asked")
-    members = first.select(F.col("component").alias("of"), F.col("rep").alias("doc_id")).join(asked.select("of").distinct(), "of", "left_semi")
+    members = salted(first.select(F.col("component").alias("of"), F.col("rep").alias("doc_id")), asked.select("of").distinct(), "of", "doc_id")
     found = joined(asked, members, docs, words, percent)
     whole = components(links.unionByName(materialize(more.unionByName(found), "links")))
 

@@ -394,9 +394,5 @@ def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of docs that score below 0.5, all columns kept. Equal texts score alike."""
     if not model:
         return docs
-    # a digest stands for its text
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    scored = model.scored(docs.select(digest.alias("_digest"), "text"), ["_digest"])
-    gone = scored.where("score >= 0.5").select("_digest").distinct()
-    name = "_digest" + "_" * max(map(len, docs.columns), default=0)
-    return docs.withColumn(name, digest).join(gone.withColumnRenamed("_digest", name), name, "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return model.scored(rows, ["row"]).where("score < 0.5").select("row.*")
