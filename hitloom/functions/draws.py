@@ -20,35 +20,43 @@ def normal(seed: int, *keys: str) -> Column:
     return radius * F.cos(2 * math.pi * uniform(seed + 7919, *keys))
 
 
-def poisson_inverse(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Smallest k whose probability reaches u; from a mean of 200 on by the normal limit."""
-    mean = np.maximum(mean, 0)
-    small = mean < 200
-    out = np.zeros(len(mean))
-    m, v = mean[small], u[small]
-    k, term = np.zeros(len(m)), np.exp(-m)
-    total, open_ = term.copy(), np.ones(len(m), bool)
-    for step in range(1, 500):
-        open_ = (total < v) & (k < 499)
-        if not open_.any():
-            break
+#: the largest mean that is drawn at once
+PART = 100.0
+
+
+def _small(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Smallest k whose probability reaches u; means of PART at most."""
+    k, term = np.zeros(len(mean)), np.exp(-mean)
+    total, step = term.copy(), 0
+    open_ = total < u
+    while open_.any():
+        step += 1
         k[open_] = step
-        term = term * m / step
+        term = term * mean / step
         total = total + np.where(open_, term, 0)
-    out[small] = k
-    big = ~small
-    if big.any():
-        z = np.array([_quantile(x) for x in u[big]])
-        out[big] = np.maximum(0, np.round(mean[big] + np.sqrt(mean[big]) * z))
-    return out
+        # beyond the mean the terms fall: those too small to count end a row whose u lies at 1
+        open_ = open_ & (total < u) & ((step < mean) | (term > 1e-300))
+    return k
 
 
-def _quantile(p: float) -> float:
-    low, high = -9.0, 9.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if 0.5 * math.erfc(-mid / math.sqrt(2)) < p else (low, mid)
-    return (low + high) / 2
+def poisson_inverse(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """A Poisson count for each mean and uniform number: the inverse of its distribution.
+
+    A mean above PART is the sum of independent equal parts below it, each with a number
+    of its own that is derived from u. Means that are negative or missing count as 0.
+    """
+    mean = np.maximum(np.nan_to_num(mean), 0)
+    parts = np.maximum(1, np.ceil(mean / PART))
+    out = np.zeros(len(mean))
+    bits = (u * 2.0**53).astype(np.uint64)
+    for i in range(int(parts.max(initial=0))):
+        some = parts > i
+        x = (bits[some] + np.uint64(i + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        own = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float)
+        out[some] += _small(mean[some] / parts[some], np.where(parts[some] == 1, u[some], (own + 0.5) / 2.0**53))
+    return out
 
 
 def poisson(mean: Column, u: Column) -> Column:

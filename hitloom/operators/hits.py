@@ -6,13 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# The tables of a source
+SOURCE_TABLES = ("hits", "contributions", "particles")
+
+
 def source_registry(spark, specs: list[dict]) -> DataFrame:
-    """source_id, delay_ns, max_events of every source; unequal keys or an empty list are an error."""
+    """source_id, delay_ns, max_events of every source, and path and tables (what its SOURCE_TABLES are called) where given.
+
+    An empty list, sources that lack a key or that give a path or names only in part are errors.
+    """
     if not specs:
         raise ValueError("no sources")
-    if any(set(s) != {"source_id", "delay_ns", "max_events"} for s in specs):
+    needed, more = {"source_id", "delay_ns", "max_events"}, {"path", "tables"}
+    if any(not needed <= set(s) <= needed | more for s in specs):
         raise ValueError("every source needs source_id, delay_ns and max_events")
-    return spark.createDataFrame([(s["source_id"], float(s["delay_ns"]), s["max_events"]) for s in specs], "source_id int, delay_ns double, max_events long")
+    if any(set(s) != set(specs[0]) for s in specs):
+        raise ValueError("all sources need the same keys")
+    if any(set(s["tables"]) != set(SOURCE_TABLES) for s in specs if "tables" in s):
+        raise ValueError(f"every source needs names for {', '.join(SOURCE_TABLES)}")
+    schema = "source_id int, delay_ns double, max_events long, path string, tables map<string,string>"
+    x = spark.createDataFrame([(s["source_id"], float(s["delay_ns"]), s["max_events"], s.get("path"), s.get("tables")) for s in specs], schema)
+    return x.select("source_id", "delay_ns", "max_events", *[c for c in ("path", "tables") if c in specs[0]])
 
 
 def validate(df: DataFrame, required: list[str]) -> None:

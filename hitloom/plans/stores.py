@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from hitloom.operators import measurements, trials
+from hitloom.functions import bitfields
+from hitloom.operators import hits, measurements, physics, trials
 from hitloom.plans.hits import HIT_CTES, OVERLAY, contributions, overlaid_hits
 from hitloom.plans.physics import FRONT, KEY, MC, OBJ, ROWS, TR, objective_rows, particles, trial_table
 from hitloom.plans.registry import plan
-from hitloom.plans.tracks import LINKS, links, recursive, segment_hits, states
+from hitloom.plans.tracks import LINKS, decoded, links, recursive, segment_hits, states
 from hitloom.sources import io
 from hitloom.sources.fixtures import ctes
 from hitloom.sources.shared import shared_dir
@@ -32,6 +33,18 @@ def s1(spark, sf_dir):
     return io.non_empty(found, "fail").groupBy("source_id").agg(F.count("*").alias("n"), F.countDistinct("event_idx").alias("n_events"), F.round(F.sum("energy") * 1e9).alias("e_ev"))
 
 
+@plan("s2_registered_sources", ctes("contributions") + "SELECT source_id, count(*) AS n, max(event_idx) AS last FROM contributions WHERE event_idx < 10 OR source_id <> 3 GROUP BY source_id")
+def s2(spark, sf_dir):
+    """Sources of a registry with paths, names of their tables and a cap."""
+    root, x, specs = folder(spark, "registered"), contributions(spark, sf_dir), []
+    for source in (1, 2, 3):
+        x.where(F.col("source_id") == source).drop("source_id").write.parquet(f"{root}/{source}/MTCContributions{source}")
+        names = {"hits": "MTCHits", "contributions": f"MTCContributions{source}", "particles": "MCParticles"}
+        specs.append({"source_id": source, "delay_ns": 25, "max_events": 10 if source == 3 else None, "path": f"{root}/{source}", "tables": names})
+    read = io.read_registered(spark, hits.source_registry(spark, specs), "contributions")
+    return read.groupBy("source_id").agg(F.count("*").alias("n"), F.max("event_idx").alias("last"))
+
+
 @plan("s6_written_windows", HIT_CTES + " SELECT detector, count(*) AS n, count(DISTINCT window_id) AS n_windows, sum(n_contributions) AS n_contributions FROM hits GROUP BY detector")
 def s6(spark, sf_dir):
     root, h = folder(spark, "windows"), overlaid_hits(spark, sf_dir)
@@ -68,8 +81,6 @@ def s14(spark, sf_dir):
 
 @plan("s16_written_histograms", MC + """, e AS (SELECT sqrt(px * px + py * py + pz * pz + mass * mass) AS e FROM mc_particles) SELECT 'e' AS hist, greatest(-1, least(20, CAST(floor(e / 20e0 * 20) AS INT))) AS bin, CAST(greatest(-1, least(20, CAST(floor(e / 20e0 * 20) AS INT))) AS DOUBLE) AS lo, count(*) AS entries FROM e GROUP BY 2""")
 def s16(spark, sf_dir):
-    from hitloom.operators import physics
-
     root = folder(spark, "histograms")
     h = physics.histogram(particles(spark, sf_dir).withColumn("e", physics.energy()), "e", 0.0, 20.0, 20)
     for _ in range(2):  # written again, it replaces itself
@@ -109,8 +120,6 @@ def s12(spark, sf_dir):
 @plan("st3_clamped_windows", ctes("contributions") + "SELECT greatest(0, CAST(floor((time - 2) / 5e0) AS BIGINT)) AS window_no, count(*) AS n FROM contributions GROUP BY 1")
 def st3(spark, sf_dir):
     """With a run start after some of the data, earlier rows belong to window 0."""
-    from hitloom.operators import hits
-
     return contributions(spark, sf_dir).groupBy(hits.window_index(F.col("time"), F.lit(2.0), 5.0).cast("long").alias("window_no")).agg(F.count("*").alias("n"))
 
 
@@ -128,9 +137,6 @@ def st6(spark, sf_dir):
 @plan("t1_by_time", ctes("contributions", overlay=OVERLAY) + "SELECT window_id, routed AS detector, cell_id, string_agg(CAST(seq AS VARCHAR), ' ' ORDER BY time, seq) AS order_in_time FROM overlay GROUP BY 1, 2, 3")
 def t1(spark, sf_dir):
     """A hit's contributions in order of time: sorted inside each hit's list, with no sort of the table."""
-    from hitloom.functions import bitfields
-    from hitloom.operators import hits
-
     x = bitfields.route(hits.overlay(contributions(spark, sf_dir)))
     in_time = F.transform(F.array_sort(F.collect_list(F.struct("time", "seq"))), lambda c: c["seq"].cast("string"))
     return x.groupBy("window_id", "detector", "cell_id").agg(F.concat_ws(" ", in_time).alias("order_in_time"))
@@ -154,8 +160,6 @@ def u2(spark, sf_dir):
 
 @plan("x1_pairing_by_name", HIT_CTES + " SELECT 'None' AS method, count(*) AS n FROM hits WHERE detector = 'SciFi' UNION ALL SELECT 'no such way', count(*) FROM hits WHERE detector = 'SciFi'")
 def x1(spark, sf_dir):
-    from hitloom.plans.tracks import decoded
-
     x = decoded(spark, sf_dir, "SciFi")
     counts = [measurements.mtc(x, m).agg(F.lit(m).alias("method"), F.count("*").alias("n")) for m in ("None", "no such way")]
     return counts[0].unionByName(counts[1])

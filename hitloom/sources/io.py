@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,18 +15,30 @@ def read_source(spark: SparkSession, paths: list[str], source_id: int, rename: d
     return x if max_events is None else x.where(F.col("event_idx") < max_events)
 
 
+def read_registered(spark: SparkSession, registry: DataFrame, table: str) -> DataFrame:
+    """One table of every source of a registry with paths, each read under the source's own name for it."""
+    found = {}
+    for r in registry.collect():  # as many rows as sources
+        name = (r["tables"] if "tables" in registry.columns else {}).get(table, table)
+        found[r.source_id] = read_source(spark, [f"{r.path}/{name}"], r.source_id, max_events=r.max_events)
+    return non_empty(found)
+
+
 def non_empty(sources: dict[int, DataFrame], on_empty: str = "skip") -> DataFrame:
-    """All sources as one table. One without rows is an error ("fail") or left out ("skip")."""
+    """All sources as one table. One without rows is an error ("fail") or left out with a warning ("skip")."""
     if on_empty not in ("fail", "skip"):
         raise ValueError(f"on_empty {on_empty!r} is neither 'fail' nor 'skip'")
+    if not sources:
+        raise ValueError("no sources")
     kept = []
     for source_id, df in sources.items():
-        if on_empty == "fail" and df.isEmpty():
+        if not df.isEmpty():
+            kept.append(df)
+        elif on_empty == "fail":
             raise ValueError(f"source {source_id} has no events")
-        kept.append(df)
-    if not kept:
-        raise ValueError("no sources")
-    out = kept[0]
+        else:
+            warnings.warn(f"source {source_id} has no events and is left out", stacklevel=2)
+    out = kept[0] if kept else next(iter(sources.values()))
     for df in kept[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
     return out

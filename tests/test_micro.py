@@ -5,10 +5,11 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hitloom.functions import bitfields
+from hitloom.functions import bitfields, draws
 from hitloom.operators import digitize, hits, linking, measurements, physics, seeding, trials
 from hitloom.streaming import windows
 
@@ -180,13 +181,27 @@ def test_design_points_resume(spark):
 
 
 def test_sources_must_be_complete(spark):
-    for specs in ([], [{"source_id": 1}]):
+    full = {"source_id": 1, "delay_ns": 25, "max_events": None, "path": "/a", "tables": {"hits": "h", "contributions": "c", "particles": "p"}}
+    assert hits.source_registry(spark, [full]).first().tables["hits"] == "h"
+    for specs in ([], [{"source_id": 1}], [full, {k: v for k, v in full.items() if k != "path"}], [full | {"tables": {"hits": "h"}}]):
         with pytest.raises(ValueError):
             hits.source_registry(spark, specs)
     with pytest.raises(ValueError):
         hits.validate(spark.range(1), ["x"])
 
 
+def test_poisson_counts_of_any_mean():
+    rng = np.random.default_rng(5)
+    for mean in (0.3, 20.0, 90.0, 350.0, 5000.0):
+        k = draws.poisson_inverse(np.full(4000, mean), rng.random(4000))
+        assert abs(k.mean() - mean) < 5 * (mean / 4000) ** 0.5 and 0.9 < k.var() / mean < 1.1
+    # the inverse of the distribution, and its ends
+    p = np.cumsum([math.exp(-3) * 3**k / math.factorial(k) for k in range(30)])
+    u = rng.random(500)
+    assert (draws.poisson_inverse(np.full(500, 3.0), u) == np.searchsorted(p, u)).all()
+    assert list(draws.poisson_inverse(np.array([0.0, -1.0, np.nan, 90.0]), np.array([0.5, 0.5, 0.5, 1 - 2**-53]))[:3]) == [0, 0, 0]
+
+
 def test_windows_of_a_file_stream(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     # the most energetic one of 2 and 3 is a tie: the earlier counts
