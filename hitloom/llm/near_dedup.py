@@ -222,13 +222,16 @@ def joined(asked: DataFrame, members: DataFrame, docs: DataFrame, words: int, pe
     return rows.join(texts, "doc_id").groupBy("of", "bm", "bq").applyInPandas(compare, "a long, b long")
 
 
-def alike(a: str, b: str, percent: int) -> str:
+def alike(a: str, b: str, percent: int, exact: bool) -> str:
     """Whether two rows with n and sketch can be similar: by size for certain, by sketch almost so."""
+    by_size = f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)"
+    if exact:
+        return by_size
     equal = []
     for i in range(SKETCH // 32):
         differs = f"({a}.sketch[{i}] ^ {b}.sketch[{i}])"
         equal.append(f"bit_count(({differs} | shiftrightunsigned({differs}, 1)) & 6148914691236517205L)")
-    return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND {SKETCH} - ({' + '.join(equal)}) >= {SKETCH_LEAST}"
+    return f"{by_size} AND {SKETCH} - ({' + '.join(equal)}) >= {SKETCH_LEAST}"
 
 
 def first_met() -> str:
@@ -238,7 +241,26 @@ def first_met() -> str:
     return " AND ".join(left + right)
 
 
-def met_pairs(single: DataFrame, percent: int) -> DataFrame:
+def rare_keys(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """key, t, rep: each class's rarest runs, so many that any two similar sets share one of them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole_cache("words", known_words().clear)
+        for pdf in pieces(batches, "text", 1_000_000):
+            sets = [shingles(t, words).astype(np.int64) for t in pdf["text"]]
+            yield pd.DataFrame({"rep": np.repeat(pdf["doc_id"].to_numpy(), [len(s) for s in sets]), "key": np.concatenate(sets)})
+
+    every = materialize(texts_of(docs, reps.select(F.col("rep").alias("doc_id")), "rep-texts").mapInPandas(run, "rep long, key long").distinct(), "runs")
+    counted = every.join(every.groupBy("key").agg(F.count("*").alias("often")).where("often > 1"), "key")
+    sizes = every.groupBy("rep").agg(F.count("*").alias("n"))
+    # runs of one set alone come first in the order, so they take places of its beginning
+    alone = sizes.join(counted.groupBy("rep").agg(F.count("*").alias("shared"), F.sort_array(F.collect_list(F.struct("often", "key"))).alias("runs")), "rep")
+    places = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("shared"))
+    begin = alone.where(places > 0).select("rep", F.explode(F.slice("runs", F.lit(1), places.cast("int"))).alias("run"))
+    return begin.select("rep", F.lit(0).alias("t"), F.col("run.key").alias("key"))
+
+
+def met_pairs(single: DataFrame, percent: int, exact: bool) -> DataFrame:
     """a < b: classes that share a bucket and can be similar.
 
     A bucket is dealt in blocks of about BLOCK classes, and a task holds two of them.
@@ -248,27 +270,31 @@ def met_pairs(single: DataFrame, percent: int) -> DataFrame:
     last = F.col("blocks") - 1
     x = dealt.withColumn("low", F.col("block")).withColumn("high", F.explode(F.sequence("block", last)))
     y = dealt.withColumn("high", F.col("block")).withColumn("low", F.explode(F.sequence(F.lit(0), "block")))
-    met = F.expr(f"x.key = y.key AND x.low = y.low AND x.high = y.high AND (x.low < x.high OR x.rep < y.rep) AND {alike('x', 'y', percent)} AND {first_met()}")
+    met = F.expr(f"x.key = y.key AND x.low = y.low AND x.high = y.high AND (x.low < x.high OR x.rep < y.rep) AND {alike('x', 'y', percent, exact)} AND {'TRUE' if exact else first_met()}")
     found = x.alias("x").join(y.alias("y"), met)
     return found.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, n_shingles, component_id, kept; one row in, one row out."""
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, n_shingles, component_id, kept; one row in, one row out.
+
+    exact: candidates are sets that share one of their rarest runs, in place of a bucket, and
+    no sketch is asked. Then no link is left to chance, at the cost of a shuffle of all runs.
+    """
     known = materialize(prints(docs, words), "prints")
     named = known.where("n > 0 AND doc_id IS NOT NULL")
     classes = named.groupBy("set").agg(F.min("doc_id").alias("rep"))
     # the class's smallest row brings its keys
     reps = named.join(classes.select(F.col("rep").alias("doc_id"), F.col("set").alias("of")), "doc_id").where(F.col("set") == F.col("of"))
     reps = materialize(reps.dropDuplicates(["doc_id", "set"]).select(F.col("doc_id").alias("rep"), "n", "sketch", "keys", "parts"), "reps")
-    rows = reps.select(F.posexplode("keys").alias("t", "key"), "rep")
+    rows = rare_keys(docs, reps, words, percent) if exact else reps.select(F.posexplode("keys").alias("t", "key"), "rep")
     leads = rows.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("most")).where("lead < most").select("key", "lead")
     met = materialize(rows.join(leads, "key"), "buckets")
     traits = reps.select("rep", "n", "sketch")
 
     # step 1
     stars = met.where("lead < rep").select("lead", "rep").distinct().alias("s")
-    stars = stars.join(traits.alias("x"), F.expr("s.lead = x.rep")).join(traits.alias("y"), F.expr("s.rep = y.rep")).where(alike("x", "y", percent))
+    stars = stars.join(traits.alias("x"), F.expr("s.lead = x.rep")).join(traits.alias("y"), F.expr("s.rep = y.rep")).where(alike("x", "y", percent, exact))
     tried = materialize(stars.select(F.col("s.lead").alias("a"), F.col("s.rep").alias("b")), "stars")
     links = materialize(verified(tried, docs, words, percent), "links")
     first = components(links).select(F.col("node").alias("rep"), F.col("component"))
@@ -281,7 +307,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     apart = materialize(labelled.join(open_keys, "key"), "apart")
     single = materialize(apart.where("size = 1").select("key", "t", "rep").join(reps.select("rep", "n", "sketch", "parts"), "rep"), "single")
-    pairs = met_pairs(single, percent).join(tried, ["a", "b"], "left_anti")
+    pairs = met_pairs(single, percent, exact).join(tried, ["a", "b"], "left_anti")
     more = verified(materialize(pairs, "pairs"), docs, words, percent)
 
     larger = apart.where("size > 1").select("key", F.col("component").alias("of"), F.col("size").alias("of_size")).distinct()

@@ -324,6 +324,22 @@ def test_near_duplicates(spark, docs, none, k):
     assert sorted((r.doc_id or 0, r.kept) for r in near_dedup.near_duplicates(odd, k).collect()) == [(0, True), (0, True), (1, True), (1, True)]
 
 
+def test_near_duplicates_exact(spark):
+    rng = random.Random(21)
+    made = []
+    for i in range(90):  # chains of edits, whose ends are less and less similar
+        w = (made[-1][1] if i % 9 else words(40, rng)).split()
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randrange(len(w))] = f"new{rng.randint(0, 40)}"
+        made.append((i, " ".join(w)))
+    made += [(100, None), (101, ""), (102, "one two"), (103, "ONE two"), (None, made[3][1])]
+    x = spark.createDataFrame(made, "doc_id long, text string")
+    for percent in (30, 60, 80):  # far below what the tables are made for
+        want = brute_components({i: t for i, t in made if i is not None}, 4, percent)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(x, 4, percent, exact=True).collect() if r.doc_id is not None}
+        assert got == want and len({c for _, c in want.values()}) < len(want)
+
+
 def test_block_links_are_those_of_sets():
     rng = np.random.default_rng(0)
     make = lambda: np.unique(rng.integers(0, 60, 40).astype(np.uint64))
