@@ -1,4 +1,14 @@
-"""The registered queries of this subpackage."""
+"""The registered queries of this subpackage, each over its whole table.
+
+For all of them: null texts are empty; extra columns, whatever their names, are ignored;
+empty tables give no rows; results do not depend on the order or partitioning of rows.
+Rows with a null doc_id give a row like any other (op5: linked with nothing, its own
+component is null; op6: not held out; op7: matches nothing), those with a null vec_id
+take no part. Rows that repeat a doc_id each give a row; for op5 and op7, which compare
+documents, they are one document. Ties: op2 by id, then text; op5 to the smallest id;
+op7 to the smaller id, then the earlier start; op8 to the smaller id; op9 to the longer
+last piece; op10 counts a token where it starts.
+"""
 
 from __future__ import annotations
 

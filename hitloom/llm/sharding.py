@@ -8,8 +8,10 @@ are n div s, one more for the first n mod s shards, so counts differ by one at m
 Only key counts per arc (vnodes * shards of them, whatever the input) are needed to
 plan the overflow, so the plan is one small aggregate folded with SQL array
 functions; every row then finds its segment by its rank in its arc. One shuffle of
-narrow rows, by arc. Null keys hash like any value. Rows that are equal in key and
-`ties` are interchangeable. An empty table gives an empty result.
+rows, by arc and lane: an arc's rows are ranked in LANES parts by a hash of key and
+`ties`, so that one repeated or null key is dealt to several tasks. Null keys hash like
+any value. Rows that are equal in key and `ties` are interchangeable. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Places on the ring where virtual nodes and keys can sit.
 RING = 1 << 16
+#: Parts in which an arc's rows are ranked.
+LANES = 16
 
 
 def ring(spark: SparkSession, n_shards: int, vnodes: int) -> DataFrame:
@@ -112,10 +116,16 @@ def shard(df: DataFrame, key: str, n_shards: int, vnodes: int = 64, ties: tuple[
     def packed(columns: list[str]) -> DataFrame:
         return df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
 
-    counts = on_ring(packed([key])).groupBy("arc").agg(F.count("*").alias("n"))
-    plan = segments(nodes, counts, n_shards).alias("p")
-    by = Window.partitionBy("arc").orderBy("hash", F.col("row").getField(key), *[F.col("row").getField(t) for t in ties])
-    ranked = on_ring(packed(df.columns)).withColumn("rank", F.row_number().over(by) - 1).alias("r")
+    fields = [F.col("row").getField(c) for c in dict.fromkeys((key, *ties))]
+    lane = F.pmod(F.xxhash64(F.lit("lane"), *fields), F.lit(LANES)).cast("int")
+    # arcs times LANES rows
+    lanes = on_ring(packed(list(dict.fromkeys((key, *ties))))).groupBy("arc", lane.alias("lane")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("arc").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
+    begin = lanes.select("arc", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    plan = segments(nodes, lanes.groupBy("arc").agg(F.sum("n").alias("n")), n_shards).alias("p")
+    inside = Window.partitionBy("arc", "lane").orderBy("hash", *fields)
+    ranked = on_ring(packed(df.columns)).withColumn("lane", lane).withColumn("inside", F.row_number().over(inside) - 1)
+    ranked = ranked.join(F.broadcast(begin), ["arc", "lane"]).withColumn("rank", F.col("begin") + F.col("inside")).alias("r")
     # at most two segments an arc and one more a shard
     found = ranked.join(F.broadcast(plan), F.expr("r.arc = p.arc AND r.rank >= p.start AND r.rank < p.start + p.n"))
     kept = [F.col("r.row").getField(c).alias(c) for c in df.columns if c not in ("shard", "slot")]
