@@ -393,7 +393,15 @@ def t3(spark, sf_dir):
     return trial_table(spark, sf_dir).where("status = 'FAILED'").withColumn("r", F.row_number().over(w)).where("r <= 10").select("experiment", "trial_id")
 
 
-@plan("st5_windowed_hits", ctes("stream") + """SELECT time_bucket(INTERVAL '1 hour', ts) AS t_window_start, cell_id, round(sum(energy), 4) AS e, count(*) AS n, min(ts) AS t, CASE WHEN min(source_id) = max(source_id) THEN min(source_id) ELSE 0 END AS source_id FROM stream GROUP BY 1, 2""")
+WINDOWED = ctes("stream") + """SELECT time_bucket(INTERVAL '1 hour', ts) AS t_window_start, cell_id, round(sum(energy), 4) AS e, count(*) AS n, min(ts) AS t, CASE WHEN min(source_id) = max(source_id) THEN min(source_id) ELSE 0 END AS source_id FROM stream GROUP BY 1, 2"""
+
+
+def as_rows(x):
+    """Windowed hits as the SQL has them."""
+    return x.withColumn("e", F.round("e", 4)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("t", "t_window_start")})
+
+
+@plan("st5_windowed_hits", WINDOWED)
 def st5(spark, sf_dir):
     x = spark_view(spark, sf_dir, "stream").withColumn("ts", F.col("ts").cast("timestamp"))
-    return windowed_hits(x, "1 hour", "10 minutes").withColumn("e", F.round("e", 4)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("t", "t_window_start")})
+    return as_rows(windowed_hits(x, "1 hour", "10 minutes"))

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from hitloom.functions import bitfields
 from hitloom.operators import hits, measurements, physics, trials
 from hitloom.plans.hits import HIT_CTES, OVERLAY, contributions, overlaid_hits
-from hitloom.plans.physics import FRONT, KEY, MC, OBJ, ROWS, TR, objective_rows, particles, trial_table
+from hitloom.plans.physics import FRONT, KEY, MC, OBJ, ROWS, TR, WINDOWED, as_rows, objective_rows, particles, trial_table
 from hitloom.plans.registry import plan
 from hitloom.plans.tracks import LINKS, decoded, links, recursive, segment_hits, states
 from hitloom.sources import io
-from hitloom.sources.fixtures import ctes
+from hitloom.sources.fixtures import ctes, spark_view
 from hitloom.sources.shared import shared_dir
 from hitloom.streaming import windows
 
@@ -123,6 +123,22 @@ def st3(spark, sf_dir):
     return contributions(spark, sf_dir).groupBy(hits.window_index(F.col("time"), F.lit(2.0), 5.0).cast("long").alias("window_no")).agg(F.count("*").alias("n"))
 
 
+@plan("st5_streamed_hits", WINDOWED)
+def st5(spark, sf_dir):
+    """The same as a stream of files with state and a watermark; a row a day after the last one closes all windows before it."""
+    root = folder(spark, "stream")
+    x = spark_view(spark, sf_dir, "stream").withColumn("ts", F.col("ts").cast("timestamp"))
+    x.write.parquet(f"{root}/in")
+    end = x.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL").select(
+        F.lit(0).alias("source_id"), F.lit(-1).alias("cell_id"), F.lit(0).alias("seq"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit(0.0).alias("energy")
+    )
+    end.select(*[F.col(f.name).cast(f.dataType) for f in x.schema]).write.mode("append").parquet(f"{root}/in")
+    feed = spark.readStream.schema(x.schema).parquet(f"{root}/in")
+    out = windows.windowed_hits(feed, "1 hour", "10 minutes").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+    out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return as_rows(spark.read.parquet(f"{root}/out").where("cell_id >= 0"))
+
+
 @plan("st6_trial_feed", TR + ", late AS (SELECT experiment, CASE WHEN status = 'SUBMITTED' THEN 'COMPLETED' ELSE status END AS status FROM trials) SELECT experiment, status, count(*) AS n FROM late GROUP BY 1, 2")
 def st6(spark, sf_dir):
     """Trials come as submitted, then as ended; the counts are those after the last batch."""
