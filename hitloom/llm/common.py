@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hitloom.sources.shared import cut as materialize
 from hitloom.sources.shared import discard, remove, shared_dir
 
-__all__ = ["WORD", "discard", "materialize", "needed", "pieces", "remove", "salted", "shared_dir", "sole_cache", "table", "text_batches", "text_size"]
+__all__ = ["WORD", "discard", "materialize", "needed", "on_salted", "pieces", "remove", "salted", "shared_dir", "sole_cache", "table", "text_batches", "text_size"]
 
 #: What counts as a word everywhere in this package: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -90,3 +90,20 @@ def salted(rows: DataFrame, keys: DataFrame, on: str, by: str, how: str = "inner
     dealt = rows.withColumn(part, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
     every = keys.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return dealt.join(every, [on, part], how).drop(part)
+
+
+HEAVY = 1024
+
+
+def on_salted(rows: DataFrame, keys: DataFrame, on: list[str], total: int, by: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """rows joined with keys (one row a key, with n, how many of `total` rows have it), heavy keys in SALTS parts by a hash of columns `by`.
+
+    Keys with more than a HEAVY-th of all rows are heavy: fewer than HEAVY of them, which
+    are broadcast. Rows without a key, which an outer join keeps, are dealt like heavy ones.
+    """
+    limit = total // HEAVY
+    salts = F.explode(F.when(F.col("n") > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    heavy = F.broadcast(keys.where(F.col("n") > limit).select(*on, F.lit(True).alias("_heavy")))
+    apart = F.col("_heavy") | F.greatest(*[F.col(c).isNull() for c in on], F.lit(False))
+    dealt = rows.join(heavy, on, "left").withColumn("_salt", F.when(apart, F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(0).cast("int"))
+    return dealt.drop("_heavy").join(keys.withColumn("_salt", salts).drop("n"), [*on, "_salt"], how).drop("_salt")

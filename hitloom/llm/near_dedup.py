@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.llm.common import materialize, needed, pieces, salted, sole_cache
+from hitloom.llm.common import materialize, needed, on_salted, pieces, salted, sole_cache
 from hitloom.llm.graph import components
 
 PARTS, ROWS = 8, 2
@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, exact: b
     """
     known = materialize(prints(docs, words), "prints")
     named = known.where("n > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("set").agg(F.min("doc_id").alias("rep"))
+    classes = named.groupBy("set").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     # the class's smallest row brings its keys
     reps = named.join(classes.select(F.col("rep").alias("doc_id"), F.col("set").alias("of")), "doc_id").where(F.col("set") == F.col("of"))
     reps = materialize(reps.dropDuplicates(["doc_id", "set"]).select(F.col("doc_id").alias("rep"), "n", "sketch", "keys", "parts"), "reps")
@@ -317,9 +317,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, exact: b
     found = joined(asked, members, docs, words, percent)
     whole = components(links.unionByName(materialize(more.unionByName(found), "links")))
 
-    named_class = classes.join(whole, classes["rep"] == whole["node"], "left").select("set", F.coalesce("component", "rep").alias("component"))
-    m, c = known.select("doc_id", "n", "set").alias("m"), named_class.alias("c")
-    return m.join(c, F.col("m.set") == F.col("c.set"), "left").select(
-        F.col("m.doc_id").alias("doc_id"), F.col("m.n").alias("n_shingles"),
-        F.when(F.col("m.doc_id").isNull(), None).otherwise(F.coalesce("c.component", "m.doc_id")).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named_class = classes.join(whole, classes["rep"] == whole["node"], "left").select("set", F.coalesce("component", "rep").alias("component"), "n")
+    rows = known.select("doc_id", F.col("n").alias("n_shingles"), "set", F.monotonically_increasing_id().alias("_row"))
+    found = on_salted(rows, named_class, ["set"], known.count(), ("_row",), "left")
+    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

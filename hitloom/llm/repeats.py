@@ -33,12 +33,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.llm.common import materialize, needed, pieces
+from hitloom.llm.common import materialize, needed, on_salted, pieces
 from hitloom.llm.near_dedup import mixed, odd
 
 GRAM = 24
 BLOCK = 4096
-HEAVY, SALTS = 1024, 32
 BYTES, FACTORS = odd(256, 31), odd(8, 32)
 STEP = int(odd(1, 33)[0])
 BACK = pow(STEP, -1, 2**64)
@@ -199,29 +198,17 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 # --- the whole ---------------------------------------------------------------------
 
 
-def on_salted(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
-    """rows joined with keys (one row a key, with its count n of `total` rows), heavy keys in SALTS parts.
-
-    Keys with more than a HEAVY-th of all rows are heavy: fewer than HEAVY of them, which are broadcast.
-    """
-    limit = total // HEAVY
-    salts = F.explode(F.when(F.col("n") > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    heavy = F.broadcast(keys.where(F.col("n") > limit).select(*on, F.lit(True).alias("heavy")))
-    dealt = rows.join(heavy, on, "left").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("doc", "place"), F.lit(SALTS))).otherwise(0).cast("int"))
-    return dealt.drop("heavy").join(keys.withColumn("salt", salts).drop("n"), [*on, "salt"]).drop("salt")
-
-
 def covers(docs: DataFrame, least: int) -> DataFrame:
     """doc, start, end (bytes) of strings of `least` bytes or more that also start earlier."""
     if least - GRAM > 1022:
         raise ValueError("strings of more than 1046 bytes don't fit in packed places")
     again = materialize(anchor_hashes(docs, least).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "again")
     total = again.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    met = materialize(on_salted(anchor_rows(docs, least), again, ["h"], total), "anchors")
+    met = materialize(on_salted(anchor_rows(docs, least), again, ["h"], total, ("doc", "place")), "anchors")
     first = met.groupBy("h", "context").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n"))
     first = materialize(first.select("h", "context", "first.*", "n"), "contexts")
     f = first.select("h", "context", F.col("doc").alias("doc0"), F.col("place").alias("place0"), "n")
-    same = on_salted(met, f.where("n > 1"), ["h", "context"], total).where("doc > doc0 OR (doc = doc0 AND place > place0)")
+    same = on_salted(met, f.where("n > 1"), ["h", "context"], total, ("doc", "place")).where("doc > doc0 OR (doc = doc0 AND place > place0)")
     a = F.shiftright("place", 20)
     lo = a - F.shiftright("place", 10).bitwiseAND(1023)
     whole = same.select("doc", lo.alias("start"), (lo + F.col("place").bitwiseAND(1023) + least).alias("end"))
