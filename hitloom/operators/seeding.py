@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitloom.operators.ordered import walk
+from hitloom.sources.shared import cut
 
 
 def station(z: Column, tolerance: float = 10.0) -> Column:
@@ -137,9 +138,10 @@ def seeds(points: DataFrame, keys: list[str], most: int = 5, max_multiplicity: f
 
     Showers (too many points a station) suppress others but take no seat.
     """
+    points = cut(points, "seed-points")  # read by each of the steps below
     found = peaks(votes(points, keys), keys)
-    met = near_peaks(found, points, keys)
-    judged = multiplicity(met, keys)
+    met = cut(near_peaks(found, points, keys), "seed-met")
+    judged = cut(multiplicity(met, keys), "seed-peaks")
     radius = math.ceil(suppress_mm / width)
     kept = judged.join(suppress(judged, keys, radius), [*keys, "ix", "iy"], "left_semi")
     order = Window.partitionBy(*keys).orderBy(F.desc("votes"), "ix", "iy")

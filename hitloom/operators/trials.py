@@ -240,14 +240,12 @@ def envelope_overlaps(parts: DataFrame, keys: list[str], tolerance: float = 1e-6
     return parts.withColumn("previous_end", end).where(F.col("previous_end") > F.col("start") + tolerance)
 
 
-def radical_inverse(i: Column, base: int, digits: int = 24) -> Column:
-    """Halton coordinate of index i: its digits mirrored at the point."""
-    x, scale = F.lit(0.0), 1.0
-    rest = i
-    for _ in range(digits):
-        scale /= base
-        x = x + (rest % base) * scale
-        rest = F.floor(rest / base)
+def radical_inverse(i: Column, base: int) -> Column:
+    """Halton coordinate of index i below 2^50: its digits mirrored at the point."""
+    x, power = F.lit(0.0), 1
+    while power <= 2**50:
+        x = x + F.floor(i / F.lit(float(power))) % base * F.lit(1.0 / (power * base))
+        power *= base
     return x
 
 
