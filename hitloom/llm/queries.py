@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitloom.llm.common import materialize, table, text_size
-from hitloom.llm import media, mixing, near_dedup, pieces, repeats, secrets, sharding, token_counts, topk, toxicity
+from hitloom.llm import bpe, media, mixing, near_dedup, negatives, pieces, repeats, secrets, sharding, token_counts, topk, toxicity
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,24 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None)
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "exact")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every fiftieth vector and each of its five positives, the three best rows of other labels with 50 to 95 % of the positive's score."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.quantised(table(spark, sf_dir, "embeddings"), 256, label=label)
+    mined = negatives.mine(rows, F.col("id") % 50 == 0)
+    return mined.select(
+        F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank", F.col("negative").alias("negative_id"), "positive_score", "negative_score"
+    )
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Digests of every document's ids in a BPE vocabulary and of the text that they decode to."""
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), path or token_counts.public_path(bpe.VOCABULARY), decoded="decoded")
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
+    )
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
