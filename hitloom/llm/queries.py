@@ -6,8 +6,10 @@ Rows with a null doc_id give a row like any other (op5: linked with nothing, its
 component is null; op6: not held out; op7: matches nothing), those with a null vec_id
 take no part. Rows that repeat a doc_id each give a row; for op5 and op7, which compare
 documents, they are one document. Ties: op2 by id, then text; op5 to the smallest id;
-op7 to the smaller id, then the earlier start; op8 to the smaller id; op9 to the longer
-last piece; op10 counts a token where it starts.
+op7 to the smaller id, then the earlier start; op8 and op11 to the smaller id; op9 to the longer
+last piece; op10 counts a token where it starts; op12 merges from the left; op13 ranks by
+score, count and phrase, and takes the first of equal cuts. op13 has a row a phrase: null
+languages are "und".
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitloom.llm.common import materialize, table, text_size
-from hitloom.llm import bpe, media, mixing, near_dedup, negatives, pieces, repeats, secrets, sharding, token_counts, topk, toxicity
+from hitloom.llm import bpe, collocations, media, mixing, near_dedup, negatives, pieces, repeats, secrets, sharding, token_counts, topk, toxicity
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,9 +101,40 @@ def op12_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataF
     )
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best-scoring phrases of two and three words of every language."""
+    found = collocations.collocations(table(spark, sf_dir, "documents"))
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_hard_negatives": HARD_NEGATIVES, "op13_collocations": COLLOCATIONS}
+
+
+HARD_NEGATIVES = """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, a.label, b.id, b.label AS other, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.id % 50 = 0 AND b.id <> a.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE label = other QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND label <> other AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3"""
+
+COLLOCATIONS = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE text <> ''),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]'), lambda x: x <> '') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+f1 AS (SELECT lang, w, count(*) AS f FROM (SELECT lang, unnest(ws) AS w FROM w) GROUP BY ALL),
+f2 AS (SELECT lang, g, count(*) AS f FROM (SELECT lang, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g FROM w) GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, g, count(*) AS f FROM (SELECT lang, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM w) GROUP BY ALL HAVING count(*) >= 10),
+c3 AS (SELECT lang, g, f, split_part(g, ' ', 1) AS a1, split_part(g, ' ', 2) || ' ' || split_part(g, ' ', 3) AS a23, split_part(g, ' ', 1) || ' ' || split_part(g, ' ', 2) AS a12, split_part(g, ' ', 3) AS a3 FROM f3),
+s2 AS (SELECT f2.lang, f2.g AS phrase, f2.f AS a, x.f AS l, y.f AS r, (1000000::HUGEINT * f2.f * f2.f) // (x.f::HUGEINT * y.f) AS score FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.w = split_part(f2.g, ' ', 1) JOIN f1 y ON y.lang = f2.lang AND y.w = split_part(f2.g, ' ', 2)
+  WHERE NOT EXISTS (SELECT 1 FROM c3 WHERE c3.lang = f2.lang AND c3.a12 = f2.g AND 100 * c3.f >= 50 * f2.f) AND NOT EXISTS (SELECT 1 FROM c3 WHERE c3.lang = f2.lang AND c3.a23 = f2.g AND 100 * c3.f >= 50 * f2.f)),
+t3 AS (SELECT c3.lang, c3.g AS phrase, c3.f AS a, x1.f AS l1, x23.f AS r1, x12.f AS l2, x3.f AS r2, (1000000::HUGEINT * c3.f * c3.f) // (x1.f::HUGEINT * x23.f) AS k1, (1000000::HUGEINT * c3.f * c3.f) // (x12.f::HUGEINT * x3.f) AS k2
+  FROM c3 JOIN f1 x1 ON x1.lang = c3.lang AND x1.w = a1 JOIN f2 x23 ON x23.lang = c3.lang AND x23.g = a23 JOIN f2 x12 ON x12.lang = c3.lang AND x12.g = a12 JOIN f1 x3 ON x3.lang = c3.lang AND x3.w = a3),
+u AS (SELECT lang, phrase, a, l, r, score FROM s2 UNION ALL SELECT lang, phrase, a, CASE WHEN k2 < k1 THEN l2 ELSE l1 END, CASE WHEN k2 < k1 THEN r2 ELSE r1 END, least(k1, k2) FROM t3),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM u JOIN n USING (lang)
+QUALIFY rank <= 2000"""
