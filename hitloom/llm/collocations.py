@@ -46,10 +46,6 @@ BREAK = b"\xff"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + BREAK * 10 + b" ")
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def bit(lang: str, words: list[np.ndarray]) -> np.ndarray:
     """The place in the bit set of phrases, given the numbers of their words."""
     x = np.full(len(words[0]), xxhash.xxh64_intdigest(lang.encode()), np.uint64)
@@ -100,18 +96,30 @@ class Trie:
             self.sizes[word] = self.sizes.get(word, 0) + grown
             self.entries += grown
 
-    def spill(self, left: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def spill(self, left: int = 0, some: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Sorted runs (keys, counts) of whole subtrees, the largest first, until at most so many entries are left."""
+        keys: list[int] = []
+        counts: list[int] = []
         for word in sorted(self.sizes, key=self.sizes.__getitem__, reverse=True):
             if self.entries <= left:
-                return
+                break
             node = self.root.pop(word)
             self.entries -= self.sizes.pop(word)
-            boxes = [(w << WIDTH, box) for w, box in node.items()] if type(node) is Burst else [(0, node)]
-            keys = np.concatenate([np.fromiter(box, np.int64, len(box)) | w for w, box in boxes])
-            counts = np.concatenate([np.fromiter(box.values(), np.int64, len(box)) for _, box in boxes])
-            order = np.argsort(keys)
-            yield keys[order] | (word << self.below), counts[order]
+            above = word << self.below
+            for base, box in [(above | w << WIDTH, box) for w, box in node.items()] if type(node) is Burst else [(above, node)]:
+                keys += [base | rest for rest in box]
+                counts += box.values()
+            if len(keys) >= some:
+                yield ordered(keys, counts)
+                keys, counts = [], []
+        if keys:
+            yield ordered(keys, counts)
+
+
+def ordered(keys: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    k, n = np.array(keys, np.int64), np.array(counts, np.int64)
+    order = np.argsort(k)
+    return k[order], n[order]
 
 
 def burst(box: dict[int, int]) -> Burst:
@@ -129,16 +137,17 @@ class Words(dict):
         self.lang, self.seed, self.frequent = lang, seed, frequent
         self.names, self.hashes, self.size = [BREAK], [0], 0
 
-    def __missing__(self, word: bytes) -> int:
-        h = signed(xxhash.xxh64_intdigest(word, self.seed))
-        self.size += len(word)
-        if self.frequent is not None and not is_set(self.frequent, bit(self.lang, [np.array([h])]))[0]:
-            self[word] = 0
-            return 0
-        self.names.append(word)
-        self.hashes.append(h)
-        self[word] = number = len(self.names) - 1
-        return number
+    def learn(self, found: list[bytes]) -> None:
+        new = [*set(found).difference(self)]
+        self.size += sum(map(len, new))
+        h = np.array([xxhash.xxh64_intdigest(w, self.seed) for w in new], np.uint64).view(np.int64)
+        if self.frequent is not None and new:
+            fine = is_set(self.frequent, bit(self.lang, [h]))
+            self.update((w, 0) for w, ok in zip(new, fine.tolist(), strict=True) if not ok)
+            new, h = [w for w, ok in zip(new, fine.tolist(), strict=True) if ok], h[fine]
+        self.update(zip(new, range(len(self.names), len(self.names) + len(new)), strict=True))
+        self.names += new
+        self.hashes += h.tolist()
 
 
 def stretches(texts: list[str], carry: int) -> Iterator[list[bytes]]:
@@ -166,6 +175,7 @@ class Counter:
         return len(self.words) > WORDS or self.words.size > WORD_BYTES
 
     def add(self, found: list[bytes]) -> None:
+        self.words.learn(found)
         x = np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))
         if self.n == 1:
             more = np.bincount(x, minlength=len(self.words.names))
@@ -194,18 +204,8 @@ class Counter:
             self.counts = np.zeros(0, np.int64)
             return
         h = np.array(self.words.hashes, np.int64)
-        runs: list[tuple[np.ndarray, np.ndarray]] = []
-        for run in self.trie.spill(left):
-            runs.append(run)
-            if sum(len(k) for k, _ in runs) > 200_000:
-                yield self.rows(h, runs)
-                runs = []
-        if runs:
-            yield self.rows(h, runs)
-
-    def rows(self, h: np.ndarray, runs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        keys, counts = (np.concatenate(x) for x in zip(*runs, strict=True))
-        return batch(self.lang, [h[(keys >> (WIDTH * k)) & ((1 << WIDTH) - 1)] for k in reversed(range(self.n))], counts)
+        for keys, counts in self.trie.spill(left):
+            yield batch(self.lang, [h[(keys >> (WIDTH * k)) & ((1 << WIDTH) - 1)] for k in reversed(range(self.n))], counts)
 
 
 def batch(lang: str, words: list[np.ndarray], counts: np.ndarray, names: list[str] | None = None) -> pa.RecordBatch:
