@@ -227,27 +227,34 @@ def residuals(pairs: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     ).where(F.col("n") >= least)
 
 
-def _next_of_path(path: list[tuple[int, float]], row: tuple) -> tuple:
+def _next_of_path(path: list[tuple[float, float]], row: tuple) -> tuple:
     """One candidate: it. Several: first the most energetic, then the nearest to the one before, then the nearest to
-    the line through the last two; the first in a tie."""
+    the line through the last two at the candidates' mean z; the first in a tie."""
     zbin, found = row
     if len(found) == 1:
-        x = found[0]["x"]
+        at = found[0]
     elif not path:
-        x = max(found, key=lambda c: c["e"])["x"]
+        at = max(found, key=lambda c: c["e"])
     else:
-        (z0, x0), (z1, x1) = path[0], path[-1]
-        goal = x1 if len(path) == 1 else x1 + (x1 - x0) / (z1 - z0) * (zbin - z1)
-        x = min((c["x"] for c in found), key=lambda v: abs(v - goal))
-    path[:] = [*path[-1:], (zbin, x)]
-    return zbin, x
+        (c0, z0), (c1, z1) = path[0], path[-1]
+        mean = sum(c["z"] for c in found) / len(found)
+        goal = c1 + (mean - z1) * (c1 - c0) / (z1 - z0) if z1 != z0 else c1
+        at = min(found, key=lambda c: abs(c["c"] - goal))
+    path[:] = [*path[-1:], (at["c"], at["z"])]
+    return zbin, at["c"], at["z"]
 
 
-def follow_paths(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """candidates: keys, zbin, x, e. One path through each group, a bin at a time: keys, zbin, x."""
-    bins = candidates.groupBy(*keys, "zbin").agg(F.array_sort(F.collect_list(F.struct("x", "e"))).alias("found"))
+def follow_paths(candidates: DataFrame, keys: list[str], width: float = 5.0) -> DataFrame:
+    """candidates: keys, coord, z, e. One path through each group, a bin of z at a time: keys, zbin, coord, z.
+
+    Bins are z / width rounded half to even; coord and z are those of the chosen candidate.
+    Ties go by z, then coord, then e. Candidates without z, coord or e are left out.
+    """
+    fine = candidates.dropna(subset=["coord", "z", "e"]).withColumn("zbin", F.rint(F.col("z") / width).cast("long"))
+    found = F.array_sort(F.collect_list(F.struct(F.col("z").cast("double").alias("z"), F.col("coord").cast("double").alias("c"), F.col("e").cast("double").alias("e"))))
+    bins = fine.groupBy(*keys, "zbin").agg(found.alias("found"))
     schema = ", ".join(f"{k} {candidates.schema[k].dataType.simpleString()}" for k in keys)
-    return walk(bins, keys, ["zbin"], ["zbin", "found"], list, _next_of_path, schema + ", zbin long, x double")
+    return walk(bins, keys, ["zbin"], ["zbin", "found"], list, _next_of_path, schema + ", zbin long, coord double, z double")
 
 
 def campaign_medians(fits: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitloom.operators.ordered import walk
+from hitloom.operators.ordered import TAIL, losers
 from hitloom.sources.shared import cut
 
 
@@ -120,17 +120,24 @@ def weighted_mode(met: DataFrame, keys: list[str], axis: str, pitch: float) -> D
     return n.groupBy(*keys, "ix", "iy").agg((F.max_by("_s", F.struct("_w", -F.col("_s"))) * pitch).alias(axis))
 
 
-def suppress(found: DataFrame, keys: list[str], radius: int) -> DataFrame:
-    """Peaks that no earlier kept one is near to, by votes, then place: keys, ix, iy."""
+def suppress(found: DataFrame, keys: list[str], radius: int, tail: int = TAIL) -> DataFrame:
+    """Peaks that no earlier kept one is near to, by votes, then place: keys, ix, iy.
 
-    def step(kept: list[tuple[int, int]], at: tuple[int, int]) -> tuple | None:
-        if any(abs(at[0] - a) <= radius and abs(at[1] - b) <= radius for a, b in kept):
-            return None
-        kept.append(at)
-        return at
-
-    schema = ", ".join(f"{c} {found.schema[c].dataType.simpleString()}" for c in [*keys, "ix", "iy"])
-    return walk(found, keys, [F.desc("votes"), "ix", "iy"], ["ix", "iy"], list, step, schema)
+    Near: at most `radius` bins off in both directions. Rivals meet by cells of that size,
+    each pair once; what is decided from the pairs is losers()' work.
+    """
+    side = max(radius, 1)
+    cell = lambda c: F.floor(F.col(c) / side)
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    at = F.struct("ix", "iy")
+    a = found.withColumn("_o", F.explode(around)).select(*keys, at.alias("better"), F.struct((-F.col("votes")).alias("n"), "ix", "iy").alias("_a"), (cell("ix") + F.col("_o.i")).alias("_i"), (cell("iy") + F.col("_o.j")).alias("_j"))
+    b = found.select(*keys, at.alias("worse"), F.struct((-F.col("votes")).alias("n"), "ix", "iy").alias("_b"), cell("ix").alias("_i"), cell("iy").alias("_j"))
+    near = a.join(b, [*keys, "_i", "_j"]).where((F.col("_a") < F.col("_b")) & (F.abs(F.col("better.ix") - F.col("worse.ix")) <= radius) & (F.abs(F.col("better.iy") - F.col("worse.iy")) <= radius))
+    name = lambda c: F.col(f"{c}.ix") * F.lit(1 << 32) + F.col(f"{c}.iy")
+    edges = near.select(*keys, name("better").alias("better"), name("worse").alias("worse"), F.col("_b.n").alias("order"))
+    gone = losers(edges, keys, ["order"], tail)
+    named = found.withColumn("node", F.col("ix") * F.lit(1 << 32) + F.col("iy"))
+    return named.join(gone, [*keys, "node"], "left_anti").select(*keys, "ix", "iy")
 
 
 def seeds(points: DataFrame, keys: list[str], most: int = 5, max_multiplicity: float = 3.0, pitch: float = 0.755, suppress_mm: float = 15.0, width: float = 5.0) -> DataFrame:

@@ -195,18 +195,21 @@ def a16_recovered(spark, sf_dir):
     return x.groupBy("window_id", "zbin", "paired").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("sx"), F.round(F.sum("z"), 3).alias("sz"), F.round(F.sum("energy") * 1e9, 2).alias("e_ev"))
 
 
-NEAREST = "list_reduce(n.xs, lambda a, b: CASE WHEN abs(b - {goal}) < abs(a - {goal}) THEN b ELSE a END)"
-PATHS = ctes("track_states") + f""", c AS (SELECT window_id, CAST(floor(z / 5) AS BIGINT) AS zbin, x, chi2 AS e, row_number() OVER (PARTITION BY window_id, floor(z / 5) ORDER BY chi2 DESC, x) AS best FROM track_states),
-rk AS (SELECT window_id, zbin, list(x ORDER BY x, e) AS xs, max(CASE WHEN best = 1 THEN x END) AS top, row_number() OVER (PARTITION BY window_id ORDER BY zbin) AS r FROM c GROUP BY window_id, zbin),
-wk AS (SELECT window_id, r, zbin, CASE WHEN len(xs) = 1 THEN xs[1] ELSE top END AS x, CAST(NULL AS BIGINT) AS z0, CAST(NULL AS DOUBLE) AS x0 FROM rk WHERE r = 1 UNION ALL
-  SELECT n.window_id, n.r, n.zbin, CASE WHEN len(n.xs) = 1 THEN n.xs[1] WHEN w.z0 IS NULL THEN {NEAREST.format(goal='w.x')} ELSE {NEAREST.format(goal='(w.x + (w.x - w.x0) / (w.zbin - w.z0) * (n.zbin - w.zbin))')} END, w.zbin, w.x
-  FROM wk w JOIN rk n ON n.window_id = w.window_id AND n.r = w.r + 1) SELECT window_id, zbin, round(x, 6) AS x FROM wk"""
+GOAL = "CASE WHEN w.z0 IS NULL OR w.z0 = w.z THEN w.c ELSE w.c + (n.mean_z - w.z) * (w.c - w.c0) / (w.z - w.z0) END"
+# a walk from bin to bin: the chosen candidate's own z, the line through the last two at the candidates' mean z
+PATHS = ctes("track_states") + f""", c AS (SELECT window_id, CAST(round_even(z / 5e0, 0) AS BIGINT) AS zbin, {{'z': z, 'c': x, 'e': chi2}} AS c, z FROM track_states),
+rk AS (SELECT window_id, zbin, list(c ORDER BY c) AS f, sum(z) / count(*) AS mean_z, row_number() OVER (PARTITION BY window_id ORDER BY zbin) AS r FROM c GROUP BY window_id, zbin),
+one AS (SELECT window_id, r, zbin, list_reduce(f, lambda a, b: CASE WHEN b.e > a.e THEN b ELSE a END) AS p FROM rk WHERE r = 1),
+wk AS (SELECT window_id, r, zbin, p.c AS c, p.z AS z, CAST(NULL AS DOUBLE) AS c0, CAST(NULL AS DOUBLE) AS z0 FROM one UNION ALL
+  SELECT window_id, r, zbin, p.c, p.z, c0, z0 FROM (SELECT n.window_id, n.r, n.zbin, w.c AS c0, w.z AS z0,
+    list_reduce(n.f, lambda a, b: CASE WHEN abs(b.c - {GOAL}) < abs(a.c - {GOAL}) THEN b ELSE a END) AS p FROM wk w JOIN rk n ON n.window_id = w.window_id AND n.r = w.r + 1) q)
+SELECT window_id, zbin, round(c, 6) AS coord, z FROM wk"""
 
 
 @plan("w6_follow_paths", PATHS.replace("WITH ", "WITH RECURSIVE ", 1))
 def w6(spark, sf_dir):
-    c = states(spark, sf_dir).select("window_id", F.floor(F.col("z") / 5).alias("zbin"), "x", F.col("chi2").alias("e"))
-    return physics.follow_paths(c, ["window_id"]).withColumn("x", F.round("x", 6))
+    c = states(spark, sf_dir).select("window_id", F.col("x").alias("coord"), "z", F.col("chi2").alias("e"))
+    return physics.follow_paths(c, ["window_id"]).withColumn("coord", F.round("coord", 6))
 
 
 @plan("p18_select_hits", HIT_CTES + " SELECT cell_id, round(x / 10, 6) AS x, round(z / 10, 6) AS z FROM hits WHERE window_id = 7 AND z BETWEEN -1500 AND 0 AND source_id = 1")

@@ -10,6 +10,7 @@ from hitloom.operators import linking, measurements, seeding
 from hitloom.plans.hits import HIT_CTES, overlaid_hits
 from hitloom.plans.registry import plan
 from hitloom.sources.fixtures import ctes, spark_view
+from hitloom.sources.shared import cut
 
 
 def decoded(spark, sf_dir, detector: str):
@@ -244,7 +245,7 @@ def recursive(sql: str) -> str:
 def w8(spark, sf_dir):
     found = seeding.peaks(seeding.votes(cleaned(spark, sf_dir), ["window_id"]), ["window_id"])
     near = seeding.near_peaks(found, cleaned(spark, sf_dir), ["window_id"])
-    return seeding.suppress(seeding.multiplicity(near, ["window_id"]), ["window_id"], 3)
+    return seeding.suppress(cut(seeding.multiplicity(near, ["window_id"]), "peaks"), ["window_id"], 3)
 
 
 def _mode(axis: str) -> str:
@@ -296,23 +297,37 @@ def w10(spark, sf_dir):
     return linking.without_duplicates(segments(spark, sf_dir), segment_hits(spark, sf_dir)).select("window_id", "segment_id")
 
 
-UNIT = "unit AS (SELECT *, 1 / sqrt(1 + ty * ty + tz * tz) AS dx FROM segments)"
-CANDIDATES = f"""{UNIT}, cand AS (SELECT u.window_id, u.det, u.segment_id AS up, d.segment_id AS down, sqrt((u.y + u.ty * 50 - d.y) * (u.y + u.ty * 50 - d.y) + (u.z + u.tz * 50 - d.z) * (u.z + u.tz * 50 - d.z)) AS dist,
-acos(greatest(-1e0, least(1e0, u.dx * d.dx * (1 + u.ty * d.ty + u.tz * d.tz)))) AS angle FROM unit u JOIN unit d ON u.window_id = d.window_id AND d.det = u.det + 1),
-ok AS (SELECT *, dist * dist + 100 * angle * angle AS score FROM cand WHERE dist <= 15 AND angle <= 0.1)"""
+def segment_ends(spark, sf_dir):
+    return spark_view(spark, sf_dir, "segment_ends")
 
 
-@plan("j15_link_candidates", SEG + f", {CANDIDATES} SELECT window_id, det, up, down, round(dist, 4) AS dist, round(score, 4) AS score FROM ok")
+def spliced(spark, sf_dir):
+    return linking.splice_candidates(segment_ends(spark, sf_dir), linking.boundaries(spark_view(spark, sf_dir, "surfaces")))
+
+
+ENDS = ctes("segments", "segment_hits", "surfaces", "segment_ends")
+# the plane between two detectors, both ends taken there along their lines, then distance and angle
+CANDIDATES = """planes AS (SELECT u.det, (u.x + d.x) / 2 AS plane FROM (SELECT det, max(x) AS x FROM surfaces GROUP BY det) u JOIN (SELECT det, min(x) AS x FROM surfaces GROUP BY det) d ON d.det = u.det + 1),
+cand AS (SELECT u.window_id, u.det, u.segment_id AS up, d.segment_id AS down, u.b_y + u.b_dy * ((plane - u.b_x) / u.b_dx) - (d.f_y + d.f_dy * ((plane - d.f_x) / d.f_dx)) AS off_y,
+  u.b_z + u.b_dz * ((plane - u.b_x) / u.b_dx) - (d.f_z + d.f_dz * ((plane - d.f_x) / d.f_dx)) AS off_z, acos(greatest(-1e0, least(1e0, u.b_dx * d.f_dx + u.b_dy * d.f_dy + u.b_dz * d.f_dz))) AS angle
+  FROM segment_ends u JOIN segment_ends d ON u.window_id = d.window_id AND d.det = u.det + 1 JOIN planes ON planes.det = u.det WHERE abs(u.b_dx) >= 1e-6 AND abs(d.f_dx) >= 1e-6),
+ok AS (SELECT window_id, det, up, down, sqrt(off_y * off_y + off_z * off_z) AS dist, angle, off_y * off_y + off_z * off_z + 100 * angle * angle AS score FROM cand WHERE sqrt(off_y * off_y + off_z * off_z) <= 15 AND angle <= 0.1)"""
+
+
+@plan("j15_link_candidates", ENDS + f", {CANDIDATES} SELECT window_id, det, up, down, round(dist, 6) AS dist, round(angle, 7) AS angle, round(score, 5) AS score FROM ok")
 def j15(spark, sf_dir):
-    return linking.link_candidates(segments(spark, sf_dir)).select("window_id", "det", "up", "down", F.round("dist", 4).alias("dist"), F.round("score", 4).alias("score"))
+    return spliced(spark, sf_dir).select("window_id", "det", "up", "down", F.round("dist", 6).alias("dist"), F.round("angle", 7).alias("angle"), F.round("score", 5).alias("score"))
 
 
-@plan("j16_stitch_candidates", SEG + f", {CANDIDATES.replace('* 50', '* 0')} SELECT window_id, det, up, down, round(score, 4) AS score FROM ok")
+@plan("j16_stitch_candidates", ctes("segment_ends") + """, cand AS (SELECT u.window_id, u.det, u.segment_id AS up, d.segment_id AS down, u.b_y + u.b_dy * ((d.f_x - u.b_x) / u.b_dx) - d.f_y AS off_y, u.b_z + u.b_dz * ((d.f_x - u.b_x) / u.b_dx) - d.f_z AS off_z,
+  acos(greatest(-1e0, least(1e0, (u.b_dx * d.f_dx + u.b_dy * d.f_dy + u.b_dz * d.f_dz) / (sqrt(u.b_dx * u.b_dx + u.b_dy * u.b_dy + u.b_dz * u.b_dz) * sqrt(d.f_dx * d.f_dx + d.f_dy * d.f_dy + d.f_dz * d.f_dz))))) AS angle
+  FROM segment_ends u JOIN segment_ends d ON u.window_id = d.window_id AND d.det = u.det + 1 WHERE abs(u.b_dx) >= 1e-6)
+SELECT window_id, det, up, down, round(off_y * off_y + off_z * off_z + 100 * angle * angle, 4) AS score FROM cand WHERE off_y * off_y + off_z * off_z <= 225 AND angle <= 0.1""")
 def j16(spark, sf_dir):
-    return linking.link_candidates(segments(spark, sf_dir), boundary=0.0).select("window_id", "det", "up", "down", F.round("score", 4).alias("score"))
+    return linking.stitch_candidates(segment_ends(spark, sf_dir)).select("window_id", "det", "up", "down", F.round("score", 4).alias("score"))
 
 
-LINKS = SEG + f""", {CANDIDATES}, rk AS (SELECT window_id, det, up, down, score, row_number() OVER (PARTITION BY window_id ORDER BY round(score, 9), up, down) AS r FROM ok),
+LINKS = ENDS + f""", {CANDIDATES}, rk AS (SELECT window_id, det, up, down, score, row_number() OVER (PARTITION BY window_id ORDER BY round(score, 9), up, down) AS r FROM ok),
 wk AS (SELECT window_id, r, det, up, down, score, TRUE AS taken, [up] AS ups, [down] AS downs FROM rk WHERE r = 1 UNION ALL SELECT n.window_id, n.r, n.det, n.up, n.down, n.score, NOT (list_contains(ups, n.up) OR list_contains(downs, n.down)),
   CASE WHEN list_contains(ups, n.up) OR list_contains(downs, n.down) THEN ups ELSE list_append(ups, n.up) END, CASE WHEN list_contains(ups, n.up) OR list_contains(downs, n.down) THEN downs ELSE list_append(downs, n.down) END
   FROM wk w JOIN rk n ON n.window_id = w.window_id AND n.r = w.r + 1), lk AS (SELECT window_id, det, up, down, score FROM wk WHERE taken)"""
@@ -321,7 +336,7 @@ ch AS (SELECT window_id, f AS first, s AS second, t AS third FROM a LEFT JOIN b
 
 
 def links(spark, sf_dir):
-    return linking.link(linking.link_candidates(segments(spark, sf_dir)))
+    return linking.link(spliced(spark, sf_dir))
 
 
 @plan("w11_links", recursive(LINKS + " SELECT window_id, det, up, down FROM lk"))
@@ -338,7 +353,7 @@ def w11b(spark, sf_dir):
 SELECT window_id, CASE WHEN bad AND s2 < s1 THEN second ELSE first END AS first, CASE WHEN bad AND s2 < s1 THEN third ELSE second END AS second, CASE WHEN NOT bad THEN third END AS third FROM c2"""))
 def w11c(spark, sf_dir):
     found = links(spark, sf_dir)
-    scored = found.join(linking.link_candidates(segments(spark, sf_dir)).select("window_id", "up", "down", "score"), ["window_id", "up", "down"])
+    scored = found.join(spliced(spark, sf_dir).select("window_id", "up", "down", "score"), ["window_id", "up", "down"])
     return linking.accepted_chains(linking.chains(found), scored, (F.col("first") + F.col("third")) % 2 == 0)
 
 
@@ -366,16 +381,28 @@ def states(spark, sf_dir):
     return spark_view(spark, sf_dir, "track_states")
 
 
-PAIRED = ctes("track_states") + """, rk AS (SELECT *, row_number() OVER w AS r, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2, lead(chi2) OVER w AS chi22,
-  coalesce(tilt * lead(tilt) OVER w < 0 AND abs(tilt) > 0.01 AND abs(lead(tilt) OVER w) > 0.01 AND lead(z) OVER w - z < 5, FALSE) AS fits FROM track_states WINDOW w AS (PARTITION BY window_id, track_id ORDER BY z, seq)),
+PAIRED = ctes("track_states") + """, rk AS (SELECT *, row_number() OVER w AS r, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2, lead(chi2) OVER w AS chi22, lead(loc0) OVER w AS loc2, lead(tilt) OVER w AS tilt2, lead(loc0 / 50) OVER w AS phi2,
+  coalesce({fits}, FALSE) AS fits FROM track_states WINDOW w AS (PARTITION BY window_id, track_id ORDER BY z, seq)),
 wk AS (SELECT *, fits AS opens, FALSE AS closes FROM rk WHERE r = 1 UNION ALL SELECT n.*, n.fits AND NOT w.opens, w.opens FROM wk w JOIN rk n ON n.window_id = w.window_id AND n.track_id = w.track_id AND n.r = w.r + 1)"""
+AVERAGED = PAIRED.format(fits="tilt * lead(tilt) OVER w < 0 AND abs(tilt) > 0.01 AND abs(lead(tilt) OVER w) > 0.01 AND lead(z) OVER w - z < 5")
+CROSSED = PAIRED.format(fits="abs(tilt) > 0.01 AND abs(lead(z) OVER w - z) < 5 AND tilt * lead(tilt) OVER w < 0")
 
 
-@plan("w4_pair_states", recursive(PAIRED + """ SELECT window_id, track_id, seq, opens AS paired, round(CASE WHEN opens THEN (x + x2) / 2 ELSE x END, 6) AS x, round(CASE WHEN opens THEN (y + y2) / 2 ELSE y END, 6) AS y,
-round(CASE WHEN opens THEN (z + z2) / 2 ELSE z END, 6) AS z, round(CASE WHEN opens THEN 0 ELSE tilt END, 7) AS tilt, round(CASE WHEN opens THEN chi2 + chi22 ELSE chi2 END, 6) AS chi2 FROM wk WHERE NOT closes"""))
+@plan("w4_pair_states", recursive(AVERAGED + """ SELECT window_id, track_id, seq, opens AS paired, round(CASE WHEN opens THEN (x + x2) / 2 ELSE x END, 6) AS x, round(CASE WHEN opens THEN (y + y2) / 2 ELSE y END, 6) AS y,
+round(CASE WHEN opens THEN (z + z2) / 2 ELSE z END, 6) AS z, round(CASE WHEN opens THEN 0 ELSE tilt END, 7) AS tilt, round(CASE WHEN opens THEN chi2 + chi22 ELSE chi2 END, 6) AS chi2,
+round(CASE WHEN opens THEN (loc0 / 50 + phi2) / 2 ELSE loc0 / 50 END, 6) AS phi, round(CASE WHEN opens THEN (x / z + x2 / z2) / 2 ELSE x / z END, 6) + 0 AS tan_lambda, CASE WHEN opens THEN 0 ELSE loc0 END AS loc0 FROM wk WHERE NOT closes"""))
 def w4(spark, sf_dir):
-    x = linking.pair_states(states(spark, sf_dir), ["window_id", "track_id"])
-    return x.select("window_id", "track_id", "seq", "paired", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("z", 6).alias("z"), F.round("tilt", 7).alias("tilt"), F.round("chi2", 6).alias("chi2"))
+    x = states(spark, sf_dir).withColumns({"phi": F.col("loc0") / 50, "tan_lambda": F.col("x") / F.col("z")})
+    x = linking.pair_states(x, ["window_id", "track_id"])
+    return x.select("window_id", "track_id", "seq", "paired", *[(F.round(c, 6) + 0).alias(c) for c in ("x", "y", "z", "chi2", "phi", "tan_lambda")], F.round("tilt", 7).alias("tilt"), "loc0")
+
+
+@plan("w5_stereo_states", recursive(CROSSED + """, uv AS (SELECT *, CASE WHEN tilt > 0 THEN loc0 ELSE loc2 END AS u, CASE WHEN tilt > 0 THEN loc2 ELSE loc0 END AS v FROM wk WHERE NOT closes)
+SELECT window_id, track_id, seq, opens AS paired, round(CASE WHEN opens THEN (u + v) / 2 ELSE x END, 6) AS x, round(CASE WHEN opens THEN (v - u) / (2 * tan(radians(5e0))) ELSE y END, 6) AS y, round(CASE WHEN opens THEN (z + z2) / 2 ELSE z END, 6) AS z FROM uv"""))
+def w5(spark, sf_dir):
+    """Points of tracks for display: strips of both tilts crossed, other states as they are."""
+    x = linking.stereo_points(states(spark, sf_dir), ["window_id", "track_id"])
+    return x.select("window_id", "track_id", "seq", "paired", *[F.round(c, 6).alias(c) for c in ("x", "y", "z")])
 
 
 @plan("w3_number_states", ctes("track_states") + """SELECT window_id, track_id, seq, row_number() OVER (PARTITION BY window_id, track_id ORDER BY z DESC, seq DESC) - 1 AS state_idx, count(*) OVER (PARTITION BY window_id, track_id) AS nmeas FROM track_states""")

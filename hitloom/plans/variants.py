@@ -59,18 +59,6 @@ def j18(spark, sf_dir):
     return s.select(*keys).distinct().join(facts, keys, "left").withColumn("worst", F.round(F.coalesce("worst", F.lit(-1.0)), 6))
 
 
-@plan("w5_stereo_states", ST + """, n AS (SELECT *, lead(tilt) OVER w AS t1, lead(loc0) OVER w AS l1, lead(z) OVER w AS z1 FROM track_states WINDOW w AS (PARTITION BY window_id, track_id ORDER BY z, seq))
-SELECT window_id, track_id, seq, round((loc0 + l1) / 2, 6) AS gx, round((l1 - loc0) / (2 * tan(radians(5e0))), 6) AS gy FROM n WHERE tilt > 0.01 AND t1 < -0.01 AND z1 - z < 5""")
-def w5(spark, sf_dir):
-    w = Window.partitionBy("window_id", "track_id").orderBy("z", "seq")
-    nxt = lambda c: F.lead(c).over(w)
-    x = states(spark, sf_dir).withColumns({"t1": nxt("tilt"), "l1": nxt("loc0"), "z1": nxt("z")}).where("tilt > 0.01 AND t1 < -0.01 AND z1 - z < 5")
-    import math
-
-    gy = (F.col("l1") - F.col("loc0")) / (2 * math.tan(math.radians(5.0)))
-    return x.select("window_id", "track_id", "seq", F.round((F.col("loc0") + F.col("l1")) / 2, 6).alias("gx"), F.round(gy, 6).alias("gy"))
-
-
 @plan("p16_panel_hits", BASE + """SELECT window_id, cell_id, CASE plane WHEN 0 THEN 'zx' ELSE 'zy' END AS panel, round(CASE plane WHEN 0 THEN x ELSE y END, 4) AS v FROM numbered WHERE detector = 'SiTarget'""")
 def p16(spark, sf_dir):
     x = decoded(spark, sf_dir, "SiTarget")

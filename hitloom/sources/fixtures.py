@@ -61,6 +61,19 @@ SELECT CAST(floor(o_orderkey / 16e0) AS BIGINT) AS window_id, o_orderkey AS segm
   (o_custkey % 11 - 5) * 6e0 AS y, (o_orderkey * 7 % 13 - 6) * 4e0 AS z,
   (o_custkey % 7 - 3) * 0.01e0 AS ty, (o_orderkey % 5 - 2) * 0.01e0 AS tz
 FROM {orders}""",
+    # planes that hits lie on, along the beam
+    "surfaces": f"""SELECT DISTINCT det, hit_z AS x FROM ({_contributions(256)}) AS c""",
+    # places and directions of both ends of the segments; some run across the beam
+    "segment_ends": """
+SELECT window_id, segment_id, det, f_x, f_y, f_z, b_x, f_y + (b_x - f_x) * ty AS b_y, f_z + (b_x - f_x) * tz AS b_z,
+  across AS f_dx, ty / sqrt(1 + ty * ty + tz * tz) AS f_dy, tz / sqrt(1 + ty * ty + tz * tz) AS f_dz,
+  1 / sqrt(1 + (ty + kink) * (ty + kink) + tz * tz) AS b_dx, (ty + kink) / sqrt(1 + (ty + kink) * (ty + kink) + tz * tz) AS b_dy, tz / sqrt(1 + (ty + kink) * (ty + kink) + tz * tz) AS b_dz
+FROM (SELECT *, f_x + 20e0 * (1 + segment_id % 2) AS b_x, CASE WHEN segment_id % 29 = 0 THEN 1e-9 ELSE 1 / sqrt(1 + ty * ty + tz * tz) END AS across FROM (
+  SELECT CAST(floor(o_orderkey / 16e0) AS BIGINT) AS window_id, o_orderkey AS segment_id, CAST(o_custkey % 3 AS INT) AS det,
+    CASE o_custkey % 3 WHEN 0 THEN -1000e0 WHEN 1 THEN -200e0 ELSE 2000e0 END + (o_orderkey % 3) * 20e0 AS f_x,
+    (o_custkey % 11 - 5) * 6e0 AS f_y, (o_orderkey * 7 % 13 - 6) * 4e0 AS f_z, (o_custkey % 7 - 3) * 0.01e0 AS ty, (o_orderkey % 5 - 2) * 0.01e0 AS tz,
+    (o_custkey % 4) * 0.002e0 AS kink
+  FROM {orders}) AS e0) AS e1""",
     "segment_hits": """
 SELECT DISTINCT CAST(floor(l_orderkey / 16e0) AS BIGINT) AS window_id, l_orderkey AS segment_id, l_partkey % 6 AS hit_id FROM {lineitem}""",
     "track_states": f"""
