@@ -251,7 +251,7 @@ def merged(runs: DataFrame, n: int, least: int) -> DataFrame:
 
 
 def bit_set(phrases: DataFrame, n: int):
-    """Broadcast bit set (BITS) of phrases of n words; at most 2^(BITS - 6) rows reach the driver."""
+    """Broadcast bit set (BITS) of phrases of n words; at most 2^(BITS - 6) places of 16 bytes reach the driver, a partition at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -260,9 +260,14 @@ def bit_set(phrases: DataFrame, n: int):
             ones = np.left_shift(np.int64(1), at & 63)
             yield pd.DataFrame({"place": place, "bits": np.bitwise_or.reduceat(ones, start) if len(at) else ones})
 
-    found = phrases.mapInPandas(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas()
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({c: [pdf[c].to_numpy(np.int64).tobytes()] for c in ("place", "bits")})
+
+    found = phrases.mapInPandas(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits"))
     bits = np.zeros(1 << (BITS - 6), np.int64)
-    bits[found["place"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    for row in found.mapInPandas(packed, "place binary, bits binary").toLocalIterator():
+        bits[np.frombuffer(row["place"], np.int64)] = np.frombuffer(row["bits"], np.int64)
     return phrases.sparkSession.sparkContext.broadcast(bits)
 
 
