@@ -79,12 +79,27 @@ def cut_windows(stream: DataFrame, width: float, t_col: str = "t") -> DataFrame:
     return x.withColumn("t_rel", F.col(t_col) - (F.col("t_start") + F.col("window_id") * F.lit(width))).drop("t_start")
 
 
+#: windows of a stretch of the axis that has at least one row before it is filled up
+STRETCH = 1 << 16
+
+
 def all_windows(cut: DataFrame, width: float) -> DataFrame:
-    """Every window from 0 to the last, empty ones too: window_id, t_window_start (from 0), n."""
-    n = cut.groupBy("window_id").agg(F.count("*").alias("n"))
-    last = cut.agg(F.max("window_id").alias("last"))
-    ids = last.select(F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("window_id"))
-    return ids.join(n, "window_id", "left").select("window_id", (F.col("window_id") * F.lit(width)).alias("t_window_start"), F.coalesce("n", F.lit(0)).alias("n"))
+    """Every window from 0 to the last, empty ones too: window_id, t_window_start (from 0), n.
+
+    Each stretch of STRETCH windows has a row for its first one; each window then fills
+    the gap up to the next one of its stretch. So empty windows are made where they are
+    read, after the shuffle, and no row makes more than a stretch of them.
+    """
+    last = cut.agg(F.max("window_id").cast("long").alias("last"))
+    starts = last.select(F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"last div {STRETCH}"))).alias("k"))
+    starts = starts.select((F.col("k") * STRETCH).alias("window_id"), F.lit(0).cast("long").alias("n"))
+    known = cut.select(F.col("window_id").cast("long").alias("window_id"), F.lit(1).cast("long").alias("n")).unionByName(starts).groupBy("window_id").agg(F.sum("n").alias("n"))
+    stretch = F.expr(f"window_id div {STRETCH}")
+    after = F.lead("window_id").over(Window.partitionBy("stretch").orderBy("window_id"))
+    end = F.least(F.col("last") + 1, (F.col("stretch") + 1) * STRETCH)
+    gaps = known.withColumn("stretch", stretch).crossJoin(F.broadcast(last)).withColumn("until", F.coalesce(after, end))  # one row
+    ids = gaps.select("window_id", "n", F.explode(F.sequence("window_id", F.col("until") - 1)).alias("id"))
+    return ids.select(F.col("id").alias("window_id"), (F.col("id") * F.lit(width)).alias("t_window_start"), F.when(F.col("id") == F.col("window_id"), F.col("n")).otherwise(0).alias("n"))
 
 
 def common_source(source: str = "source_id") -> Column:

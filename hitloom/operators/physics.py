@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitloom.operators.ordered import walk
+from hitloom.operators.selection import median, upper_median
 
 
 def is_primary() -> Column:
@@ -131,13 +132,6 @@ def sample_keys(files: DataFrame) -> DataFrame:
     return files.withColumns({"pair": F.regexp_extract("file_name", pattern, 1), "angle": F.regexp_extract("file_name", pattern, 2)})
 
 
-def upper_median(df: DataFrame, keys: list[str], value: str, to: str) -> DataFrame:
-    """sorted[n // 2] of each group."""
-    w = Window.partitionBy(*keys)
-    x = df.withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return x.where(F.col("_r") == F.floor(F.col("_n") / 2)).select(*keys, F.col(value).alias(to))
-
-
 def sample_quality(windows: DataFrame, tracks: DataFrame, expected: dict[str, int]) -> DataFrame:
     """windows: pair, angle, window; tracks: window, quality. Windows without tracks count.
 
@@ -258,12 +252,12 @@ def follow_paths(candidates: DataFrame, keys: list[str], width: float = 5.0) ->
 
 
 def campaign_medians(fits: DataFrame) -> DataFrame:
-    """fits: radius, radius_truth."""
-    ratio = F.abs(F.col("radius_truth") / F.col("radius"))
-    return fits.agg(
-        F.percentile(F.abs("radius"), 0.5).alias("median_radius"), F.percentile(ratio, 0.5).alias("median_ratio"),
-        F.count_if(F.signum("radius") == F.signum("radius_truth")).alias("same_sign"), F.count("*").alias("n"),
-    )
+    """fits: radius, radius_truth. One row, medians null where nothing is to be ranked."""
+    both = fits.select(F.abs("radius").alias("radius"), F.abs(F.try_divide(F.col("radius_truth"), F.col("radius"))).alias("ratio"))
+    values = both.select(F.explode(F.create_map(F.lit("radius"), "radius", F.lit("ratio"), "ratio")).alias("what", "value"))
+    found = median(values, ["what"], "value", "m").groupBy().agg(*[F.max(F.when(F.col("what") == w, F.col("m"))).alias(f"median_{w}") for w in ("radius", "ratio")])
+    counts = fits.agg(F.count_if(F.signum("radius") == F.signum("radius_truth")).alias("same_sign"), F.count("*").alias("n"))
+    return found.crossJoin(F.broadcast(counts))  # one row each
 
 
 def gun_direction(i: Column, n: int, angle_deg: float, phi: Column) -> dict[str, Column]:

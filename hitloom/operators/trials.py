@@ -41,9 +41,21 @@ def with_metrics(trials: DataFrame, metrics: dict[str, Column]) -> DataFrame:
 
 
 def front(rows: DataFrame, keys: list[str], tie: str = "trial_id") -> DataFrame:
-    """Not dominated in y0, y1, one of equal points (the first by tie): one sort of each group."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("y0"), F.desc("y1"), tie).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("_best", F.max("y1").over(w)).where("_best IS NULL OR y1 > _best").drop("_best")
+    """Not dominated in y0, y1, one of equal points (the first by tie).
+
+    Rows lie in ranges by group and falling values, a table. What dominates a row lies
+    before it: in its own range (a running maximum there) or in an earlier one of its
+    group (the maximum of each range, run over the few ranges that a group has). So no
+    task reads more than a range, even where one group has all rows.
+    """
+    order = [F.desc("y0"), F.desc("y1"), F.asc(tie)]
+    ranged = cut(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    here = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    tops = ranged.groupBy("_range", *keys).agg(F.max("y1").alias("_top"))
+    earlier = F.max("_top").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    known = ranged.withColumn("_best", F.max("y1").over(here)).join(tops.select("_range", *keys, earlier.alias("_earlier")), ["_range", *keys])
+    best = F.greatest("_best", "_earlier")  # of those that are not null
+    return known.where(best.isNull() | (F.col("y1") > best)).select(*rows.columns)
 
 
 def _typed(df: DataFrame, columns: list[str]) -> str:
@@ -91,15 +103,71 @@ def hypervolume(rows: DataFrame, refs: DataFrame, keys: list[str]) -> DataFrame:
     return refs.select(*keys).join(area, keys, "left").select(*keys, F.coalesce("hv", F.lit(0.0)).alias("hv"))
 
 
+class Staircase:
+    """What points of two values dominate above a reference: in rising order of the first and falling order of the second."""
+
+    def __init__(self, ref: tuple[float, float]) -> None:
+        self.points: list[tuple[float, float]] = []
+        self.ref = ref
+
+    def add(self, y: tuple[float, float]) -> float:
+        """The area that a point adds."""
+        at = bisect.bisect_left(self.points, y)
+        if at < len(self.points) and self.points[at][1] >= y[1] or y[0] <= self.ref[0] or y[1] <= self.ref[1]:
+            return 0.0
+        first = at
+        while first and self.points[first - 1][1] <= y[1]:
+            first -= 1
+        # strips from the last point that stays on the left up to y, over what lies there already
+        left = self.points[first - 1][0] if first else self.ref[0]
+        gained = 0.0
+        for x, height in [*self.points[first:at], (y[0], self.points[at][1] if at < len(self.points) else self.ref[1])]:
+            gained += (x - left) * (y[1] - height)
+            left = x
+        self.points[first:at] = [y]
+        return gained
+
+
+class Sweep:
+    """Points in falling order of their last value, and what each adds.
+
+    All points before have a larger last value, so a point adds its height times what it
+    adds in the other values: with two of them on a staircase, with more the box without
+    what the points before take of it (each cut down to the box: its limit set).
+    """
+
+    def __init__(self, ref: tuple[float, ...]) -> None:
+        self.ref = ref
+        self.flat = Staircase(ref[:2]) if len(ref) == 3 else None
+        self.seen: list[tuple[float, ...]] = []
+
+    def add(self, y: tuple[float, ...], measured: bool = True) -> float:
+        """What y adds; without `measured` it is only remembered."""
+        *rest, last = y
+        rest, low = tuple(rest), self.ref[:-1]
+        height = last - self.ref[-1]
+        if height <= 0:
+            return 0.0
+        if self.flat is not None:
+            return height * self.flat.add(rest)
+        if any(r <= s for r, s in zip(rest, low, strict=True)):
+            return 0.0
+        gained = 0.0
+        if measured:
+            gained = math.prod(r - s for r, s in zip(rest, low, strict=True)) - volume([tuple(map(min, p, rest)) for p in self.seen], low)
+        self.seen = [p for p in self.seen if any(a > b for a, b in zip(p, rest, strict=True))] + [rest]
+        return height * gained
+
+
 def volume(points: list[tuple[float, ...]], ref: tuple[float, ...]) -> float:
-    """What points above ref dominate: each one's box without what later ones take of it."""
-    total = 0.0
-    points = sorted(set(points), reverse=True)
-    for i, p in enumerate(points):
-        inside = [tuple(min(a, b) for a, b in zip(p, q, strict=True)) for q in points[i + 1 :]]
-        inside = [q for j, q in enumerate(inside) if not any(all(a >= b for a, b in zip(o, q, strict=True)) and (o != q or k < j) for k, o in enumerate(inside))]
-        total += math.prod(a - r for a, r in zip(p, ref, strict=True)) - volume(inside, ref)
-    return total
+    """What points dominate above ref: n log n work for two and three values, n times that of one less for each further one."""
+    if len(ref) == 1:
+        return max((p[0] for p in points), default=ref[0]) - ref[0] if any(p[0] > ref[0] for p in points) else 0.0
+    if len(ref) == 2:
+        stairs = Staircase(ref)
+        return sum(stairs.add(p) for p in sorted(set(points), reverse=True))
+    sweep = Sweep(ref)
+    return sum(sweep.add(p) for p in sorted(set(points), key=lambda p: (p[-1], p), reverse=True))
 
 
 class _Trace:
@@ -107,37 +175,21 @@ class _Trace:
 
     def __init__(self) -> None:
         self.points: list[tuple[float, ...]] = []
+        self.flat: Staircase | None = None
         self.total = 0.0
 
     def add(self, y: tuple[float, ...], ref: tuple[float, ...]) -> None:
         if not all(a > r for a, r in zip(y, ref, strict=True)):
             return
         if len(y) == 2:
-            self.total += self._add_flat(y, ref)
+            self.flat = self.flat or Staircase(ref)
+            self.total += self.flat.add(y)
             return
         if any(all(a >= b for a, b in zip(p, y, strict=True)) for p in self.points):
             return
-        inside = [tuple(min(a, b) for a, b in zip(p, y, strict=True)) for p in self.points]
-        self.total += math.prod(a - r for a, r in zip(y, ref, strict=True)) - volume(inside, ref)
+        self.total += math.prod(a - r for a, r in zip(y, ref, strict=True)) - volume([tuple(map(min, p, y)) for p in self.points], ref)
         self.points = [p for p in self.points if not all(b >= a for a, b in zip(p, y, strict=True))] + [y]
 
-    def _add_flat(self, y: tuple[float, ...], ref: tuple[float, ...]) -> float:
-        """Two objectives: the front lies in rising order of the first and falling order of the second."""
-        at = bisect.bisect_left(self.points, y)
-        if at < len(self.points) and self.points[at][1] >= y[1]:
-            return 0.0
-        first = at
-        while first and self.points[first - 1][1] <= y[1]:
-            first -= 1
-        # strips from the last point that stays on the left up to y, over what lies there already
-        left = self.points[first - 1][0] if first else ref[0]
-        gained = 0.0
-        for x, height in [*self.points[first:at], (y[0], self.points[at][1] if at < len(self.points) else ref[1])]:
-            gained += (x - left) * (y[1] - height)
-            left = x
-        self.points[first:at] = [y]
-        return gained
-
 
 def hypervolume_trace(rows: DataFrame, refs: DataFrame, keys: list[str], dims: tuple[str, ...] = ("y0", "y1"), tie: str = "trial_id") -> DataFrame:
     """keys, tie, hv: the hypervolume after each trial in order. refs: keys and r0, r1, ... in the order of dims.
@@ -154,10 +206,35 @@ def hypervolume_trace(rows: DataFrame, refs: DataFrame, keys: list[str], dims: t
     return walk(known, keys, [tie], [tie, *dims, *(f"r{i}" for i in range(n))], _Trace, step, _typed(rows, [*keys, tie]) + ", hv double")
 
 
-def hypervolume_of_many(rows: DataFrame, refs: DataFrame, keys: list[str], dims: tuple[str, ...]) -> DataFrame:
-    """Like hypervolume(), for any number of objectives."""
-    last = hypervolume_trace(front_of_many(rows, keys, list(dims)), refs, keys, dims).groupBy(*keys).agg(F.max("hv").alias("hv"))
-    return refs.select(*keys).join(last, keys, "left").select(*keys, F.coalesce("hv", F.lit(0.0)).alias("hv"))
+def hypervolume_of_many(rows: DataFrame, refs: DataFrame, keys: list[str], dims: tuple[str, ...], parts: int = 16, least: int = 512) -> DataFrame:
+    """Like hypervolume(), for three and more objectives.
+
+    The front in falling order of the last objective is cut into stretches (of `least`
+    points at least, `parts` at most). What its points add to those before is found for
+    each stretch by its own sweep, to which the points before are given, too; a task
+    holds a front's points up to its stretch. The parts add up.
+    """
+    n = len(dims)
+    limits = [f"r{i}" for i in range(n)]
+    above = rows.join(refs, keys).where(" AND ".join(f"{d} > {r}" for d, r in zip(dims, limits, strict=True)))
+    best = front_of_many(above, keys, list(dims)).select(*keys, *dims, *limits)
+    falling = [F.desc(d) for d in reversed(dims)]
+    placed = best.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*falling)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    size = F.greatest(F.lit(least), F.ceil(F.col("_n") / parts))
+    cut_up = placed.withColumns({"_own": F.floor(F.col("_i") / size), "_last": F.floor((F.col("_n") - 1) / size)})
+    spread = cut_up.withColumn("_part", F.explode(F.sequence("_own", "_last")))
+
+    def step(sweep: list, row: tuple) -> tuple | None:
+        y, ref, own = row[:n], row[n : 2 * n], row[2 * n]
+        if not sweep:
+            sweep.append(Sweep(ref))
+        gained = sweep[0].add(y, own)
+        return (gained,) if own else None
+
+    spread = spread.withColumn("_mine", F.col("_own") == F.col("_part"))
+    gains = walk(spread, [*keys, "_part"], ["_i"], [*dims, *limits, "_mine"], list, step, _typed(spread, [*keys, "_part"]) + ", hv double")
+    summed = gains.groupBy(*keys).agg(F.sum("hv").alias("hv"))
+    return refs.select(*keys).join(summed, keys, "left").select(*keys, F.coalesce("hv", F.lit(0.0)).alias("hv"))
 
 
 def derived_seed(seed: Column, trial: Column) -> Column:
@@ -249,11 +326,17 @@ def radical_inverse(i: Column, base: int) -> Column:
     return x
 
 
-# The first primes, bases of the dimensions
-PRIMES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29)
+def primes(n: int) -> list[int]:
+    found: list[int] = []
+    at = 2
+    while len(found) < n:
+        if all(at % p for p in found):
+            found.append(at)
+        at += 1
+    return found
 
 
 def design_points(spark, dim: int, n: int, skip: int = 0) -> DataFrame:
-    """n low-discrepancy points of the unit cube, resumable by skip."""
+    """n low-discrepancy points of the unit cube of any dimension, resumable by skip."""
     ids = spark.range(skip, skip + n)
-    return ids.select("id", *[radical_inverse(F.col("id") + 1, p).alias(f"u{k}") for k, p in enumerate(PRIMES[:dim])])
+    return ids.select("id", *[radical_inverse(F.col("id") + 1, p).alias(f"u{k}") for k, p in enumerate(primes(dim))])

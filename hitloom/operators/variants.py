@@ -56,26 +56,30 @@ def reasons(checks: dict[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(~ok, F.lit(name)) for name, ok in checks.items()]), lambda x: x.isNotNull())
 
 
-def raster(spark, nx: int, ny: int, size: float, pad: float, gap: float, per_wafer: int = 16) -> DataFrame:
-    """A grid of sample points of a square plane, the pad that each meets and whether it is live.
+def raster(variants: DataFrame, nx: int, ny: int, per_wafer: int = 16) -> DataFrame:
+    """A grid of sample points over each variant's square plane, the pad that each meets and whether it is live.
 
-    Wafers are per_wafer pads wide with a dead rim of gap around each.
+    variants: any columns with size, pad and gap. Wafers are per_wafer pads wide with a dead
+    rim of gap around each. Points are made in two steps, a row of the grid and then its
+    points, so that the rows of one large plane are dealt out.
     """
-    whole = per_wafer * pad + 2 * gap
-    at = lambda i, n: (i + 0.5) * (size / n)
-    x = spark.range(nx * ny).select((F.col("id") % nx).alias("i"), F.floor(F.col("id") / nx).alias("j"))
-    x = x.withColumns({"x": at(F.col("i"), nx), "y": at(F.col("j"), ny)})
+    whole = per_wafer * F.col("pad") + 2 * F.col("gap")
+    line = variants.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ny - 1).cast("long"))))
+    if ny > 1024:
+        line = line.repartition(*variants.columns, "j")
+    x = line.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nx - 1).cast("long"))))
+    x = x.withColumns({"x": (F.col("i") + 0.5) * (F.col("size") / nx), "y": (F.col("j") + 0.5) * (F.col("size") / ny)})
 
     def index(v: Column) -> tuple[Column, Column]:
-        inside = v - F.floor(v / whole) * whole - gap
-        return F.floor(v / whole) * per_wafer + F.floor(inside / pad), (inside >= 0) & (inside < per_wafer * pad)
+        inside = v - F.floor(v / whole) * whole - F.col("gap")
+        return F.floor(v / whole) * per_wafer + F.floor(inside / F.col("pad")), (inside >= 0) & (inside < per_wafer * F.col("pad"))
 
     (gx, live_x), (gy, live_y) = index(F.col("x")), index(F.col("y"))
     return x.withColumns({"gx": gx, "gy": gy, "live": live_x & live_y}).withColumn("wafer", wafer(F.col("gx"), F.col("gy"), per_wafer))
 
 
-def occupancy(samples: DataFrame, size: float, n: int) -> DataFrame:
-    """Live and all samples of each of n x n bins: full, partly or dead."""
+def occupancy(samples: DataFrame, size: float | Column, n: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Live and all samples of each of n x n bins (of each key): full, partly or dead."""
     b = lambda c: F.least(F.lit(n - 1), F.floor(F.col(c) / (size / n)).cast("int"))
-    x = samples.groupBy(b("x").alias("bin_x"), b("y").alias("bin_y")).agg(F.count_if("live").alias("live"), F.count("*").alias("total"))
+    x = samples.groupBy(*keys, b("x").alias("bin_x"), b("y").alias("bin_y")).agg(F.count_if("live").alias("live"), F.count("*").alias("total"))
     return x.withColumn("state", F.when(F.col("live") == 0, "dead").when(F.col("live") == F.col("total"), "full").otherwise("partly"))

@@ -81,6 +81,6 @@ def test_cost_of_the_baseline(spark):
 
 
 def test_raster_and_occupancy(spark):
-    x = variants.raster(spark, 40, 40, 36.0, 1.0, 1.0)
+    x = variants.raster(spark.createDataFrame([(36.0, 1.0, 1.0)], "size double, pad double, gap double"), 40, 40)
     assert x.where("live").agg(F.countDistinct("gx", "gy")).first()[0] == 32 * 32
     assert {r.state for r in variants.occupancy(x, 36.0, 18).collect()} <= {"full", "partly", "dead"}
