@@ -71,6 +71,8 @@ class Trie:
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         """keys: in order, each once."""
+        if not len(keys):
+            return
         first = keys >> self.below
         starts = np.flatnonzero(np.diff(first, prepend=-1))
         rests, n = (keys & ((1 << self.below) - 1)).tolist(), counts.tolist()
