@@ -284,6 +284,33 @@ def upsert(base: DataFrame, changes: DataFrame, key: str = "trial_id") -> DataFr
     return base.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 
+def set_meta(base: DataFrame, changes: DataFrame, order: str, merge: bool = False) -> DataFrame:
+    """Metadata (key, value as JSON text) after changes (key, value, and the column `order`); the last one of a key counts.
+
+    A value is replaced, or, with merge, members of a JSON object are: those that the
+    changes have, in their order, over those that are there; what isn't an object is
+    replaced. Text that isn't JSON is an error.
+    """
+    old = base.select("key", "value", F.lit(False).alias("_new"), F.lit(None).cast(changes.schema[order].dataType).alias("_at"))
+    rows = old.unionByName(changes.select("key", "value", F.lit(True).alias("_new"), F.col(order).alias("_at")))
+    place = F.struct("_new", "_at", "value")
+    if not merge:
+        return rows.groupBy("key").agg(F.to_json(F.parse_json(F.max_by("value", place))).alias("value"))
+    parsed = rows.withColumn("_v", F.parse_json("value"))
+    whole = parsed.groupBy("key").agg(F.max_by(F.col("value"), place).alias("last"), F.max(F.when(~F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT")), place)).alias("cut"))
+    # members after the last value that isn't an object
+    kept = parsed.withColumn("_place", place).join(whole, "key").where(F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT")) & (F.col("cut").isNull() | (F.col("_place") > F.col("cut"))))
+    members = kept.select("key", "_place", F.explode(F.from_json("value", "map<string,variant>")).alias("name", "member"))
+    newest = members.groupBy("key", "name").agg(F.max_by(F.to_json("member"), "_place").alias("member"))
+    objects = newest.groupBy("key").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.parse_json("member").alias("v"))), lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)))).alias("merged"))
+    return whole.join(objects, "key", "left").select("key", F.coalesce("merged", F.to_json(F.parse_json("last"))).alias("value"))
+
+
+def get_meta(meta: DataFrame, path: str, kind: str, to: str = "value") -> DataFrame:
+    """key and what each value holds at a JSON path, as a type; null where it has nothing there."""
+    return meta.select("key", F.try_variant_get(F.parse_json("value"), path, kind).alias(to))
+
+
 def by_name(wanted: DataFrame, trials: DataFrame) -> DataFrame:
     """The first trial of each wanted name."""
     w = Window.partitionBy("name").orderBy("trial_id")

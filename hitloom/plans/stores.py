@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from hitloom.functions import bitfields
-from hitloom.operators import hits, measurements, physics, trials
+from hitloom.operators import hits, linking, measurements, physics, trials
 from hitloom.plans.hits import HIT_CTES, OVERLAY, contributions, overlaid_hits
 from hitloom.plans.physics import FRONT, KEY, MC, OBJ, ROWS, TR, WINDOWED, as_rows, objective_rows, particles, trial_table
 from hitloom.plans.registry import plan
@@ -15,7 +15,7 @@ from hitloom.plans.tracks import LINKS, decoded, links, recursive, segment_hits,
 from hitloom.sources import io
 from hitloom.sources.fixtures import ctes, spark_view
 from hitloom.sources.shared import shared_dir
-from hitloom.streaming import windows
+from hitloom.streaming import feed, windows
 
 
 def folder(spark, name: str) -> str:
@@ -53,6 +53,28 @@ def s6(spark, sf_dir):
     return back.join(known, "window_id").groupBy("detector").agg(F.count("*").alias("n"), F.countDistinct("window_id").alias("n_windows"), F.sum("n_contributions").alias("n_contributions"))
 
 
+def stored_segments(spark, sf_dir):
+    """Segments and their hits in buckets by window, in a session that uses them."""
+    number = uuid.uuid4().hex[:12]
+    names = {"segments": f"segments_{number}", "hits": f"segment_hits_{number}"}
+    io.write_bucketed({names["segments"]: spark_view(spark, sf_dir, "segments"), names["hits"]: segment_hits(spark, sf_dir)}, folder(spark, "buckets"), 16)
+    own = io.co_located(spark)
+    return own.table(names["segments"]), own.table(names["hits"])
+
+
+@plan("s6_bucketed_shared_hits", ctes("segment_hits") + "SELECT a.window_id, a.segment_id AS s1, b.segment_id AS s2, count(*) AS shared FROM segment_hits a JOIN segment_hits b ON a.window_id = b.window_id AND a.hit_id = b.hit_id AND a.segment_id < b.segment_id GROUP BY 1, 2, 3")
+def s6b(spark, sf_dir):
+    """J14 on stored buckets, without a shuffle."""
+    return linking.shared_hits(stored_segments(spark, sf_dir)[1])
+
+
+@plan("s6_bucketed_window", ctes("segments", "segment_hits") + "SELECT segment_id, det, count(*) AS n_hits FROM segments JOIN segment_hits USING (window_id, segment_id) WHERE window_id = 3 GROUP BY 1, 2")
+def s6c(spark, sf_dir):
+    """One window, from one bucket of each table."""
+    segments, found = stored_segments(spark, sf_dir)
+    return segments.where("window_id = 3").join(found, ["window_id", "segment_id"]).groupBy("segment_id", "det").agg(F.count("*").alias("n_hits"))
+
+
 @plan("s8_written_tracks", ctes("track_states") + """SELECT 'Sequential' AS name, count(DISTINCT window_id * 16 + track_id) AS n_tracks, count(*) AS n_states FROM track_states""")
 def s8(spark, sf_dir):
     """Both collections are written; the sequential one is read, as it wins over the legacy one."""
@@ -65,6 +87,27 @@ def s8(spark, sf_dir):
     return read(name).agg(F.count("*").alias("n_tracks")).join(read(io.state_table(name)).agg(F.count("*").alias("n_states")), F.lit(True)).select(F.lit(name).alias("name"), "n_tracks", "n_states")
 
 
+@plan("s13_store", TR + """, m AS (SELECT experiment, max(trial_id) AS last, count(*) FILTER (WHERE status = 'COMPLETED') AS n FROM trials GROUP BY 1)
+SELECT 'e' || experiment AS key, last, CASE WHEN experiment % 2 = 0 THEN n END AS n, CASE WHEN experiment % 3 = 0 THEN 'odd' ELSE 'seed' END AS kind, (SELECT count(*) FROM trials t WHERE t.experiment = m.experiment AND t.status = 'COMPLETED') AS completed FROM m""")
+def s13b(spark, sf_dir):
+    """A store is written, its metadata changed in two ways and written as a next version, which is read."""
+    root, t = folder(spark, "store"), trial_table(spark, sf_dir)
+    per = t.groupBy("experiment").agg(F.max("trial_id").alias("last"), F.count_if(F.col("status") == "COMPLETED").alias("n"))
+    key = F.concat(F.lit("e"), F.col("experiment").cast("string")).alias("key")
+    meta = per.select(key, F.to_json(F.struct(F.lit("seed").alias("kind"), F.lit(-1).alias("last"))).alias("value"))
+    slim = t.select("experiment", "trial_id", "status")
+    io.write_store(slim, meta, root, 0)
+    _, old = io.read_store(spark, root)
+    changes = per.select(key, F.to_json(F.struct("last")).alias("value"), F.lit(1).alias("at")).unionByName(per.where("experiment % 2 = 0").select(key, F.to_json(F.struct("n")).alias("value"), F.lit(2).alias("at")))
+    changes = changes.unionByName(per.where("experiment % 3 = 0").select(key, F.lit('{"kind": "odd"}').alias("value"), F.lit(3).alias("at")))
+    io.write_store(slim.where("status = 'COMPLETED'"), trials.set_meta(old, changes, "at", merge=True), root, 1)
+    done, meta = io.read_store(spark, root)
+    parts = [trials.get_meta(meta, f"$.{name}", kind, name) for name, kind in (("last", "bigint"), ("n", "bigint"), ("kind", "string"))]
+    counts = done.groupBy(key).agg(F.count("*").alias("completed"))
+    out = parts[0].join(parts[1], "key").join(parts[2], "key").join(counts, "key", "left")
+    return out.select("key", "last", "n", "kind", F.coalesce("completed", F.lit(0)).alias("completed"))
+
+
 @plan("s14_results", TR + """SELECT experiment * 100000 + trial_id AS var_id, 'w' || w_thickness AS name, CASE WHEN trial_id % 2 = 0 THEN n_layers END AS layers, CASE WHEN trial_id % 2 = 1 THEN wall_time_s END AS wall, w_thickness AS width, CAST(round(nhits_sipad) AS BIGINT) AS nhits_SiPad, status FROM trials""")
 def s14(spark, sf_dir):
     """Two batches with different constants under one header."""
@@ -90,7 +133,7 @@ def s16(spark, sf_dir):
 
 @plan("s12_read_trials", TR + """, g AS (SELECT experiment AS trial_id, experiment % 6 AS k, max(nhits_sipad) AS nhits, count(*) AS n_events FROM trials GROUP BY 1)
 SELECT trial_id, n_events, CASE WHEN k = 5 THEN 'RUNNING' WHEN k IN (0, 3) THEN 'COMPLETED' ELSE 'FAILED' END AS status, CASE WHEN k IN (0, 3, 5) THEN round(nhits, 2) END AS nhits,
-CASE k WHEN 1 THEN 'out of memory' WHEN 2 THEN 'metrics.json has no nhits_sipad' WHEN 4 THEN 'unreadable metrics.json' END AS error FROM g""")
+CASE k WHEN 1 THEN 'out of memory' WHEN 2 THEN 'metrics.json lacks nhits_sipad' WHEN 4 THEN 'metrics.json cannot be read' END AS error FROM g""")
 def s12(spark, sf_dir):
     """A folder for every experiment, with files as a payload leaves them.
 
@@ -139,15 +182,30 @@ def st5(spark, sf_dir):
     return as_rows(spark.read.parquet(f"{root}/out").where("cell_id >= 0"))
 
 
-@plan("st6_trial_feed", TR + ", late AS (SELECT experiment, CASE WHEN status = 'SUBMITTED' THEN 'COMPLETED' ELSE status END AS status FROM trials) SELECT experiment, status, count(*) AS n FROM late GROUP BY 1, 2")
-def st6(spark, sf_dir):
-    """Trials come as submitted, then as ended; the counts are those after the last batch."""
+FED = ", late AS (SELECT *, CASE WHEN status = 'SUBMITTED' THEN 'COMPLETED' ELSE status END AS ended FROM trials)"
+
+
+def fed(spark, sf_dir):
+    """Trials come as submitted, then some as ended, then all; rows come again and late ones come last."""
     root, t = folder(spark, "feed"), trial_table(spark, sf_dir).select("experiment", "trial_id", "status", "nhits_sipad", "cost_proxy")
-    for status in (F.lit("SUBMITTED"), F.when(F.col("status") == "SUBMITTED", "COMPLETED").otherwise(F.col("status"))):
-        t.withColumn("status", status).write.mode("append").parquet(f"{root}/in")
-        feed = spark.readStream.schema(t.schema).parquet(f"{root}/in")
-        windows.trial_feed(feed, f"{root}/store", f"{root}/checkpoint", OBJ).awaitTermination()
-    return spark.read.parquet(f"{root}/store-counts").select("experiment", "status", "n")
+    ended = t.withColumns({"status": F.when(F.col("status") == "SUBMITTED", "COMPLETED").otherwise(F.col("status")), "step": F.lit(1)})
+    begun = t.withColumns({"status": F.lit("SUBMITTED"), "step": F.lit(0)})
+    for some in (begun, ended.where("trial_id % 2 = 0"), ended.unionByName(begun.where("trial_id % 3 = 0"))):
+        some.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(some.schema).parquet(f"{root}/in")
+        feed.trial_feed(stream, f"{root}/log", f"{root}/checkpoint", ["step"]).awaitTermination()
+    return feed.progress(spark, f"{root}/log", OBJ)
+
+
+@plan("st6_trial_feed", TR + FED + " SELECT experiment, ended AS status, count(*) AS n FROM late GROUP BY 1, 2")
+def st6(spark, sf_dir):
+    return fed(spark, sf_dir)[0].select("experiment", "status", "n")
+
+
+@plan("st6_front_of_feed", TR + FED + """, ob AS (SELECT experiment, trial_id, nhits_sipad AS y0, -cost_proxy AS y1 FROM late WHERE ended = 'COMPLETED')
+SELECT experiment, trial_id FROM ob a WHERE NOT EXISTS (SELECT 1 FROM ob b WHERE b.experiment = a.experiment AND b.y0 >= a.y0 AND b.y1 >= a.y1 AND (b.y0 > a.y0 OR b.y1 > a.y1 OR b.trial_id < a.trial_id))""")
+def st6b(spark, sf_dir):
+    return fed(spark, sf_dir)[1].select("experiment", "trial_id")
 
 
 @plan("t1_by_time", ctes("contributions", overlay=OVERLAY) + "SELECT window_id, routed AS detector, cell_id, string_agg(CAST(seq AS VARCHAR), ' ' ORDER BY time, seq) AS order_in_time FROM overlay GROUP BY 1, 2, 3")

@@ -7,6 +7,8 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hitloom.sources.folders import folder_files, opens
+
 
 def read_source(spark: SparkSession, paths: list[str], source_id: int, rename: dict[str, str] | None = None, schema: str | None = None, max_events: int | None = None) -> DataFrame:
     """Landed Parquet files of one source, with its id; columns renamed, events capped."""
@@ -58,6 +60,41 @@ def write_windows(tables: dict[str, DataFrame], path: str) -> None:
         (writer.partitionBy("detector") if "detector" in df.columns else writer).parquet(f"{path}/{name}")
 
 
+def write_bucketed(tables: dict[str, DataFrame], path: str, buckets: int) -> None:
+    """Tables of the catalog, their files in a folder each: rows of a window in one of `buckets` buckets, sorted by window.
+
+    What is then joined or grouped by window and more needs no shuffle (in a co_located()
+    session), and a read of one window opens one bucket. Every table needs the same number.
+    """
+    for name, df in tables.items():
+        dealt = df.repartition(buckets, "window_id")  # one file a bucket
+        dealt.write.mode("overwrite").bucketBy(buckets, "window_id").sortBy("window_id").option("path", f"{path}/{name}").saveAsTable(name)
+
+
+def co_located(spark: SparkSession) -> SparkSession:
+    """A session in which joins on the window and further keys use the buckets of the window alone."""
+    own = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    own.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # also where only one bucket is read
+    return own
+
+
+def write_store(trials: DataFrame, meta: DataFrame, root: str, version: int) -> None:
+    """A version of a store: its trials and its metadata (key, value as JSON). It counts once its number is written, last; readers of others are not disturbed."""
+    for name, df in (("trials", trials), ("meta", meta)):
+        df.write.mode("overwrite").parquet(f"{root}/{name}/version={version}")
+    trials.sparkSession.range(version, version + 1).write.mode("overwrite").parquet(f"{root}/versions/version={version}")
+
+
+def read_store(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Trials in order of their ids and metadata of the latest version."""
+    last = F.broadcast(spark.read.parquet(f"{root}/versions").agg(F.max("version").alias("version")))  # one row
+    trials, meta = (spark.read.option("mergeSchema", True).parquet(f"{root}/{name}").join(last, "version", "left_semi").drop("version") for name in ("trials", "meta"))
+    return trials.orderBy("trial_id"), meta
+
+
 def export_tracks(collections: dict[str, tuple[DataFrame, DataFrame]], path: str) -> None:
     """Tracks and states of each collection as <name> and <name>States (ACTSTracks: ACTSTrackStates)."""
     for name, (tracks, states) in collections.items():
@@ -81,11 +118,17 @@ def assert_same_windows(a: DataFrame, b: DataFrame) -> None:
         raise ValueError(f"{na} windows of tracks and {nb} of hits")
 
 
-def empty_files(spark: SparkSession, glob: str) -> list[tuple[str, str]]:
-    """Folder and name of every empty file that a pattern matches, as the file system lists them on the driver."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(glob)
+def _files(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """folder, name, text of trial files, empty ones too: read by tasks, or where those cannot open the path (a store that only Spark reads) by Spark, which needs the driver's list of empty ones."""
+    if opens(root):
+        return folder_files(spark, root, names)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/*/{{{','.join(names)}}}")
     found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
-    return [(s.getPath().getParent().getName(), s.getPath().getName()) for s in found if s.getLen() == 0]
+    empty = [(s.getPath().getParent().getName(), s.getPath().getName(), "") for s in found if s.getLen() == 0]
+    read = spark.read.format("binaryFile").option("pathGlobFilter", f"{{{','.join(names)}}}").option("recursiveFileLookup", True).load(root)
+    parts = F.split("path", "/")
+    read = read.select(F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("name"), F.col("content").cast("string").alias("text"))
+    return read.unionByName(spark.createDataFrame(empty, "folder string, name string, text string"))
 
 
 def read_trials(spark: SparkSession, root: str) -> DataFrame:
@@ -95,33 +138,27 @@ def read_trials(spark: SparkSession, root: str) -> DataFrame:
     RUNNING, whatever else there is. With one, readable metrics decide: COMPLETED if they
     have nhits_sipad, else FAILED; without metrics it is FAILED with FAILED's first line.
     """
-    folder = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("trial")
-
-    def files(glob: str) -> DataFrame:
-        found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root)
-        text = F.trim(F.col("content").cast("string"))
-        return found.select(folder, F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), text.alias("text"))
-
     trial = spark.read.option("multiLine", True).option("pathGlobFilter", "trial.json").option("recursiveFileLookup", True).json(root)
-    trial = trial.select("*", F.col("_metadata.file_path").alias("path")).select(folder, "*").drop("path")
-    metrics = files("metrics.json").select("trial", F.lit(True).alias("_written"), F.from_json("text", "map<string,double>").alias("metrics"))
-    line = F.substring(F.element_at(F.split("text", "\n"), 1), 1, 500)
-    # readers leave out empty files, so those are taken from the listing
-    empty = spark.createDataFrame(empty_files(spark, f"{root}/*/{{DONE,FAILED}}"), "trial string, name string").withColumn("text", F.lit(""))
-    marks = files("{DONE,FAILED}").unionByName(empty).groupBy("trial").agg(
-        F.lit(True).alias("_ended"), F.bool_or(F.col("name") == "FAILED").alias("_failed"), F.max(F.when((F.col("name") == "FAILED") & (line != ""), line)).alias("_line")
+    trial = trial.select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("trial"))
+    text = F.trim("text")
+    line = F.nullif(F.substring(F.element_at(F.split(text, "\n"), 1), 1, 500), F.lit(""))
+    of = lambda name, value: F.max(F.when(F.col("name") == name, value))
+    marks = _files(spark, root, ["metrics.json", "DONE", "FAILED"]).groupBy(F.col("folder").alias("trial")).agg(
+        F.bool_or(F.col("name") != "metrics.json").alias("_ended"), F.bool_or(F.col("name") == "FAILED").alias("_failed"),
+        of("FAILED", line).alias("_line"), of("metrics.json", text).alias("_metrics"),
     )
-    x = trial.join(metrics, "trial", "left").join(marks, "trial", "left")
+    x = trial.join(marks, "trial", "left").withColumn("metrics", F.from_json("_metrics", "map<string,double>"))
     complete = F.coalesce(F.map_contains_key("metrics", F.lit("nhits_sipad")), F.lit(False))
+    ended, written = F.coalesce("_ended", F.lit(False)), F.col("_metrics").isNotNull()
     error = (
-        F.when(F.col("_ended").isNull() | complete, F.lit(None))
-        .when(F.col("_written") & F.col("metrics").isNull(), "unreadable metrics.json")
-        .when(F.col("_written"), "metrics.json has no nhits_sipad")
-        .when(F.col("_failed"), F.coalesce("_line", F.lit("the payload reported a failure")))
-        .otherwise("no metrics.json and no FAILED sentinel")
+        F.when(~ended | complete, F.lit(None))
+        .when(written & F.col("metrics").isNull(), "metrics.json cannot be read")
+        .when(written, "metrics.json lacks nhits_sipad")
+        .when(F.col("_failed"), F.coalesce("_line", F.lit("failed without a message")))
+        .otherwise("ended without metrics.json or FAILED")
     )
-    status = F.when(F.col("_ended").isNull(), "RUNNING").when(complete, "COMPLETED").otherwise("FAILED")
-    return x.withColumn("status", status).withColumn("error", error).drop("_ended", "_failed", "_line", "_written")
+    status = F.when(~ended, "RUNNING").when(complete, "COMPLETED").otherwise("FAILED")
+    return x.withColumn("status", status).withColumn("error", error).drop("_ended", "_failed", "_line", "_metrics")
 
 
 FIRST, LAST = ("var_id", "name"), ("nhits_SiPad", "status")

@@ -1,11 +1,10 @@
-"""The time stream as a Structured Streaming job, and a feed of trials."""
+"""The time stream as a Structured Streaming job."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.operators import trials
 from hitloom.operators.hits import common_source
 
 
@@ -26,27 +25,3 @@ def windowed_hits(stream: DataFrame, width: str, delay: str, time: str = "ts", o
             found.append(F.max_by("pdg", F.struct(F.col("energy").alias("a"), (-F.unix_micros(time)).alias("b"), (-F.col(order)).alias("c"))).alias("origin_pdg"))
     out = kept.groupBy(F.window(time, width), "cell_id").agg(*found)
     return out.select(F.col("window.start").alias("t_window_start"), *[c for c in out.columns if c != "window"])
-
-
-def trial_feed(stream: DataFrame, store: str, checkpoint: str, objectives: list[trials.Objective] | None = None):
-    """Each micro-batch's newest row of a trial replaces the stored one; starts the query.
-
-    A batch that is replayed replaces itself. After each one the status counts, and with
-    objectives the front of two of them, are written anew beside the store (-counts, -front).
-    """
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        now = newest(batch.sparkSession.read.parquet(store))
-        trials.status_counts(now, ["experiment"]).write.mode("overwrite").parquet(f"{store}-counts")
-        if objectives:
-            best = trials.front(trials.objective_rows(now, objectives), ["experiment"])
-            best.select("experiment", "trial_id").write.mode("overwrite").parquet(f"{store}-front")
-
-    return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def newest(stored: DataFrame) -> DataFrame:
-    """The last state of every trial in a store that trial_feed() fills: of the latest batch, in it the largest row."""
-    columns = [c for c in stored.columns if c not in ("trial_id", "experiment", "batch")]
-    return stored.groupBy("experiment", "trial_id").agg(F.max(F.struct("batch", *columns)).alias("s")).select("experiment", "trial_id", *[f"s.{c}" for c in columns])

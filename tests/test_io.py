@@ -5,9 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from hitloom.operators import variants
+from hitloom.operators import trials, variants
 from hitloom.plans.variants import baseline_map
-from hitloom.sources import io
+from hitloom.sources import folders, io
 
 
 def test_sources_are_joined_and_capped(spark, tmp_path):
@@ -34,17 +34,17 @@ def test_windows_and_tracks_are_written(spark, tmp_path):
         io.assert_same_windows(t, t.limit(1))
 
 
-def test_trial_folders(spark, tmp_path):
+def test_trial_folders(spark, tmp_path, monkeypatch):
     good, other = json.dumps({"nhits_sipad": 5.0}), json.dumps({"cost": 1.0})
     cases = {  # files, then status, error and metrics
         "t0": ({"DONE": "", "metrics.json": good}, ("COMPLETED", None, {"nhits_sipad": 5.0})),
         "t1": ({"FAILED": "from the payload\nmore"}, ("FAILED", "from the payload", None)),
         "t2": ({"metrics.json": good}, ("RUNNING", None, {"nhits_sipad": 5.0})),
         "t3": ({"FAILED": "x", "metrics.json": good}, ("COMPLETED", None, {"nhits_sipad": 5.0})),
-        "t4": ({"DONE": "from the payload", "metrics.json": other}, ("FAILED", "metrics.json has no nhits_sipad", {"cost": 1.0})),
-        "t5": ({"DONE": "", "metrics.json": "{nhits"}, ("FAILED", "unreadable metrics.json", None)),
-        "t6": ({"DONE": ""}, ("FAILED", "no metrics.json and no FAILED sentinel", None)),
-        "t7": ({"DONE": "", "FAILED": ""}, ("FAILED", "the payload reported a failure", None)),
+        "t4": ({"DONE": "from the payload", "metrics.json": other}, ("FAILED", "metrics.json lacks nhits_sipad", {"cost": 1.0})),
+        "t5": ({"DONE": "", "metrics.json": "{nhits"}, ("FAILED", "metrics.json cannot be read", None)),
+        "t6": ({"DONE": ""}, ("FAILED", "ended without metrics.json or FAILED", None)),
+        "t7": ({"DONE": "", "FAILED": ""}, ("FAILED", "failed without a message", None)),
         "t8": ({}, ("RUNNING", None, None)),
     }
     for name, (files, _) in cases.items():
@@ -53,6 +53,11 @@ def test_trial_folders(spark, tmp_path):
             (tmp_path / name / f).write_text(text)
     out = {r.trial: (r.trial_id, r.status, r.error, r.metrics) for r in io.read_trials(spark, str(tmp_path)).collect()}
     assert out == {name: (int(name[1]), *want) for name, (_, want) in cases.items()}
+    monkeypatch.setattr(io, "opens", lambda path: False)  # as for a store that only Spark reads
+    assert {r.trial: (r.trial_id, r.status, r.error, r.metrics) for r in io.read_trials(spark, str(tmp_path)).collect()} == out
+    every = folders.folder_files(spark, str(tmp_path), [], partitions=3)
+    assert every.count() == sum(len(files) + 1 for files, _ in cases.values()) and every.rdd.getNumPartitions() == 3
+    assert folders.opens("file:///tmp") and not folders.opens("nowhere://x/y")
 
 
 def test_variants_results_and_histograms(spark, tmp_path):
@@ -84,3 +89,44 @@ def test_raster_and_occupancy(spark):
     x = variants.raster(spark.createDataFrame([(36.0, 1.0, 1.0)], "size double, pad double, gap double"), 40, 40)
     assert x.where("live").agg(F.countDistinct("gx", "gy")).first()[0] == 32 * 32
     assert {r.state for r in variants.occupancy(x, 36.0, 18).collect()} <= {"full", "partly", "dead"}
+
+
+def test_buckets_save_shuffles_and_files(spark, tmp_path):
+    from hitloom.operators import linking
+
+    rows = [(w, s, h) for w in range(40) for s in range(3) for h in range(s, s + 3)]
+    h = spark.createDataFrame(rows, "window_id long, segment_id long, hit_id long")
+    io.write_bucketed({"bucketed_hits": h}, str(tmp_path), 8)
+    own = io.co_located(spark)
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    stored = own.table("bucketed_hits")
+    shared = linking.shared_hits(stored)
+    assert "Exchange" not in shared._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" in linking.shared_hits(h)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in shared.collect()) == sorted(tuple(r) for r in linking.shared_hits(h).collect())
+    one = stored.where("window_id = 5")
+    assert "SelectedBucketsCount: 1 out of 8" in one._jdf.queryExecution().executedPlan().toString() and one.count() == 9
+
+
+def test_metadata_is_set_and_merged(spark):
+    meta = lambda *rows: spark.createDataFrame(rows, "key string, value string")
+    changes = lambda *rows: spark.createDataFrame(rows, "key string, value string, at int")
+    read = lambda df: {r.key: json.loads(r.value) for r in df.collect()}
+    base = meta(("a", '{"x": 1, "y": {"z": [1, 2]}}'), ("b", "3"), ("c", "null"))
+    new = changes(("a", '{"x": "2"}', 1), ("a", '{"w": null, "x": 2.5}', 2), ("b", '{"q": true}', 1), ("d", '"text"', 1), ("c", '{"m": 1}', 1), ("c", "[1]", 2))
+    assert read(trials.set_meta(base, new, "at")) == {"a": {"w": None, "x": 2.5}, "b": {"q": True}, "c": [1], "d": "text"}
+    merged = trials.set_meta(base, new, "at", merge=True)
+    assert read(merged) == {"a": {"w": None, "x": 2.5, "y": {"z": [1, 2]}}, "b": {"q": True}, "c": [1], "d": "text"}
+    assert {(r.key, r.value) for r in trials.get_meta(merged, "$.y.z[1]", "int").collect()} == {("a", 2), ("b", None), ("c", None), ("d", None)}
+    assert read(trials.set_meta(base.limit(0), new.limit(0), "at", merge=True)) == {}
+    with pytest.raises(Exception, match="MALFORMED_RECORD_IN_PARSING|INVALID_JSON"):
+        trials.set_meta(base, changes(("a", "{", 1)), "at").collect()
+
+
+def test_store_versions(spark, tmp_path):
+    t = spark.createDataFrame([(2, "x"), (1, "y")], "trial_id int, status string")
+    m = spark.createDataFrame([("k", "1")], "key string, value string")
+    io.write_store(t, m, str(tmp_path), 0)
+    io.write_store(t.limit(1).selectExpr("*", "1 AS more"), m.limit(0), str(tmp_path), 1)
+    stored, meta = io.read_store(spark, str(tmp_path))
+    assert stored.count() == 1 and meta.count() == 0

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hitloom.functions import bitfields, draws
 from hitloom.operators import digitize, hits, linking, measurements, physics, seeding, trials
-from hitloom.streaming import windows
+from hitloom.streaming import feed, windows
 
 
 def test_window_edges(spark):
@@ -218,12 +218,17 @@ def test_windows_of_a_file_stream(spark, tmp_path):
 
 
 def test_trial_feed_keeps_the_newest(spark, tmp_path):
-    schema = "experiment int, trial_id int, status string, a double, b double"
-    objectives = [trials.Objective("a"), trials.Objective("b")]
-    for status in ("SUBMITTED", "COMPLETED"):
-        spark.createDataFrame([(0, 1, status, 1.0, 2.0), (0, 2, "COMPLETED", 0.5, 1.0)], schema).write.mode("append").parquet(str(tmp_path / "in"))
-        feed = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        windows.trial_feed(feed, str(tmp_path / "store"), str(tmp_path / "ck"), objectives).awaitTermination(60)
-        assert [r.trial_id for r in spark.read.parquet(str(tmp_path / "store-front")).collect()] == [2 if status == "SUBMITTED" else 1]
-    assert {(r.trial_id, r.status) for r in windows.newest(spark.read.parquet(str(tmp_path / "store"))).collect()} == {(1, "COMPLETED"), (2, "COMPLETED")}
-    assert [(r.status, r.n) for r in spark.read.parquet(str(tmp_path / "store-counts")).collect()] == [("COMPLETED", 2)]
+    schema = "experiment int, trial_id int, status string, a double, b double, at int"
+    log, read = str(tmp_path / "log"), lambda: {(r.trial_id, r.status, r.a) for r in feed.newest(spark, log).collect()}
+    first = [(0, 1, "SUBMITTED", None, None, 1), (0, 2, "COMPLETED", 0.5, 1.0, 2)]
+    last = [(0, 1, "COMPLETED", 1.0, 2.0, 3), (0, 2, "SUBMITTED", None, None, 1), (0, 1, "RUNNING", None, None, 2)]
+    wants = [({(1, "SUBMITTED", None), (2, "COMPLETED", 0.5)}, 2), ({(1, "COMPLETED", 1.0), (2, "COMPLETED", 0.5)}, 3)]
+    for rows, (want, n) in zip((first, last, last), (*wants, wants[1]), strict=True):  # the last ones come twice
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        query = feed.trial_feed(stream, log, str(tmp_path / "ck"), ["at"])
+        query.awaitTermination(90)
+        assert query.exception() is None and read() == want
+        assert spark.read.parquet(log).count() == n  # only changes are written
+    counts, front = feed.progress(spark, log, [trials.Objective("a"), trials.Objective("b")])
+    assert [(r.status, r.n) for r in counts.collect()] == [("COMPLETED", 2)] and [r.trial_id for r in front.collect()] == [1]
