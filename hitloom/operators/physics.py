@@ -197,8 +197,13 @@ def interpolate(targets: DataFrame, known: DataFrame, keys: list[str], outside:
     return x.where("_l IS NOT NULL OR _r IS NOT NULL").select(*keys, "tid", "z", F.coalesce(value, F.col("_l.x"), F.col("_r.x")).alias("x"))
 
 
-def parabola(points: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
-    """x = c0 + c1 d + c2 d^2 with d = z - mean z, by sums and Cramer's rule: n, x0, slope, radius."""
+def parabola(points: DataFrame, keys: list[str], least: int = 3, field: float = 1.7, spread: float = 1e-9) -> DataFrame:
+    """x = x0 + slope d + curvature d^2 / 2 with d = z - mean z, by sums and Cramer's rule.
+
+    keys, n, x0, slope, curvature, radius (mm, as z and x are) and momentum (GeV, with the
+    sign of the radius); the last two null for a straight track. Groups of fewer than
+    `least` points, or whose determinant is below `spread` (fewer than three places), go.
+    """
     mean = Window.partitionBy(*keys)
     p = points.withColumn("d", F.col("z") - F.avg("z").over(mean))
     s = p.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(F.col("d") ** k).alias(f"s{k}") for k in range(1, 5)], *[F.sum(F.col("x") * F.col("d") ** k).alias(f"t{k}") for k in range(3)]).where(F.col("n") >= least)
@@ -209,15 +214,17 @@ def parabola(points: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
 
     whole = det(n, s1, s2, s1, s2, s3, s2, s3, s4)
     c0, c1, c2 = det(t0, s1, s2, t1, s2, s3, t2, s3, s4), det(n, t0, s2, s1, t1, s3, s2, t2, s4), det(n, s1, t0, s1, s2, t1, s2, s3, t2)
-    solved = s.where(F.abs(whole) > 1e-9).select(*keys, "n", (c0 / whole).alias("x0"), (c1 / whole).alias("slope"), (c2 / whole).alias("c2"))
-    return solved.withColumn("radius", F.when(F.abs("c2") >= 1e-20, 1 / (2 * F.col("c2"))))
+    solved = s.where(F.abs(whole) > spread).select(*keys, "n", (c0 / whole).alias("x0"), (c1 / whole).alias("slope"), (2 * c2 / whole).alias("curvature"))
+    bent = F.abs("curvature") >= 2e-20
+    radius = F.when(bent, 1 / F.col("curvature"))
+    return solved.withColumns({"radius": radius, "momentum": momentum(radius, field)})
 
 
 def residuals(pairs: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     """pairs: keys, z, x, truth."""
     d = F.col("x") - F.col("truth")
     return pairs.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(F.abs(d)).alias("mean_abs"), F.max(F.abs(d)).alias("max_abs"), F.min_by(d, F.struct("z", "x")).alias("first"), F.max_by(d, F.struct("z", "x")).alias("last")
+        F.count("*").alias("n"), F.avg(F.abs(d)).alias("mean_abs"), F.max(F.abs(d)).alias("max_abs"), F.min_by(d, F.struct("z", "x", d.alias("d"))).alias("first"), F.max_by(d, F.struct("z", "x", d.alias("d"))).alias("last")
     ).where(F.col("n") >= least)
 
 
@@ -285,16 +292,41 @@ def z_extents(hits: DataFrame, keys: list[str], margin: float = 3.0) -> DataFram
     return hits.groupBy(*keys).agg((F.min("z") - margin).alias("z_lo"), (F.max("z") + margin).alias("z_hi"), F.array_sort(F.collect_set(F.round("z", 4))).alias("layers"))
 
 
-def track_points(tracks: DataFrame, states: DataFrame, layers: DataFrame) -> DataFrame:
-    """Fitted states of tracks with two or more, else the seed's x, y on the window's layers, else nothing."""
+def track_points(tracks: DataFrame, points: DataFrame, layers: DataFrame) -> DataFrame:
+    """Points of tracks with two or more, else the seed's x, y on each of the window's layers; tracks with less than two in the end are left out.
+
+    tracks: window_id, track_id, seed_x, seed_y. points: of tracks, after pairing. layers: window_id, z.
+    """
     keys = ["window_id", "track_id"]
-    n = states.groupBy(*keys).agg(F.count("*").alias("_n"))
+    n = points.groupBy(*keys).agg(F.count("*").alias("_n"))
     known = tracks.join(n, keys, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    fitted = states.join(known.where("_n >= 2").select(*keys), keys, "left_semi").select(*keys, "x", "y", "z", F.lit("fit").alias("kind"))
-    seed = known.where("_n < 2").select(*keys, F.col("seed_x").alias("x"), F.col("seed_y").alias("y")).join(layers, "window_id").select(*keys, "x", "y", "z", F.lit("seed").alias("kind"))
-    return fitted.unionByName(seed)
+    fitted = points.join(known.where("_n >= 2").select(*keys), keys, "left_semi").select(*keys, "x", "y", "z", F.lit("fit").alias("kind"))
+    enough = layers.groupBy("window_id").agg(F.count("*").alias("_layers")).where("_layers >= 2").select("window_id")
+    seed = known.where("_n < 2").select(*keys, F.col("seed_x").alias("x"), F.col("seed_y").alias("y")).join(layers.join(enough, "window_id", "left_semi"), "window_id")
+    return fitted.unionByName(seed.select(*keys, "x", "y", "z", F.lit("seed").alias("kind")))
 
 
 def momentum(radius: Column, field: float = 1.7) -> Column:
-    """GeV from a radius in m and a field in T."""
-    return 0.3 * field * F.abs(radius)
+    """GeV from a radius in mm and a field in T."""
+    return 0.3 * field * (radius / 1000.0)
+
+
+def panel_hits(hits: DataFrame, keys: list[str], dz: float = 5.0) -> DataFrame:
+    """What the two side views show of every detector: keys, panel ("zx" or "zy"), detector, coord, z, e.
+
+    SiTarget strips show on the side that they measure, plane 0 along x and 1 along y;
+    SciFi on zx by recovered(), on zy by every hit; pads and Scint on both.
+    hits: keys, detector, plane, x, y, z, e.
+    """
+    strip, fibre = F.col("detector") == "SiTarget", F.col("detector") == "SciFi"
+    zx, zy = (F.struct(F.lit(p).alias("panel"), F.col(c).cast("double").alias("coord")) for p, c in (("zx", "x"), ("zy", "y")))
+    sides = F.when(strip & (F.col("plane") == 0), F.array(zx)).when(strip & (F.col("plane") == 1), F.array(zy)).when(strip, F.array().cast("array<struct<panel:string,coord:double>>")).when(fibre, F.array(zy)).otherwise(F.array(zx, zy))
+    shown = hits.select(*keys, "detector", F.col("z").cast("double").alias("z"), F.col("e").cast("double").alias("e"), F.explode(sides).alias("s")).select(*keys, "s.panel", "detector", "s.coord", "z", "e")
+    fibres = recovered(hits.where(fibre), keys, dz).select(*keys, F.lit("zx").alias("panel"), F.lit("SciFi").alias("detector"), F.col("x").alias("coord"), "z", F.col("energy").alias("e"))
+    return shown.unionByName(fibres)
+
+
+def window_layers(measurements: DataFrame, keys: list[str], order: list[str], of: tuple[str, ...] = ("detector",)) -> DataFrame:
+    """keys, z: of each detector the first z of every millimetre (halves away from zero) in an order of its measurements."""
+    first = F.min_by("z", F.struct(*order))
+    return measurements.groupBy(*keys, *of, F.round("z").alias("_mm")).agg(first.alias("z")).select(*keys, *of, "z")

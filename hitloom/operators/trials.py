@@ -260,6 +260,16 @@ def status_counts(trials: DataFrame, keys: list[str]) -> DataFrame:
     return per.withColumn("total", F.sum("n").over(total)).withColumn("failure_rate", F.sum(F.when(F.col("status").isin("FAILED", "INFEASIBLE"), F.col("n")).otherwise(0)).over(total) / F.col("total"))
 
 
+def wall_times(trials: DataFrame, keys: list[str], bins: int = 20) -> DataFrame:
+    """Wall times in minutes of each group, in equal bins between its shortest and longest: keys, bin, lo, hi, entries. Without a time, or with 0, a trial does not count."""
+    known = trials.where(F.col("wall_time_s").isNotNull() & (F.col("wall_time_s") != 0)).select(*keys, (F.col("wall_time_s") / 60).alias("_m"))
+    ends = known.groupBy(*keys).agg(F.min("_m").alias("_lo"), F.max("_m").alias("_hi"))
+    step = (F.col("_hi") - F.col("_lo")) / bins
+    place = F.when(step > 0, F.least(F.lit(bins - 1), F.floor((F.col("_m") - F.col("_lo")) / step).cast("int"))).otherwise(0)
+    found = known.join(ends, keys).groupBy(*keys, place.alias("bin"), "_lo", "_hi").agg(F.count("*").alias("entries"))
+    return found.select(*keys, "bin", (F.col("_lo") + F.col("bin") * step).alias("lo"), (F.col("_lo") + (F.col("bin") + 1) * step).alias("hi"), "entries")
+
+
 def minutes_since_first(trials: DataFrame, keys: list[str]) -> DataFrame:
     t = F.col("submitted_at").cast("timestamp").cast("double")
     return trials.withColumn("minutes", (t - F.min(t).over(Window.partitionBy(*keys))) / 60)

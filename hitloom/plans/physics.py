@@ -9,7 +9,7 @@ from hitloom.operators import physics, trials
 from hitloom.plans.hits import HIT_CTES, overlaid_hits
 from hitloom.plans.registry import plan
 from hitloom.plans.tracks import states
-from hitloom.sources.fixtures import ctes, spark_view
+from hitloom.sources.fixtures import SQL, ctes, spark_view
 from hitloom.streaming.windows import windowed_hits
 
 MC = ctes("mc_particles")
@@ -138,19 +138,25 @@ def u5(spark, sf_dir):
 ST = ctes("track_states")
 
 
-@plan("a17_parabola", ST + """, p AS (SELECT *, z - avg(z) OVER (PARTITION BY window_id) AS d FROM track_states),
-s AS (SELECT window_id, count(*)::DOUBLE AS n, sum(d) AS s1, sum(d*d) AS s2, sum(d*d*d) AS s3, sum(d*d*d*d) AS s4, sum(x) AS t0, sum(x*d) AS t1, sum(x*d*d) AS t2 FROM p GROUP BY window_id HAVING count(*) >= 3),
-q AS (SELECT *, n*(s2*s4-s3*s3) - s1*(s1*s4-s3*s2) + s2*(s1*s3-s2*s2) AS w FROM s)
-SELECT window_id, CAST(n AS BIGINT) AS n, round((t0*(s2*s4-s3*s3) - s1*(t1*s4-s3*t2) + s2*(t1*s3-s2*t2)) / w, 4) AS x0, round((n*(t1*s4-s3*t2) - t0*(s1*s4-s3*s2) + s2*(s1*t2-t1*s2)) / w, 4) AS slope FROM q WHERE abs(w) > 1e-9""")
+@plan("a17_parabola", ST + """, p AS (SELECT window_id, track_id, x * cos(radians(30e0)) + y * sin(radians(30e0)) AS x, z - avg(z) OVER (PARTITION BY window_id, track_id) AS d FROM track_states),
+s AS (SELECT window_id, track_id, count(*)::DOUBLE AS n, sum(d) AS s1, sum(d*d) AS s2, sum(d*d*d) AS s3, sum(d*d*d*d) AS s4, sum(x) AS t0, sum(x*d) AS t1, sum(x*d*d) AS t2 FROM p GROUP BY 1, 2 HAVING count(*) >= 3),
+q AS (SELECT *, n*(s2*s4-s3*s3) - s1*(s1*s4-s3*s2) + s2*(s1*s3-s2*s2) AS w FROM s),
+f AS (SELECT *, (t0*(s2*s4-s3*s3) - s1*(t1*s4-s3*t2) + s2*(t1*s3-s2*t2)) / w AS x0, (n*(t1*s4-s3*t2) - t0*(s1*s4-s3*s2) + s2*(s1*t2-t1*s2)) / w AS slope, 2 * (n*(s2*t2-t1*s3) - s1*(s1*t2-t1*s2) + t0*(s1*s3-s2*s2)) / w AS c FROM q WHERE abs(w) > 1)
+SELECT window_id, track_id, CAST(n AS BIGINT) AS n, round(x0, 6) + 0 AS x0, round(slope, 6) + 0 AS slope, round(c, 7) + 0 AS curvature, round(CASE WHEN abs(c) > 0.01 THEN 1 / c END, 4) AS radius, round(CASE WHEN abs(c) > 0.01 THEN 0.3e0 * 1.7e0 / (1000 * c) END, 7) AS momentum FROM f""")
 def a17(spark, sf_dir):
-    return physics.parabola(states(spark, sf_dir), ["window_id"]).select("window_id", "n", F.round("x0", 4).alias("x0"), F.round("slope", 4).alias("slope"))
+    """Curvature, radius and momentum of each track, along an axis turned by 30 degrees, whose places differ enough; the last two where it bends by more than 0.01 a mm."""
+    turned = F.col("x") * F.cos(F.radians(F.lit(30.0))) + F.col("y") * F.sin(F.radians(F.lit(30.0)))
+    s, keys = states(spark, sf_dir).withColumn("x", turned), ["window_id", "track_id"]
+    bent = F.abs("curvature") > 0.01
+    x = physics.parabola(s, keys, spread=1.0)
+    return x.select(*keys, "n", *[(F.round(c, k) + 0).alias(c) for c, k in (("x0", 6), ("slope", 6), ("curvature", 7))], F.round(F.when(bent, F.col("radius")), 4).alias("radius"), F.round(F.when(bent, F.col("momentum")), 7).alias("momentum"))
 
 
 @plan("a18_residuals", ST + """, d AS (SELECT window_id, z, x, x - loc0 AS d FROM track_states WHERE z > 30)
-SELECT window_id, count(*) AS n, round(avg(abs(d)), 6) AS mean_abs, round(max(abs(d)), 6) AS max_abs FROM d GROUP BY window_id HAVING count(*) >= 3""")
+SELECT window_id, count(*) AS n, round(avg(abs(d)), 6) AS mean_abs, round(max(abs(d)), 6) AS max_abs, round(arg_min(d, {'z': z, 'x': x, 'd': d}), 6) AS first, round(arg_max(d, {'z': z, 'x': x, 'd': d}), 6) AS last FROM d GROUP BY window_id HAVING count(*) >= 3""")
 def a18(spark, sf_dir):
     pairs = states(spark, sf_dir).where("z > 30").select("window_id", "z", "x", F.col("loc0").alias("truth"))
-    return physics.residuals(pairs, ["window_id"]).select("window_id", "n", F.round("mean_abs", 6).alias("mean_abs"), F.round("max_abs", 6).alias("max_abs"))
+    return physics.residuals(pairs, ["window_id"]).select("window_id", "n", *[F.round(c, 6).alias(c) for c in ("mean_abs", "max_abs", "first", "last")])
 
 
 @plan("a19_campaign_medians", ST + """, t AS (SELECT window_id, sum(x) + 0.5e0 AS radius, sum(y) + 0.25e0 AS radius_truth FROM track_states GROUP BY window_id)
@@ -227,13 +233,29 @@ def a15(spark, sf_dir):
     return physics.z_extents(overlaid_hits(spark, sf_dir), ["detector"]).select("detector", "z_lo", "z_hi", F.size("layers").cast("long").alias("n_layers"))
 
 
-@plan("p29_track_points", ST + """, n AS (SELECT window_id, track_id, count(*) AS n, min(x) AS sx, min(y) AS sy FROM track_states GROUP BY 1, 2)
-SELECT s.window_id, s.track_id, 'fit' AS kind, count(*) AS c FROM track_states s JOIN n USING (window_id, track_id) WHERE n >= 2 GROUP BY 1, 2 UNION ALL SELECT window_id, track_id, 'seed', 3 FROM n WHERE n < 2""")
+LAYERS = "ly AS (SELECT window_id, detector, arg_min(z, {'c': cell_id, 'z': z}) AS z FROM hits WHERE detector <> 'Scint' GROUP BY window_id, detector, round(z))"
+
+
+def layers(spark, sf_dir):
+    measured = overlaid_hits(spark, sf_dir).where("detector <> 'Scint'")
+    return physics.window_layers(measured, ["window_id"], ["cell_id", "z"])
+
+
+@plan("a15_window_layers", HIT_CTES + f", {LAYERS} SELECT window_id, detector, round(z, 4) AS z FROM ly")
+def a15b(spark, sf_dir):
+    return layers(spark, sf_dir).withColumn("z", F.round("z", 4))
+
+
+@plan("p29_track_points", HIT_CTES.rstrip() + f", track_states AS ({SQL['track_states'].format(lineitem='lineitem')}), {LAYERS}" + """, s AS (SELECT * FROM track_states WHERE seq % 3 > 0), t AS (SELECT window_id, track_id, min(x) AS sx, min(y) AS sy FROM track_states GROUP BY 1, 2),
+n AS (SELECT t.*, (SELECT count(*) FROM s WHERE s.window_id = t.window_id AND s.track_id = t.track_id) AS n FROM t), ok AS (SELECT window_id FROM ly GROUP BY 1 HAVING count(*) >= 2)
+SELECT s.window_id, s.track_id, 'fit' AS kind, round(s.x, 6) AS x, round(s.y, 6) AS y, round(s.z, 4) AS z FROM s JOIN n USING (window_id, track_id) WHERE n >= 2
+UNION ALL SELECT n.window_id, track_id, 'seed', round(sx, 6), round(sy, 6), round(z, 4) FROM n JOIN ly USING (window_id) JOIN ok USING (window_id) WHERE n < 2""")
 def p29(spark, sf_dir):
+    """Some states left out, so that tracks remain with fewer than two."""
     s = states(spark, sf_dir)
     t = s.groupBy("window_id", "track_id").agg(F.min("x").alias("seed_x"), F.min("y").alias("seed_y"))
-    layers = s.select("window_id").distinct().select("window_id", F.explode(F.array(*[F.lit(z) for z in (10.0, 20.0, 30.0)])).alias("z"))
-    return physics.track_points(t, s, layers).groupBy("window_id", "track_id", "kind").agg(F.count("*").alias("c"))
+    x = physics.track_points(t, s.where("seq % 3 > 0"), layers(spark, sf_dir).select("window_id", "z"))
+    return x.select("window_id", "track_id", "kind", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("z", 4).alias("z"))
 
 
 # --- trials ---------------------------------------------------------------------------
@@ -319,6 +341,12 @@ def a21(spark, sf_dir):
     return trials.status_counts(trial_table(spark, sf_dir), KEY).withColumn("failure_rate", F.round("failure_rate", 6))
 
 
+@plan("a21_wall_times", TR + """, m AS (SELECT experiment, wall_time_s / 60e0 AS m FROM trials WHERE wall_time_s <> 0), e AS (SELECT experiment, min(m) AS lo, max(m) AS hi FROM m GROUP BY 1)
+SELECT experiment, CASE WHEN hi > lo THEN least(19, CAST(floor((m - lo) / ((hi - lo) / 20)) AS INT)) ELSE 0 END AS bin, round(any_value(lo + (CASE WHEN hi > lo THEN least(19, CAST(floor((m - lo) / ((hi - lo) / 20)) AS INT)) ELSE 0 END) * ((hi - lo) / 20)), 6) AS lo, count(*) AS entries FROM m JOIN e USING (experiment) GROUP BY 1, 2""")
+def a21b(spark, sf_dir):
+    return trials.wall_times(trial_table(spark, sf_dir), KEY).select("experiment", "bin", F.round("lo", 6).alias("lo"), "entries")
+
+
 @plan("w15_minutes", TR + "SELECT experiment, trial_id, round((epoch(submitted_at) - min(epoch(submitted_at)) OVER (PARTITION BY experiment)) / 60, 4) AS minutes FROM trials")
 def w15(spark, sf_dir):
     return trials.minutes_since_first(trial_table(spark, sf_dir), KEY).select("experiment", "trial_id", F.round("minutes", 4).alias("minutes"))

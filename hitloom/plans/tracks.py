@@ -43,11 +43,10 @@ PAIRS = """pairs AS (SELECT u.window_id, u.station, u.layer, u.cell_id, u.hit_id
 FROM fib u JOIN fib v ON u.window_id = v.window_id AND u.station = v.station AND u.layer = v.layer AND u.plane = 0 AND v.plane = 1 AND abs(u.z - v.z) <= 25)"""
 
 
-@plan("p10_mtc_pairs", BASE + f", {FIBRE}, {PAIRS}" + """ SELECT window_id, station, layer, count(*) AS n, round(sum((ux + vx) / 2), 4) AS sx, round(sum((vx - ux) * cos(radians(5e0)) / (2 * sin(radians(5e0)))), 4) AS sy,
-round(sum(e) * 1e9, 3) AS e_ev FROM pairs GROUP BY window_id, station, layer""")
+@plan("p10_mtc_pairs", BASE + f", {FIBRE}, {PAIRS}" + """ SELECT window_id, station, layer, cell_id, round((ux + vx) / 2, 4) + 0 AS x, round((vx - ux) * cos(radians(5e0)) / (2 * sin(radians(5e0))), 4) + 0 AS y, round(e * 1e9, 3) AS e_ev FROM pairs""")
 def p10(spark, sf_dir):
     x = measurements.mtc(decoded(spark, sf_dir, "SciFi")).where("is2d")
-    return x.groupBy("window_id", "station", "layer").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("sx"), F.round(F.sum("y"), 4).alias("sy"), F.round(F.sum("edep") * 1e9, 3).alias("e_ev"))
+    return x.select("window_id", "station", "layer", "cell_id", (F.round("x", 4) + 0).alias("x"), (F.round("y", 4) + 0).alias("y"), F.round(F.col("edep") * 1e9, 3).alias("e_ev"))
 
 
 @plan("j6_unpaired", BASE + ", fib AS (SELECT * FROM numbered WHERE detector = 'SciFi' AND e > 9e-5), " + PAIRS + """ SELECT window_id, cell_id, round(x * cos(radians(5e0)), 6) AS x FROM fib f
@@ -82,12 +81,12 @@ def j4b(spark, sf_dir):
 
 @plan("p11_pool", BASE + f", {FIBRE}, {PAIRS}" + """, pool AS (SELECT window_id, 0 AS det, cell_id FROM numbered WHERE detector = 'SiTarget' UNION ALL SELECT window_id, 1, cell_id FROM numbered WHERE detector = 'SiPad'
 UNION ALL SELECT window_id, 2, cell_id FROM pairs UNION ALL SELECT window_id, 2, cell_id FROM fib f WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.window_id = f.window_id AND (p.uid = f.hit_id OR p.vid = f.hit_id)))
-SELECT window_id, det, count(*) AS n FROM pool GROUP BY window_id, det""")
+SELECT window_id, det, cell_id FROM pool""")
 def p11(spark, sf_dir):
     one = measurements.sitarget(decoded(spark, sf_dir, "SiTarget")).select("window_id", "det", "cell_id")
     two = measurements.sipad(decoded(spark, sf_dir, "SiPad")).select("window_id", "det", "cell_id")
     three = measurements.mtc(decoded(spark, sf_dir, "SciFi")).select("window_id", F.lit(2).alias("det"), "cell_id")
-    return one.unionByName(two).unionByName(three).groupBy("window_id", "det").agg(F.count("*").alias("n"))
+    return one.unionByName(two).unionByName(three)
 
 
 @plan("p14_loc_to_global", ctes("track_states") + "SELECT window_id, track_id, seq, round(loc0 * cos(tilt) + y * sin(tilt), 6) AS gx, round(-loc0 * sin(tilt) + y * cos(tilt), 6) AS gy FROM track_states")

@@ -87,11 +87,19 @@ def j18(spark, sf_dir):
     return s.select(*keys).distinct().join(facts, keys, "left").withColumn("worst", F.round(F.coalesce("worst", F.lit(-1.0)), 6))
 
 
-@plan("p16_panel_hits", BASE + """SELECT window_id, cell_id, CASE plane WHEN 0 THEN 'zx' ELSE 'zy' END AS panel, round(CASE plane WHEN 0 THEN x ELSE y END, 4) AS v FROM numbered WHERE detector = 'SiTarget'""")
+@plan("p16_panel_hits", HIT_CTES + """, f AS (SELECT window_id, plane, x, z, e, CAST(round_even(z / 5e0, 0) AS BIGINT) AS zbin FROM hits WHERE detector = 'SciFi' AND plane < 2),
+per AS (SELECT window_id, zbin, plane, sum(e * x) / sum(e) AS x, sum(e * z) / sum(e) AS z, sum(e) AS energy FROM f GROUP BY 1, 2, 3),
+bins AS (SELECT window_id, zbin, count(*) AS planes, avg(x) AS x, avg(z) AS z, sum(energy) AS energy FROM per GROUP BY 1, 2), both_ AS (SELECT * FROM bins WHERE planes = 2),
+one AS (SELECT f.* FROM f JOIN bins USING (window_id, zbin) WHERE planes = 1), lf AS (SELECT o.window_id, o.z, o.e, l.z AS lz, l.x AS lx FROM one o ASOF JOIN both_ l ON o.window_id = l.window_id AND o.z >= l.z),
+lr AS (SELECT lf.*, r.z AS rz, r.x AS rx FROM lf ASOF JOIN both_ r ON lf.window_id = r.window_id AND lf.z <= r.z),
+al AS (SELECT window_id, 'zx' AS panel, 'SciFi' AS detector, x AS coord, z, energy AS e FROM both_ UNION ALL SELECT window_id, 'zx', 'SciFi', CASE WHEN lz = rz THEN lx ELSE lx + (rx - lx) / (rz - lz) * (z - lz) END, z, e FROM lr
+UNION ALL SELECT window_id, 'zx', detector, x, z, e FROM hits WHERE detector IN ('SiPad', 'Scint') OR detector = 'SiTarget' AND plane = 0 UNION ALL SELECT window_id, 'zy', detector, y, z, e FROM hits WHERE detector <> 'SiTarget' OR plane = 1)
+SELECT window_id, panel, detector, round(coord, 6) + 0 AS coord, round(z, 6) AS z, round(e * 1e9, 2) AS e_ev FROM al""")
 def p16(spark, sf_dir):
-    x = decoded(spark, sf_dir, "SiTarget")
-    zx = x.where("plane = 0").select("window_id", "cell_id", F.lit("zx").alias("panel"), F.round("x", 4).alias("v"))
-    return zx.unionByName(x.where("plane = 1").select("window_id", "cell_id", F.lit("zy").alias("panel"), F.round("y", 4).alias("v")))
+    of = lambda name: bitfields.get(bitfields.LAYOUTS[name], "plane", F.col("cell_id"))
+    plane = F.when(F.col("detector") == "SiTarget", of("SiTarget")).when(F.col("detector") != "SiPad", of("MTC")).otherwise(0)
+    x = physics.panel_hits(overlaid_hits(spark, sf_dir).withColumn("plane", plane), ["window_id"])
+    return x.select("window_id", "panel", "detector", (F.round("coord", 6) + 0).alias("coord"), F.round("z", 6).alias("z"), F.round(F.col("e") * 1e9, 2).alias("e_ev"))
 
 
 @plan("p28_gun_direction", TR + """SELECT experiment, trial_id, round(sin(radians((trial_id % 3 - 1) * 2.5e0)) * cos(wall_time_s / 100e0), 5) + 0 AS dx, round(cos(radians((trial_id % 3 - 1) * 2.5e0)), 6) AS dz FROM trials""")
