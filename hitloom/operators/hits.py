@@ -108,13 +108,23 @@ def common_source(source: str = "source_id") -> Column:
 
 
 def merge(contributions: DataFrame, keys: tuple[str, ...] = ("window_id", "detector", "cell_id"), order: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """Contributions to hits: energy, first position and time, source, dominant particle, count."""
-    first = F.struct(*order)
-    dominant = F.max_by("pdg", F.struct("energy", *[(-F.col(c)).alias(f"_{c}") for c in order]))
-    return contributions.groupBy(*keys).agg(
-        F.sum("energy").alias("e"), F.min_by(F.struct("hit_x", "hit_y", "hit_z"), first).alias("p"), F.min_by("time", first).alias("t"),
-        common_source().alias("source_id"), dominant.alias("origin_pdg"), F.count("*").alias("n_contributions"),
-    ).select(*keys, "e", F.col("p.hit_x").alias("x"), F.col("p.hit_y").alias("y"), F.col("p.hit_z").alias("z"), "t", "source_id", "origin_pdg", "n_contributions")
+    """Contributions to hits: energy, first position and time (by order), source, dominant particle (the first of equal ones), count.
+
+    First by energy as well, then by hit alone: with one energy a row the dominant particle
+    needs no compound order, so that with an order of one column both steps aggregate
+    plain numbers by hash, after one shuffle.
+    """
+    dealt = contributions.repartition(*keys)
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    first = {c: F.min_by(c, place).alias(f"_{c}") for c in ("hit_x", "hit_y", "hit_z", "time", "pdg")}
+    per = dealt.groupBy(*keys, F.coalesce("energy", F.lit(float("-inf"))).alias("_level")).agg(
+        F.sum("energy").alias("_e"), F.min(place).alias("_first"), F.min("source_id").alias("_lo"), F.max("source_id").alias("_hi"), F.count("*").alias("_n"), *first.values()
+    )
+    of = lambda c: F.min_by(f"_{c}", "_first")
+    return per.groupBy(*keys).agg(
+        F.sum("_e").alias("e"), of("hit_x").alias("x"), of("hit_y").alias("y"), of("hit_z").alias("z"), of("time").alias("t"),
+        F.when(F.min("_lo") == F.max("_hi"), F.min("_lo")).otherwise(F.lit(0)).alias("source_id"), F.max_by("_pdg", "_level").alias("origin_pdg"), F.sum("_n").alias("n_contributions"),
+    )
 
 
 def cell_sources(contributions: DataFrame) -> DataFrame:

@@ -232,3 +232,14 @@ def test_trial_feed_keeps_the_newest(spark, tmp_path):
         assert spark.read.parquet(log).count() == n  # only changes are written
     counts, front = feed.progress(spark, log, [trials.Objective("a"), trials.Objective("b")])
     assert [(r.status, r.n) for r in counts.collect()] == [("COMPLETED", 2)] and [r.trial_id for r in front.collect()] == [1]
+
+
+def test_hits_are_merged_by_hash_after_one_shuffle(spark):
+    rows = [(0, "SiPad", 1, 2.0, 5, 1, 13, 1.0, 2.0, 3.0, 9.0), (0, "SiPad", 1, 2.0, 4, 2, 11, 4.0, 5.0, 6.0, 8.0), (0, "SiPad", 1, 1.0, 1, 1, 22, 7.0, 8.0, 9.0, 7.0), (1, "SiPad", 1, None, 1, 3, 2, 0.0, 0.0, 0.0, 1.0)]
+    c = spark.createDataFrame(rows, "window_id long, detector string, cell_id long, energy double, seq long, source_id int, pdg int, hit_x double, hit_y double, hit_z double, time double")
+    merged = hits.merge(c)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortAggregate" not in plan
+    want = [(0, "SiPad", 1, 5.0, 7.0, 8.0, 9.0, 7.0, 0, 11, 3), (1, "SiPad", 1, None, 0.0, 0.0, 0.0, 1.0, 3, 2, 1)]
+    assert sorted(tuple(r) for r in merged.collect()) == want
+    assert sorted(tuple(r) for r in hits.merge(c, order=("seq", "time")).collect()) == want
