@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from hitloom.llm.common import discard, materialize, on_salted, text_batches
 
-BURST, MOST = 4_096, 1_500_000
+BURST, MOST = 4_096, 1_000_000
 BITS = 26
 #: a task's word numbers: WIDTH bits each; all counts leave when it has met WORDS different ones, or their bytes
 WIDTH, WORDS, WORD_BYTES = 21, 1 << 19, 64_000_000
