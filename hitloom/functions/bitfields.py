@@ -42,6 +42,16 @@ def decode(df: DataFrame, spec: str, col: str = "cell_id", prefix: str = "bf_")
     return df.withColumns({prefix + name: field(F.col(col), at, width, signed).cast("int") for name, at, width, signed in parse(spec)})
 
 
+def decode_all(df: DataFrame, layouts: dict[str, str], by: str = "detector", col: str = "cell_id", prefix: str = "bf_") -> DataFrame:
+    """df with an int column for every field of any layout, by each row's own one; null where that lacks the field, or there is none."""
+    parsed = {d: {n: rest for n, *rest in parse(spec)} for d, spec in layouts.items()}
+    out: dict[str, Column] = {}
+    for name in dict.fromkeys(n for fields in parsed.values() for n in fields):
+        cases = [F.when(F.col(by) == d, field(F.col(col), *fields[name])) for d, fields in parsed.items() if name in fields]
+        out[prefix + name] = F.coalesce(*cases).cast("int")
+    return df.withColumns(out)
+
+
 def get(spec: str, name: str, cell: Column) -> Column:
     """One field, 0 where the layout has none of that name."""
     found = {n: rest for n, *rest in parse(spec)}

@@ -51,8 +51,7 @@ MTC_BITS = (("system", 0, 8), ("station", 8, 2), ("layer", 10, 8), ("slice", 18,
 @plan("p1_decode_bits", ctes("contributions") + " UNION ALL BY NAME ".join(f"SELECT detector, event_idx, seq, {_bits(*bits)} FROM contributions WHERE detector = '{d}'" for d, bits in (("SiTarget", SITARGET_BITS), ("SiPad", SIPAD_BITS), ("MTC", MTC_BITS))))
 def p1(spark, sf_dir):
     x = contributions(spark, sf_dir).select("detector", "event_idx", "seq", "cell_id")
-    parts = [bitfields.decode(x.where(F.col("detector") == d), bitfields.LAYOUTS[d]).drop("cell_id") for d in ("SiTarget", "SiPad", "MTC")]
-    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    return bitfields.decode_all(x, bitfields.LAYOUTS).drop("cell_id")
 
 
 @plan("p2_encode_bits", ctes("contributions") + "SELECT event_idx, seq, cell_id FROM contributions")
@@ -222,13 +221,7 @@ def a25(spark, sf_dir):
 CASE WHEN detector <> 'SiPad' THEN CAST(plane AS INT) END AS bf_plane, CASE WHEN detector <> 'SiPad' THEN CAST(strip AS INT) END AS bf_strip, CASE WHEN detector IN ('SciFi', 'Scint') THEN CAST(station AS INT) END AS bf_station FROM hits""")
 def s7(spark, sf_dir):
     """Flat tables of all detectors, with the fields that each one's layout has."""
-    h, fields = overlaid_hits(spark, sf_dir), ["bf_layer", "bf_x", "bf_y", "bf_plane", "bf_strip", "bf_station"]
-    parts = []
-    for d in ("SiTarget", "SiPad", "SciFi", "Scint"):
-        x = bitfields.decode(h.where(F.col("detector") == d), bitfields.LAYOUTS["MTC" if d in ("SciFi", "Scint") else d])
-        x = x.drop("bf_x", "bf_y") if d in ("SciFi", "Scint") else x
-        parts.append(x.select("detector", "window_id", "cell_id", F.round(F.col("e") * 1e9, 3).alias("e_ev"), "source_id", "origin_pdg", *[c for c in fields if c in x.columns]))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x, allowMissingColumns=True)
-    return out
+    mtc = bitfields.LAYOUTS["MTC"].replace(",x:9,y:9", "")
+    x = bitfields.decode_all(overlaid_hits(spark, sf_dir), {**bitfields.LAYOUTS, "SciFi": mtc, "Scint": mtc})
+    fields = ["bf_layer", "bf_x", "bf_y", "bf_plane", "bf_strip", "bf_station"]
+    return x.select("detector", "window_id", "cell_id", F.round(F.col("e") * 1e9, 3).alias("e_ev"), "source_id", "origin_pdg", *fields)

@@ -160,6 +160,34 @@ def s12(spark, sf_dir):
     return x.select("trial_id", "n_events", "status", F.col("metrics")["nhits_sipad"].alias("nhits"), "error")
 
 
+@plan("s15_variants", TR + """, v AS (SELECT DISTINCT w_thickness AS w, n_layers AS n FROM trials)
+SELECT 'w' || w || 'n' || n AS name, 10e0 AS base_width, CAST(w AS DOUBLE) AS width, CASE WHEN n > 12 THEN CAST(n AS DOUBLE) ELSE 10e0 END AS layers FROM v""")
+def s15(spark, sf_dir):
+    """A file of the variants that the trials have: base constants, and each one's overrides, thin ones without layers."""
+    root = folder(spark, "variants")
+    v = trial_table(spark, sf_dir).select(F.col("w_thickness").alias("w"), F.col("n_layers").alias("n")).distinct()
+    width = F.create_map(F.lit("SiPad_WThickness"), F.col("w").cast("double"))
+    overrides = F.when(F.col("n") > 12, F.map_concat(width, F.create_map(F.lit("SiPad_NLayers"), F.col("n").cast("double")))).otherwise(width)
+    name = F.concat(F.lit("w"), F.col("w").cast("string"), F.lit("n"), F.col("n").cast("string"))
+    base = F.create_map(F.lit("SiPad_WThickness"), F.lit(10.0), F.lit("SiPad_NLayers"), F.lit(10.0))
+    # as many entries as there are pairs of two small ranges
+    whole = v.agg(F.collect_list(F.struct(name.alias("name"), overrides.alias("overrides"))).alias("variants")).select(F.to_json(F.struct(base.alias("base"), "variants")))
+    whole.coalesce(1).write.text(root)
+    constants = trials.overridden(F.col("base"), F.col("overrides"))
+    return io.read_variants(spark, root).select("name", F.col("base")["SiPad_WThickness"].alias("base_width"), constants["SiPad_WThickness"].alias("width"), constants["SiPad_NLayers"].alias("layers"))
+
+
+@plan("s15_display_config", ctes("contributions") + "SELECT detector, CAST(count(*) AS VARCHAR) AS hits, CAST(max(strip) AS VARCHAR) AS last_strip, 'muon' AS muon FROM contributions GROUP BY 1")
+def s15b(spark, sf_dir):
+    """A nested display config with what each detector's contributions say."""
+    root, c = folder(spark, "display"), contributions(spark, sf_dir)
+    of = c.groupBy("detector").agg(F.count("*").cast("string").alias("hits"), F.max("strip").cast("string").alias("last_strip"))
+    entry = F.struct("detector", F.create_map(F.lit("hits"), "hits", F.lit("last_strip"), "last_strip"))
+    whole = of.agg(F.map_from_entries(F.collect_list(entry)).alias("detectors")).select(F.to_json(F.struct("detectors", F.create_map(F.lit("13"), F.lit("muon")).alias("mc_labels"))))
+    whole.coalesce(1).write.text(root)
+    return io.read_display_config(spark, root).select("detector", F.col("settings")["hits"].alias("hits"), F.col("settings")["last_strip"].alias("last_strip"), F.col("mc_labels")["13"].alias("muon"))
+
+
 @plan("st3_clamped_windows", ctes("contributions") + "SELECT greatest(0, CAST(floor((time - 2) / 5e0) AS BIGINT)) AS window_no, count(*) AS n FROM contributions GROUP BY 1")
 def st3(spark, sf_dir):
     """With a run start after some of the data, earlier rows belong to window 0."""

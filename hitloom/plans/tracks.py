@@ -13,10 +13,11 @@ from hitloom.sources.fixtures import ctes, spark_view
 from hitloom.sources.shared import cut
 
 
-def decoded(spark, sf_dir, detector: str):
+def decoded(spark, sf_dir, detector: str, hits=None):
+    """One detector's hits with the fields of their cell ids and a number in the window; hits: those of all detectors, where they are at hand."""
     layout = bitfields.LAYOUTS[{"SciFi": "MTC", "Scint": "MTC"}.get(detector, detector)]
     names = [n for n, *_ in bitfields.parse(layout) if n not in ("x", "y")]
-    x = overlaid_hits(spark, sf_dir).where(F.col("detector") == detector)
+    x = (overlaid_hits(spark, sf_dir) if hits is None else hits).where(F.col("detector") == detector)
     x = x.withColumns({n: bitfields.get(layout, n, F.col("cell_id")) for n in names})
     return x.withColumn("hit_id", F.row_number().over(Window.partitionBy("window_id").orderBy("cell_id")).cast("long"))
 
@@ -83,9 +84,10 @@ def j4b(spark, sf_dir):
 UNION ALL SELECT window_id, 2, cell_id FROM pairs UNION ALL SELECT window_id, 2, cell_id FROM fib f WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.window_id = f.window_id AND (p.uid = f.hit_id OR p.vid = f.hit_id)))
 SELECT window_id, det, cell_id FROM pool""")
 def p11(spark, sf_dir):
-    one = measurements.sitarget(decoded(spark, sf_dir, "SiTarget")).select("window_id", "det", "cell_id")
-    two = measurements.sipad(decoded(spark, sf_dir, "SiPad")).select("window_id", "det", "cell_id")
-    three = measurements.mtc(decoded(spark, sf_dir, "SciFi")).select("window_id", F.lit(2).alias("det"), "cell_id")
+    h = cut(overlaid_hits(spark, sf_dir), "hits")  # read by each detector and by both sides of the fibres' pairs
+    one = measurements.sitarget(decoded(spark, sf_dir, "SiTarget", h)).select("window_id", "det", "cell_id")
+    two = measurements.sipad(decoded(spark, sf_dir, "SiPad", h)).select("window_id", "det", "cell_id")
+    three = measurements.mtc(decoded(spark, sf_dir, "SciFi", h)).select("window_id", F.lit(2).alias("det"), "cell_id")
     return one.unionByName(two).unionByName(three)
 
 
