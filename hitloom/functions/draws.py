@@ -20,7 +20,7 @@ def normal(seed: int, *keys: str) -> Column:
     return radius * F.cos(2 * math.pi * uniform(seed + 7919, *keys))
 
 
-#: the largest mean that is drawn at once
+#: the largest mean that is drawn by inversion
 PART = 100.0
 
 
@@ -40,22 +40,19 @@ def _small(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 
 def poisson_inverse(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """A Poisson count for each mean and uniform number: the inverse of its distribution.
+    """A Poisson count for each mean and uniform number: up to PART the inverse of its distribution.
 
-    A mean above PART is the sum of independent equal parts below it, each with a number
-    of its own that is derived from u. Means that are negative or missing count as 0.
+    A larger mean is drawn by rejection, from a generator whose key is the row's number
+    u, in a few steps whatever the mean. Means that are negative or missing count as 0,
+    those above 2^62 as 2^62.
     """
-    mean = np.maximum(np.nan_to_num(mean), 0)
-    parts = np.maximum(1, np.ceil(mean / PART))
+    mean = np.minimum(np.maximum(np.nan_to_num(mean), 0), 2.0**62)
     out = np.zeros(len(mean))
-    bits = (u * 2.0**53).astype(np.uint64)
-    for i in range(int(parts.max(initial=0))):
-        some = parts > i
-        x = (bits[some] + np.uint64(i + 1)) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        own = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float)
-        out[some] += _small(mean[some] / parts[some], np.where(parts[some] == 1, u[some], (own + 0.5) / 2.0**53))
+    small = mean <= PART
+    out[small] = _small(mean[small], u[small])
+    keys = (u * 2.0**53).astype(np.uint64)
+    for i in np.flatnonzero(~small):
+        out[i] = np.random.Generator(np.random.Philox(key=int(keys[i]))).poisson(mean[i])
     return out
 
 

@@ -195,6 +195,11 @@ def test_poisson_counts_of_any_mean():
     for mean in (0.3, 20.0, 90.0, 350.0, 5000.0):
         k = draws.poisson_inverse(np.full(4000, mean), rng.random(4000))
         assert abs(k.mean() - mean) < 5 * (mean / 4000) ** 0.5 and 0.9 < k.var() / mean < 1.1
+    many = draws.poisson_inverse(np.full(2000, 1e6), rng.random(2000))
+    assert abs(many.mean() - 1e6) < 5e3 / 2000**0.5 and 0.85 < many.var() / 1e6 < 1.15
+    again = rng.random(9)
+    assert (draws.poisson_inverse(np.full(9, 1e9), again) == draws.poisson_inverse(np.full(9, 1e9), again)).all()
+    assert list(draws.poisson_inverse(np.array([np.inf]), np.array([0.5])) > 4e18) == [True]
     # the inverse of the distribution, and its ends
     p = np.cumsum([math.exp(-3) * 3**k / math.factorial(k) for k in range(30)])
     u = rng.random(500)
