@@ -14,8 +14,10 @@ difference of two frames is above the mean of the differences around it by a mul
 their deviation.
 
 Texts: null is empty; payloads are filled with bytes 0 to a positive multiple of 64.
-Null and repeated ids are rows like any other. A file must stay below 4 GB, which texts
-of Spark (2 GB) reach only above 2,000,000,000 bytes; larger ones raise an error.
+Null and repeated ids are rows like any other. A file has two bytes for each of the
+payload, a third where one is stuffed, and headers (2.09 in all, as measured), and must
+fit in a value of Spark (2^31 - 1 bytes): payloads above 1,000,000,000 bytes are an error,
+and so is any file that is too large.
 """
 
 from __future__ import annotations
@@ -53,7 +55,8 @@ def _table(kind: int, codes: dict[int, list[int]]) -> bytes:
 
 #: code lengths by category, and codes: canonical, in the order in which the tables list them
 DC_SIZES, AC_SIZES = range(9, -1, -1), range(8, 0, -1)
-MOST = 2_000_000_000
+#: bytes of a Spark value, and of a payload, whose file takes two for each, some stuffed, and headers
+CELL, MOST = 2**31 - 1, 1_000_000_000
 
 
 def _canonical(sizes: range) -> dict[int, int]:
@@ -213,7 +216,7 @@ def _chunk(name: bytes, body: bytes) -> bytes:
 def encode_avi(payload: bytes) -> bytes:
     """One motion-JPEG stream; payload: a positive multiple of 64 bytes."""
     if len(payload) > MOST:
-        raise ValueError("the file would not stay below 4 GB")
+        raise ValueError(f"a payload above {MOST} bytes has a file that may not fit in a value")
     units = np.frombuffer(payload, np.uint8).reshape(-1, 64)
     n = len(units)
     across = WIDTH // 8
@@ -229,7 +232,10 @@ def encode_avi(payload: bytes) -> bytes:
         chunks.append(_chunk(b"00dc", f))
         index.append(struct.pack("<4sIII", b"00dc", 0x10, at, len(f)))
         at += len(chunks[-1])
-    return _chunk(b"RIFF", b"AVI " + header + _chunk(b"LIST", b"movi" + b"".join(chunks)) + _chunk(b"idx1", b"".join(index)))
+    file = _chunk(b"RIFF", b"AVI " + header + _chunk(b"LIST", b"movi" + b"".join(chunks)) + _chunk(b"idx1", b"".join(index)))
+    if len(file) > CELL:
+        raise ValueError(f"a file of {len(file)} bytes does not fit in a value")
+    return file
 
 
 def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
