@@ -12,6 +12,7 @@ from hitloom.plans.physics import ST, TR, trial_table
 from hitloom.plans.registry import plan
 from hitloom.plans.tracks import BASE, decoded, states
 from hitloom.sources import io
+from hitloom.sources.shared import cut
 
 # The baseline geometry
 BASELINE = {
@@ -98,7 +99,8 @@ SELECT window_id, panel, detector, round(coord, 6) + 0 AS coord, round(z, 6) AS
 def p16(spark, sf_dir):
     of = lambda name: bitfields.get(bitfields.LAYOUTS[name], "plane", F.col("cell_id"))
     plane = F.when(F.col("detector") == "SiTarget", of("SiTarget")).when(F.col("detector") != "SiPad", of("MTC")).otherwise(0)
-    x = physics.panel_hits(overlaid_hits(spark, sf_dir).withColumn("plane", plane), ["window_id"])
+    h = cut(overlaid_hits(spark, sf_dir).withColumn("plane", plane), "hits")  # read by each step of the fibres' recovery
+    x = physics.panel_hits(h, ["window_id"])
     return x.select("window_id", "panel", "detector", (F.round("coord", 6) + 0).alias("coord"), F.round("z", 6).alias("z"), F.round(F.col("e") * 1e9, 2).alias("e_ev"))
 
 
@@ -128,7 +130,7 @@ def p30(spark, sf_dir):
 
 @plan("u1_union_of_detectors", HIT_CTES + "SELECT detector, count(*) AS n FROM hits GROUP BY detector")
 def u1(spark, sf_dir):
-    h = overlaid_hits(spark, sf_dir)
+    h = cut(overlaid_hits(spark, sf_dir), "hits")
     out = h.where("detector = 'SiPad'")
     for d in ("SiTarget", "SciFi", "Scint"):
         out = out.unionByName(h.where(F.col("detector") == d))

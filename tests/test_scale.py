@@ -113,3 +113,23 @@ def test_designs_of_any_dimension(spark):
     x = trials.design_points(spark, 13, 5)
     assert len(x.columns) == 14 and x.where("u12 >= 1 OR u12 <= 0").count() == 0
     assert x.where("id = 0").first().u12 == pytest.approx(1 / 41)
+
+
+#: shuffles and sorted aggregations that a plan may have
+SHAPES = {"a2_merge_hits": (4, 0), "s7_export_hits": (4, 0), "p1_decode_bits": (1, 0), "p11_pool": (6, 0), "w10_without_duplicates": (3, 0), "a27_front": (3, 0), "j16_stitch_candidates": (3, 0), "u1_union_of_detectors": (2, 0)}
+
+
+@pytest.mark.parametrize("name", sorted(SHAPES))
+def test_plans_keep_their_shape(spark, sf, name):
+    import re
+
+    from hitloom import plans
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    exchanges, sorted_ = (len(re.findall(rf"\b{k}\b", plan)) for k in ("Exchange", "SortAggregate"))
+    assert exchanges <= SHAPES[name][0] and sorted_ <= SHAPES[name][1], plan
+    assert "CartesianProduct" not in plan and "MapInPandas" not in plan or name == "w10_without_duplicates"
