@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from hitloom.functions import bitfields
-from hitloom.operators import hits, linking, measurements, physics, trials
+from hitloom.operators import hits, linking, measurements, physics, steps, trials
 from hitloom.plans.hits import HIT_CTES, OVERLAY, contributions, overlaid_hits
 from hitloom.plans.physics import FRONT, KEY, MC, OBJ, ROWS, TR, WINDOWED, as_rows, objective_rows, particles, trial_table
 from hitloom.plans.registry import plan
-from hitloom.plans.tracks import LINKS, decoded, links, recursive, segment_hits, states
+from hitloom.plans.tracks import CANDIDATES, ENDS, LINKS, decoded, links, recursive, segment_ends, segment_hits, states
 from hitloom.sources import io
 from hitloom.sources.fixtures import ctes, spark_view
 from hitloom.sources.shared import shared_dir
@@ -267,6 +267,17 @@ def x1(spark, sf_dir):
     return counts[0].unionByName(counts[1])
 
 
+NARROW = CANDIDATES.replace("<= 15 AND angle <= 0.1", "<= 8 AND angle <= 0.03").replace("100 * angle", "50 * angle")
+
+
+@plan("x2_configured_steps", ENDS + f", {NARROW} SELECT window_id, det, count(*) AS n, round(sum(score), 4) AS score FROM ok GROUP BY 1, 2")
+def x2(spark, sf_dir):
+    """Splices with named properties in place of the defaults."""
+    splice = steps.configured("splice", {"max_dist": 8, "max_angle": 0.03, "angle_weight": 50})
+    found = splice(segment_ends(spark, sf_dir), linking.boundaries(spark_view(spark, sf_dir, "surfaces")))
+    return found.groupBy("window_id", "det").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("score"))
+
+
 @plan("x3_metric_provider", TR + """, m AS (SELECT *, nhits_sipad / (1 + w_thickness) AS per_width FROM trials WHERE status = 'COMPLETED')
 SELECT experiment, trial_id, round(per_width, 4) AS per_width FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.experiment = a.experiment AND b.per_width >= a.per_width AND b.cost_proxy <= a.cost_proxy AND (b.per_width > a.per_width OR b.cost_proxy < a.cost_proxy OR b.trial_id < a.trial_id))""")
 def x3(spark, sf_dir):

@@ -248,3 +248,17 @@ def test_hits_are_merged_by_hash_after_one_shuffle(spark):
     want = [(0, "SiPad", 1, 5.0, 7.0, 8.0, 9.0, 7.0, 0, 11, 3), (1, "SiPad", 1, None, 0.0, 0.0, 0.0, 1.0, 3, 2, 1)]
     assert sorted(tuple(r) for r in merged.collect()) == want
     assert sorted(tuple(r) for r in hits.merge(c, order=("seq", "time")).collect()) == want
+
+
+def test_steps_are_configured_by_named_properties(spark):
+    from hitloom.operators import steps
+
+    assert steps.properties("splice") == {"max_dist": 15.0, "max_angle": 0.1, "angle_weight": 100.0}
+    step = steps.configured("splice", {"max_dist": 8, "max_angle": 0.05})
+    assert step.keywords == {"max_dist": 8.0, "max_angle": 0.05} and isinstance(step.keywords["max_dist"], float)
+    assert steps.configured("region_tally", {"bounds": [1.0, 2.0]}).keywords == {"bounds": (1.0, 2.0)}
+    for name, given in (("splice", {"maxDist": 1}), ("splice", {"max_dist": "far"}), ("nothing", {}), ("suppress", {"tail": 1.5}), ("seeds", {"most": True})):
+        with pytest.raises(ValueError):
+            steps.configured(name, given)
+    rows = {(r.step, r.property): (r.kind, r.default) for r in steps.catalogue(spark).collect()}
+    assert rows["seeds", "most"] == ("int", "5") and len({s for s, _ in rows}) == len([s for s in steps.STEPS if steps.properties(s)])
