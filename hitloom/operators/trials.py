@@ -171,39 +171,60 @@ def volume(points: list[tuple[float, ...]], ref: tuple[float, ...]) -> float:
 
 
 class _Trace:
-    """The front of what was seen so far, and its volume."""
+    """The front of what was seen so far, and the volume that the measured points of it have added."""
 
     def __init__(self) -> None:
         self.points: list[tuple[float, ...]] = []
         self.flat: Staircase | None = None
         self.total = 0.0
 
-    def add(self, y: tuple[float, ...], ref: tuple[float, ...]) -> None:
+    def add(self, y: tuple[float, ...], ref: tuple[float, ...], measured: bool = True) -> None:
         if not all(a > r for a, r in zip(y, ref, strict=True)):
             return
         if len(y) == 2:
             self.flat = self.flat or Staircase(ref)
-            self.total += self.flat.add(y)
+            gained = self.flat.add(y)
+            self.total += gained if measured else 0.0
             return
         if any(all(a >= b for a, b in zip(p, y, strict=True)) for p in self.points):
             return
-        self.total += math.prod(a - r for a, r in zip(y, ref, strict=True)) - volume([tuple(map(min, p, y)) for p in self.points], ref)
+        if measured:
+            self.total += math.prod(a - r for a, r in zip(y, ref, strict=True)) - volume([tuple(map(min, p, y)) for p in self.points], ref)
         self.points = [p for p in self.points if not all(b >= a for a, b in zip(p, y, strict=True))] + [y]
 
 
-def hypervolume_trace(rows: DataFrame, refs: DataFrame, keys: list[str], dims: tuple[str, ...] = ("y0", "y1"), tie: str = "trial_id") -> DataFrame:
+def hypervolume_trace(rows: DataFrame, refs: DataFrame, keys: list[str], dims: tuple[str, ...] = ("y0", "y1"), tie: str = "trial_id", size: int = 20_000) -> DataFrame:
     """keys, tie, hv: the hypervolume after each trial in order. refs: keys and r0, r1, ... in the order of dims.
 
-    One walk over each group, which holds its front alone.
+    Trials lie in ranges of about `size` by group and order. A range is walked from the
+    fronts of its group's earlier ranges on, each on its own; what the earlier ranges add in
+    all comes on top. A task holds a front, and the fronts of the ranges before.
     """
-    n = len(dims)
-
-    def step(trace: _Trace, row: tuple) -> tuple:
-        trace.add(row[1 : 1 + n], row[1 + n :])
-        return row[0], trace.total
-
-    known = rows.join(refs, keys)
-    return walk(known, keys, [tie], [tie, *dims, *(f"r{i}" for i in range(n))], _Trace, step, _typed(rows, [*keys, tie]) + ", hv double")
+    n, limits = len(dims), [f"r{i}" for i in range(len(dims))]
+    known = cut(rows.join(refs, keys).select(*keys, tie, *dims, *limits), "trace")
+    ranges = -(-known.count() // size)
+    placed = [*keys, "_range"]
+    ranged = known.withColumn("_range", F.lit(0)) if ranges <= 1 else cut(known.repartitionByRange(ranges, *keys, tie).withColumn("_range", F.spark_partition_id()), "ranges")
+    own = ranged.withColumn("_own", F.lit(True))
+    if ranges > 1:
+        above = ranged.where(" AND ".join(f"{d} > {r}" for d, r in zip(dims, limits, strict=True)))
+        fronts = front_of_many(above, placed, list(dims), tie)
+        later = ranged.select(*keys, F.col("_range").alias("_to")).distinct()
+        seen = fronts.join(later, keys).where(F.col("_to") > F.col("_range")).withColumn("_range", F.col("_to")).withColumn("_own", F.lit(False))
+        own = own.unionByName(seen.select(own.columns))
+
+    def step(trace: _Trace, row: tuple) -> tuple | None:
+        trace.add(row[1 : 1 + n], row[1 + n : 1 + 2 * n], row[-1])
+        return (row[0], trace.total) if row[-1] else None
+
+    walked = walk(own, placed, ["_own", tie], [tie, *dims, *limits, "_own"], _Trace, step, _typed(own, [*placed, tie]) + ", hv double")
+    if ranges <= 1:
+        return walked.drop("_range")
+    walked = cut(walked, "walked")
+    tops = walked.groupBy(*placed).agg(F.max("hv").alias("_top"))
+    before = F.sum("_top").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = tops.select(*placed, F.coalesce(before, F.lit(0.0)).alias("_before"))
+    return walked.join(offsets, placed).select(*keys, tie, (F.col("hv") + F.col("_before")).alias("hv"))
 
 
 def hypervolume_of_many(rows: DataFrame, refs: DataFrame, keys: list[str], dims: tuple[str, ...], parts: int = 16, least: int = 512) -> DataFrame:

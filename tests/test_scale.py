@@ -80,6 +80,19 @@ def test_volume_in_stretches(spark, n):
         assert got == pytest.approx(whole)
 
 
+@pytest.mark.parametrize("n", [2, 3])
+def test_traces_in_ranges(spark, n):
+    rng = random.Random(n)
+    dims, refs = tuple(f"y{i}" for i in range(n)), [f"r{i}" for i in range(n)]
+    points = [(e, t, *(float(rng.randrange(-2, 12)) for _ in range(n))) for e, k in ((0, 90), (1, 4), (2, 1)) for t in range(k)]
+    rows = spark.createDataFrame(points, "e long, trial_id long, " + ", ".join(f"{d} double" for d in dims)).repartition(3)
+    ref = spark.createDataFrame([(e, *[0.0] * n) for e in range(4)], "e long, " + ", ".join(f"{r} double" for r in refs))
+    want = {(e, t): trials.volume([p[2:] for p in points if p[0] == e and p[1] <= t and min(p[2:]) > 0], (0.0,) * n) for e, t, *_ in points}
+    for size in (10, 10**6):
+        assert {(r.e, r.trial_id): r.hv for r in trials.hypervolume_trace(rows, ref, ["e"], dims, size=size).collect()} == pytest.approx(want)
+    assert trials.hypervolume_trace(rows.limit(0), ref, ["e"], dims).count() == 0
+
+
 def test_a_front_of_ten_thousand_points_takes_seconds():
     rng = random.Random(0)
     points = []
