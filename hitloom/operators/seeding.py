@@ -58,22 +58,25 @@ def mtc_points(measurements: DataFrame, keys: list[str], angle: float = 5.0, mos
 
 def confirm(points: DataFrame, pads: DataFrame, keys: list[str], row_id: list[str], radius: float) -> DataFrame:
     """points with confirmed: some pad of the group lies within radius (inclusive)."""
+    points = cut(points, "crossings")  # read on both sides of the join
     cell = lambda c: F.floor(F.col(c) / radius)
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     p = pads.select(*keys, F.col("x").alias("_px"), F.col("y").alias("_py"), cell("x").alias("_ci"), cell("y").alias("_cj"), F.explode(around).alias("o"))
     p = p.select(*keys, "_px", "_py", (F.col("_ci") + F.col("o.i")).alias("_i"), (F.col("_cj") + F.col("o.j")).alias("_j"))
     a = points.select(*keys, *row_id, F.col("x").alias("_ax"), F.col("y").alias("_ay"), cell("x").alias("_i"), cell("y").alias("_j"))
-    hit = a.join(p, [*keys, "_i", "_j"]).where(F.pow(F.col("_ax") - F.col("_px"), 2) + F.pow(F.col("_ay") - F.col("_py"), 2) <= radius**2)
+    hit = a.join(p.hint("merge"), [*keys, "_i", "_j"]).where(F.pow(F.col("_ax") - F.col("_px"), 2) + F.pow(F.col("_ay") - F.col("_py"), 2) <= radius**2)
     found = hit.select(*keys, *row_id).distinct().withColumn("confirmed", F.lit(True))
-    return points.join(found, [*keys, *row_id], "left").withColumn("confirmed", F.coalesce("confirmed", F.lit(False)))
+    return points.join(found.hint("merge"), [*keys, *row_id], "left").withColumn("confirmed", F.coalesce("confirmed", F.lit(False)))
 
 
 def drop_ghosts(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Without crossings that aren't confirmed while both of their strips are, elsewhere in the group."""
-    fine = points.where("confirmed")
-    x = fine.select(*keys, "x_id").distinct().withColumn("_fx", F.lit(True))
-    y = fine.select(*keys, "y_id").distinct().withColumn("_fy", F.lit(True))
-    return points.join(x, [*keys, "x_id"], "left").join(y, [*keys, "y_id"], "left").where("confirmed OR _fx IS NULL OR _fy IS NULL").drop("_fx", "_fy")
+    """Without crossings that aren't confirmed while both of their strips are, elsewhere in the group.
+
+    points are read once and dealt by group, which crossings() keeps under a cap.
+    """
+    fine = lambda strip: F.max("confirmed").over(Window.partitionBy(*keys, strip))
+    dealt = points.repartition(*keys).withColumn("_fx", fine("x_id")).withColumn("_fy", fine("y_id"))
+    return dealt.where("confirmed OR NOT _fx OR NOT _fy").drop("_fx", "_fy")
 
 
 def bin_of(v: Column, half: float = 200.0, width: float = 5.0) -> Column:
@@ -92,21 +95,21 @@ def votes(points: DataFrame, keys: list[str], half: float = 200.0, width: float
 
 def peaks(bins: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     """Bins with enough votes and no higher one among the eight around."""
+    bins = cut(bins, "bins")  # read on both sides of the join
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
     near = bins.select(*keys, F.col("votes").alias("_v"), F.explode(around).alias("o"), "ix", "iy").select(*keys, "_v", (F.col("ix") + F.col("o.i")).alias("ix"), (F.col("iy") + F.col("o.j")).alias("iy"))
     top = near.groupBy(*keys, "ix", "iy").agg(F.max("_v").alias("_top"))
-    return bins.where(F.col("votes") >= least).join(top, [*keys, "ix", "iy"], "left").where("_top IS NULL OR votes >= _top").drop("_top")
+    return bins.where(F.col("votes") >= least).join(top.hint("merge"), [*keys, "ix", "iy"], "left").where("_top IS NULL OR votes >= _top").drop("_top")
 
 
 def near_peaks(found: DataFrame, points: DataFrame, keys: list[str], radius: float = 10.0) -> DataFrame:
-    """Each peak with the points closer than radius to its centre, by the nine grid cells around."""
+    """Each peak with the points closer than radius to its centre: peaks, the fewer, are put in the nine grid cells around."""
     cell = lambda c: F.floor(c / radius)
     p = found.select(*keys, "ix", "iy", "votes", bin_centre(F.col("ix")).alias("px"), bin_centre(F.col("iy")).alias("py"))
-    p = p.withColumn("_i", cell(F.col("px"))).withColumn("_j", cell(F.col("py")))
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    q = points.select(*keys, "x", "y", "z", "weight", F.explode(around).alias("o"), cell(F.col("x")).alias("_ci"), cell(F.col("y")).alias("_cj"))
-    q = q.select(*keys, "x", "y", "z", "weight", (F.col("_ci") + F.col("o.i")).alias("_i"), (F.col("_cj") + F.col("o.j")).alias("_j"))
-    return p.join(q, [*keys, "_i", "_j"]).where(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2) < radius**2).drop("_i", "_j")
+    p = p.withColumn("o", F.explode(around)).withColumns({"_i": cell(F.col("px")) + F.col("o.i"), "_j": cell(F.col("py")) + F.col("o.j")}).drop("o")
+    q = points.select(*keys, "x", "y", "z", "weight", cell(F.col("x")).alias("_i"), cell(F.col("y")).alias("_j"))
+    return p.join(q.hint("merge"), [*keys, "_i", "_j"]).where(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2) < radius**2).drop("_i", "_j")
 
 
 def multiplicity(met: DataFrame, keys: list[str]) -> DataFrame:
@@ -147,12 +150,12 @@ def seeds(points: DataFrame, keys: list[str], most: int = 5, max_multiplicity: f
     """
     points = cut(points, "seed-points")  # read by each of the steps below
     found = peaks(votes(points, keys), keys)
-    met = cut(near_peaks(found, points, keys), "seed-met")
+    met = cut(near_peaks(found, points, keys).drop("px", "py"), "seed-met")
     judged = cut(multiplicity(met, keys), "seed-peaks")
     radius = math.ceil(suppress_mm / width)
-    kept = judged.join(suppress(judged, keys, radius), [*keys, "ix", "iy"], "left_semi")
+    kept = judged.join(suppress(judged, keys, radius).hint("merge"), [*keys, "ix", "iy"], "left_semi")
     order = Window.partitionBy(*keys).orderBy(F.desc("votes"), "ix", "iy")
     best = kept.where(F.col("multiplicity") <= max_multiplicity).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
     at = [*keys, "ix", "iy"]
-    refined = best.join(weighted_mode(met, keys, "x", pitch), at).join(weighted_mode(met, keys, "y", pitch), at)
+    refined = best.join(weighted_mode(met, keys, "x", pitch).hint("merge"), at).join(weighted_mode(met, keys, "y", pitch).hint("merge"), at)
     return refined.select(*keys, "x", "y", "z_start", F.col("votes").alias("n_votes"), "multiplicity")

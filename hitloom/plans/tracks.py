@@ -133,8 +133,14 @@ crossed AS (SELECT a.window_id, a.station_no, a.hit_id AS x_id, b.hit_id AS y_id
 JOIN fine f ON f.window_id = a.window_id AND f.station_no = a.station_no)"""
 
 
-def crossed(spark, sf_dir):
-    x = decoded(spark, sf_dir, "SiTarget").withColumn("station_no", seeding.station(F.col("z")))
+def silicon(spark, sf_dir):
+    """Hits of strips and pads, a table: both are made from it."""
+    return cut(overlaid_hits(spark, sf_dir).where("detector IN ('SiTarget', 'SiPad')").select("window_id", "detector", "cell_id", "x", "y", "z"), "hits")
+
+
+def crossed(spark, sf_dir, hits=None):
+    x = decoded(spark, sf_dir, "SiTarget", hits).withColumn("station_no", seeding.station(F.col("z")))
+    x = cut(x.select("window_id", "station_no", "hit_id", "plane", "x", "y", "z"), "strips")  # each plane is counted and joined
     return seeding.crossings(x.where("plane = 0"), x.where("plane = 1"), ["window_id", "station_no"])
 
 
@@ -171,8 +177,9 @@ PADS = "pads AS (SELECT window_id, x - 137.5e0 AS x, y - 27.5e0 AS y FROM number
 
 
 def confirmed(spark, sf_dir):
-    pads = decoded(spark, sf_dir, "SiPad").select("window_id", (F.col("x") - 137.5).alias("x"), (F.col("y") - 27.5).alias("y"))
-    return seeding.confirm(crossed(spark, sf_dir), pads, ["window_id"], ["x_id", "y_id"], 2.0)
+    h = silicon(spark, sf_dir)
+    pads = h.where("detector = 'SiPad'").select("window_id", (F.col("x") - 137.5).alias("x"), (F.col("y") - 27.5).alias("y"))
+    return seeding.confirm(crossed(spark, sf_dir, h), pads, ["window_id"], ["x_id", "y_id"], 2.0)
 
 
 @plan("j9_confirm", BASE + f", {CROSS}, {PADS} SELECT window_id, station_no, x_id, y_id, confirmed FROM pts")
@@ -210,7 +217,7 @@ def w7(spark, sf_dir):
 
 
 def met_points(spark, sf_dir):
-    points = cleaned(spark, sf_dir)
+    points = cut(cleaned(spark, sf_dir), "points")  # vote, and lie near peaks
     return seeding.near_peaks(seeding.peaks(seeding.votes(points, ["window_id"]), ["window_id"]), points, ["window_id"])
 
 
@@ -244,9 +251,8 @@ def recursive(sql: str) -> str:
 
 @plan("w8_suppressed", recursive(SEEDING.rstrip() + f", {JUDGED} SELECT window_id, ix, iy FROM nms WHERE taken"))
 def w8(spark, sf_dir):
-    found = seeding.peaks(seeding.votes(cleaned(spark, sf_dir), ["window_id"]), ["window_id"])
-    near = seeding.near_peaks(found, cleaned(spark, sf_dir), ["window_id"])
-    return seeding.suppress(cut(seeding.multiplicity(near, ["window_id"]), "peaks"), ["window_id"], 3)
+    judged = seeding.multiplicity(met_points(spark, sf_dir), ["window_id"])
+    return seeding.suppress(cut(judged, "peaks"), ["window_id"], 3)
 
 
 def _mode(axis: str) -> str:
