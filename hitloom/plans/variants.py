@@ -58,26 +58,39 @@ ins AS (SELECT *, x - floor(x / whole) * whole - gap AS ix, y - floor(y / whole)
 ras AS (SELECT *, ix >= 0 AND ix < 16 * pad AND iy >= 0 AND iy < 16 * pad AS live, floor(x / whole) * 16 + floor(ix / pad) AS gx, floor(y / whole) * 16 + floor(iy / pad) AS gy FROM ins)"""
 
 
+PLANE = ("size", "pad", "gap")
+
+
 def rastered(spark, sf_dir):
+    """The trials' planes, and the sample grid of each different one: trials with the same plane share it."""
     t = trial_table(spark, sf_dir)
     planes = t.select("experiment", "trial_id", (32 + F.col("n_layers")).cast("double").alias("size"), (1 + F.col("trial_id") % 3 / 4).alias("pad"), (F.col("w_thickness") / 20).alias("gap"))
-    return variants.raster(planes, 24, 20)
+    return planes, variants.raster(planes.select(*PLANE).distinct(), 24, 20)
+
+
+def of_planes(planes, found):
+    """What was found of each plane, for every trial that has it."""
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"p.{c}")) for c in PLANE]
+    rest = [F.col(f"p.{c}") for c in found.columns if c not in PLANE]
+    return planes.alias("t").join(found.alias("p"), same).select("t.experiment", "t.trial_id", *rest)
 
 
 @plan("x6_raster", TR + f", {GRID} SELECT experiment, trial_id, count(*) AS n_samples, count(*) FILTER (WHERE live) AS n_live, count(DISTINCT CASE WHEN live THEN gy * 1000 + gx END) AS n_pads, CAST(max(CASE WHEN live THEN gx END) AS BIGINT) AS last_gx FROM ras GROUP BY 1, 2")
 def x6(spark, sf_dir):
     """The sample grid of every trial's plane, and what coverage it has."""
     live = F.col("live")
-    x = rastered(spark, sf_dir).groupBy("experiment", "trial_id").agg(
+    planes, samples = rastered(spark, sf_dir)
+    x = samples.groupBy(*PLANE).agg(
         F.count("*").alias("n_samples"), F.count_if("live").alias("n_live"), F.countDistinct(F.when(live, F.col("gy") * 1000 + F.col("gx"))).alias("n_pads"), F.max(F.when(live, F.col("gx"))).alias("last_gx")
     )
-    return x.withColumn("last_gx", F.col("last_gx").cast("long"))
+    return of_planes(planes, x.withColumn("last_gx", F.col("last_gx").cast("long")))
 
 
 @plan("x6_occupancy", TR + f""", {GRID} SELECT experiment, trial_id, least(3, CAST(floor(x / (size / 4)) AS INT)) AS bin_x, least(3, CAST(floor(y / (size / 4)) AS INT)) AS bin_y, count(*) FILTER (WHERE live) AS live, count(*) AS total,
 CASE WHEN count(*) FILTER (WHERE live) = 0 THEN 'dead' WHEN count(*) FILTER (WHERE live) = count(*) THEN 'full' ELSE 'partly' END AS state FROM ras GROUP BY 1, 2, 3, 4""")
 def x6b(spark, sf_dir):
-    return variants.occupancy(rastered(spark, sf_dir), F.col("size"), 4, ("experiment", "trial_id"))
+    planes, samples = rastered(spark, sf_dir)
+    return of_planes(planes, variants.occupancy(samples, F.col("size"), 4, PLANE))
 
 
 @plan("j18_track_facts", ST + """, t AS (SELECT window_id, track_id, max(chi2) AS worst FROM track_states WHERE z > 60 GROUP BY 1, 2), a AS (SELECT DISTINCT window_id, track_id FROM track_states)

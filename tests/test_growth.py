@@ -1,8 +1,22 @@
 """What larger tables than those of the other tests bring: numbers beyond a limit, steps that are read several times."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from hitloom import plans
+from hitloom.plans import variants
+
+
+def test_trials_share_the_grid_of_a_plane(spark, monkeypatch):
+    t = spark.range(3000).select((F.col("id") % 7).alias("experiment"), F.expr("id div 7").alias("trial_id"), F.lit(12).alias("n_layers"), F.when(F.col("id") > 2, 15).alias("w_thickness"))
+    monkeypatch.setattr(variants, "trial_table", lambda *_: t)
+    made = []
+    raster = variants.variants.raster
+    monkeypatch.setattr(variants.variants, "raster", lambda *a: made.append(raster(*a)) or made[-1])
+    got = plans.QUERIES["x6_raster"](spark, "")
+    assert got.count() == got.select("experiment", "trial_id").distinct().count() == 3000 and got.where("n_samples <> 480").count() == 0
+    assert {(r.experiment, r.n_live) for r in got.where("last_gx IS NULL").collect()} == {(0, 0), (1, 0), (2, 0)}
+    assert made[0].count() == 4 * 480  # three pads, and trials 0 to 2 without a gap
 
 
 @pytest.mark.parametrize("name", ["a11_votes", "a12_multiplicity", "a13_weighted_mode", "j10_drop_ghosts", "j13_near_peaks", "w7_peaks", "w8_suppressed"])
