@@ -4,7 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from hitloom import plans
-from hitloom.plans import variants
+from hitloom.plans import physics, variants
+
+
+def test_upsert_of_more_trials_than_the_number_has_room_for(spark, monkeypatch):
+    t = spark.createDataFrame([(0, 100_000, "SUBMITTED"), (1, 0, "COMPLETED"), (1, 1, "SUBMITTED")], "experiment long, trial_id long, status string")
+    monkeypatch.setattr(physics, "trial_table", lambda *_: t)
+    got = sorted((r.trial_id, r.status) for r in plans.QUERIES["s13_upsert"](spark, "").collect())
+    assert got == [(100_000, "COMPLETED"), (100_000, "FAILED"), (100_001, "FAILED")]
 
 
 def test_trials_share_the_grid_of_a_plane(spark, monkeypatch):
