@@ -1,10 +1,11 @@
 """What larger tables than those of the other tests bring: numbers beyond a limit, steps that are read several times."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from hitloom import plans
-from hitloom.plans import physics, variants
+from hitloom.plans import physics, stores, variants
 
 
 def test_upsert_of_more_trials_than_the_number_has_room_for(spark, monkeypatch):
@@ -14,6 +15,17 @@ def test_upsert_of_more_trials_than_the_number_has_room_for(spark, monkeypatch):
     assert got == [(100_000, "COMPLETED"), (100_000, "FAILED"), (100_001, "FAILED")]
 
 
+def test_design_points_of_high_indices(spark, monkeypatch):
+    ids = [*range(4090, 4100), *range(19_680, 19_690), 1_000_000]
+    t = spark.createDataFrame([(0, i) for i in ids], "experiment long, trial_id long")
+    monkeypatch.setattr(stores, "trial_table", lambda *_: t)
+    got = {(r.trial_id, r.u0, r.u1) for r in plans.QUERIES["x5_design_of_trials"](spark, "").collect()}
+    c = duckdb.connect()
+    c.execute("CREATE TABLE trials AS SELECT 0 AS experiment, unnest(?::BIGINT[]) AS trial_id", [ids])
+    sql = "WITH d AS" + plans.ORACLES["x5_design_of_trials"].split(", d AS", 1)[1]
+    assert got == {r[1:] for r in c.execute(sql).fetchall()}
+
+
 def test_trials_share_the_grid_of_a_plane(spark, monkeypatch):
     t = spark.range(3000).select((F.col("id") % 7).alias("experiment"), F.expr("id div 7").alias("trial_id"), F.lit(12).alias("n_layers"), F.when(F.col("id") > 2, 15).alias("w_thickness"))
     monkeypatch.setattr(variants, "trial_table", lambda *_: t)
