@@ -52,9 +52,9 @@ def attribute_pdg(contributions: DataFrame, particles: DataFrame) -> DataFrame:
     return contributions.join(p, ["event_idx", "particle_idx"], "left").withColumn("particle_pdg", F.coalesce("particle_pdg", F.lit(0)))
 
 
-def overlay(contributions: DataFrame) -> DataFrame:
-    """Event i of every source becomes window i; only events that all sources have."""
-    ends = contributions.groupBy("source_id").agg(F.max("event_idx").alias("last")).agg(F.min("last").alias("last"))
+def overlay(contributions: DataFrame, ends_of: DataFrame | None = None) -> DataFrame:
+    """Event i of every source becomes window i; only events that all sources have (of ends_of, where the same are at hand for less)."""
+    ends = (contributions if ends_of is None else ends_of).groupBy("source_id").agg(F.max("event_idx").alias("last")).agg(F.min("last").alias("last"))
     return contributions.join(F.broadcast(ends), F.col("event_idx") <= F.col("last")).drop("last").withColumn("window_id", F.col("event_idx"))  # one row
 
 
@@ -107,14 +107,15 @@ def common_source(source: str = "source_id") -> Column:
     return F.when(F.min(source) == F.max(source), F.min(source)).otherwise(F.lit(0))
 
 
-def merge(contributions: DataFrame, keys: tuple[str, ...] = ("window_id", "detector", "cell_id"), order: tuple[str, ...] = ("seq",)) -> DataFrame:
+def merge(contributions: DataFrame, keys: tuple[str, ...] = ("window_id", "detector", "cell_id"), order: tuple[str, ...] = ("seq",), parts: int | None = None) -> DataFrame:
     """Contributions to hits: energy, first position and time (by order), source, dominant particle (the first of equal ones), count.
 
     First by energy as well, then by hit alone: with one energy a row the dominant particle
     needs no compound order, so that with an order of one column both steps aggregate
-    plain numbers by hash, after one shuffle.
+    plain numbers by hash, after one shuffle, to `parts` partitions where given: both
+    steps hold what a partition has.
     """
-    dealt = contributions.repartition(*keys)
+    dealt = contributions.repartition(parts, *keys) if parts else contributions.repartition(*keys)
     place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     first = {c: F.min_by(c, place).alias(f"_{c}") for c in ("hit_x", "hit_y", "hit_z", "time", "pdg")}
     per = dealt.groupBy(*keys, F.coalesce("energy", F.lit(float("-inf"))).alias("_level")).agg(

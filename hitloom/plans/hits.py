@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hitloom.functions import bitfields
 from hitloom.operators import digitize, hits
 from hitloom.plans.registry import plan
-from hitloom.sources.fixtures import ctes, spark_view
+from hitloom.sources.fixtures import ctes, parts_of, spark_view
 
 # Delays of the three sources in ns
 DELAYS = {1: 25.0001, 2: 15.0, 3: 25.0}
@@ -23,8 +23,8 @@ def contributions(spark, sf_dir, name="contributions"):
 
 
 def overlaid_hits(spark, sf_dir):
-    x = hits.overlay(contributions(spark, sf_dir))
-    return hits.merge(bitfields.route(x))
+    x = hits.overlay(contributions(spark, sf_dir), spark_view(spark, sf_dir, "contributions", numbered=False))
+    return hits.merge(bitfields.route(x), parts=parts_of(spark, sf_dir, "lineitem"))
 
 
 OVERLAY = """SELECT c.*, c.event_idx AS window_id, CASE WHEN detector <> 'MTC' THEN detector WHEN plane < 2 THEN 'SciFi' ELSE 'Scint' END AS routed
@@ -120,7 +120,7 @@ def a5(spark, sf_dir):
     x = bitfields.route(hits.overlay(contributions(spark, sf_dir)))
     keys = ["window_id", "detector"]
     values = x.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("cell_id", "seq")) - 1).cast("long").alias("position"), F.col("pdg").alias("value"))
-    merged = hits.merge(x).select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("cell_id")).alias("hit_no"), F.col("n_contributions").alias("n"))
+    merged = hits.merge(x, parts=parts_of(spark, sf_dir, "lineitem")).select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("cell_id")).alias("hit_no"), F.col("n_contributions").alias("n"))
     return hits.slice_parallel(merged, values, keys)
 
 
@@ -164,7 +164,7 @@ def w1(spark, sf_dir):
 SELECT c.window_id, c.detector, c.cell_id, round(sum(energy) * 1e9, 3) AS e_ev, any_value(s) AS source_id FROM cut c JOIN cells USING (detector, cell_id) GROUP BY c.window_id, c.detector, c.cell_id""")
 def j3(spark, sf_dir):
     cut = stream_cut(spark, sf_dir)
-    merged = hits.merge(cut, order=("t", "seq"))
+    merged = hits.merge(cut, order=("t", "seq"), parts=parts_of(spark, sf_dir, "lineitem"))
     return hits.with_cell_source(merged, hits.cell_sources(cut)).select("window_id", "detector", "cell_id", F.round(F.col("e") * 1e9, 3).alias("e_ev"), "source_id")
 
 

@@ -42,3 +42,17 @@ def test_trials_share_the_grid_of_a_plane(spark, monkeypatch):
 def test_seeding_reads_contributions_once(spark, sf, name):
     plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan
+
+
+def test_tasks_stay_small_as_tables_grow(spark, sf, monkeypatch):
+    import re
+
+    from hitloom.sources import fixtures
+
+    monkeypatch.setattr(fixtures, "ROWS_OF_A_TASK", 100, raising=False)
+    n = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 100)
+    found = plans.QUERIES["p4_to_mip"](spark, sf)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(rf"Exchange hashpartitioning\([^\n]*, {n}\)", plan)) == 2 and found.rdd.getNumPartitions() == n
+    monkeypatch.undo()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plans.QUERIES["p4_to_mip"](spark, sf).collect()))
