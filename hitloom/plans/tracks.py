@@ -9,7 +9,7 @@ from hitloom.functions import bitfields
 from hitloom.operators import linking, measurements, seeding
 from hitloom.plans.hits import HIT_CTES, overlaid_hits
 from hitloom.plans.registry import plan
-from hitloom.sources.fixtures import ctes, spark_view
+from hitloom.sources.fixtures import ctes, parts_of, spark_view
 from hitloom.sources.shared import cut
 
 
@@ -388,6 +388,12 @@ def states(spark, sf_dir):
     return spark_view(spark, sf_dir, "track_states")
 
 
+def tracks(spark, sf_dir):
+    """States dealt by track, for as many tasks as the input needs."""
+    n = parts_of(spark, sf_dir, "lineitem")
+    return states(spark, sf_dir).repartition(n, "window_id", "track_id") if n else states(spark, sf_dir)
+
+
 PAIRED = ctes("track_states") + """, rk AS (SELECT *, row_number() OVER w AS r, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2, lead(chi2) OVER w AS chi22, lead(loc0) OVER w AS loc2, lead(tilt) OVER w AS tilt2, lead(loc0 / 50) OVER w AS phi2,
   coalesce({fits}, FALSE) AS fits FROM track_states WINDOW w AS (PARTITION BY window_id, track_id ORDER BY z, seq)),
 wk AS (SELECT *, fits AS opens, FALSE AS closes FROM rk WHERE r = 1 UNION ALL SELECT n.*, n.fits AND NOT w.opens, w.opens FROM wk w JOIN rk n ON n.window_id = w.window_id AND n.track_id = w.track_id AND n.r = w.r + 1)"""
@@ -399,7 +405,7 @@ CROSSED = PAIRED.format(fits="abs(tilt) > 0.01 AND abs(lead(z) OVER w - z) < 5 A
 round(CASE WHEN opens THEN (z + z2) / 2 ELSE z END, 6) AS z, round(CASE WHEN opens THEN 0 ELSE tilt END, 7) AS tilt, round(CASE WHEN opens THEN chi2 + chi22 ELSE chi2 END, 6) AS chi2,
 round(CASE WHEN opens THEN (loc0 / 50 + phi2) / 2 ELSE loc0 / 50 END, 6) AS phi, round(CASE WHEN opens THEN (x / z + x2 / z2) / 2 ELSE x / z END, 6) + 0 AS tan_lambda, CASE WHEN opens THEN 0 ELSE loc0 END AS loc0 FROM wk WHERE NOT closes"""))
 def w4(spark, sf_dir):
-    x = states(spark, sf_dir).withColumns({"phi": F.col("loc0") / 50, "tan_lambda": F.col("x") / F.col("z")})
+    x = tracks(spark, sf_dir).withColumns({"phi": F.col("loc0") / 50, "tan_lambda": F.col("x") / F.col("z")})
     x = linking.pair_states(x, ["window_id", "track_id"])
     return x.select("window_id", "track_id", "seq", "paired", *[(F.round(c, 6) + 0).alias(c) for c in ("x", "y", "z", "chi2", "phi", "tan_lambda")], F.round("tilt", 7).alias("tilt"), "loc0")
 
@@ -408,7 +414,7 @@ def w4(spark, sf_dir):
 SELECT window_id, track_id, seq, opens AS paired, round(CASE WHEN opens THEN (u + v) / 2 ELSE x END, 6) AS x, round(CASE WHEN opens THEN (v - u) / (2 * tan(radians(5e0))) ELSE y END, 6) AS y, round(CASE WHEN opens THEN (z + z2) / 2 ELSE z END, 6) AS z FROM uv"""))
 def w5(spark, sf_dir):
     """Points of tracks for display: strips of both tilts crossed, other states as they are."""
-    x = linking.stereo_points(states(spark, sf_dir), ["window_id", "track_id"])
+    x = linking.stereo_points(tracks(spark, sf_dir), ["window_id", "track_id"])
     return x.select("window_id", "track_id", "seq", "paired", *[F.round(c, 6).alias(c) for c in ("x", "y", "z")])
 
 
