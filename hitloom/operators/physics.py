@@ -292,17 +292,19 @@ def z_extents(hits: DataFrame, keys: list[str], margin: float = 3.0) -> DataFram
     return hits.groupBy(*keys).agg((F.min("z") - margin).alias("z_lo"), (F.max("z") + margin).alias("z_hi"), F.array_sort(F.collect_set(F.round("z", 4))).alias("layers"))
 
 
-def track_points(tracks: DataFrame, points: DataFrame, layers: DataFrame) -> DataFrame:
+def track_points(tracks: DataFrame, points: DataFrame, layers: DataFrame, parts: int | None = None) -> DataFrame:
     """Points of tracks with two or more, else the seed's x, y on each of the window's layers; tracks with less than two in the end are left out.
 
     tracks: window_id, track_id, seed_x, seed_y. points: of tracks, after pairing. layers: window_id, z.
+    parts: partitions for what meets by window, where given; tracks and points meet as they are dealt.
     """
     keys = ["window_id", "track_id"]
+    by = lambda df, *c: df.repartition(parts, *c) if parts else df
     n = points.groupBy(*keys).agg(F.count("*").alias("_n"))
     known = tracks.join(n, keys, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     fitted = points.join(known.where("_n >= 2").select(*keys), keys, "left_semi").select(*keys, "x", "y", "z", F.lit("fit").alias("kind"))
-    enough = layers.groupBy("window_id").agg(F.count("*").alias("_layers")).where("_layers >= 2").select("window_id")
-    seed = known.where("_n < 2").select(*keys, F.col("seed_x").alias("x"), F.col("seed_y").alias("y")).join(layers.join(enough, "window_id", "left_semi"), "window_id")
+    several = by(layers, "window_id").withColumn("_layers", F.count("*").over(Window.partitionBy("window_id"))).where("_layers >= 2").drop("_layers")
+    seed = by(known.where("_n < 2").select(*keys, F.col("seed_x").alias("x"), F.col("seed_y").alias("y")), "window_id").join(several, "window_id")
     return fitted.unionByName(seed.select(*keys, "x", "y", "z", F.lit("seed").alias("kind")))
 
 
@@ -326,7 +328,9 @@ def panel_hits(hits: DataFrame, keys: list[str], dz: float = 5.0) -> DataFrame:
     return shown.unionByName(fibres)
 
 
-def window_layers(measurements: DataFrame, keys: list[str], order: list[str], of: tuple[str, ...] = ("detector",)) -> DataFrame:
-    """keys, z: of each detector the first z of every millimetre (halves away from zero) in an order of its measurements."""
+def window_layers(measurements: DataFrame, keys: list[str], order: list[str], of: tuple[str, ...] = ("detector",), parts: int | None = None) -> DataFrame:
+    """keys, z: of each detector the first z of every millimetre (halves away from zero) in an order of its measurements; found in `parts` partitions where given."""
     first = F.min_by("z", F.struct(*order))
-    return measurements.groupBy(*keys, *of, F.round("z").alias("_mm")).agg(first.alias("z")).select(*keys, *of, "z")
+    by = [*keys, *of, "_mm"]
+    x = measurements.withColumn("_mm", F.round("z")).select(*dict.fromkeys([*by, "z", *order]))
+    return (x.repartition(parts, *by) if parts else x).groupBy(*by).agg(first.alias("z")).select(*keys, *of, "z")

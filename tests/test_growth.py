@@ -56,3 +56,20 @@ def test_tasks_stay_small_as_tables_grow(spark, sf, monkeypatch):
     assert len(re.findall(rf"Exchange hashpartitioning\([^\n]*, {n}\)", plan)) == 2 and found.rdd.getNumPartitions() == n
     monkeypatch.undo()
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plans.QUERIES["p4_to_mip"](spark, sf).collect()))
+
+
+@pytest.mark.parametrize("name", ["a15_window_layers", "p29_track_points"])
+def test_layers_and_points_meet_in_small_tasks(spark, sf, monkeypatch, name):
+    import re
+
+    from hitloom.sources import fixtures
+
+    want = sorted(map(str, plans.QUERIES[name](spark, sf).collect()))
+    monkeypatch.setattr(fixtures, "ROWS_OF_A_TASK", 100)
+    n = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 100)
+    found = plans.QUERIES[name](spark, sf)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # with as many as the session has, only the last event of each source is found
+    assert all(k.startswith("source_id#") for k in re.findall(r"Exchange hashpartitioning\(([^\n]*), 4\)", plan))
+    assert len(re.findall(rf"Exchange hashpartitioning\([^\n]*, {n}\)", plan)) > 2
+    assert sorted(map(str, found.collect())) == want
