@@ -263,6 +263,24 @@ def test_secrets_outside_the_rules_are_found(spark):
     assert sum(r.n_model for r in secrets.scan(unseen, scanner).collect()) >= 20
 
 
+def test_secrets_are_learned_from_all_documents(spark):
+    rng = random.Random(13)
+    rows, key = secret_rows(160, rng)
+    docs = spark.range(20_160).withColumn("text", F.lit("incomprehensibilities"))
+    last = [r.id for r in docs.orderBy(F.xxhash64("id").desc(), F.desc("id")).limit(160).collect()]
+    some = spark.createDataFrame([(i, t) for i, (_, t) in zip(last, rows, strict=True)], "doc_id long, text string")
+    # those with secrets come last in the order by hash of the id
+    scanner = secrets.fit(docs.withColumnRenamed("id", "doc_id").join(some.select("doc_id"), "doc_id", "left_anti").unionByName(some))
+    assert scanner and scanner.measured > 0.9
+
+
+def test_every_example_trains_and_every_block_has_both_labels(spark):
+    rows = spark.range(3000).selectExpr("CAST(id < 90 AS INT) AS y", "CAST(id AS STRING) AS window", "0 AS shape", "FALSE AS masked")
+    out = secrets.dealt(rows, 7, {0: 2910, 1: 90}).collect()
+    assert {r.window for r in out} == {str(i) for i in range(3000)} and len({(r.window, r.block) for r in out}) == len(out) == 2910 + 90 * 5
+    assert {(r.block, r.y) for r in out} == {(b, y) for b in range(7) for y in (0, 1)}
+
+
 def test_secrets_scan_is_the_network_on_each_candidate(spark):
     rows, key = secret_rows(160, random.Random(12))
     scanner = secrets.fit(spark.createDataFrame(rows, "doc_id long, text string"))
