@@ -33,6 +33,55 @@ def crossings(x: DataFrame, y: DataFrame, keys: list[str], most: int = 500) -> D
     return left.join(right, keys).select(*keys, "x_id", "y_id", "x", "y", ((F.col("_zx") + F.col("_zy")) / 2).alias("z"), F.lit(2).alias("weight"))
 
 
+#: strips of a plane that meet those of the other at once
+STRIPS = 1024
+
+
+def in_blocks(x: DataFrame, y: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """x and y with _bx and _by: a strip of one meets each of the other, in its group, in one block. A block has some STRIPS strips of each."""
+    n = x.groupBy(*keys).agg(F.count("*").alias("_na")).join(y.groupBy(*keys).agg(F.count("*").alias("_nb")), keys)
+    n = n.select(*keys, F.ceil(F.col("_na") / STRIPS).alias("_na"), F.ceil(F.col("_nb") / STRIPS).alias("_nb"))
+    own = lambda n: F.pmod(F.xxhash64("hit_id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = x.join(n, keys).withColumn("_bx", own("_na")).withColumn("_by", every("_nb"))
+    right = y.join(n, keys).withColumn("_by", own("_nb")).withColumn("_bx", every("_na"))
+    return left, right.drop("_na", "_nb")
+
+
+def near_pads(strips: DataFrame, axis: str, pads: DataFrame, keys: list[str], within: list[str], radius: float) -> DataFrame:
+    """Strips with each place of pads along an axis that is within radius: keys, hit_id, _px or _py, _d2 (the distance, squared)."""
+    far = radius * (1 + 1e-9)  # a quotient may be rounded into the next cell
+    p = F.col(f"_p{axis}")
+    q = pads.select(*within, p).distinct().withColumn("_c", F.explode(F.sequence(F.floor((p - far) / radius), F.floor((p + far) / radius))))
+    s = strips.select(*keys, "hit_id", F.col(axis).alias("_v"), F.floor(F.col(axis) / radius).alias("_c"))
+    met = s.join(q.hint("merge"), [*within, "_c"]).withColumn("_d2", (F.col("_v") - p) * (F.col("_v") - p))
+    return met.where(F.col("_d2") <= radius**2).select(*keys, "hit_id", p, "_d2")
+
+
+def clear_crossings(x: DataFrame, y: DataFrame, pads: DataFrame, keys: list[str], within: list[str], radius: float) -> DataFrame:
+    """What drop_ghosts() leaves of confirm()'s crossings, of every group, whatever its size: as crossings() has them.
+
+    within: the keys of pads. Confirmed crossings are found from the strips near a pad. Each
+    x strip takes the y strips along that it is confirmed with, each y strip whether there
+    is one: a crossing is judged where it is made, and is not dealt again.
+    """
+    pads = pads.select(*within, F.col("x").alias("_px"), F.col("y").alias("_py")).distinct()
+    a = near_pads(x, "x", pads, keys, within, radius).withColumnsRenamed({"hit_id": "x_id", "_d2": "_dx"})
+    b = near_pads(y, "y", pads, keys, within, radius).withColumnsRenamed({"hit_id": "y_id", "_d2": "_dy"})
+    a = a.join(pads.hint("merge"), [*within, "_px"]).select(*keys, "x_id", "_py", "_dx")
+    sure = a.join(b.hint("merge"), [*keys, "_py"]).where(F.col("_dx") + F.col("_dy") <= radius**2).select(*keys, "x_id", "y_id").distinct()
+    sure = cut(sure, "confirmed")  # read for both planes
+    x = x.join(sure.groupBy(*keys, F.col("x_id").alias("hit_id")).agg(F.collect_set("y_id").alias("_sure")).hint("merge"), [*keys, "hit_id"], "left")
+    y = y.join(sure.select(*keys, F.col("y_id").alias("hit_id")).distinct().withColumn("_fy", F.lit(True)).hint("merge"), [*keys, "hit_id"], "left")
+    left, right = in_blocks(x, y, keys)
+    here = F.filter("_sure", lambda i: F.pmod(F.xxhash64(i), F.col("_nb")) == F.col("_by"))  # of this block
+    left = left.select(*keys, "_bx", "_by", F.col("hit_id").alias("x_id"), "x", F.col("z").alias("_zx"), here.alias("_sure"))
+    right = right.select(*keys, "_bx", "_by", F.col("hit_id").alias("y_id"), "y", F.col("z").alias("_zy"), "_fy")
+    ghost = F.col("_sure").isNotNull() & F.col("_fy").isNotNull() & ~F.array_contains("_sure", F.col("y_id"))
+    met = left.join(right.hint("merge"), [*keys, "_bx", "_by"]).where(~ghost)
+    return met.select(*keys, "x_id", "y_id", "x", "y", ((F.col("_zx") + F.col("_zy")) / 2).alias("z"), F.lit(2).alias("weight"))
+
+
 def stereo_crossings(u: DataFrame, v: DataFrame, keys: list[str], angle: float = 5.0, most: int = 200) -> DataFrame:
     """u, v: keys, hit_id, loc0, z. Crossing x = (u + v) / 2, y = (v - u) / (2 sin)."""
     fine = capped_groups(u, v, keys, most)

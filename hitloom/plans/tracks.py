@@ -138,10 +138,20 @@ def silicon(spark, sf_dir):
     return cut(overlaid_hits(spark, sf_dir).where("detector IN ('SiTarget', 'SiPad')").select("window_id", "detector", "cell_id", "x", "y", "z"), "hits")
 
 
-def crossed(spark, sf_dir, hits=None):
+#: the same without a cap
+ALL_CROSSED = """stx AS (SELECT *, CAST(round(z / 10) AS BIGINT) AS station_no FROM numbered WHERE detector = 'SiTarget'),
+crossed AS (SELECT a.window_id, a.station_no, a.hit_id AS x_id, b.hit_id AS y_id, a.x, b.y, (a.z + b.z) / 2 AS z FROM stx a JOIN stx b ON a.window_id = b.window_id AND a.station_no = b.station_no AND a.plane = 0 AND b.plane = 1)"""
+
+
+def planes(spark, sf_dir, hits=None):
+    """Strips of both planes, a table: each plane is counted and joined."""
     x = decoded(spark, sf_dir, "SiTarget", hits).withColumn("station_no", seeding.station(F.col("z")))
-    x = cut(x.select("window_id", "station_no", "hit_id", "plane", "x", "y", "z"), "strips")  # each plane is counted and joined
-    return seeding.crossings(x.where("plane = 0"), x.where("plane = 1"), ["window_id", "station_no"])
+    x = cut(x.select("window_id", "station_no", "hit_id", "plane", "x", "y", "z"), "strips")
+    return x.where("plane = 0"), x.where("plane = 1")
+
+
+def crossed(spark, sf_dir, hits=None):
+    return seeding.crossings(*planes(spark, sf_dir, hits), ["window_id", "station_no"])
 
 
 @plan("j7_crossings", BASE + f", {CROSS} SELECT window_id, station_no, count(*) AS n, round(sum(x), 3) AS sx, round(sum(y), 3) AS sy FROM crossed GROUP BY window_id, station_no")
@@ -176,10 +186,13 @@ def j8_points(spark, sf_dir):
 PADS = "pads AS (SELECT window_id, x - 137.5e0 AS x, y - 27.5e0 AS y FROM numbered WHERE detector = 'SiPad'), pts AS (SELECT c.*, EXISTS (SELECT 1 FROM pads p WHERE p.window_id = c.window_id AND (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) <= 4) AS confirmed FROM crossed c)"
 
 
+def pads_of(hits):
+    return hits.where("detector = 'SiPad'").select("window_id", (F.col("x") - 137.5).alias("x"), (F.col("y") - 27.5).alias("y"))
+
+
 def confirmed(spark, sf_dir):
     h = silicon(spark, sf_dir)
-    pads = h.where("detector = 'SiPad'").select("window_id", (F.col("x") - 137.5).alias("x"), (F.col("y") - 27.5).alias("y"))
-    return seeding.confirm(crossed(spark, sf_dir, h), pads, ["window_id"], ["x_id", "y_id"], 2.0)
+    return seeding.confirm(crossed(spark, sf_dir, h), pads_of(h), ["window_id"], ["x_id", "y_id"], 2.0)
 
 
 @plan("j9_confirm", BASE + f", {CROSS}, {PADS} SELECT window_id, station_no, x_id, y_id, confirmed FROM pts")
@@ -192,10 +205,17 @@ LEFT JOIN (SELECT DISTINCT window_id, station_no, y_id, 1 AS fy FROM pts WHERE c
 
 
 def cleaned(spark, sf_dir):
+    """Crossings of all stations that are no ghosts."""
+    h = silicon(spark, sf_dir)
+    return seeding.clear_crossings(*planes(spark, sf_dir, h), pads_of(h), ["window_id", "station_no"], ["window_id"], 2.0)
+
+
+def cleaned_under_cap(spark, sf_dir):
+    """The same of stations under the cap of crossings()."""
     return seeding.drop_ghosts(confirmed(spark, sf_dir), ["window_id", "station_no"])
 
 
-@plan("j10_drop_ghosts", BASE + f", {CROSS}, {PADS}, {GHOST} SELECT window_id, station_no, x_id, y_id FROM clean")
+@plan("j10_drop_ghosts", BASE + f", {ALL_CROSSED}, {PADS}, {GHOST} SELECT window_id, station_no, x_id, y_id FROM clean")
 def j10(spark, sf_dir):
     return cleaned(spark, sf_dir).select("window_id", "station_no", "x_id", "y_id")
 
@@ -203,38 +223,39 @@ def j10(spark, sf_dir):
 VOTES = """bins AS (SELECT window_id, greatest(0, least(80, CAST(trunc((x + 200) / 5e0) AS INT))) AS ix, greatest(0, least(80, CAST(trunc((y + 200) / 5e0) AS INT))) AS iy, 2 * count(*) AS votes FROM clean GROUP BY 1, 2, 3)"""
 PEAKS = """peaks AS (SELECT * FROM bins b WHERE votes >= 3 AND NOT EXISTS (SELECT 1 FROM bins o WHERE o.window_id = b.window_id AND abs(o.ix - b.ix) <= 1 AND abs(o.iy - b.iy) <= 1 AND o.votes > b.votes))"""
 MET = """met AS (SELECT p.*, c.x, c.y, c.z FROM peaks p JOIN clean c ON c.window_id = p.window_id AND (c.x - (-200 + (p.ix + 0.5e0) * 5)) * (c.x - (-200 + (p.ix + 0.5e0) * 5)) + (c.y - (-200 + (p.iy + 0.5e0) * 5)) * (c.y - (-200 + (p.iy + 0.5e0) * 5)) < 100)"""
-SEEDING = BASE + f", {CROSS}, {PADS}, {GHOST}, {VOTES}, {PEAKS}, {MET} "
+SEEDING = BASE + f", {ALL_CROSSED}, {PADS}, {GHOST}, {VOTES}, {PEAKS}, {MET} "
+SEEDING_CAPPED = BASE + f", {CROSS}, {PADS}, {GHOST}, {VOTES}, {PEAKS}, {MET} "
 
 
-@plan("a11_votes", SEEDING + "SELECT window_id, ix, iy, votes FROM bins")
+@plan("a11_votes", SEEDING_CAPPED + "SELECT window_id, ix, iy, votes FROM bins")
 def a11(spark, sf_dir):
-    return seeding.votes(cleaned(spark, sf_dir), ["window_id"])
+    return seeding.votes(cleaned_under_cap(spark, sf_dir), ["window_id"])
 
 
-@plan("w7_peaks", SEEDING + "SELECT window_id, ix, iy, votes FROM peaks")
+@plan("w7_peaks", SEEDING_CAPPED + "SELECT window_id, ix, iy, votes FROM peaks")
 def w7(spark, sf_dir):
-    return seeding.peaks(seeding.votes(cleaned(spark, sf_dir), ["window_id"]), ["window_id"])
+    return seeding.peaks(seeding.votes(cleaned_under_cap(spark, sf_dir), ["window_id"]), ["window_id"])
 
 
-def met_points(spark, sf_dir):
-    points = cut(cleaned(spark, sf_dir), "points")  # vote, and lie near peaks
+def met_points(spark, sf_dir, found=cleaned):
+    points = cut(found(spark, sf_dir), "points")  # vote, and lie near peaks
     return seeding.near_peaks(seeding.peaks(seeding.votes(points, ["window_id"]), ["window_id"]), points, ["window_id"])
 
 
-@plan("j13_near_peaks", SEEDING + "SELECT window_id, ix, iy, count(*) AS n FROM met GROUP BY window_id, ix, iy")
+@plan("j13_near_peaks", SEEDING_CAPPED + "SELECT window_id, ix, iy, count(*) AS n FROM met GROUP BY window_id, ix, iy")
 def j13(spark, sf_dir):
-    return met_points(spark, sf_dir).groupBy("window_id", "ix", "iy").agg(F.count("*").alias("n"))
+    return met_points(spark, sf_dir, cleaned_under_cap).groupBy("window_id", "ix", "iy").agg(F.count("*").alias("n"))
 
 
-@plan("a12_multiplicity", SEEDING + "SELECT window_id, ix, iy, votes, round(2e0 * count(*) / count(DISTINCT round(z / 10)), 6) AS multiplicity, round(min(z), 4) AS z_start FROM met GROUP BY window_id, ix, iy, votes")
+@plan("a12_multiplicity", SEEDING_CAPPED + "SELECT window_id, ix, iy, votes, round(2e0 * count(*) / count(DISTINCT round(z / 10)), 6) AS multiplicity, round(min(z), 4) AS z_start FROM met GROUP BY window_id, ix, iy, votes")
 def a12(spark, sf_dir):
-    return seeding.multiplicity(met_points(spark, sf_dir), ["window_id"]).select("window_id", "ix", "iy", "votes", F.round("multiplicity", 6).alias("multiplicity"), F.round("z_start", 4).alias("z_start"))
+    return seeding.multiplicity(met_points(spark, sf_dir, cleaned_under_cap), ["window_id"]).select("window_id", "ix", "iy", "votes", F.round("multiplicity", 6).alias("multiplicity"), F.round("z_start", 4).alias("z_start"))
 
 
-@plan("a13_weighted_mode", SEEDING + """, s AS (SELECT window_id, ix, iy, CAST(round(x / 0.8e0) AS BIGINT) AS s, 2 * count(*) AS w FROM met GROUP BY 1, 2, 3, 4)
+@plan("a13_weighted_mode", SEEDING_CAPPED + """, s AS (SELECT window_id, ix, iy, CAST(round(x / 0.8e0) AS BIGINT) AS s, 2 * count(*) AS w FROM met GROUP BY 1, 2, 3, 4)
 SELECT window_id, ix, iy, round(arg_max(s, {'w': w, 's': -s}) * 0.8e0, 6) AS x FROM s GROUP BY window_id, ix, iy""")
 def a13(spark, sf_dir):
-    return seeding.weighted_mode(met_points(spark, sf_dir), ["window_id"], "x", 0.8).select("window_id", "ix", "iy", F.round("x", 6).alias("x"))
+    return seeding.weighted_mode(met_points(spark, sf_dir, cleaned_under_cap), ["window_id"], "x", 0.8).select("window_id", "ix", "iy", F.round("x", 6).alias("x"))
 
 
 JUDGED = """judged AS (SELECT window_id, ix, iy, votes, 2e0 * count(*) / count(DISTINCT round(z / 10)) AS multiplicity, min(z) AS z_start FROM met GROUP BY window_id, ix, iy, votes),
@@ -249,9 +270,9 @@ def recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@plan("w8_suppressed", recursive(SEEDING.rstrip() + f", {JUDGED} SELECT window_id, ix, iy FROM nms WHERE taken"))
+@plan("w8_suppressed", recursive(SEEDING_CAPPED.rstrip() + f", {JUDGED} SELECT window_id, ix, iy FROM nms WHERE taken"))
 def w8(spark, sf_dir):
-    judged = seeding.multiplicity(met_points(spark, sf_dir), ["window_id"])
+    judged = seeding.multiplicity(met_points(spark, sf_dir, cleaned_under_cap), ["window_id"])
     return seeding.suppress(cut(judged, "peaks"), ["window_id"], 3)
 
 
@@ -259,10 +280,10 @@ def _mode(axis: str) -> str:
     return f"""(SELECT window_id, ix, iy, arg_max(s, {{'w': w, 's': -s}}) * 0.8e0 AS {axis} FROM (SELECT window_id, ix, iy, CAST(round({axis} / 0.8e0) AS BIGINT) AS s, 2 * count(*) AS w FROM met GROUP BY 1, 2, 3, 4) q GROUP BY window_id, ix, iy)"""
 
 
-@plan("t2_seeds", recursive(SEEDING.rstrip() + f""", {JUDGED}, best AS (SELECT j.*, row_number() OVER (PARTITION BY window_id ORDER BY votes DESC, ix, iy) AS seat FROM judged j JOIN nms k USING (window_id, ix, iy) WHERE k.taken AND multiplicity <= 60)
+@plan("t2_seeds", recursive(SEEDING_CAPPED.rstrip() + f""", {JUDGED}, best AS (SELECT j.*, row_number() OVER (PARTITION BY window_id ORDER BY votes DESC, ix, iy) AS seat FROM judged j JOIN nms k USING (window_id, ix, iy) WHERE k.taken AND multiplicity <= 60)
 SELECT window_id, round(x, 6) AS x, round(y, 6) AS y, round(z_start, 4) AS z_start, votes AS n_votes, round(multiplicity, 6) AS multiplicity FROM best JOIN {_mode('x')} USING (window_id, ix, iy) JOIN {_mode('y')} USING (window_id, ix, iy) WHERE seat <= 5"""))
 def t2(spark, sf_dir):
-    x = seeding.seeds(cleaned(spark, sf_dir), ["window_id"], max_multiplicity=60.0, pitch=0.8)
+    x = seeding.seeds(cleaned_under_cap(spark, sf_dir), ["window_id"], max_multiplicity=60.0, pitch=0.8)
     return x.select("window_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("z_start", 4).alias("z_start"), "n_votes", F.round("multiplicity", 6).alias("multiplicity"))
 
 
