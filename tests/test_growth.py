@@ -53,7 +53,7 @@ def busy():
     return rows
 
 
-@pytest.mark.parametrize("name", ["a11_votes", "a12_multiplicity", "j10_drop_ghosts", "j13_near_peaks", "w7_peaks"])
+@pytest.mark.parametrize("name", ["a11_votes", "a12_multiplicity", "a13_weighted_mode", "j10_drop_ghosts", "j13_near_peaks", "w7_peaks"])
 def test_stations_of_many_crossings_are_whole(spark, monkeypatch, busy, name):
     names = ("window_id", "detector", "cell_id", "x", "y", "z", "plane")
     hits = spark.createDataFrame(busy, "window_id long, detector string, cell_id long, x double, y double, z double, plane int").drop("plane")
